@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, decontaminate, fingerprint, langid, sharding, simhash, warc
+from quern.llm import bpe, decontaminate, edit_tokens, fingerprint, langid, licenses, ngram_lm, sharding, simhash, warc
 from quern.llm._stage import shared_folder
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -49,6 +49,28 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of one repository per source, in two levels of directories by id. Every tenth is taken for a
+    licence file, at one of the three levels, so that licences are passed on."""
+    docs = _table(spark, sf_dir, "documents")
+    a, b = F.floor(F.col("doc_id") / 1000).cast("string"), F.floor(F.col("doc_id") / 100 % 10).cast("string")
+    name = F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("LICENSE-"), F.col("doc_id").cast("string"))).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    level = F.when(F.col("doc_id") % 10 == 0, F.floor(F.col("doc_id") / 10) % 3).otherwise(F.lit(2))
+    path = F.concat_ws("/", "source", F.when(level > 0, a), F.when(level > 1, b), name)
+    return licenses.scan(docs.select("doc_id", path.alias("path"), "text"))
+
+
+def op5_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return ngram_lm.score(docs.select("doc_id", "text", F.coalesce(_remainder(10) == 0, F.lit(False)).alias("held_out")))
+
+
+def op6_edit_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = edit_tokens.apply_edits(docs.withColumn("edits", edit_tokens.own_edits(F.col("text"))), vocabulary())
+    return rows.select("doc_id", "n_tokens", F.length("edited").cast("long").alias("edited_chars"), "edited_tokens", "encoded_chars", F.sha2("edited", 256).alias("edited_sha256"))
+
+
 def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fingerprint.edited(_table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_chars", "edited_sha256", fingerprint.printed(F.col("own")).alias("fingerprint"), fingerprint.printed(F.col("changed")).alias("edited_fingerprint"), "near_edited", "near_next")
@@ -71,6 +93,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_sharding": op2_sharding,
     "op3_warc": op3_warc,
+    "op4_licenses": op4_licenses,
+    "op5_ngram_lm": op5_ngram_lm,
+    "op6_edit_tokens": op6_edit_tokens,
     "op7_fingerprint": op7_fingerprint,
     "op8_bpe": op8_bpe,
     "op9_simhash": op9_simhash,
