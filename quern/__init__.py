@@ -1,0 +1 @@
+"""Analytics over retrieval corpora and inference telemetry, on Spark DataFrames."""
