@@ -23,9 +23,9 @@ def model_tier(name: Column) -> Column:
 
 
 def kv_gb(size_bytes: Column, context: Column) -> Column:
-    """Estimated cache in GB: context/8192 of 0.35 of the model's size (4 GB if unknown), two decimals."""
+    """Estimated cache in GB: context/8192 of 0.35 of the model's size (4 GB if unknown), two decimals, half up."""
     gb = F.when(size_bytes > 0, size_bytes / float(1 << 30)).otherwise(F.lit(4.0))
-    return F.round(context / 8192.0 * gb * 0.35, 2)
+    return F.floor(context / 8192.0 * gb * 0.35 * 100 + 0.5) / 100
 
 
 def format_bytes(n: Column) -> Column:

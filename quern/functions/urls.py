@@ -34,7 +34,7 @@ def image_urls(text: Column) -> Column:
     """Image links of a text: tagged ones, then Markdown ones, then bare ones with an image suffix; each once."""
     every = lambda pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
     found = F.concat(every(r"(?i)\[img\](.*?)\[/img\]"), every(r"!\[[^\]]*\]\(([^)]*)\)"), every(f"(?i){IMAGE}"))
-    return F.array_distinct(F.filter(F.transform(found, F.trim), lambda u: u != ""))
+    return F.array_distinct(F.filter(F.transform(found, lambda u: F.trim(u)), lambda u: u != ""))
 
 
 def source_label(title: Column, section: Column, url: Column) -> Column:

@@ -24,7 +24,7 @@ def route(messages: DataFrame, subscriptions: DataFrame) -> DataFrame:
 
 def channel_errors(subscriptions: DataFrame, channels: list[str] = CHANNELS) -> DataFrame:
     """Adds ``channels`` (the named ones, trimmed, or all if none is named) and ``unknown`` (sorted names, null if none)."""
-    named = F.filter(F.transform(F.split(F.coalesce("wanted", F.lit("")), ","), F.trim), lambda c: c != "")
+    named = F.filter(F.transform(F.split(F.coalesce("wanted", F.lit("")), ","), lambda c: F.trim(c)), lambda c: c != "")
     every = F.array(*[F.lit(c) for c in channels])
     out = subscriptions.withColumn("_n", named)
     bad = F.array_sort(F.array_except("_n", every))

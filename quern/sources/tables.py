@@ -50,11 +50,11 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "request_messages_json": F.concat(F.lit('[{"role":"user","content":"order '), F.col("o_custkey").cast("string"), F.lit('"}]')),
         "settings_json": F.when(F.col("o_custkey") % 7 == 0, F.lit(None)).otherwise(F.concat(F.lit('{"top_k":'), (F.col("o_custkey") % 50).cast("string"), F.lit("}"))),
         "resources_json": F.lit(None),
-        "ttft_ms": F.when(done, F.round(F.col("o_totalprice") / 10, 2)),
+        "ttft_ms": F.when(done, F.col("o_totalprice") / 10),
         "total_time_ms": F.when(done, F.col("o_totalprice")),
         "input_tokens": F.col("o_custkey"),
         "output_tokens": F.when(done, F.col("o_custkey")),
-        "tokens_per_s": F.when(done, F.round(F.col("o_custkey") / (F.col("o_totalprice") / 1000), 6)),
+        "tokens_per_s": F.when(done, F.col("o_custkey") / (F.col("o_totalprice") / 1000)),
         "error": F.when(F.col("o_orderstatus") == "P", F.lit("stream closed")),
     }
     return o.select(*[made[f.name].cast(f.dataType).alias(f.name) for f in RUN])

@@ -7,9 +7,11 @@ order holds events back until the watermark has passed them where ``ordered`` as
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -17,6 +19,9 @@ from pyspark.sql.types import StructType
 
 from quern.plans.ingest import ingest
 
+# State processors travel by value: the process that sets them up on the driver sees no files of the application.
+register_pickle_by_value(sys.modules[__name__])
+
 
 def stream_events(spark: SparkSession, folder: str, schema: StructType, delay: str = "10 minutes", channels: list[str] | None = None, files_per_trigger: int | None = None) -> DataFrame:
     """Events from a folder of Parquet files, with event time and a watermark; only of the channels asked for."""
