@@ -19,7 +19,8 @@ search relative to its context. Probabilities are quantised to steps of 1/4000 o
 and memory-mapped.
 
 Order two is a choice: trigrams of this kind of text are nearly all singletons and would treble the shuffle.
-Words are told apart by 64-bit hashes (successors inside a context by 40 bits).
+Words are told apart by 64-bit hashes; in a shard, contexts by their leading 48 bits and successors inside a context by
+32, so that of a context with n successors about n^2 / 2^33 pairs are taken for one.
 
 Nulls: a null text is empty and has one token, the end. A null ``held_out`` trains. Rows with null or repeated ids
 are scored each on its own. Without training texts, p(w) is the same for all words. Extra columns are not read.
@@ -31,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,7 +43,9 @@ from quern.llm.elias_fano import EliasFano, mapped
 
 MU, ADD, STEP = 20.0, 0.1, 4000.0
 #: Bytes of text in a batch, tokens meant for a shard, and the fewest shards.
-BATCH_BYTES, SHARD_TOKENS, LEAST_SHARDS = 12 << 20, 4_000_000, 64
+BATCH_BYTES, SHARD_TOKENS, LEAST_SHARDS = 4 << 20, 2_000_000, 64
+#: Leading bytes that tell contexts apart in a shard, and successors in a context.
+CONTEXT_BYTES, WORD_BYTES = 6, 4
 _END, _BEGIN = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
 _BATCH = "batch string, doc_ids array<long>, held array<boolean>, sizes array<int>, vocabulary binary, counts binary, tokens binary"
@@ -50,14 +54,35 @@ _TOLD = "batch string, doc_ids array<long>, held array<boolean>, n_tokens array<
 
 
 def _planes(x: np.ndarray) -> bytes:
-    """Little-endian bytes by significance, so that small numbers leave runs of zeros to the codec."""
+    """Little-endian bytes by significance, compressed: what is sent is close to its entropy."""
     x = np.ascontiguousarray(x)
-    return x.view(np.uint8).reshape(x.size, -1).T.tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(x.size, -1).T.tobytes())
 
 
 def _unplaned(data: bytes, kind: str) -> np.ndarray:
     width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(kind).ravel()
+
+
+def _ascending(h: np.ndarray) -> bytes:
+    """Sorted hashes by their differences."""
+    return _planes(np.diff(h, prepend=np.uint64(0)))
+
+
+def _summed(data: bytes) -> np.ndarray:
+    return np.cumsum(_unplaned(data, "<u8"), dtype=np.uint64)
+
+
+def _leading(h: np.ndarray, size: int) -> bytes:
+    """The leading ``size`` bytes of hashes, which no codec makes smaller."""
+    return np.ascontiguousarray(h.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :size]).tobytes()
+
+
+def _from_leading(data: bytes, size: int) -> np.ndarray:
+    wide = np.zeros((len(data) // size, 8), np.uint8)
+    wide[:, 8 - size :] = np.frombuffer(data, np.uint8).reshape(-1, size)
+    return wide.view(">u8").ravel().astype(np.uint64)
 
 
 def _batches(docs: DataFrame) -> DataFrame:
@@ -76,7 +101,7 @@ def _batches(docs: DataFrame) -> DataFrame:
                 trains = np.repeat(np.array([not h for h in held]), sizes)
                 vocabulary, local = np.unique(token, return_inverse=True)
                 counts = np.bincount(local[trains], minlength=vocabulary.size).astype("<u4")
-                row = [f"{context.partitionId()}-{serial}", part.column("doc_ids").to_pylist(), held, sizes.astype(np.int32), vocabulary.tobytes(), _planes(counts), _planes(local.astype("<u4"))]
+                row = [f"{context.partitionId()}-{serial}", part.column("doc_ids").to_pylist(), held, sizes.astype(np.int32), _ascending(vocabulary), _planes(counts), _planes(local.astype("<u4"))]
                 serial += 1
                 kinds = [pa.string(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], [f.split(" ")[0] for f in _BATCH.split(", ")])
@@ -95,15 +120,15 @@ def _unigrams(batches: DataFrame, shards: int) -> DataFrame:
     def send(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             for name, vocabulary, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                h, c = np.frombuffer(vocabulary, np.uint64), _unplaned(counts, "<u4")
+                h, c = _summed(vocabulary), _unplaned(counts, "<u4")
                 cuts = np.searchsorted(_range(h, shards), np.arange(shards + 1))
                 some = np.flatnonzero(np.diff(cuts))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(some.astype(np.int32)), pa.array([name] * some.size, pa.string()), pa.array([h[cuts[k] : cuts[k + 1]].tobytes() for k in some], pa.binary()), pa.array([_planes(c[cuts[k] : cuts[k + 1]]) for k in some], pa.binary())], ["shard", "batch", "words", "counts"]
+                    [pa.array(some.astype(np.int32)), pa.array([name] * some.size, pa.string()), pa.array([_ascending(h[cuts[k] : cuts[k + 1]]) for k in some], pa.binary()), pa.array([_planes(c[cuts[k] : cuts[k + 1]]) for k in some], pa.binary())], ["shard", "batch", "words", "counts"]
                 )
 
     def count(table: pa.Table) -> pa.Table:
-        h = [np.frombuffer(x, np.uint64) for x in table["words"].to_pylist()]
+        h = [_summed(x) for x in table["words"].to_pylist()]
         c = np.concatenate([_unplaned(x, "<u4") for x in table["counts"].to_pylist()])
         word, inverse = np.unique(np.concatenate(h), return_inverse=True)
         total = np.bincount(inverse, weights=c, minlength=word.size).astype("<u8")
@@ -131,7 +156,7 @@ def _asker(n_all: int, v_all: int, shards: int):
         count = np.concatenate([_unplaned(x, "<u8") for x in right["counts"].to_pylist()]).astype(np.int64)
         batch, doc_ids, held = (left[c][0].as_py() for c in ("batch", "doc_ids", "held"))
         sizes = np.array(left["sizes"][0].as_py())
-        vocabulary, local = np.frombuffer(left["vocabulary"][0].as_py(), np.uint64), _unplaned(left["tokens"][0].as_py(), "<u4").astype(np.int64)
+        vocabulary, local = _summed(left["vocabulary"][0].as_py()), _unplaned(left["tokens"][0].as_py(), "<u4").astype(np.int64)
         owner = np.repeat(np.arange(sizes.size), sizes)
         log1 = np.log10((count + ADD) / floor)
         base = np.bincount(owner, weights=log1[local], minlength=sizes.size)
@@ -158,7 +183,7 @@ def _asker(n_all: int, v_all: int, shards: int):
             at = order[cuts[k] : cuts[k + 1]]
             new = np.flatnonzero(np.concatenate([[True], v_hash[at][1:] != v_hash[at][:-1]]))
             places = np.arange(int(times[at].sum())) + np.repeat(cut[at] - (np.cumsum(times[at]) - times[at]), times[at])
-            sent = [v_hash[at[new]].tobytes(), _planes(np.diff(np.append(new, at.size)).astype("<u4")), _planes(v_count[at[new]].astype("<u8")), (w_hash[at] >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes(), _planes(code[at]), _planes(trained[at]), _planes(times[at].astype("<u4")), _planes(texts[places])]
+            sent = [_leading(v_hash[at[new]], CONTEXT_BYTES), _planes(np.diff(np.append(new, at.size)).astype("<u4")), _planes(v_count[at[new]].astype("<u8")), _leading(w_hash[at], WORD_BYTES), _planes(code[at]), _planes(trained[at]), _planes(times[at].astype("<u4")), _planes(texts[places])]
             rows.append((int(k), batch, "bigrams", None, None, None, None, None, sent))
         own = int(mixed(np.array([hash_of(batch)], np.uint64))[0] % np.uint64(shards))
         rows.append((own, batch, "base", doc_ids, held, sizes.tolist(), known.tolist(), base.tolist(), None))
@@ -177,10 +202,10 @@ class Trie:
     """A shard's bigrams: contexts, pointers, successors relative to their context, quantised probabilities."""
 
     def __init__(self, context: np.ndarray, word: np.ndarray, count: np.ndarray, context_count: np.ndarray, mu: float):
-        """Parallel arrays of training bigrams; equal ones are summed. ``word`` has 40 bits."""
-        self.words = EliasFano(local := np.unique(word), 1 << 40)
+        """Parallel arrays of training bigrams; equal ones are summed. ``word`` has 32 bits, ``context`` 48."""
+        self.words = EliasFano(local := np.unique(word), 1 << 8 * WORD_BYTES)
         level = np.unique(context)
-        self.contexts = EliasFano(level, 1 << 64)
+        self.contexts = EliasFano(level, 1 << 8 * CONTEXT_BYTES)
         self.stride = max(1, int(local.size))
         key = np.searchsorted(level, context) * self.stride + np.searchsorted(local, word)
         key, first, inverse = np.unique(key, return_index=True, return_inverse=True)
@@ -204,10 +229,7 @@ class Trie:
 def _opened(sent: list[bytes]) -> dict[str, np.ndarray]:
     v, runs, c_v, w, code, trained, times, texts = sent
     runs = _unplaned(runs, "<u4")
-    five = np.frombuffer(w, np.uint8).reshape(-1, 5)
-    wide = np.zeros((five.shape[0], 8), np.uint8)
-    wide[:, :5] = five
-    return {"v": np.frombuffer(v, np.uint64), "runs": runs, "c_v": _unplaned(c_v, "<u8"), "w": wide.view("<u8").ravel(), "code": _unplaned(code, "<u2"), "trained": _unplaned(trained, "<u4"), "times": _unplaned(times, "<u4"), "texts": _unplaned(texts, "<u4")}
+    return {"v": _from_leading(v, CONTEXT_BYTES), "runs": runs, "c_v": _unplaned(c_v, "<u8"), "w": _from_leading(w, WORD_BYTES), "code": _unplaned(code, "<u2"), "trained": _unplaned(trained, "<u4"), "times": _unplaned(times, "<u4"), "texts": _unplaned(texts, "<u4")}
 
 
 def _trie(asked: list[list[bytes]], mu: float) -> Trie:
