@@ -7,21 +7,16 @@ order holds events back until the watermark has passed them where ``ordered`` as
 
 from __future__ import annotations
 
-import sys
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 from quern.plans.ingest import ingest
 
-# State processors travel by value: the process that sets them up on the driver sees no files of the application.
-register_pickle_by_value(sys.modules[__name__])
-
 
 def stream_events(spark: SparkSession, folder: str, schema: StructType, delay: str = "10 minutes", channels: list[str] | None = None, files_per_trigger: int | None = None) -> DataFrame:
     """Events from a folder of Parquet files, with event time and a watermark; only of the channels asked for."""
@@ -53,178 +48,120 @@ def stream_throughput(progress: DataFrame, window: str = "60 seconds", slide: st
     return w.select("job", F.col("window.start").alias("window_start"), "samples", (F.greatest(F.lit(0.0), (F.col("b") - F.col("a")).cast("double")) / span).alias("rate"))
 
 
-class _Ordered(StatefulProcessor):
-    """Folds a key's events in order of time and id; late-ordered input waits in state until the watermark passes."""
-
-    fields: list[str] = []
-    state_schema = "x string"
-    ttl_ms: int | None = None
-
-    def __init__(self, ordered: bool):
-        self.ordered = ordered
+def _folding(fold: Callable, ordered: bool, expire_ms: int | None = None) -> Callable:
+    """A state function that folds a key's events in order of time and id. State is one JSON text: what the fold
+    keeps, and events that wait until the watermark has passed them (only if ``ordered``).
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("state", self.state_schema, self.ttl_ms) if self.ttl_ms else handle.getValueState("state", self.state_schema)
-        if self.ordered:
-            self.waiting = handle.getListState("waiting", "ts timestamp, id bigint, value string")
+    fold(kept, events) -> (kept, DataFrame of results); an event is [microseconds, id, value].
+    """
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True)[["ts", "id", "value"]]
-        if not self.ordered:
-            yield from self._fold(key, batch)
+    def run(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        held = json.loads(state.get[0]) if state.exists else {"kept": None, "waiting": []}
+        if state.hasTimedOut and not ordered:
+            state.remove()
             return
-        for ts, id_, value in batch.itertuples(index=False):
-            self.waiting.appendValue((ts.to_pydatetime(), int(id_), value))
-        self.handle.registerTimer(int(batch["ts"].max().timestamp() * 1000) + 1)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs()
-        rows = list(self.waiting.get())
-        due = [r for r in rows if r[0].timestamp() * 1000 <= now]
-        if len(due) < len(rows):
-            self.waiting.put([r for r in rows if r[0].timestamp() * 1000 > now])
-        else:
-            self.waiting.clear()
+        rows = held["waiting"]
+        for batch in batches:
+            times = batch["ts"].astype("datetime64[us]").astype("int64").tolist()
+            values = [v if isinstance(v, str) else None for v in batch["value"].tolist()]
+            rows += [list(r) for r in zip(times, batch["id"].astype("int64").tolist(), values, strict=True)]
+        passed = state.getCurrentWatermarkMs() * 1000 if ordered else None
+        due = [r for r in rows if not ordered or r[0] <= passed]
+        held["waiting"] = [r for r in rows if ordered and r[0] > passed]
+        out = None
         if due:
-            yield from self._fold(key, pd.DataFrame(due, columns=["ts", "id", "value"]))
-
-    def _fold(self, key, batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        batch = batch.sort_values(["ts", "id"], kind="stable")
-        out = self.fold(key, batch)
+            held["kept"], out = fold(held["kept"], sorted(due, key=lambda r: r[:2]))
+        state.update((json.dumps(held),))
+        if held["waiting"]:
+            state.setTimeoutTimestamp(min(r[0] for r in held["waiting"]) // 1000 + 1)
+        elif expire_ms and not ordered:
+            state.setTimeoutDuration(expire_ms)
         if out is not None and len(out):
+            out.insert(0, "key", key[0])
             yield out
 
-    def fold(self, key, batch: pd.DataFrame) -> pd.DataFrame | None:
-        raise NotImplementedError
+    return run
 
-    def close(self) -> None:
-        pass
 
+def _stateful(events: DataFrame, key: str, value: str, fold: Callable, columns: str, mode: str, ordered: bool, expire_ms: int | None = None) -> DataFrame:
+    kind = dict(events.dtypes)[key]
+    rows = events.select(F.col(key).alias("key"), "ts", F.col("id").cast("long").alias("id"), F.col(value).cast("string").alias("value"))
+    timeout = "EventTimeTimeout" if ordered else "ProcessingTimeTimeout" if expire_ms else "NoTimeout"
+    return rows.groupBy("key").applyInPandasWithState(_folding(fold, ordered, expire_ms), f"key {kind}, {columns}", "held string", mode, timeout)
 
-class _Cooldown(_Ordered):
-    state_schema = "last bigint"
 
-    def __init__(self, seconds: float, ordered: bool):
-        super().__init__(ordered)
-        self.limit = int(seconds * 1_000_000)
-        self.ttl_ms = None if ordered else max(1, int(2000 * seconds))
+def stream_cooldown(events: DataFrame, seconds: float, by: str = "session", ordered: bool = False, expire: bool = False) -> DataFrame:
+    """``key``, ``id``, ``accepted``: greedy limit by last accepted event. With ``expire``, a key's state goes after twice
+    the cooldown without an event; processing-time timers keep a query running, so not under ``availableNow``."""
+    limit = int(seconds * 1_000_000)
 
-    def fold(self, key, batch):
-        last = self.state.get()[0] if self.state.exists() else None
+    def fold(last, rows):
         accepted = []
-        for t in (batch["ts"].astype("datetime64[us]").astype("int64")).tolist():
-            ok = last is None or t - last >= self.limit
+        for t, _, _ in rows:
+            ok = last is None or t - last >= limit
             last = t if ok else last
             accepted.append(ok)
-        self.state.update((last,))
-        return pd.DataFrame({"key": key[0], "id": batch["id"].astype("int64"), "accepted": accepted})
+        return last, pd.DataFrame({"id": [r[1] for r in rows], "accepted": accepted})
 
+    return _stateful(events, by, by, fold, "id long, accepted boolean", "append", ordered, max(1, int(2000 * seconds)) if expire else None)
 
-class _Context(_Ordered):
-    state_schema = "last string"
 
-    def fold(self, key, batch):
-        last = self.state.get()[0] if self.state.exists() else None
+def stream_context(messages: DataFrame, by: str = "channel", conversation: str = "conversation", ordered: bool = False) -> DataFrame:
+    """``key``, ``id``, ``context``: the conversation id last seen before in the channel."""
+
+    def fold(last, rows):
         seen = []
-        for value in batch["value"].tolist():
+        for _, _, value in rows:
             seen.append(last)
-            last = value if isinstance(value, str) else last
-        if last is not None:
-            self.state.update((last,))
-        return pd.DataFrame({"key": key[0], "id": batch["id"].astype("int64"), "context": pd.Series(seen, index=batch.index, dtype=object)})
-
-
-class _Rate(_Ordered):
-    state_schema = "ts bigint, value bigint"
-
-    def fold(self, key, batch):
-        before = self.state.get() if self.state.exists() else None
-        rates = []
-        for t, v in zip(batch["ts"].astype("datetime64[us]").astype("int64").tolist(), batch["value"].astype("int64").tolist(), strict=True):
-            rates.append(None if before is None else max(0, int((v - before[1]) / max(0.001, (t - before[0]) / 1e6))))
-            before = (t, v)
-        self.state.update(tuple(map(int, before)))
-        return pd.DataFrame({"key": key[0], "id": batch["id"].astype("int64"), "rate": pd.array(rates, dtype="Int64")})
-
-
-class _LastN(_Ordered):
-    """Keeps a key's newest ``n`` ids in state and returns them whenever they change (update mode)."""
-
-    state_schema = "kept array<struct<ts:timestamp,id:bigint>>"
-
-    def __init__(self, n: int):
-        super().__init__(False)
-        self.n = n
-
-    def fold(self, key, batch):
-        held = [(r[0], r[1]) for r in self.state.get()[0]] if self.state.exists() else []
-        every = sorted([*held, *((t.to_pydatetime(), int(i)) for t, i in zip(batch["ts"], batch["id"], strict=True))])[-self.n :]
-        self.state.update((every,))
-        return pd.DataFrame({"key": key[0], "ids": [[i for _, i in every]]})
+            last = value if value is not None else last
+        return last, pd.DataFrame({"id": [r[1] for r in rows], "context": pd.Series(seen, dtype=object)})
 
-
-def _stateful(events: DataFrame, key: str, value: str, processor: StatefulProcessor, schema: str, mode: str, ordered: bool) -> DataFrame:
-    rows = events.select(F.col(key).alias("key"), "ts", F.col("id").cast("long").alias("id"), F.col(value).cast("string").alias("value"))
-    return rows.groupBy("key").transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode=mode, timeMode="EventTime" if ordered else "ProcessingTime")
-
-
-def _kind(events: DataFrame, key: str) -> str:
-    return dict(events.dtypes)[key]
-
-
-def stream_cooldown(events: DataFrame, seconds: float, by: str = "session", ordered: bool = False) -> DataFrame:
-    """``key``, ``id``, ``accepted``: greedy limit by last accepted event; state expires after twice the cooldown."""
-    return _stateful(events, by, by, _Cooldown(seconds, ordered), f"key {_kind(events, by)}, id long, accepted boolean", "append", ordered)
-
-
-def stream_context(messages: DataFrame, by: str = "channel", conversation: str = "conversation", ordered: bool = False) -> DataFrame:
-    """``key``, ``id``, ``context``: the conversation id last seen before in the channel."""
-    return _stateful(messages, by, conversation, _Context(ordered), f"key {_kind(messages, by)}, id long, context string", "append", ordered)
+    return _stateful(messages, by, conversation, fold, "id long, context string", "append", ordered)
 
 
 def stream_rate(telemetry: DataFrame, counter: str, by: str = "host", ordered: bool = False) -> DataFrame:
     """``key``, ``id``, ``rate`` per second of a counter since the host's sample before."""
-    return _stateful(telemetry, by, counter, _Rate(ordered), f"key {_kind(telemetry, by)}, id long, rate long", "append", ordered)
 
+    def fold(before, rows):
+        rates = []
+        for t, _, value in rows:
+            v = int(float(value)) if "." in value else int(value)
+            rates.append(None if before is None else max(0, int((v - before[1]) / max(0.001, (t - before[0]) / 1e6))))
+            before = [t, v]
+        return before, pd.DataFrame({"id": [r[1] for r in rows], "rate": pd.array(rates, dtype="Int64")})
 
-def stream_last_n(events: DataFrame, n: int, by: str = "session") -> DataFrame:
-    """``key``, ``ids``: the newest ``n`` event ids of each key, oldest first; older ones are dropped, producers never wait."""
-    return _stateful(events, by, by, _LastN(n), f"key {_kind(events, by)}, ids array<long>", "update", False)
-
-
-class _Stale(StatefulProcessor):
-    """One row for a key that stays silent for ``after_ms`` of event time."""
-
-    def __init__(self, after_ms: int):
-        self.after_ms = after_ms
+    return _stateful(telemetry, by, counter, fold, "id long, rate long", "append", ordered)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.last = handle, handle.getValueState("last", "ms bigint")
 
-    def handleInputRows(self, key, rows, timerValues):
-        newest = max(int(batch["ts"].max().timestamp() * 1000) for batch in rows)
-        before = self.last.get()[0] if self.last.exists() else None
-        if before is None or newest > before:
-            if before is not None:
-                self.handle.deleteTimer(before + self.after_ms)
-            self.last.update((newest,))
-            self.handle.registerTimer(newest + self.after_ms)
-        return iter(())
+def stream_last_n(events: DataFrame, n: int, by: str = "session") -> DataFrame:
+    """``key``, ``ids``: the newest ``n`` event ids of each key, oldest first, whenever they change (update mode); older
+    ones are dropped, producers never wait."""
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        last = self.last.get()[0]
-        self.last.clear()
-        yield pd.DataFrame({"key": [key[0]], "last_seen": [pd.Timestamp(last, unit="ms", tz="UTC")]})
+    def fold(kept, rows):
+        every = sorted([*map(tuple, kept or []), *((t, i) for t, i, _ in rows)])[-n:]
+        return every, pd.DataFrame({"ids": [[i for _, i in every]]})
 
-    def close(self) -> None:
-        pass
+    return _stateful(events, by, by, fold, "ids array<long>", "update", False)
 
 
 def stream_stale(events: DataFrame, seconds: float = 45, by: str = "job") -> DataFrame:
-    """``key``, ``last_seen`` of series without an event for over ``seconds`` of event time, once each silence."""
+    """``key``, ``last_seen`` of series without an event for over ``seconds`` of event time, once each silence. events
+    need a watermark on ``ts``."""
+    after_ms = int(seconds * 1000)
+
+    def run(key, batches, state):
+        if state.hasTimedOut:
+            last = state.get[0]
+            state.remove()
+            yield pd.DataFrame({"key": [key[0]], "last_seen": [pd.Timestamp(last, unit="ms", tz="UTC")]})
+            return
+        newest = max(int(b["ts"].max().timestamp() * 1000) for b in batches)
+        newest = max(newest, state.get[0]) if state.exists else newest
+        state.update((newest,))
+        state.setTimeoutTimestamp(max(newest + after_ms, state.getCurrentWatermarkMs() + 1))
+
     rows = events.select(F.col(by).alias("key"), "ts")
-    return rows.groupBy("key").transformWithStateInPandas(statefulProcessor=_Stale(int(seconds * 1000)), outputStructType=f"key {_kind(events, by)}, last_seen timestamp", outputMode="append", timeMode="EventTime")
+    return rows.groupBy("key").applyInPandasWithState(run, f"key {dict(events.dtypes)[by]}, last_seen timestamp", "last long", "append", "EventTimeTimeout")
 
 
 def stream_ingest(docs: DataFrame, folder: str, checkpoint: str, sink: Callable[[DataFrame, int], None] | None = None, target: int = 500, most: int = 700, overlap: int = 75):
