@@ -178,19 +178,21 @@ def _blocks(budget: int) -> list[tuple[int, int]]:
 def links(nodes: DataFrame, budget: int, tables: int = 1, most_apart: int | None = None) -> DataFrame:
     """Links that join all fingerprints at ``budget`` or fewer differing bits, without writing all pairs of a family.
 
-    nodes: ``node`` (long), ``keys`` (array of ``tables`` longs) and, with ``most_apart``, ``long_print`` (binary):
-    a link then also needs at most so many differing bits of the long prints. Returns ``src``, ``dst``: per task and
-    block a star for each set that the links found there join, which keeps exactly the components of all links.
+    nodes: ``keys`` (array of ``tables`` longs) and, with ``most_apart``, ``long_print`` (binary): a link then also
+    needs at most so many differing bits of the long prints. A node's number is its XXH64 of the long print (as Spark's
+    ``xxhash64``), or without one the only key. Returns ``src``, ``dst``: per task and block a star for each set that
+    the links found there join, which keeps exactly the components of all links.
     """
     shape = _blocks(budget)
+    least = min(width for _, width in shape)
     turned = []
     for t in range(tables):
-        for at, width in shape:
+        for n, (at, _) in enumerate(shape):
             key = F.col("keys")[t]
             key = key if at == 0 else F.shiftleft(key, at).bitwiseOR(F.shiftrightunsigned(key, 64 - at))
-            turned.append(F.struct(F.lit(t * len(shape) + shape.index((at, width))).alias("turn"), key.alias("key"), F.shiftrightunsigned(key, 64 - width).alias("lead")))
+            turned.append(F.struct(F.lit(t * len(shape) + n).alias("turn"), key.alias("key")))
     extra = ["long_print"] if most_apart is not None else []
-    dealt = nodes.select("node", *extra, F.explode(F.array(*turned)).alias("x")).select("node", *extra, "x.turn", "x.key", "x.lead").repartition("turn", "lead")
+    dealt = nodes.select(*extra, F.explode(F.array(*turned)).alias("x")).select(*extra, "x.turn", "x.key").repartition("turn", F.shiftrightunsigned("key", 64 - least))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
@@ -198,28 +200,34 @@ def links(nodes: DataFrame, budget: int, tables: int = 1, most_apart: int | None
             return
         rows = pa.Table.from_batches(held)
         turn, key = rows["turn"].to_numpy(), rows["key"].to_numpy().view(np.uint64)
-        node = rows["node"].to_numpy()
-        wide = None
-        if extra:
-            wide = np.frombuffer(b"".join(rows["long_print"].to_pylist()), np.uint64).reshape(len(node), -1)
+        wide = np.frombuffer(b"".join(rows["long_print"].to_pylist()), np.uint64).reshape(turn.size, -1) if extra else None
         order = np.lexsort((key, turn))
-        for width in sorted({w for _, w in shape}):
-            mine = order[np.isin(turn[order] % len(shape), [k for k, (_, w) in enumerate(shape) if w == width])]
-            for t in np.unique(turn[mine]):
-                at = mine[turn[mine] == t]
-                k = key[at]
-                lead = k >> np.uint64(64 - width)
-                lo = np.flatnonzero(np.concatenate([[True], lead[1:] != lead[:-1]]))
-                hi = np.append(lo[1:], k.size)
-                agree = None
-                if wide is not None:
-                    agree = lambda i, j, at=at: np.bitwise_count(wide[at[i]] ^ wide[at[j]]).sum(axis=1) <= most_apart
-                root = trie_links(k, lo, hi, width, budget, agree).roots()
-                joined_ = np.flatnonzero(root != np.arange(root.size))
-                if joined_.size:
-                    yield pa.RecordBatch.from_arrays([pa.array(node[at[joined_]]), pa.array(node[at[root[joined_]]])], ["src", "dst"])
-
-    return dealt.drop("lead").mapInArrow(run, "src long, dst long")
+        for t in np.unique(turn):
+            at = order[np.searchsorted(turn[order], t) : np.searchsorted(turn[order], t, side="right")]
+            first, width = shape[t % len(shape)]
+            k = key[at]
+            lead = k >> np.uint64(64 - width)
+            lo = np.flatnonzero(np.concatenate([[True], lead[1:] != lead[:-1]]))
+            agree = None
+            if wide is not None:
+                agree = lambda i, j, at=at: np.bitwise_count(wide[at[i]] ^ wide[at[j]]).sum(axis=1) <= most_apart
+            root = trie_links(k, lo, np.append(lo[1:], k.size), width, budget, agree).roots()
+            members = np.flatnonzero(np.bincount(root, minlength=root.size)[root] > 1)
+            if not members.size:
+                continue
+            if wide is not None:
+                node = np.array([xxhash.xxh64_intdigest(wide[i].tobytes(), 42) for i in at[members]], np.uint64).view(np.int64)
+            else:
+                x = k[members]
+                node = ((x >> np.uint64(first)) | (x << np.uint64(64 - first)) if first else x).view(np.int64)
+            # The smallest node of a set is its centre, so that tasks that see the same set send the same star.
+            centre = np.full(root.size, np.iinfo(np.int64).max)
+            np.minimum.at(centre, root[members], node)
+            centre = centre[root[members]]
+            out = node != centre
+            yield pa.RecordBatch.from_arrays([pa.array(node[out]), pa.array(centre[out])], ["src", "dst"])
+
+    return dealt.mapInArrow(run, "src long, dst long").distinct()
 
 
 def _grouped(rows: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
@@ -240,7 +248,7 @@ def near_duplicates(docs: DataFrame, size: int = 4, budget: int = 4) -> DataFram
     """
     rows = staged(fingerprints(docs, size=size).withColumnRenamed("fingerprint", "node"), "fingerprints")
     nodes = staged(rows.groupBy("node").agg(F.min("doc_id").alias("first_id")), "nodes")
-    found = links(nodes.select("node", F.array("node").alias("keys")), budget)
+    found = links(nodes.select(F.array("node").alias("keys")), budget)
     return _grouped(rows, nodes, found).select("doc_id", F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -248,7 +256,10 @@ def near_duplicates(docs: DataFrame, size: int = 4, budget: int = 4) -> DataFram
 
 #: Shingle size, likeness, and the resulting design: candidate tables of short shingles, and long prints of the
 #: shingles that the likeness is about.
-SHINGLE, LIKENESS, SHORT, TABLES, LONG_WORDS, TABLE_BUDGET = 5, 0.8, 2, 6, 8, 5
+SHINGLE, LIKENESS, SHORT, TABLES, LONG_WORDS, TABLE_BUDGET = 5, 0.8, 2, 6, 6, 5
+
+#: Ids (of eight bytes) that are broadcast at most.
+BROADCAST_ROWS = 2_000_000
 
 
 def bits_apart(likeness: float, bits: int) -> int:
@@ -279,8 +290,8 @@ def near_copies(docs: DataFrame, likeness: float = LIKENESS) -> DataFrame:
 
     One 64-bit fingerprint cannot hold a likeness of 0.8 within a budget that a trie prunes by (about 10 of 64 bits
     differ). So a text has six fingerprints of two-word shingles, which small edits move less; texts at five or fewer
-    differing bits in any of them are candidates, and a candidate pair is a link if 512 bits from five-word shingles
-    differ in no more places than ``likeness`` lets expect. Texts with equal prints (copies) are one node.
+    differing bits in any of them are candidates, and a candidate pair is a link if 384 bits from five-word shingles
+    differ in no more places than ``likeness`` lets expect. Texts with equal long prints (copies) are one node.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,7 +303,7 @@ def near_copies(docs: DataFrame, likeness: float = LIKENESS) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), keys, prints], ["doc_id", "keys", "long_print"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    made = staged(rows.mapInArrow(run, "doc_id long, keys array<long>, long_print binary").withColumn("node", F.xxhash64("keys", "long_print")), "prints")
+    made = staged(rows.mapInArrow(run, "doc_id long, keys array<long>, long_print binary").withColumn("node", F.xxhash64("long_print")), "prints")
     nodes = staged(made.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.any_value("keys").alias("keys"), F.any_value("long_print").alias("long_print")), "nodes")
     found = links(nodes, TABLE_BUDGET, TABLES, bits_apart(likeness, 64 * LONG_WORDS))
     return _grouped(made.select("doc_id", "node"), nodes.select("node", "first_id"), found).select("doc_id", "component_id")
@@ -301,9 +312,11 @@ def near_copies(docs: DataFrame, likeness: float = LIKENESS) -> DataFrame:
 def keep_one(docs: DataFrame, likeness: float = LIKENESS) -> DataFrame:
     """``docs`` with one row of each group of near copies: that with the smallest id. All columns are kept.
 
-    Only ids of rows that go are joined to the texts, as an anti-join, so Spark may broadcast them while they are few
-    and shuffles by id where they are not. Rows with a null id stay; of rows that repeat an id, all stay or go.
+    Only ids of rows that go are joined to the texts, as an anti-join. They are counted: up to ``BROADCAST_ROWS`` they
+    are broadcast, so that no text moves; beyond that, both sides are shuffled by id. Rows with a null id stay; of
+    rows that repeat an id, all stay or go.
     """
     found = near_copies(docs, likeness)
-    gone = staged(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")), "gone")
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    gone = staged(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
+    few = gone.count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(gone) if few else gone.hint("merge"), docs["doc_id"] == gone["gone_id"], "left_anti")
