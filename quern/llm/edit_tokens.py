@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,26 +29,60 @@ LEAF, MARGIN = 64, 16
 EDITS = "array<struct<at:bigint,gone:bigint,put:string>>"
 
 
+class _Parts(dict):
+    """Length and number of tokens of pre-tokens, kept for those of a usual length."""
+
+    def __init__(self, made: Encoder):
+        super().__init__()
+        self.made = made
+
+    def __missing__(self, piece: str) -> tuple[int, int]:
+        part = (len(piece), len(self.made.packed(piece)) // 4)
+        if len(piece) <= 64:
+            if len(self) >= 400_000:
+                self.clear()
+            self[piece] = part
+        return part
+
+
+_KEPT: dict[int, _Parts] = {}
+
+
+def _parts(made: Encoder) -> _Parts:
+    return _KEPT.setdefault(id(made), _Parts(made))
+
+
 def pre_tokens(made: Encoder, text: str, start: int) -> Iterator[tuple[int, int]]:
-    """Length and number of tokens of each pre-token from a boundary on."""
+    """Length and number of tokens of each pre-token from a boundary on, one at a time."""
+    part = _parts(made)
     while start < len(text):
         mark = text.find(made.special, start) if made.special else -1
         end = len(text) if mark < 0 else mark
         for found in made.pattern.finditer(text, start, end):
-            yield found.end() - found.start(), len(made.packed(found.group())) // 4
+            yield part[found.group()]
         start = end
         if mark >= 0:
             yield len(made.special), 1
             start += len(made.special)
 
 
+def all_pre_tokens(made: Encoder, text: str) -> list[tuple[int, int]]:
+    """The same for a whole text at once."""
+    find, part, out = made.pattern.findall, _parts(made).__getitem__, []
+    for k, fragment in enumerate(text.split(made.special) if made.special else [text]):
+        if k:
+            out.append((len(made.special), 1))
+        out.extend(map(part, find(fragment)))
+    return out
+
+
 class CountTree:
     """Counts of one document. ``total`` is its number of tokens, ``encoded`` the code points encoded so far."""
 
     def __init__(self, made: Encoder, text: str, parts: list[tuple[int, int]] | None = None):
         self.made, self.text, self.encoded = made, text, 0
         if parts is None:
-            parts = list(pre_tokens(made, text, 0))
+            parts = all_pre_tokens(made, text)
             self.encoded = len(text)
         self._build(parts)
 
@@ -61,7 +96,7 @@ class CountTree:
             self._add(k)
 
     def _sum(self, k: int, leaf: list[tuple[int, int]]) -> None:
-        self.chars[self.size + k], self.tokens[self.size + k] = sum(n for n, _ in leaf), sum(c for _, c in leaf)
+        self.chars[self.size + k], self.tokens[self.size + k] = map(sum, zip(*leaf, strict=True)) if leaf else (0, 0)
 
     def _add(self, k: int) -> None:
         self.chars[k], self.tokens[k] = self.chars[2 * k] + self.chars[2 * k + 1], self.tokens[2 * k] + self.tokens[2 * k + 1]
@@ -149,7 +184,7 @@ class CountTree:
 
     def stored(self) -> bytes:
         """Lengths and counts of all pre-tokens, to be kept beside the document."""
-        return np.array([p for x in self.leaves for p in x], "<u4").reshape(-1, 2).tobytes()
+        return np.fromiter(chain.from_iterable(chain.from_iterable(self.leaves)), "<u4").tobytes()
 
     @classmethod
     def opened(cls, made: Encoder, text: str, data: bytes) -> CountTree:
