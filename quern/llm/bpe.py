@@ -1,9 +1,9 @@
 """Exact byte-level BPE by backtracking over longest matches, and decoding by an offset table.
 
 Inside a pre-token, the encoder takes the longest vocabulary match at its place (from one Aho-Corasick pass), accepts
-it if the pair with the token before is compatible (the merges of the two tokens' joined bytes give just these two),
-else tries shorter matches, else steps back and marks the place as a dead end. Each place is marked at most once, so
-the time is linear in the bytes. For merge lists whose every token encodes to itself, a sequence of pairwise
+it if the pair with the token before is compatible (the merges of the two tokens' joined bytes give just these two; told
+from the ranks at which symbols at their border come and go, and kept in a table), else tries shorter matches, else
+steps back and marks the place as a dead end. Each place is marked at most once, so the time is linear in the bytes. For merge lists whose every token encodes to itself, a sequence of pairwise
 compatible tokens is the result of the merges.
 
 Nulls: a null text is an empty one, with no ids. Repeated rows each give a row. Other columns are not read. Texts of
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -30,6 +31,9 @@ from quern.llm._bytes import pieces
 #: The pre-token pattern of byte-level BPE vocabularies of this kind.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: A space that is not alone between other characters.
+_ODD_SPACE = re.compile(r"\s | \s|^ | $")
+
 _CACHE, _LONGEST_CACHED, _PAIRS = 400_000, 64, 1_000_000
 
 
@@ -58,20 +62,29 @@ class Encoder:
             table[i] = t
         for t, i in special.items():
             table[i] = t.encode()
-        self.table = table
+        self.table, self.size = table, [len(t) for t in table]
         #: The decoding table: all tokens' bytes end to end, and where each begins.
         self.offsets = np.concatenate([[0], np.cumsum([len(t) for t in table])]).astype(np.int64)
         self.blob = np.frombuffer(b"".join(table), np.uint8)
         self.automaton = ahocorasick.Automaton()
         for t, i in self.vocabulary.items():
-            self.automaton.add_word(t.decode("latin-1"), (i, len(t)))
+            self.automaton.add_word(t.decode("latin-1"), i)
         self.automaton.make_automaton()
         #: Next shorter vocabulary entry that begins a token, or -1.
         self.shorter = [-1] * size
         for t, i in self.vocabulary.items():
             self.shorter[i] = next((self.vocabulary[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in self.vocabulary), -1)
+        #: Of each token, the halves of its first merge and that merge's rank; ranks by pairs of ids.
+        self.halves: dict[int, tuple[int, int, int]] = {}
+        self.pair_rank: dict[int, int] = {}
+        for (left, right), r in self.rank.items():
+            i, j = self.vocabulary[left], self.vocabulary[right]
+            self.halves.setdefault(self.vocabulary[left + right], (i, j, r))
+            self.pair_rank[i << 32 | j] = r
+        self.edges: tuple[dict, dict] = ({}, {})
         self.pairs: dict[int, bool] = {}
         self.cache: dict[str, bytes] = {}
+        self.spaced = _Spaced(self)
 
     def merged(self, text: bytes) -> list[int]:
         """The merges applied one by one, lowest rank first: the definition, for short inputs."""
@@ -91,14 +104,43 @@ class Encoder:
             parts = out
         return [self.vocabulary[p] for p in parts]
 
+    def _edge(self, token: int, last: bool) -> list[tuple[int, int, int]]:
+        """The symbols that stand at a token's last (or first) byte while it is merged together: the token itself, its
+        outer half, that one's, down to the byte; each with the ranks at which it comes to be and is merged away."""
+        known = self.edges[last].get(token)
+        if known is None:
+            known, gone = [], len(self.rank)
+            symbol = token
+            while True:
+                parts = self.halves.get(symbol)
+                born = -1 if parts is None else parts[2]
+                known.append((symbol, born, gone))
+                if parts is None:
+                    break
+                symbol, gone = parts[1] if last else parts[0], born
+            self.edges[last][token] = known
+        return known
+
     def compatible(self, a: int, b: int) -> bool:
-        """Whether the merges keep this pair of tokens apart and whole."""
+        """Whether the merges keep this pair of tokens apart and whole: no two symbols that meet at their border, while
+        both are there, are merged before either of them is merged into its own token. Of equal merges, the left comes first."""
         key = a << 32 | b
         known = self.pairs.get(key)
         if known is None:
             if len(self.pairs) >= _PAIRS:
                 self.pairs.clear()
-            known = self.pairs[key] = self.merged(self.table[a] + self.table[b]) == [a, b]
+            ranks, right = self.pair_rank, self._edge(b, False)
+            known = True
+            for x, x_born, x_gone in self._edge(a, True):
+                for y, y_born, y_gone in right:
+                    if x_born < y_gone and y_born < x_gone:
+                        rank = ranks.get(x << 32 | y)
+                        if rank is not None and rank < x_gone and rank <= y_gone:
+                            known = False
+                            break
+                if not known:
+                    break
+            self.pairs[key] = known
         return known
 
     def piece(self, text: bytes) -> list[int]:
@@ -106,18 +148,17 @@ class Encoder:
         whole = self.vocabulary.get(text)
         if whole is not None and self.shorter[whole] < 0:
             return [whole]
-        n = len(text)
-        longest, width = [-1] * n, [0] * n
-        for end, (token, size) in self.automaton.iter(text.decode("latin-1")):
-            start = end - size + 1
-            if size > width[start]:
-                longest[start], width[start] = token, size
-        table, shorter, compatible = self.table, self.shorter, self.compatible
+        n, size = len(text), self.size
+        longest = [-1] * n
+        # Matches come by their ends, so that of a start the last one is the longest.
+        for end, token in self.automaton.iter(text.decode("latin-1")):
+            longest[end + 1 - size[token]] = token
+        shorter, compatible = self.shorter, self.compatible
         open_ = bytearray(b"\x01") * (n + 1)
         out: list[int] = []
         at, token = 0, longest[0]
         while at < n:
-            end = at + len(table[token])
+            end = at + size[token]
             if open_[end] and (not out or compatible(out[-1], token)):
                 out.append(token)
                 at = end
@@ -127,7 +168,7 @@ class Encoder:
             else:
                 open_[at] = 0
                 token = out.pop()
-                at -= len(table[token])
+                at -= size[token]
         return out
 
     def packed(self, piece: str) -> bytes:
@@ -145,7 +186,15 @@ class Encoder:
         """All ids of a text, packed as in ``packed``; the special token's string gives its id."""
         parts = text.split(self.special) if self.special else [text]
         mark = np.array([self.special_id or 0], "<u4").tobytes()
-        return mark.join(b"".join(map(self.packed, self.pattern.findall(p))) for p in parts)
+        return mark.join(map(self._plain, parts))
+
+    def _plain(self, text: str) -> bytes:
+        """Ids of a text without special tokens. A pre-token ends before each single space between other characters;
+        so where all spaces are such, the text is cut there, and each word is looked up with what is stuck to it."""
+        if _ODD_SPACE.search(text):
+            return b"".join(map(self.packed, self.pattern.findall(text)))
+        first, *rest = text.split(" ")
+        return b"".join([*map(self.packed, self.pattern.findall(first)), *map(self.spaced.__getitem__, rest)])
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of the tokens, gathered from the offset table."""
@@ -154,6 +203,22 @@ class Encoder:
         return self.blob[np.arange(int(sizes.sum())) + np.repeat(first - to, sizes)].tobytes()
 
 
+class _Spaced(dict):
+    """Packed ids of words after a space, bounded as the cache of pre-tokens."""
+
+    def __init__(self, made: Encoder):
+        super().__init__()
+        self.made = made
+
+    def __missing__(self, word: str) -> bytes:
+        out = b"".join(map(self.made.packed, self.made.pattern.findall(" " + word)))
+        if len(word) <= _LONGEST_CACHED:
+            if len(self) >= _CACHE:
+                self.clear()
+            self[word] = out
+        return out
+
+
 _MADE: dict[str, Encoder] = {}
 
 
