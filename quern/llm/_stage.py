@@ -22,10 +22,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, group_bytes: int | None = None) -> DataFrame:
     """``df`` written once as Parquet to the shared folder and read back: lineage ends here, and a lost executor
-    costs no more than the tasks that read it."""
+    costs no more than the tasks that read it. ``group_bytes``: size of row groups, which tasks hold in memory."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/quern-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    if group_bytes:
+        writer = writer.option("parquet.block.size", group_bytes)
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -254,58 +254,169 @@ def near_duplicates(docs: DataFrame, size: int = 4, budget: int = 4) -> DataFram
 
 # -- near duplicates by similarity ------------------------------------------------------------------------------
 
-#: Shingle size, likeness, and the resulting design: candidate tables of short shingles, and long prints of the
-#: shingles that the likeness is about.
-SHINGLE, LIKENESS, SHORT, TABLES, LONG_WORDS, TABLE_BUDGET = 5, 0.8, 2, 6, 6, 5
+#: Shingle size, likeness, candidate tables (bands), and the share of pairs exactly at the likeness that may miss them all.
+SHINGLE, LIKENESS, BANDS, MISSED = 5, 0.8, 24, 5e-4
 
 #: Ids (of eight bytes) that are broadcast at most.
 BROADCAST_ROWS = 2_000_000
 
+#: Bytes of shingle sets of a family that one task holds; a larger family is compared bucket by bucket.
+FAMILY_BYTES = 16 << 20
+#: Shingles that are looked up at once.
+_LOOKED_UP = 1 << 19
 
-def bits_apart(likeness: float, bits: int) -> int:
-    """Differing bits expected of two sets of equal size with this Jaccard likeness."""
-    cosine = 2 * likeness / (1 + likeness)
-    return round(bits * float(np.arccos(cosine)) / np.pi)
 
+def band_rows(likeness: float) -> int:
+    """Minima in a band: the most, up to eight, at which pairs of this likeness miss all bands as rarely as allowed."""
+    return max([r for r in range(1, 9) if (1 - likeness**r) ** BANDS <= MISSED], default=1)
 
-def _long_prints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Per text ``TABLES`` words from short shingles and ``LONG_WORDS`` words from shingles of ``SHINGLE`` words."""
+
+def _shingle_sets(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shingle hashes of all texts, end to end, and the n + 1 offsets."""
     data, offsets = buffer(texts)
     data, n = LOWER[data], len(offsets) - 1
     starts, ends, doc = words(data, offsets, SPACED)
     word = hashes(data, starts, ends)
-    out = []
-    for size, tables in ((SHORT, TABLES), (SHINGLE, LONG_WORDS)):
-        first, last, owner = shingle_spans(np.arange(starts.size), np.arange(starts.size), doc, n, size)
-        h = np.zeros(owner.size, np.uint64)
-        for k in range(size):
-            at = np.minimum(first + k, last)
-            h = mixed(h + np.uint64(0x9E3779B97F4A7C15) + np.where(first + k <= last, word[at], np.uint64(k)))
-        out.append(np.stack([majority(mixed(h + np.uint64(0xA24BAED4963EE407) * np.uint64(t + 1)), owner, n) for t in range(tables)], axis=1))
-    return out[0], out[1]
-
-
-def near_copies(docs: DataFrame, likeness: float = LIKENESS) -> DataFrame:
+    first, last, owner = shingle_spans(np.arange(starts.size), np.arange(starts.size), doc, n, size)
+    h = np.zeros(owner.size, np.uint64)
+    for k in range(size):
+        at = np.minimum(first + k, last)
+        h = mixed(h + np.uint64(0x9E3779B97F4A7C15) + np.where(first + k <= last, word[at], np.uint64(k)))
+    order = np.lexsort((h, owner))
+    h, owner = h[order], owner[order]
+    new = np.ones(h.size, bool)
+    new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+    return h[new], np.searchsorted(owner[new], np.arange(n + 1))
+
+
+def _bands(values: np.ndarray, offsets: np.ndarray, rows: int) -> np.ndarray:
+    """Per set ``BANDS`` keys, each of the minima of ``rows`` re-hashings; zeros for an empty set."""
+    out = np.zeros((offsets.size - 1, BANDS), np.uint64)
+    some = np.flatnonzero(np.diff(offsets))
+    if not some.size:
+        return out
+    seeds = mixed(np.arange(1, BANDS * rows + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)) | np.uint64(1)
+    for band in range(BANDS):
+        key = np.full(some.size, band + 1, np.uint64)
+        for seed in seeds[band * rows : (band + 1) * rows]:
+            key = mixed(key + np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(values * seed, offsets[some]))
+        out[some, band] = key
+    return out
+
+
+def _alike(one: np.ndarray, others: list[np.ndarray], likeness: float) -> np.ndarray:
+    """Whether each set's Jaccard likeness to ``one`` is at least ``likeness``; sets are sorted and not empty."""
+    sizes = np.array([x.size for x in others])
+    both, at = np.zeros(sizes.size, np.int64), 0
+    full = np.cumsum(sizes)
+    while at < sizes.size:
+        to = max(at + 1, int(np.searchsorted(full, (full[at - 1] if at else 0) + _LOOKED_UP, side="right")))
+        values = np.concatenate(others[at:to])
+        place = np.searchsorted(one, values).clip(max=one.size - 1)
+        both[at:to] = np.add.reduceat((one[place] == values).astype(np.int64), full[at:to] - sizes[at:to] - (full[at - 1] if at else 0))
+        at = to
+    return both + 1e-9 >= likeness * (one.size + sizes - both)
+
+
+def jaccard_links(keys: np.ndarray, sets: list[np.ndarray], likeness: float) -> Forest:
+    """Sets of the members that chains of links join; a link is a pair with a common band key and this likeness.
+
+    Pairs that are in one set already are not compared, so a dense family costs about its size and not its square.
+    """
+    forest = Forest(len(sets))
+    for band in range(keys.shape[1]):
+        root = forest.roots()
+        if (root == root[0]).all():
+            break
+        order = np.argsort(keys[:, band], kind="stable")
+        key = keys[order, band]
+        cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            bucket = order[a:b]
+            for x in range(bucket.size - 1):
+                root = forest.roots()
+                if (root[bucket] == root[bucket[0]]).all():
+                    break
+                i, rest = bucket[x], bucket[x + 1 :]
+                rest = rest[root[rest] != root[i]]
+                # Pairs that shared an earlier band have been compared there.
+                rest = rest[~(keys[rest, :band] == keys[i, :band]).any(axis=1)]
+                if rest.size:
+                    near = rest[_alike(sets[i], [sets[j] for j in rest], likeness)]
+                    forest.link(np.full(near.size, i), near)
+    return forest
+
+
+def _verified(batches: Iterator[pa.RecordBatch], likeness: float) -> Iterator[pa.RecordBatch]:
+    """Stars of the links within each group; rows come sorted by ``group``, and a group is held at a time."""
+    held: dict[int, tuple[np.ndarray, bytes]] = {}
+    group = None
+
+    def stars() -> Iterator[pa.RecordBatch]:
+        if len(held) < 2:
+            return
+        node = np.array(list(held), np.int64)
+        root = jaccard_links(np.stack([k for k, _ in held.values()]), [np.frombuffer(s, np.uint64) for _, s in held.values()], likeness).roots()
+        centre = np.full(root.size, np.iinfo(np.int64).max)
+        np.minimum.at(centre, root, node)
+        centre = centre[root]
+        out = node != centre
+        if out.any():
+            yield pa.RecordBatch.from_arrays([pa.array(node[out]), pa.array(centre[out])], ["src", "dst"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column("keys").flatten().to_numpy().reshape(-1, BANDS)
+        groups, nodes, shingles = batch.column("group").to_pylist(), batch.column("node").to_pylist(), batch.column("shingles")
+        for k, (g, node) in enumerate(zip(groups, nodes, strict=True)):
+            if g != group:
+                yield from stars()
+                group, held = g, {}
+            if node not in held:
+                held[node] = keys[k].copy(), shingles[k].as_py()
+    yield from stars()
+
+
+def near_copies(docs: DataFrame, likeness: float = LIKENESS, family_bytes: int = FAMILY_BYTES) -> DataFrame:
     """``doc_id`` and ``component_id`` of documents by likeness of their sets of five-word shingles.
 
     One 64-bit fingerprint cannot hold a likeness of 0.8 within a budget that a trie prunes by (about 10 of 64 bits
-    differ). So a text has six fingerprints of two-word shingles, which small edits move less; texts at five or fewer
-    differing bits in any of them are candidates, and a candidate pair is a link if 384 bits from five-word shingles
-    differ in no more places than ``likeness`` lets expect. Texts with equal long prints (copies) are one node.
+    differ), and no number of bits decides exactly. So candidates are texts with equal minima of re-hashed shingles in
+    one of 24 bands (at a likeness of exactly 0.8, in five minima each, 0.99993 of all pairs), and a candidate pair is a link if
+    the Jaccard likeness of the two whole sets is at least ``likeness``. Texts with equal sets (copies) are one node.
+
+    Candidates are first joined to families; the sets of a family's members meet in one task, or, where they are more
+    than ``family_bytes``, those of each of its buckets. Both ways compare the same pairs.
     """
+    rows = band_rows(likeness)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "text"):
-                short, long = _long_prints(part.column("text"))
-                keys = pa.ListArray.from_arrays(pa.array(np.arange(len(short) + 1, dtype=np.int32) * TABLES), pa.array(short.view(np.int64).ravel()))
-                prints = pa.array([x.tobytes() for x in long], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), keys, prints], ["doc_id", "keys", "long_print"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    made = staged(rows.mapInArrow(run, "doc_id long, keys array<long>, long_print binary").withColumn("node", F.xxhash64("long_print")), "prints")
-    nodes = staged(made.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.any_value("keys").alias("keys"), F.any_value("long_print").alias("long_print")), "nodes")
-    found = links(nodes, TABLE_BUDGET, TABLES, bits_apart(likeness, 64 * LONG_WORDS))
+            for part in pieces(batch, "text", 1 << 20):
+                values, offsets = _shingle_sets(part.column("text"))
+                n = offsets.size - 1
+                keys = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(_bands(values, offsets, rows).view(np.int64).ravel()))
+                held = values.tobytes()
+                sets = [held[8 * a : 8 * b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+                node = np.array([xxhash.xxh64_intdigest(x, 42) for x in sets], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(node), keys, pa.array(sets, pa.binary())], ["doc_id", "node", "keys", "shingles"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    made = staged(texts.mapInArrow(run, "doc_id long, node long, keys array<long>, shingles binary"), "shingles", 16 << 20)
+    nodes = made.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.any_value("keys").alias("keys"), F.max(F.length("shingles")).cast("long").alias("bytes"))
+    nodes = staged(nodes, "nodes")
+    dealt = nodes.select("node", F.explode("keys").alias("key"))
+    centres = staged(dealt.groupBy("key").agg(F.min("node").alias("dst"), F.max("node").alias("other")).where("dst <> other").select("key", "dst"), "centres")
+    families = connected(dealt.join(centres, "key").select(F.col("node").alias("src"), "dst").where("src <> dst").distinct())
+    members = staged(families.join(nodes, "node"), "members")
+    large = members.groupBy("root").agg(F.sum("bytes").alias("n")).where(F.col("n") > family_bytes).select("root", F.lit(True).alias("large"))
+    grouped = members.join(large, "root", "left").select(F.col("node").alias("member"), "first_id", F.explode(F.when(F.col("large"), F.col("keys")).otherwise(F.array("root"))).alias("group"))
+    grouped = staged(grouped, "grouped")
+    few = grouped.count() <= BROADCAST_ROWS
+    of = (F.col("node") == F.col("member")) & F.col("doc_id").eqNullSafe(F.col("first_id"))
+    sets = made.join(F.broadcast(grouped) if few else grouped.hint("merge"), of).select("group", "node", "keys", "shingles")
+    found = sets.repartition("group").sortWithinPartitions("group").mapInArrow(lambda batches: _verified(batches, likeness), "src long, dst long")
     return _grouped(made.select("doc_id", "node"), nodes.select("node", "first_id"), found).select("doc_id", "component_id")
 
 

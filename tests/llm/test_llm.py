@@ -429,6 +429,55 @@ def test_near_copies_by_likeness(spark, real):
             assert len(shingles[i] & shingles[found[i]]) / len(shingles[i] | shingles[found[i]]) > 0.6
 
 
+def five_words(w):
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+
+
+def jaccard(a, b):
+    a, b = five_words(a), five_words(b)
+    return len(a & b) / len(a | b)
+
+
+@pytest.mark.parametrize("family_bytes", [simhash.FAMILY_BYTES, 1])
+def test_near_copies_are_exact(spark, family_bytes):
+    """Replaced passages and tails at 0.80 to 0.85 are linked, pairs at 0.70 to 0.79 are not."""
+    rnd = random.Random(11)
+    word = lambda: f"w{int(rnd.paretovariate(0.7)) % 20_000}"
+    rows, near, far = [], [], []
+    for k in range(240):
+        n = rnd.choice((60, 200, 800))
+        w = [word() for _ in range(n)]
+        low, high = ((0.8, 0.85), (0.7, 0.79))[k % 4 == 3]
+        want = rnd.uniform(low, high)
+        if k % 2:
+            twin = w + [word() for _ in range(round(n / want) - n)]
+        else:
+            m = round(n * (1 - want) / (1 + want)) - 2
+            at = rnd.randrange(n - m)
+            twin = w[:at] + [word() for _ in range(m)] + w[at + m :]
+        likeness = jaccard(w, twin)
+        rows += [(k, " ".join(w)), (k + 1000, " ".join(twin))]
+        if 0.8 <= likeness < 0.86:
+            near.append(k)
+        elif 0.69 < likeness < 0.8:
+            far.append(k)
+    found = {x.doc_id: x.component_id for x in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), family_bytes=family_bytes).collect()}
+    assert len(near) > 100 and len(far) > 40
+    assert [k for k in near if found[k + 1000] != k] == [] and [k for k in far if found[k + 1000] != k + 1000] == []
+
+
+def test_jaccard_links_join_all_pairs_of_a_bucket():
+    rnd = np.random.default_rng(4)
+    sets = [np.unique(rnd.choice(60, 40, replace=False).astype(np.uint64)) for _ in range(60)] + [np.arange(40, dtype=np.uint64)] * 3
+    root = simhash.jaccard_links(np.zeros((len(sets), 2), np.int64), sets, 0.6).roots()
+    forest = simhash.Forest(len(sets))
+    for i in range(len(sets)):
+        for j in range(i):
+            if len(np.intersect1d(sets[i], sets[j])) >= 0.6 * len(np.union1d(sets[i], sets[j])):
+                forest.link(np.array([j]), np.array([i]))
+    assert (root == forest.roots()).all()
+
+
 def test_keep_one(docs):
     kept = simhash.keep_one(docs)
     ids = [x.doc_id for x in kept.collect()]
