@@ -12,8 +12,9 @@ one item. An empty benchmark or document table gives zero hits or no rows. Other
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +22,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm._bytes import ALNUM, LOWER, buffer, hashes, mixed, pieces, words
+from quern.llm._stage import staged
 
 #: Bytes of benchmark text in one broadcast set. A larger benchmark is scanned in blocks of at most this.
 BLOCK_BYTES = 32 << 20
 
+#: Row numbers, where several blocks are united.
+_ROW = "__row"
 _SCAN = "doc_id long, n_words long, hits array<int>, item_ids array<string>"
 
 
@@ -110,8 +114,10 @@ def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterato
     yield block
 
 
-def _scanned(docs: DataFrame, spark: SparkSession, items: list[tuple[str, str]], size: int, row_id: str) -> DataFrame:
+def _scanned(docs: DataFrame, spark: SparkSession, items: list[tuple[str, str]], size: int, row_id: str, carried: str = "") -> DataFrame:
+    """``carried``: names and types of further columns that are passed through, as a schema."""
     known = spark.sparkContext.broadcast(items)
+    more = [x.split()[0] for x in carried.split(",") if x]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = ItemWindows(known.value, size)
@@ -119,25 +125,36 @@ def _scanned(docs: DataFrame, spark: SparkSession, items: list[tuple[str, str]],
             for part in pieces(batch, "text"):
                 count, hits, items = windows.scan(part.column("text"))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(count), pa.array([h.astype(np.int32) for h in hits], pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], ["doc_id", "n_words", "hits", "item_ids"]
+                    [part.column("doc_id"), pa.array(count), pa.array([h.astype(np.int32) for h in hits], pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string())), *(part.column(c) for c in more)], ["doc_id", "n_words", "hits", "item_ids", *more]
                 )
 
-    rows = docs.select(F.col(row_id).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, _SCAN)
+    rows = docs.select(F.col(row_id).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
+    return rows.mapInArrow(run, f"{_SCAN}, {carried}" if carried else _SCAN)
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number of its own for every row, fixed by staging, so that all blocks see the same rows."""
+    return staged(docs.withColumn(_ROW, F.monotonically_increasing_id()), "numbered")
+
+
+def _merged(numbered: DataFrame, blocks: Iterable[list[tuple[str, str]]], size: int, row_id: str) -> DataFrame:
+    """What one block of all items would find in each row: hits and items of the blocks, united by row."""
+    each = [_scanned(numbered, numbered.sparkSession, b, size, row_id, f"{_ROW} long") for b in blocks]
+    united = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
+    return reduce(DataFrame.unionAll, each).groupBy(_ROW, "doc_id").agg(F.max("n_words").alias("n_words"), united("hits").alias("hits"), united("item_ids").alias("item_ids"))
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``doc_id``, ``n_words``, ``hits`` (places of hit words, from 0) and ``item_ids`` (as strings, sorted) per row.
 
-    One scan without a shuffle for each block of the benchmark; several blocks are merged by row. With several
-    blocks, rows that repeat a doc_id must have the same text.
+    One scan without a shuffle for each block of the benchmark. Several blocks scan numbered rows, and are united by
+    number, so that the result does not depend on the blocks.
     """
-    blocks = [_scanned(docs, docs.sparkSession, b, size, "doc_id") for b in item_blocks(benchmark, block_bytes)]
-    if len(blocks) == 1:
-        return blocks[0].withColumn("item_ids", F.array_sort("item_ids"))
-    every = reduce(DataFrame.unionAll, blocks)
-    merged = every.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
-    return merged.select("doc_id", "n_words", "hits", "item_ids")
+    blocks = item_blocks(benchmark, block_bytes)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        return _scanned(docs, docs.sparkSession, first, size, "doc_id").withColumn("item_ids", F.array_sort("item_ids"))
+    return _merged(_numbered(docs.select("doc_id", "text")), chain([first, second], blocks), size, "doc_id").select("doc_id", "n_words", "hits", "item_ids")
 
 
 def summary(scanned: DataFrame) -> DataFrame:
@@ -151,43 +168,59 @@ def remove(docs: DataFrame, benchmark: DataFrame, size: int = 10, whole_document
     hit words), and a document goes if at least ``whole_documents_from`` of its words are hit. ``n_chars``, where it
     is a column, is set to the new length. Rows without a hit stay as they are, bytes included.
     """
-    spark, schema = docs.sparkSession, docs.schema
-    out = docs
-    for items in item_blocks(benchmark, block_bytes):
-        out = _cut(out, spark, items, size, whole_documents_from).select([F.col(f"`{c}`") for c in schema.names])
-    return out
+    blocks = item_blocks(benchmark, block_bytes)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        return _cut(docs, first, size, whole_documents_from)
+    # All blocks are looked up in the original text; the words they hit are united by row, and cut once.
+    numbered = _numbered(docs)
+    found = _merged(numbered, chain([first, second], blocks), size, _ROW).where(F.size("hits") > 0).select(F.col(_ROW).alias("__of"), F.col("n_words").alias("__n_words"), F.col("hits").alias("__hits"))
+    joined = numbered.join(staged(found, "hits"), F.col(_ROW) == F.col("__of"), "left").drop(_ROW, "__of")
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                count = np.array([n or 0 for n in part.column("__n_words").to_pylist()])
+                hits = [np.array(h or [], np.int64) for h in part.column("__hits").to_pylist()]
+                yield _without_hits(part.select(names), count, hits, whole_documents_from)
 
+    return joined.mapInArrow(run, docs.schema)
 
-def _cut(docs: DataFrame, spark: SparkSession, items: list[tuple[str, str]], size: int, most: float) -> DataFrame:
-    known = spark.sparkContext.broadcast(items)
-    schema = docs.schema
+
+def _cut(docs: DataFrame, items: list[tuple[str, str]], size: int, most: float) -> DataFrame:
+    known = docs.sparkSession.sparkContext.broadcast(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = ItemWindows(known.value, size)
         for batch in batches:
             for part in pieces(batch, "text"):
                 count, hits, _ = windows.scan(part.column("text"))
-                touched = [k for k, h in enumerate(hits) if len(h)]
-                if not touched:
-                    yield part
-                    continue
-                texts = part.column("text").to_pylist()
-                for k in touched:
-                    texts[k] = without_words(texts[k], hits[k])
-                keep = np.array([len(h) < max(1, most * c) for h, c in zip(hits, count, strict=True)])
-                columns = []
-                for name, column in zip(part.schema.names, part.columns, strict=True):
-                    if name == "text":
-                        column = pa.array(texts, column.type)
-                    elif name == "n_chars":
-                        old = column.to_pylist()
-                        for k in touched:
-                            old[k] = len(texts[k])
-                        column = pa.array(old, column.type)
-                    columns.append(column)
-                yield pa.RecordBatch.from_arrays(columns, part.schema.names).filter(pa.array(keep))
-
-    return docs.mapInArrow(run, schema)
+                yield _without_hits(part, count, hits, most)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _without_hits(part: pa.RecordBatch, count: np.ndarray, hits: list[np.ndarray], most: float) -> pa.RecordBatch:
+    """Rows whose share of hit words is below ``most``, without those words."""
+    touched = [k for k, h in enumerate(hits) if len(h)]
+    if not touched:
+        return part
+    texts = part.column("text").to_pylist()
+    for k in touched:
+        texts[k] = without_words(texts[k], hits[k])
+    keep = np.array([len(h) < max(1, most * c) for h, c in zip(hits, count, strict=True)])
+    columns = []
+    for name, column in zip(part.schema.names, part.columns, strict=True):
+        if name == "text":
+            column = pa.array(texts, column.type)
+        elif name == "n_chars":
+            old = column.to_pylist()
+            for k in touched:
+                old[k] = len(texts[k])
+            column = pa.array(old, column.type)
+        columns.append(column)
+    return pa.RecordBatch.from_arrays(columns, part.schema.names).filter(pa.array(keep))
 
 
 def without_words(text: str, hits: np.ndarray) -> str:

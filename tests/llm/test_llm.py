@@ -520,6 +520,19 @@ def test_decontamination(spark, docs, empty):
     assert cut.text == "Start here, ; then much more of it goes on." and cut.n_chars == len(cut.text)
 
 
+def test_blocks_of_a_benchmark_do_not_change_results(spark, docs):
+    items = [(1, "one two three"), (2, "a"), (3, "five six"), (4, "b c d e f g h i j k l m"), (5, "k l m n o p q r s t u v"), (6, "z y x")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    fill = " ".join(f"w{k}" for k in range(40))
+    more = [(50, f"{fill} b c d e f g h i j k l m n o p q r s t u v end", None, None, 0), (50, "one two three five six zz yy xx vv uu", None, None, 0), (51, "one two three five six seven", None, None, 0), (None, f"{fill} z one two three y x", None, None, 0), (None, "a b b", None, None, 0)]
+    rows = docs.select("doc_id", "text", "lang", "source", "n_chars").union(spark.createDataFrame(more, SCHEMA))
+    ordered = lambda df: sorted(map(repr, df.collect()))
+    assert ordered(decontaminate.scan(rows, benchmark, block_bytes=1)) == ordered(decontaminate.scan(rows, benchmark))
+    whole = ordered(decontaminate.remove(rows, benchmark))
+    assert ordered(decontaminate.remove(rows, benchmark, block_bytes=1)) == whole
+    assert len(whole) < rows.count()
+
+
 # -- pipeline -----------------------------------------------------------------------------------------------------
 
 
