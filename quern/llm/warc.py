@@ -55,14 +55,15 @@ def write_archive(pages: DataFrame, path: str, revisit_from: int = REVISIT_FROM)
     ok = F.assert_true((F.col("least") == F.col("most")) & (F.col("one") == F.col("other")), F.lit("payloads differ under one digest"))
     shared.where("n > 1").select("sha256", "keeper", ok.alias("ok")).where("ok is null").drop("ok").write.parquet(f"{path}/shared")
     shared = spark.read.schema("sha256 string, keeper long").parquet(f"{path}/shared")
-    marked = rows.join(shared, "sha256", "left")
+    # A shared payload has no keeper where no row has an id; it is stored once all the same.
+    marked = rows.join(shared.withColumn("shared", F.lit(True)), "sha256", "left")
     revisit = F.col("keeper").isNotNull() & (F.coalesce("page_id", F.lit(_NO_ID)) != F.col("keeper"))
     kind = F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))
     slim = rows.drop("payload").join(shared, "sha256", "left")
     slim.select(_header(kind, F.col("keeper")).alias("header"), "sha256").write.option("compression", "zstd").parquet(f"{path}/records")
     first = marked.where(~revisit)
     # Payloads that no other row has stay where they are; short or repeated keepers may still be equal, and meet.
-    first.where(F.col("keeper").isNotNull() | (F.col("payload_bytes") < revisit_from)).select("sha256", "payload").dropDuplicates(["sha256"]).unionByName(first.where(F.col("keeper").isNull() & (F.col("payload_bytes") >= revisit_from)).select("sha256", "payload")).write.option("compression", "zstd").parquet(f"{path}/payloads")
+    first.where(F.col("shared").isNotNull() | (F.col("payload_bytes") < revisit_from)).select("sha256", "payload").dropDuplicates(["sha256"]).unionByName(first.where(F.col("shared").isNull() & (F.col("payload_bytes") >= revisit_from)).select("sha256", "payload")).write.option("compression", "zstd").parquet(f"{path}/payloads")
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:

@@ -163,6 +163,15 @@ def test_archive(spark, tmp_path):
 # -- 4 ------------------------------------------------------------------------------------------------------------
 
 
+def test_archive_of_equal_pages_without_ids(spark, tmp_path):
+    rows = [(None, f"u{k}", "x" * 2000) for k in range(3)] + [(1, "u", "y" * 2000)]
+    path = f"file://{tmp_path}/archive"
+    warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
+    back = warc.read_archive(spark, path).collect()
+    assert sorted(x.url for x in back) == ["u", "u0", "u1", "u2"] and {x.record_type for x in back} == {"response"}
+    assert spark.read.parquet(f"{path}/payloads").count() == 2
+
+
 def test_licenses(spark):
     mit, gpl = "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3."
     rows = [(1, "r/LICENSE", mit), (2, "r/a/b/x.py", "code here\nand more"), (3, "r/a/COPYING.txt", "Foo\n\n" + gpl), (4, "r/a/b/y.py", "text\n# " + gpl), (5, "q/z.py", None), (6, None, mit), (7, "r/a/b/LICENSE", "nothing of the kind"), (8, "top.py", LONG), (8, "top.py", LONG)]
