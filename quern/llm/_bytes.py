@@ -28,7 +28,7 @@ _MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 _LONG = 256
 
 
-def pieces(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with at most ``most`` bytes of text, or one row if a text is longer."""
     if not batch.num_rows:
         return
