@@ -28,26 +28,37 @@ def kv_gb(size_bytes: Column, context: Column) -> Column:
     return F.floor(context / 8192.0 * gb * 0.35 * 100 + 0.5) / 100
 
 
+def _nothing(n: Column) -> Column:
+    """Null, zero and NaN: what the formats below have a text of its own for."""
+    return n.isNull() | (n == 0) | F.isnan(n.cast("double"))
+
+
 def format_bytes(n: Column) -> Column:
-    """``N/A`` for null or 0; B whole, KB to GB with one decimal."""
+    """``N/A`` for null, NaN or 0; B whole, KB to GB with one decimal."""
+    n = n.cast("double")
     out = F.concat(F.format_string("%.1f", n / float(1 << 30)), F.lit(" GB"))
     for bound, unit, size in ((1 << 30, " MB", 1 << 20), (1 << 20, " KB", 1 << 10)):
         out = F.when(n < bound, F.concat(F.format_string("%.1f", n / float(size)), F.lit(unit))).otherwise(out)
-    return F.when(n.isNull() | (n <= 0), F.lit("N/A")).when(n < 1024, F.concat(n.cast("long").cast("string"), F.lit(" B"))).otherwise(out)
+    return F.when(_nothing(n), F.lit("N/A")).when(n < 1024, F.concat(F.format_string("%.0f", n), F.lit(" B"))).otherwise(out)
 
 
 def format_rate(n: Column) -> Column:
-    """Bytes a second as KB/s below 1 MB/s, else MB/s; one decimal."""
+    """Bytes a second: ``0 B/s`` for null, NaN or 0; KB/s with one decimal below 1 MB/s, else MB/s with two."""
     mb = float(1 << 20)
-    return F.when(n < mb, F.concat(F.format_string("%.1f", n / 1024.0), F.lit(" KB/s"))).otherwise(F.concat(F.format_string("%.1f", n / mb), F.lit(" MB/s")))
+    out = F.when(n < mb, F.concat(F.format_string("%.1f", n / 1024.0), F.lit(" KB/s"))).otherwise(F.concat(F.format_string("%.2f", n / mb), F.lit(" MB/s")))
+    return F.when(_nothing(n), F.lit("0 B/s")).otherwise(out)
 
 
 def format_uptime(seconds: Column) -> Column:
-    """``2d 3h``, ``3h 4m`` or ``4m``."""
+    """``2d 3h``, ``3h 4m`` or ``4m``; ``N/A`` for null, NaN or 0."""
     part = lambda size, mod: (F.floor(seconds / size) % mod if mod else F.floor(seconds / size)).cast("string")
-    return F.when(seconds >= 86400, F.concat(part(86400, 0), F.lit("d "), part(3600, 24), F.lit("h"))).when(seconds >= 3600, F.concat(part(3600, 0), F.lit("h "), part(60, 60), F.lit("m"))).otherwise(F.concat(part(60, 0), F.lit("m")))
+    out = F.when(seconds >= 86400, F.concat(part(86400, 0), F.lit("d "), part(3600, 24), F.lit("h"))).when(seconds >= 3600, F.concat(part(3600, 0), F.lit("h "), part(60, 60), F.lit("m"))).otherwise(F.concat(part(60, 0), F.lit("m")))
+    return F.when(_nothing(seconds), F.lit("N/A")).otherwise(out)
 
 
 def format_eta(seconds: Column) -> Column:
-    """``Xm Ys``."""
-    return F.concat(F.floor(seconds / 60).cast("string"), F.lit("m "), (seconds % 60).cast("string"), F.lit("s"))
+    """``Xm Ys``, ``Ys`` below a minute, both whole (cut off); ``Estimating...`` for null, 0 and what is not finite."""
+    seconds = seconds.cast("double")
+    minutes, rest = F.floor(seconds / 60), F.floor(seconds % 60).cast("string")
+    out = F.when(minutes <= 0, F.concat(rest, F.lit("s"))).otherwise(F.concat(minutes.cast("string"), F.lit("m "), rest, F.lit("s")))
+    return F.when(_nothing(seconds) | (F.abs(seconds) == float("inf")), F.lit("Estimating...")).otherwise(out)

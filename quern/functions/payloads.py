@@ -35,13 +35,30 @@ def completion(body: Column) -> Column:
 
 
 def health(body: Column) -> Column:
-    """Old and new health payloads as one struct. Old: status, services.api, services.qdrant, collection.points and
-    .indexed, heap.used and .total; new: reachable or code below 500, details.* the same."""
-    number = lambda *paths: F.coalesce(*[_at(body, p).try_cast("double") for p in paths], F.lit(0.0))
-    reachable = F.coalesce(_at(body, "reachable").try_cast("boolean"), _at(body, "code").try_cast("int") < 500, F.lit(False))
+    """Old and new health payloads as one struct: ``healthy``, ``reachable``, ``api_ok``, ``qdrant_ok``, ``points``,
+    ``indexed``, ``heap_percent``.
+
+    A new payload has ``reachable`` (or the probe's ``status_code``, below 500) and its fields under ``details``; an old
+    one has them at the top. Old ones are healthy if the status, the API and the vector store all are.
+    """
+    nested = _at(body, "details").isNotNull()
+    field = lambda path: F.when(nested, _at(body, f"details.{path}")).otherwise(_at(body, path))
+    number = lambda *paths: F.coalesce(*[field(p).try_cast("double") for p in paths], F.lit(0.0))
+    no = F.lit(False)
+    told = F.coalesce(_at(body, "reachable").try_cast("boolean"), _at(body, "status_code").try_cast("int") < 500)
+    api = F.coalesce(field("services.api") == "ok", no) | F.coalesce(_at(body, "reachable") == "true", no)
+    qdrant = F.coalesce(field("services.qdrant") == "ok", no) | F.coalesce(field("qdrant.status") == "ok", no)
     old = (_at(body, "status") == "healthy") & (_at(body, "services.api") == "ok") & (_at(body, "services.qdrant") == "ok")
-    used, total = number("heap.used", "details.heap.used"), number("heap.total", "details.heap.total")
-    return F.struct((F.coalesce(old, F.lit(False)) | reachable).alias("healthy"), number("collection.points", "details.collection.points").cast("long").alias("points"), number("collection.indexed", "details.collection.indexed").cast("long").alias("indexed"), F.when(total > 0, F.round(used / total * 100, 1)).otherwise(F.lit(0.0)).alias("heap_percent"))
+    used, total = number("memory.heapUsed"), number("memory.heapTotal")
+    return F.struct(
+        (F.coalesce(old, no) | F.coalesce(told, no)).alias("healthy"),
+        F.coalesce(told, F.coalesce(field("status") == "healthy", no) | api).alias("reachable"),
+        api.alias("api_ok"),
+        qdrant.alias("qdrant_ok"),
+        number("collection.pointsCount", "qdrant.details.collections.documents.points_count").cast("long").alias("points"),
+        number("collection.indexedVectorsCount").cast("long").alias("indexed"),
+        F.when(total > 0, F.round(used / total * 100, 1)).otherwise(F.lit(0.0)).alias("heap_percent"),
+    )
 
 
 def chat(body: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,24 +22,52 @@ def fnv_bucket(token: Column, buckets: int = BUCKETS) -> Column:
     return F.aggregate(F.split(token, ""), F.lit(FNV_OFFSET).cast("long"), step) % buckets
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once for a row, however often the body uses it (a column that is used
+    inside a lambda function may be put in there, and computed for each element)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def run_ends(items: Column) -> Column:
+    """Places (from 1) where runs of equal ``key`` end, in an array of structs sorted by it."""
+    n, at = F.size(items), lambda i: F.get(items, i)["key"]
+    ends = F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | (at(i - 1) != at(i)))
+    return F.when(n > 0, ends).otherwise(F.array().cast("array<int>"))
+
+
+def sparse_rows(df: DataFrame, id_column: str, text: str = "text") -> DataFrame:
+    """``id`` and ``pairs``: an array of (``idx``, ``w``) by ``idx``, how often each bucket occurs among a text's tokens.
+
+    A text's tokens are in one row, and are hashed, sorted and counted there: nothing is shuffled.
+    """
+    hashed = F.array_sort(F.transform(tokenize(F.coalesce(F.col(text), F.lit(""))), lambda t: F.struct(fnv_bucket(t).alias("key"))))
+    before = lambda ends, k: F.coalesce(F.get(ends, k - 1), F.lit(0))
+    pairs = lambda s, ends: F.transform(ends, lambda e, k: F.struct(F.get(s, e - 1)["key"].alias("idx"), (e - before(ends, k)).cast("double").alias("w")))
+    return df.select(F.col(id_column).alias("id"), let(hashed, lambda s: let(run_ends(s), lambda ends: pairs(s, ends))).alias("pairs"))
+
+
 def postings(df: DataFrame, id_column: str, text: str = "text") -> DataFrame:
-    """``id``, ``idx``, ``w``: how often each bucket occurs among a text's tokens. Tokens are counted before they are
-    hashed, so each distinct one is hashed once a text."""
-    tokens = df.select(F.col(id_column).alias("id"), F.explode(tokenize(F.col(text))).alias("t"))
-    counted = tokens.groupBy("id", "t").agg(F.count("*").alias("n"))
-    return counted.groupBy("id", fnv_bucket(F.col("t")).alias("idx")).agg(F.sum("n").cast("double").alias("w"))
+    """``id``, ``idx``, ``w``: :func:`sparse_rows` as one row for each bucket of a text."""
+    return sparse_rows(df, id_column, text).select("id", F.inline("pairs"))
+
+
+def sparse_vectors(rows: DataFrame) -> DataFrame:
+    """``id`` and ``sparse``: struct of parallel arrays ``indices`` (ascending) and ``values``, of rows of ``id`` and
+    ``pairs``. Texts without a token have no row."""
+    # A generator, and not a filter, which would be pushed down and have the pairs computed once more.
+    some = rows.select("id", F.explode(F.filter(F.array("pairs"), lambda p: F.size(p) > 0)).alias("pairs"))
+    return some.select("id", F.struct(F.transform("pairs", lambda x: x["idx"]).alias("indices"), F.transform("pairs", lambda x: x["w"]).alias("values")).alias("sparse"))
 
 
-def sparse_vectors(posting: DataFrame) -> DataFrame:
-    """``id`` and ``sparse``: struct of parallel arrays ``indices`` (ascending) and ``values``."""
-    pairs = F.array_sort(F.collect_list(F.struct("idx", "w")))
-    rows = posting.groupBy("id").agg(pairs.alias("p"))
-    return rows.select("id", F.struct(F.transform("p", lambda x: x["idx"]).alias("indices"), F.transform("p", lambda x: x["w"]).alias("values")).alias("sparse"))
+#: What counts as a whole and as a real number in a map of weights.
+_WHOLE, _REAL = r"^\s*[+-]?\d+\s*$", r"(?i)^\s*[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?|inf(?:inity)?)\s*$"
 
 
 def clean_weights(weights: Column) -> Column:
-    """Sorted ``(idx, w)`` of a string map: keys that are whole numbers, values that are numbers above 0."""
-    pairs = F.transform(F.map_entries(weights), lambda e: F.struct(F.try_to_number(e["key"], F.lit("999999")).cast("long").alias("idx"), e["value"].try_cast("double").alias("w")))
+    """Sorted ``(idx, w)`` of a string map: keys that are whole numbers (of 64 bits), values that are numbers above 0."""
+    idx = lambda k: F.when(F.rlike(k, F.lit(_WHOLE)), F.trim(k).try_cast("long"))
+    w = lambda v: F.when(F.rlike(v, F.lit(_REAL)), F.trim(v).try_cast("double"))
+    pairs = F.transform(F.map_entries(weights), lambda e: F.struct(idx(e["key"]).alias("idx"), w(e["value"]).alias("w")))
     return F.array_sort(F.filter(pairs, lambda p: p["idx"].isNotNull() & (p["w"] > 0)))
 
 

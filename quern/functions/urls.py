@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Names of the local host, and suffixes of image files.
+#: Names of the local host, and the three forms of an image link in a text.
 LOCAL = r"(?i)^https?://(?:localhost|127\.0\.0\.1|\[::1\])(?=[:/?#]|$)"
-IMAGE = r"(https?://[^\s\[\]()]+\.(?:png|jpe?g|gif|webp|bmp|svg)(?:\?[^\s\[\]()]*)?)"
+TAGGED = r"(?i)\[img\](https?://[^\[]+)\[/img\]"
+MARKDOWN = r"(?i)!\[[^\]]*\]\((https?://[^\s)]+)\)"
+BARE = r"""(?i)(https?://[^\s"'<>]+\.(?:jpg|jpeg|png|gif|webp|avif)(?:\?[^\s"'<>]*)?)"""
+
+#: Addresses of a thread, and which group is its number. The first that fits counts.
+THREADS = [r"(?i)^forum/thread/(\d+)$", r"(?i)^forum/(\d+)/\d+$", r"(?i)^forum/(\d+)$", r"(?i)(?:^|/)thread/(\d+)$"]
 
 
 def rewrite_localhost(url: Column, scheme: str, host: str) -> Column:
@@ -17,24 +22,27 @@ def rewrite_localhost(url: Column, scheme: str, host: str) -> Column:
 
 def document_path(url: Column) -> Column:
     """Viewer path of a source URL: path part without leading slashes, cut at ``#``, decoded, then cut at ``?``;
-    thread addresses become ``thread_N.json``; '' for nothing or a bare fragment."""
-    rest = F.regexp_replace(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", "")
-    rest = F.regexp_replace(F.regexp_replace(rest, r"^/+", ""), r"#.*$", "")
+    thread addresses become ``thread_N.json``, in any case of letters; '' for nothing or a bare fragment."""
+    url = F.coalesce(url, F.lit(""))
+    scheme = r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/?#]*)?"
+    # An absolute URL has its query apart from the path; in other texts a bare ? is cut after decoding.
+    rest = F.when(F.rlike(url, F.lit(scheme)), F.regexp_replace(F.regexp_replace(url, scheme, ""), r"(?s)[?#].*$", "")).otherwise(url)
+    rest = F.regexp_replace(F.regexp_replace(rest, r"^/+", ""), r"(?s)#.*$", "")
     # Only the encoded form of + is decoded; a bare one stays. Broken escapes leave the text as it is.
     decoded = F.coalesce(F.try_url_decode(F.replace(rest, F.lit("+"), F.lit("%2B"))), rest)
     path = F.regexp_replace(decoded, r"(?s)\?.*$", "")
     out = path
-    for pattern in (r"^(?:.*/)?thread/(\d+)/?$", r"^forum/(\d+)/?$", r"^forum/\d+/(\d+)/?$", r"^forum/thread/(\d+)/?$", r"^thread_(\d+)$"):
+    for pattern in reversed(THREADS):
         found = F.regexp_extract(path, pattern, 1)
         out = F.when(found != "", F.concat(F.lit("thread_"), found, F.lit(".json"))).otherwise(out)
-    return out
+    return F.when(F.rlike(path, F.lit(r"(?i)^thread_\d+$")), F.concat(path, F.lit(".json"))).otherwise(out)
 
 
 def image_urls(text: Column) -> Column:
-    """Image links of a text: tagged ones, then Markdown ones, then bare ones with an image suffix; each once."""
-    every = lambda pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-    found = F.concat(every(r"(?i)\[img\](.*?)\[/img\]"), every(r"!\[[^\]]*\]\(([^)]*)\)"), every(f"(?i){IMAGE}"))
-    return F.array_distinct(F.filter(F.transform(found, lambda u: F.trim(u)), lambda u: u != ""))
+    """Image links (http or https) of a text: tagged ones, then Markdown ones, then bare ones with an image suffix;
+    trimmed, each once."""
+    found = F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in (TAGGED, MARKDOWN, BARE)])
+    return F.array_distinct(F.filter(F.transform(found, lambda u: F.regexp_replace(u, r"^\s+|\s+$", "")), lambda u: u != ""))
 
 
 def source_label(title: Column, section: Column, url: Column) -> Column:

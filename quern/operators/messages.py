@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 #: The five channels, and the roles of a chat message.
 CHANNELS = ["events", "lounge", "logs", "telemetry", "tokens"]
@@ -78,33 +82,49 @@ def validated(turns: DataFrame, most: int = 2000) -> tuple[DataFrame, DataFrame]
     return marked.where("reason is null").drop("reason"), marked.where("reason is not null")
 
 
-def with_context(messages: DataFrame) -> DataFrame:
-    """Adds ``context``: the last conversation id seen before in the message's channel. messages: channel, seq, conversation."""
-    before = Window.partitionBy("channel").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    return messages.withColumn("context", F.last("conversation", ignorenulls=True).over(before))
+def with_context(messages: DataFrame, width: int = 10_000) -> DataFrame:
+    """Adds ``context``: the last conversation id seen before in the message's channel. messages: channel, seq, conversation.
+
+    A channel is cut into stretches of ``width`` of ``seq`` (a number). The last id of each stretch is carried over to the
+    next ones, and a window looks back inside its stretch only: few channels do not mean few tasks.
+    """
+    cut = messages.withColumn("_b", F.floor(F.col("seq") / width))
+    stretches = cut.groupBy("channel", "_b").agg(F.max_by("conversation", F.when(F.col("conversation").isNotNull(), F.col("seq"))).alias("_last"))
+    earlier = Window.partitionBy("channel").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = stretches.select("channel", "_b", F.last("_last", ignorenulls=True).over(earlier).alias("_carried"))
+    before = Window.partitionBy("channel", "_b").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    carried = carried.withColumnsRenamed({"channel": "_channel", "_b": "_stretch"})
+    # A null channel is a channel of its own.
+    out = cut.join(carried, F.col("channel").eqNullSafe(F.col("_channel")) & F.col("_b").eqNullSafe(F.col("_stretch")), "left")
+    return out.withColumn("context", F.coalesce(F.last("conversation", ignorenulls=True).over(before), "_carried")).drop("_b", "_channel", "_stretch", "_carried")
 
 
 def cooldown(events: DataFrame, seconds: float, by: str = "session") -> DataFrame:
     """Adds ``accepted`` and ``wait_s`` (whole seconds left, rounded up; null if accepted). events: session, ts, id.
 
-    An event is accepted if ``seconds`` have passed since the last accepted one of its session: a fold over time. An
-    event that comes that long after the one before it is always accepted, so a session is cut at such gaps and each
-    piece is folded alone; a task never holds a whole busy session unless it has no pause.
+    An event is accepted if ``seconds`` have passed since the last accepted one of its session: a fold over time. Events
+    are dealt by session and sorted by time once; each task folds its stream of rows with nothing held but the last
+    accepted time, however long a session is.
     """
-    order = Window.partitionBy(by).orderBy("ts", "id")
-    micros, limit = F.unix_micros("ts"), int(seconds * 1_000_000)
-    gap = F.coalesce(micros - F.lag(micros).over(order) >= limit, F.lit(True))
-    pieces = events.withColumn("_t", micros).withColumn("_piece", F.sum(gap.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    piece = pieces.groupBy(by, "_piece").agg(F.array_sort(F.collect_list(F.struct("_t", "id"))).alias("_e"))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<struct<id:bigint,wait:bigint>>").alias("out"))
-
-    def step(state: Column, e: Column) -> Column:
-        ok = state["last"].isNull() | (e["_t"] - state["last"] >= limit)
-        wait = F.when(~ok, state["last"] + F.lit(limit).cast("long") - e["_t"])
-        return F.struct(F.when(ok, e["_t"]).otherwise(state["last"]).alias("last"), F.concat(state["out"], F.array(F.struct(e["id"].alias("id"), wait.alias("wait")))).alias("out"))
-
-    folded = piece.select(F.col(by), F.explode(F.aggregate("_e", start, step)["out"]).alias("r")).select(by, "r.id", F.col("r.wait").isNull().alias("accepted"), F.ceil(F.col("r.wait") / 1_000_000).cast("long").alias("wait_s"))
-    return events.join(folded, [by, "id"])
+    limit = int(seconds * 1_000_000)
+    schema = StructType([*events.schema.fields, StructField("accepted", BooleanType()), StructField("wait_s", LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        session, last, begun = None, 0, False
+        for batch in batches:
+            times = batch.column("ts").cast(pa.timestamp("us", "UTC")).cast(pa.int64()).to_pylist()
+            accepted, wait = [], []
+            for key, t in zip(batch.column(by).to_pylist(), times, strict=True):
+                if not begun or key != session:
+                    session, begun, last = key, True, None
+                left = None if last is None or t is None else last + limit - t
+                ok = left is None or left <= 0
+                accepted.append(ok)
+                wait.append(None if ok else -(-left // 1_000_000))
+                last = t if ok and t is not None else last
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(accepted, pa.bool_()), pa.array(wait, pa.int64())], [*batch.schema.names, "accepted", "wait_s"])
+
+    return events.repartition(by).sortWithinPartitions(by, "ts", "id").mapInArrow(run, schema)
 
 
 def dedupe_first(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.vectors import dot, l2_normalize
 
-#: Bytes of queries that are broadcast at once.
-BROADCAST_BYTES = 64 << 20
+#: Bytes of queries that are broadcast at once, and scores that a task holds at once.
+BROADCAST_BYTES, AT_ONCE = 32 << 20, 1 << 21
 
 
 def top_k(scores: DataFrame, k: int, by: str = "query_id", score: str = "score", id_column: str = "id") -> DataFrame:
@@ -17,29 +21,162 @@ def top_k(scores: DataFrame, k: int, by: str = "query_id", score: str = "score",
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def dense_scores(queries: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Cosine of every stated query with every vector: ``query_id``, ``id``, ``score``.
+class _Best:
+    """The best ``k`` of each query so far: parallel arrays, cut back whenever they have grown; ties by id."""
+
+    def __init__(self, k: int, queries: int):
+        self.k, self.most = k, max(1 << 16, 4 * k * queries)
+        self.held = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+
+    def add(self, *rows: np.ndarray) -> None:
+        self.held.append(rows)
+        if sum(x[0].size for x in self.held) > self.most:
+            self.held = [self.cut()]
+
+    def cut(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        query, id_, score = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        order = np.lexsort((id_, -score, query))
+        query, id_, score = query[order], id_[order], score[order]
+        first = np.searchsorted(query, query)
+        keep = np.arange(query.size) - first < self.k
+        return query[keep], id_[keep], score[keep]
+
+
+def _blocks(queries: DataFrame, size: Column) -> Iterator[pa.Table]:
+    """The stated queries in blocks of about ``BROADCAST_BYTES``; ``size``: bytes of one."""
+    total = queries.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    n = max(1, -(-total // BROADCAST_BYTES))
+    for k in range(n):
+        yield (queries if n == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == k)).toArrow()
+
+
+def _against_all(rows: DataFrame, blocks: Iterator[pa.Table], scorer: Callable, k: int | None) -> DataFrame:
+    """Scores of all rows with each block of queries, which is broadcast; rows do not move. With ``k``, a task sends
+    only its best ``k`` of each query. scorer(block) -> (number of queries, function from a batch to query, id, score)."""
+    names, out = ["query_id", "id", "score"], None
+    for block in blocks:
+        sent = rows.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            n, score = scorer(sent.value)
+            best = _Best(k, n) if k is not None else None
+            for batch in batches:
+                for found in score(batch):
+                    if best is None:
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names)
+                    else:
+                        best.add(*found)
+            if best is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in best.cut()], names)
+
+        one = rows.mapInArrow(run, "query_id long, id long, score double")
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+def _unit(vectors: pa.Array, dimension: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unit rows (a zero vector stays), and which of the rows have this dimension."""
+    sizes = np.diff(vectors.offsets.to_numpy())
+    ok = np.flatnonzero((sizes == dimension) & ~vectors.is_null().to_numpy(zero_copy_only=False))
+    x = vectors.take(pa.array(ok)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(ok.size, dimension)
+    norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return x / np.where(norm > 0, norm, 1), ok
+
 
-    queries: query_id, embedding; vectors: id, embedding. Queries ride along with each vector as one array, so no
-    pair is shuffled. Their size is checked: beyond ``BROADCAST_BYTES`` they go in blocks, one scan of the vectors each.
+def _plain(column: pa.ChunkedArray | pa.Array) -> pa.Array:
+    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+
+
+def dense_scores(queries: DataFrame, vectors: DataFrame, k: int | None = None) -> DataFrame:
+    """Cosine of every stated query with every vector, or with ``k`` of the best of each task: ``query_id``, ``id``, ``score``.
+
+    queries: query_id, embedding; vectors: id, embedding; ids are whole numbers. Vectors of another length than the
+    queries' or null ones have no score. Products are matrix products over a batch, in double.
     """
-    unit = vectors.select("id", l2_normalize(F.col("embedding")).alias("v"))
-    size = queries.agg(F.coalesce(F.sum(F.size("embedding") * 8 + 16), F.lit(0))).first()[0]
-    blocks = max(1, -(-size // BROADCAST_BYTES))
-    own = queries.select("query_id", l2_normalize(F.col("embedding")).alias("q"))
-    out = None
-    for n in range(blocks):
-        block = (own if blocks == 1 else own.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n)).agg(F.collect_list(F.struct("query_id", "q")).alias("qs"))
-        each = unit.join(F.broadcast(block)).select("id", "v", F.explode("qs").alias("x"))
-        scored = each.select(F.col("x.query_id").alias("query_id"), "id", F.round(dot(F.col("x.q"), F.col("v")), 6).alias("score"))
-        out = scored if out is None else out.unionAll(scored)
-    return out
 
+    def scorer(block: pa.Table) -> tuple[int, Callable]:
+        wanted = _plain(block["embedding"])
+        dimension = int(np.diff(wanted.offsets.to_numpy()).max(initial=0))
+        q, ok = _unit(wanted, dimension)
+        number = block["query_id"].to_numpy()[ok]
+
+        def score(batch: pa.RecordBatch) -> Iterator[tuple]:
+            v, ok = _unit(batch.column("embedding"), dimension)
+            ids = batch.column("id").to_numpy()[ok]
+            step = max(1, AT_ONCE // max(1, number.size))
+            for lo in range(0, ids.size, step):
+                s = np.round(v[lo : lo + step] @ q.T, 6) + 0.0
+                if k is not None and s.shape[0] > k:
+                    # Of a query, only what reaches the k-th best here can be among the best; ties stay.
+                    row, col = np.nonzero(s >= np.partition(s, s.shape[0] - k, axis=0)[s.shape[0] - k])
+                else:
+                    row, col = (x.ravel() for x in np.indices(s.shape))
+                yield number[col], ids[lo : lo + step][row], s[row, col]
+
+        return number.size, score
+
+    own = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = vectors.select(F.col("id").cast("long").alias("id"), "embedding").where("id is not null and embedding is not null")
+    return _against_all(rows, _blocks(own, F.size("embedding") * 8 + 16), scorer, k)
+
+
+def sparse_scores(queries: DataFrame, rows: DataFrame, k: int | None = None) -> DataFrame:
+    """Sparse dot products of stated queries with all rows that share a bucket: ``query_id``, ``id``, ``score``; or, with
+    ``k``, each task's best ``k`` of each query. A row's pairs are together, so its scores need no shuffle.
+
+    queries: query_id, pairs; rows: id, pairs (arrays of idx and w, as ``text.sparse_rows`` gives them); ids are whole
+    numbers. Without ``k`` the result has a row for every query and every row that shares a bucket with it: that is what is asked for.
+    """
 
-def sparse_scores(queries: DataFrame, postings: DataFrame) -> DataFrame:
-    """Sparse dot products by shared buckets: ``query_id``, ``id``, ``score``. Both sides: id, idx, w."""
-    q = queries.select(F.col("id").alias("query_id"), "idx", F.col("w").alias("qw"))
-    return postings.join(q, "idx").groupBy("query_id", "id").agg(F.round(F.sum(F.col("qw") * F.col("w")), 6).alias("score"))
+    def scorer(block: pa.Table) -> tuple[int, Callable]:
+        number = block["query_id"].to_numpy()
+        q_of, q_idx, q_w = _flat(_plain(block["pairs"]))
+        order = np.argsort(q_idx, kind="stable")
+        q_of, q_w = q_of[order], q_w[order]
+        bucket, first, each = np.unique(q_idx[order], return_index=True, return_counts=True)
+
+        def score(batch: pa.RecordBatch) -> Iterator[tuple]:
+            if not bucket.size:
+                return
+            ids = batch.column("id").to_numpy()
+            step = max(1, AT_ONCE // max(1, number.size))
+            for lo in range(0, ids.size, step):
+                part = batch.slice(lo, step)
+                of, idx, w = _flat(part.column("pairs"))
+                at = np.searchsorted(bucket, idx).clip(max=bucket.size - 1)
+                hit = np.flatnonzero(bucket[at] == idx)
+                s = np.zeros(part.num_rows * number.size)
+                for a, b in _slices(each[at[hit]]):
+                    some, n = hit[a:b], each[at[hit[a:b]]]
+                    place = np.arange(int(n.sum())) + np.repeat(first[at[some]] - (np.cumsum(n) - n), n)
+                    s += np.bincount(np.repeat(of[some], n) * number.size + q_of[place], np.repeat(w[some], n) * q_w[place], s.size)
+                s = np.round(s, 6).reshape(part.num_rows, number.size)
+                row, col = np.nonzero(s)
+                if k is not None and part.num_rows > k:
+                    row, col = np.nonzero((s != 0) & (s >= np.partition(s, part.num_rows - k, axis=0)[part.num_rows - k]))
+                yield number[col], ids[lo : lo + step][row], s[row, col]
+
+        return number.size, score
+
+    own = queries.select(F.col("query_id").cast("long").alias("query_id"), "pairs").where("pairs is not null")
+    given = rows.select(F.col("id").cast("long").alias("id"), "pairs").where("id is not null and pairs is not null")
+    return _against_all(given, _blocks(own, F.size("pairs") * 16 + 16), scorer, k)
+
+
+def _flat(pairs: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row number, idx and w of all pairs."""
+    sizes = np.diff(pairs.offsets.to_numpy())
+    flat = pairs.flatten()
+    return np.repeat(np.arange(sizes.size), sizes), flat.field("idx").to_numpy(zero_copy_only=False), flat.field("w").to_numpy(zero_copy_only=False)
+
+
+def _slices(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of places whose sizes add up to at most ``AT_ONCE``, or one place."""
+    total, at = np.cumsum(sizes), 0
+    while at < sizes.size:
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + AT_ONCE, side="right")))
+        yield at, to
+        at = to
 
 
 def fuse_rrf(legs: list[DataFrame], k: int = 12, constant: int = 60) -> DataFrame:

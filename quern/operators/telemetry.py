@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions.names import format_eta
+
 
 def resource_summary(samples: DataFrame, devices: DataFrame | None = None, by: str = "run_id") -> DataFrame:
     """Per run the sample count, mean and peak of cpu and memory, and peak rss; and from ``devices`` (one row for each
@@ -68,40 +70,48 @@ def snapshot_asof(runs: DataFrame, telemetry: DataFrame, value: str, by: str = "
     return seen.where("_run = 1").select(by, "run_id", F.col("ts").alias("started_at"), F.col("_s.ts").alias("snapshot_at"), F.col("_s.v").alias(value))
 
 
-def active_over_time(changes: DataFrame) -> DataFrame:
-    """Number of active runs after each start (+1) or finish (-1), per series. changes: series, ts, id, change."""
-    order = Window.partitionBy("series").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0)
-    return changes.withColumn("active", F.sum("change").over(order).cast("long"))
+def active_over_time(changes: DataFrame, bucket_s: int = 3600) -> DataFrame:
+    """Number of active runs after each start (+1) or finish (-1), per series. changes: series, ts, id, change.
+
+    Changes are summed by time bucket, the sums added up over the buckets of a series, and only then counted on inside
+    each bucket: few series do not mean few tasks.
+    """
+    slots = changes.withColumn("_b", F.floor(F.unix_seconds("ts") / bucket_s))
+    sums = slots.groupBy("series", "_b").agg(F.sum("change").alias("_n"))
+    before = Window.partitionBy("series").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = sums.select("series", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    order = Window.partitionBy("series", "_b").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0)
+    return slots.join(carried, ["series", "_b"]).withColumn("active", (F.col("_before") + F.sum("change").over(order)).cast("long")).drop("_b", "_before")
 
 
 def throughput(progress: DataFrame, window_s: int = 60, newest: int = 120, by: str = "job") -> DataFrame:
     """Chunks per second over the trailing window, of at most the newest samples in it; with one sample, over the time
     since the job began. Spans count as at least a second, falling counts as none.
 
-    progress: job, ts, started_at, processed, id. Adds ``rate``.
+    progress: job, ts, started_at, processed, id. Adds ``rate``. Samples of one time go by id. A job is cut into stretches
+    of ten windows; the last window of a stretch goes to the next one too, so that long jobs have many tasks.
     """
-    micros = F.unix_micros("ts")
-    ordered = Window.partitionBy(by).orderBy("_t")
-    span = ordered.rangeBetween(-window_s * 1_000_000, 0)
-    rows = Window.partitionBy(by).orderBy("_t", "id").rowsBetween(-(newest - 1), 0)
-    timed = progress.withColumn("_t", micros)
-    # First sample of the window and of the newest rows: the later of both.
-    first = F.greatest(F.min(F.struct("_t", "id", "processed")).over(span), F.min(F.struct("_t", "id", "processed")).over(rows))
-    held = F.least(F.count("*").over(span), F.count("*").over(rows))
-    timed = timed.withColumn("_first", first).withColumn("_held", held)
-    moved = F.greatest(F.lit(0.0), (F.col("processed") - F.col("_first.processed")).cast("double")) / F.greatest(F.lit(1.0), (F.col("_t") - F.col("_first._t")) / 1e6)
+    width = window_s * 10_000_000
+    timed = progress.withColumn("_t", F.unix_micros("ts")).withColumn("_b", F.floor(F.col("_t") / width))
+    near_end = F.pmod(F.col("_t"), F.lit(width)) >= width - window_s * 1_000_000
+    copies = F.when(near_end, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    timed = timed.withColumn("_copy", F.explode(copies)).withColumn("_b", F.col("_b") + F.col("_copy"))
+    order = Window.partitionBy(by, "_b").orderBy("_t", "id").rowsBetween(-(newest - 1), 0)
+    timed = timed.withColumn("_seen", F.collect_list(F.struct("_t", "processed")).over(order)).where("_copy = 0")
+    timed = timed.withColumn("_seen", F.filter("_seen", lambda x: x["_t"] >= F.col("_t") - window_s * 1_000_000))
+    first = F.get(F.col("_seen"), F.lit(0))
+    moved = F.greatest(F.lit(0.0), (F.col("processed") - first["processed"]).cast("double")) / F.greatest(F.lit(1.0), (F.col("_t") - first["_t"]) / 1e6)
     alone = F.col("processed").cast("double") / F.greatest(F.lit(1.0), (F.col("_t") - F.unix_micros("started_at")) / 1e6)
-    return timed.withColumn("rate", F.when(F.col("_held") < 2, alone).otherwise(moved)).drop("_t", "_first", "_held")
+    return timed.withColumn("rate", F.when(F.size("_seen") < 2, alone).otherwise(moved)).drop("_t", "_b", "_copy", "_seen")
 
 
 def eta(progress: DataFrame) -> DataFrame:
-    """Adds ``remaining``, ``eta_s`` (0 without a rate), ``percent`` and ``eta`` as ``Xm Ys``. progress: processed, total, rate."""
+    """Adds ``remaining``, ``eta_s`` (seconds, 0 without a rate), ``percent`` and ``eta``, its text. progress: processed, total, rate."""
     remaining = F.greatest(F.lit(0).cast("long"), F.col("total") - F.col("processed"))
-    out = progress.withColumn("remaining", remaining)
-    seconds = F.when(F.col("rate") > 0, F.ceil(F.col("remaining") / F.col("rate"))).otherwise(F.lit(0)).cast("long")
+    seconds = F.when(F.col("rate") > 0, F.col("remaining") / F.col("rate")).otherwise(F.lit(0.0))
     percent = F.when(F.col("total") > 0, F.least(F.lit(100.0), 100.0 * F.col("processed") / F.col("total"))).otherwise(F.lit(0.0))
-    out = out.withColumn("eta_s", seconds).withColumn("percent", F.round(percent, 4))
-    return out.withColumn("eta", F.concat(F.floor(F.col("eta_s") / 60).cast("string"), F.lit("m "), (F.col("eta_s") % 60).cast("string"), F.lit("s")))
+    out = progress.withColumn("remaining", remaining).withColumn("eta_s", seconds).withColumn("percent", F.round(percent, 4))
+    return out.withColumn("eta", format_eta(F.col("eta_s")))
 
 
 def stale(progress: DataFrame, after_s: int = 45, by: str = "job") -> DataFrame:
@@ -111,6 +121,39 @@ def stale(progress: DataFrame, after_s: int = 45, by: str = "job") -> DataFrame:
     return progress.withColumn("gap_s", gap).withColumn("stale", F.coalesce(gap > after_s, F.lit(False)))
 
 
+#: Values that are ranked exactly at once.
+RANKED = 1_000_000
+
+
+def percentile(df: DataFrame, column: str, p: float) -> DataFrame:
+    """One row, ``value``: the exact percentile with linear interpolation, null without values.
+
+    No task sees all distinct values: while more than ``RANKED`` rows are left, the range that holds the rank is
+    narrowed to about a thousandth by approximate quantiles, and what lies below is counted. The few values left are
+    counted by value and ranked.
+    """
+    rows = df.select(F.col(column).cast("double").alias("v")).where("v is not null")
+    spark, n, below = df.sparkSession, rows.count(), 0
+    rank, left = p * (n - 1), n
+    while left > RANKED:
+        inner = (rank - below) / left
+        low, high = rows.agg(F.percentile_approx("v", [max(0.0, inner - 5e-4), min(1.0, inner + 5e-4)], 20_000)).first()[0]
+        under, within = rows.agg(F.count_if(F.col("v") < low), F.count_if(F.col("v").between(low, high))).first()
+        if not (below + under <= int(rank) and rank <= below + under + within - 1) or within == left:
+            break
+        rows, below, left = rows.where(F.col("v").between(low, high)), below + under, within
+        if low == high:
+            return spark.range(1).select(F.lit(low).alias("value"))
+    # Counts by value combine before they are shuffled.
+    counts = rows.groupBy("v").agg(F.count("*").alias("n"))
+    upto = counts.select("v", (F.sum("n").over(Window.orderBy("v")) + below - 1).alias("last"))
+    floor, ceil = int(rank), int(rank) + (rank > int(rank))
+    ends = upto.agg(F.min(F.when(F.col("last") >= floor, F.col("v"))).alias("a"), F.min(F.when(F.col("last") >= ceil, F.col("v"))).alias("b"))
+    return ends.select((F.col("a") + (F.col("b") - F.col("a")) * F.lit(rank - floor)).alias("value"))
+
+
 def retrieval_stats(log: DataFrame, modes: list[str]) -> DataFrame:
     """Mean and 95th percentile of latency, samples, and samples of each mode. log: ms, mode."""
-    return log.agg(F.avg("ms").alias("avg_ms"), F.expr("percentile(ms, 0.95)").alias("p95_ms"), F.count("*").alias("samples"), *[F.count_if(F.col("mode") == m).alias(f"n_{m}") for m in modes])
+    sums = log.agg(F.avg("ms").alias("avg_ms"), F.count("*").alias("samples"), *[F.count_if(F.col("mode") == m).alias(f"n_{m}") for m in modes])
+    p95 = percentile(log, "ms", 0.95).select(F.col("value").alias("p95_ms"))
+    return sums.withColumn("p95_ms", p95.scalar()).select("avg_ms", "p95_ms", "samples", *[f"n_{m}" for m in modes])

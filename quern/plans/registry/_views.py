@@ -24,8 +24,8 @@ VIEWS = {
         'w' || l_partkey || ' ' AS token, l_quantity AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate >= o_orderdate""",
     "messages": "SELECT event_id AS id, ts, user_id AS session, event_type AS channel, value, props, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
     "posts": """SELECT conv_id AS thread, turn AS post, role AS author, text || CASE WHEN turn % 3 = 0 THEN ' [img]http://img.example/' || conv_id || '/' || turn || '.png[/img] ![x](https://img.example/' || conv_id || '/a?c=1) https://img.example/' || (turn % 2) || '.JPG?w=2' ELSE '' END AS body FROM conversations""",
-    "images": r"""SELECT thread, post, author, body, list_filter(list_transform(list_concat(list_concat(regexp_extract_all(body, '(?i)\[img\](.*?)\[/img\]', 1), regexp_extract_all(body, '!\[[^\]]*\]\(([^)]*)\)', 1)),
-        regexp_extract_all(body, '(?i)(https?://[^\s\[\]()]+\.(?:png|jpe?g|gif|webp|bmp|svg)(?:\?[^\s\[\]()]*)?)', 1)), lambda u: trim(u)), lambda u: u <> '') AS every FROM posts""",
+    "images": r"""SELECT thread, post, author, body, list_filter(list_transform(list_concat(list_concat(regexp_extract_all(body, '(?i)\[img\](https?://[^\[]+)\[/img\]', 1), regexp_extract_all(body, '(?i)!\[[^\]]*\]\((https?://[^\s)]+)\)', 1)),
+        regexp_extract_all(body, '(?i)(https?://[^\s"''<>]+\.(?:jpg|jpeg|png|gif|webp|avif)(?:\?[^\s"''<>]*)?)', 1)), lambda u: trim(u)), lambda u: u <> '') AS every FROM posts""",
     "image_rows": """SELECT thread, post, url, min(pos) AS pos FROM (SELECT thread, post, unnest(every) AS url, generate_subscripts(every, 1) AS pos FROM images) GROUP BY thread, post, url""",
     "doc_tokens": r"SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')[1:4096]) AS t FROM documents",
     "doc_postings": "SELECT doc_id AS id, {hash} AS idx, CAST(sum(n) AS DOUBLE) AS w FROM (SELECT doc_id, t, count(*) AS n FROM doc_tokens GROUP BY doc_id, t) GROUP BY 1, 2",
@@ -38,7 +38,7 @@ VIEWS = {
     "dense": """SELECT q.query_id, v.vec_id AS id, round(list_dot_product(list_transform(CAST(q.embedding AS DOUBLE[]), lambda x: x / q.n), list_transform(CAST(v.embedding AS DOUBLE[]), lambda x: x / v.n)), 6) AS score
         FROM (SELECT query_id, embedding, sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))) AS n FROM query_vectors) q,
         (SELECT vec_id, embedding, sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))) AS n FROM embeddings) v""",
-    "hybrid_postings": "SELECT p.id AS query_id, d.id, round(sum(p.w * d.w), 6) AS score FROM doc_postings p JOIN doc_postings d USING (idx) WHERE p.id % 25 = 0 AND p.id IN (SELECT query_id FROM query_vectors) AND d.id IN (SELECT vec_id FROM embeddings) GROUP BY 1, 2",
+    "hybrid_postings": "SELECT p.id AS query_id, d.id, round(sum(p.w * d.w), 6) AS score FROM doc_postings p JOIN doc_postings d USING (idx) WHERE p.id IN (SELECT query_id FROM query_vectors) GROUP BY 1, 2",
     "dense_leg": "SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM dense) WHERE rank <= 30",
     "sparse_leg": "SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM hybrid_postings) WHERE rank <= 50",
     "rrf": "SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM (SELECT query_id, id, rank FROM dense_leg UNION ALL SELECT query_id, id, rank FROM sparse_leg) GROUP BY 1, 2)) WHERE rank <= 12",

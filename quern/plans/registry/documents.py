@@ -10,6 +10,8 @@ from quern.operators import documents as ops
 from quern.plans import ingest as plans
 from quern.plans.registry._views import query, views
 from quern.sources import tables
+from quern.sources.files import file_catalog, ingest_files
+from quern.sources.staging import new_path
 
 _PATH = "source || '//' || (doc_id % 7) || '/' || doc_id || '.md'"
 
@@ -24,6 +26,15 @@ def _chunks(spark: SparkSession, d: str) -> DataFrame:
     return T.chunks(_docs(spark, d).where("doc_id % 3 <> 0"))
 
 
+def _files(spark: SparkSession, d: str) -> str:
+    """A folder with a text file of documents for each source, and JSON files beside them that nobody wants."""
+    docs = tables.table(spark, d, "documents").select("source", "text")
+    path = new_path(spark, "files")
+    docs.repartition("source").write.partitionBy("source").text(path)
+    docs.where("length(text) < 100").write.mode("append").partitionBy("source").json(path)
+    return path
+
+
 @query(f"""{views('chunks')}, c AS (SELECT id, count(*) AS n FROM chunks WHERE id % 3 <> 0 GROUP BY id)
     SELECT {_PATH} AS path, doc_id || '.md' AS name, strlen(text) AS size, coalesce(n, 0) AS chunk_count, n IS NOT NULL AS indexed FROM documents LEFT JOIN c ON id = doc_id""")
 def list_documents(spark: SparkSession, d: str) -> DataFrame:
@@ -65,9 +76,9 @@ def new_or_changed(spark: SparkSession, d: str) -> DataFrame:
     return ops.delta(now, ops.manifest(docs.where("doc_id % 9 <> 0")))
 
 
-@query("SELECT doc_id, sha256(CASE WHEN strlen(text) <= 1000 THEN encode(text) ELSE unhex(left(hex(encode(text)), 2000)) END) AS fingerprint FROM documents")
+@query("SELECT doc_id, sha256(CASE WHEN strlen(text) <= 16777216 THEN encode(text) ELSE unhex(left(hex(encode(text)), 33554432)) END) AS fingerprint FROM documents")
 def content_fingerprint(spark: SparkSession, d: str) -> DataFrame:
-    return _docs(spark, d).select("doc_id", T.content_fingerprint(F.col("text"), 1000).alias("fingerprint"))
+    return _docs(spark, d).select("doc_id", T.content_fingerprint(F.col("text")).alias("fingerprint"))
 
 
 @query(f"{views('chunks')} SELECT p AS points, i AS indexed, greatest(0, p - i) AS gap, CAST(64 AS BIGINT) AS dimension FROM (SELECT count(*) AS p FROM chunks) a, (SELECT count(*) AS i FROM embeddings WHERE len(embedding) = 64) b")
@@ -112,19 +123,19 @@ def ingest_incremental(spark: SparkSession, d: str) -> DataFrame:
     return made.groupBy("id", "change").agg(F.count("*").alias("n_chunks"), F.sum("n_tokens").alias("n_tokens")).select("id", "n_chunks", "n_tokens", "change")
 
 
-@query(r"""WITH t AS (SELECT conv_id AS id, string_agg(role || ': ' || text, chr(10) || chr(10) ORDER BY turn) FILTER (n <= 3) AS text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) WHERE conv_id % 4 <> 0 GROUP BY conv_id),
-    w AS (SELECT id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS t FROM t), c0 AS (SELECT id, t, greatest(1, CAST(ceil((len(t) - 15) / 85.0) AS BIGINT)) AS c0 FROM w),
-    c AS (SELECT id, t, c0 - CASE WHEN c0 > 1 AND len(t) - (c0 - 1) * 85 < 50 THEN 1 ELSE 0 END AS c FROM c0), x AS (SELECT id, t, c, unnest(range(0, c)) AS i FROM c),
-    s AS (SELECT id, i AS chunk_no, list_slice(t, i * 85 + 1, CASE WHEN i = c - 1 THEN len(t) ELSE i * 85 + 100 END) AS s FROM x)
+@query(r"""WITH t AS (SELECT conv_id AS id, string_agg(role || ': ' || text, chr(10) || chr(10) ORDER BY turn) FILTER (n <= 10) AS text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) WHERE conv_id % 4 <> 0 GROUP BY conv_id),
+    w AS (SELECT id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS t FROM t), c0 AS (SELECT id, t, greatest(1, CAST(ceil((len(t) - 75) / 725.0) AS BIGINT)) AS c0 FROM w),
+    c AS (SELECT id, t, c0 - CASE WHEN c0 > 1 AND len(t) - (c0 - 1) * 725 < 200 THEN 1 ELSE 0 END AS c FROM c0), x AS (SELECT id, t, c, unnest(range(0, c)) AS i FROM c),
+    s AS (SELECT id, i AS chunk_no, list_slice(t, i * 725 + 1, CASE WHEN i = c - 1 THEN len(t) ELSE i * 725 + 800 END) AS s FROM x)
     SELECT id, chunk_no, len(s) AS n_tokens, array_to_string(s, ' ') AS text FROM s""")
 def forum_ingest(spark: SparkSession, d: str) -> DataFrame:
     c = tables.table(spark, d, "conversations").select(F.col("conv_id").alias("thread"), F.col("turn").alias("post"), F.col("role").alias("author"), F.col("text").alias("body"))
     line = F.concat("author", F.lit(": "), "body")
     from pyspark.sql import Window
 
-    first = c.withColumn("n", F.row_number().over(Window.partitionBy("thread").orderBy("post"))).where("n <= 3")
+    first = c.withColumn("n", F.row_number().over(Window.partitionBy("thread").orderBy("post"))).where("n <= 10")
     known = first.where("thread % 4 = 0").groupBy(F.col("thread").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("post", line.alias("l")))), lambda x: x["l"]), "\n\n").alias("text"))
-    return plans.forum_ingest(c, ops.manifest(known), 3, 100, 150, 15)
+    return plans.forum_ingest(c, ops.manifest(known), 10, 800, 1000, 75)
 
 
 @query("""SELECT conv_id, CAST(len(list_filter(ms, lambda m: true)) AS BIGINT) AS n_messages, ms[1] AS first_role, 'top_k,temperature' AS parameters, n_chars FROM
@@ -137,24 +148,15 @@ def build_messages(spark: SparkSession, d: str) -> DataFrame:
     return back.select("conv_id", F.size("p.messages").cast("long").alias("n_messages"), F.col("p.messages")[0]["role"].alias("first_role"), F.array_join(F.map_keys("p.parameters"), ",").alias("parameters"), chars.alias("n_chars"))
 
 
-@query()
+@query("SELECT source, 1 AS files, CAST(sum(strlen(text) + 1) AS BIGINT) AS size_bytes FROM documents GROUP BY source")
 def model_catalog(spark: SparkSession, d: str) -> DataFrame:
-    """The data folder's own files as a catalogue."""
-    from quern.sources.files import file_catalog
-
-    return file_catalog(spark, d, "*.parquet").select("id", "name", "size_bytes")
+    """Files of one suffix below a folder, which holds documents by source: their number and size in each subfolder."""
+    found = file_catalog(spark, _files(spark, d), "*.txt")
+    return found.groupBy(F.regexp_extract("path", r"/source=([^/]+)/", 1).alias("source")).agg(F.count("*").alias("files"), F.sum("size_bytes").alias("size_bytes"))
 
 
-@query()
+@query("SELECT source, CAST(sum(length(text) + 1) AS BIGINT) AS n_chars FROM documents GROUP BY source")
 def upload_documents(spark: SparkSession, d: str) -> DataFrame:
-    """Documents written as text files to the shared folder, and those with an allowed extension read back."""
-    import tempfile
-    import uuid
-
-    from quern.sources.files import ingest_files
-
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quern-")
-    path = f"{shared.rstrip('/')}/quern-upload-{uuid.uuid4().hex}"
-    docs = _docs(spark, d).select("text", F.concat(F.lit("s"), F.crc32(F.encode("path", "UTF-8")) % 4).alias("part"))
-    docs.write.option("lineSep", "\n\n").partitionBy("part").text(path)
-    return ingest_files(spark, path, ["txt", ".md"]).select(F.regexp_extract("path", r"part=(\w+)", 1).alias("part"), F.length("text").alias("n")).groupBy("part").agg(F.sum("n").alias("n"))
+    """Files written to the shared folder, and those with an allowed extension read back whole."""
+    found = ingest_files(spark, _files(spark, d), ["TXT", ".md"])
+    return found.select(F.regexp_extract("path", r"/source=([^/]+)/", 1).alias("source"), F.length("text").alias("n")).groupBy("source").agg(F.sum("n").alias("n_chars"))

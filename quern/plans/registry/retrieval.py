@@ -16,18 +16,19 @@ from quern.sources import tables
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return T.postings(tables.table(spark, d, "documents"), "doc_id")
+    return T.sparse_rows(tables.table(spark, d, "documents"), "doc_id")
 
 
 def _items(spark: SparkSession, d: str) -> DataFrame:
-    return T.postings(tables.table(spark, d, "benchmark"), "item_id")
+    return T.sparse_rows(tables.table(spark, d, "benchmark"), "item_id").withColumnRenamed("id", "query_id")
 
 
 def _hybrid(spark: SparkSession, d: str) -> tuple[search.Queries, search.Corpus]:
     e = tables.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    p = _docs(spark, d).join(e.select("id"), "id", "left_semi")
     own = e.where("id % 25 = 0").withColumnRenamed("id", "query_id")
-    return search.Queries(own, p.where("id % 25 = 0")), search.Corpus(e, p)
+    asked = tables.table(spark, d, "documents").join(own.select(F.col("query_id").alias("doc_id")), "doc_id", "left_semi")
+    sparse = T.sparse_rows(asked, "doc_id").withColumnRenamed("id", "query_id")
+    return search.Queries(own, sparse), search.Corpus(e, _docs(spark, d))
 
 
 def _shown(df: DataFrame) -> DataFrame:
@@ -39,7 +40,7 @@ _SPARSE = "p AS (SELECT q.id AS query_id, d.id, round(sum(q.w * d.w), 6) AS scor
 
 @query(f"{views('doc_postings', 'query_postings')}, {_SPARSE} SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM p) WHERE rank <= 50")
 def sparse_search(spark: SparkSession, d: str) -> DataFrame:
-    return _shown(ops.top_k(ops.sparse_scores(_items(spark, d), _docs(spark, d)), 50))
+    return _shown(ops.top_k(ops.sparse_scores(_items(spark, d), _docs(spark, d), 50), 50))
 
 
 @query(f"{views('doc_postings', 'query_postings')}, {_SPARSE} SELECT query_id, id, score FROM p")
@@ -56,7 +57,7 @@ def dense_search(spark: SparkSession, d: str) -> DataFrame:
 @query(f"{views('dense_leg')} SELECT * FROM dense_leg")
 def top_k_per_query(spark: SparkSession, d: str) -> DataFrame:
     q, c = _hybrid(spark, d)
-    return _shown(ops.top_k(ops.dense_scores(q.vectors, c.vectors), 30))
+    return _shown(ops.top_k(ops.dense_scores(q.vectors, c.vectors, 30), 30))
 
 
 @query(f"{views('rrf')} SELECT * FROM rrf")
@@ -79,14 +80,13 @@ def hybrid_rerank(spark: SparkSession, d: str) -> DataFrame:
     return _shown(search.retrieve(q, c, search.Settings(mode="hybrid_rerank")))
 
 
-@query(f"{views('dense_mode', 'rrf', 'reranked')} SELECT 'dense' AS mode, * FROM dense_mode WHERE query_id % 3 = 0 UNION ALL SELECT 'hybrid', * FROM rrf WHERE query_id % 3 = 1 UNION ALL SELECT 'hybrid_rerank', * FROM reranked WHERE query_id % 3 = 2")
+@query(f"{views('dense_mode', 'rrf', 'reranked')} SELECT 'dense' AS mode, * FROM dense_mode UNION ALL SELECT 'hybrid', * FROM rrf UNION ALL SELECT 'hybrid_rerank', * FROM reranked")
 def retrieve(spark: SparkSession, d: str) -> DataFrame:
-    """A third of the queries in each mode."""
+    """All queries in each mode."""
     q, c = _hybrid(spark, d)
     out = None
-    for n, mode in enumerate(("dense", "hybrid", "hybrid_rerank")):
-        own = search.Queries(q.vectors.where(F.col("query_id") % 3 == n), q.postings.where(F.col("id") % 3 == n))
-        one = _shown(search.retrieve(own, c, search.Settings(mode=mode))).select(F.lit(mode).alias("mode"), "query_id", "id", "score", "rank")
+    for mode in ("dense", "hybrid", "hybrid_rerank"):
+        one = _shown(search.retrieve(q, c, search.Settings(mode=mode))).select(F.lit(mode).alias("mode"), "query_id", "id", "score", "rank")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -109,7 +109,7 @@ def retrieval_compare(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""{views('doc_postings', 'query_postings')}, {_SPARSE}, h AS (SELECT * FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM p) WHERE rank <= 6)
     SELECT query_id, id, rank, 'Doc ' || id AS title, lang AS section, 'http://docs.example/' || source || '/' || id AS url FROM h JOIN documents ON doc_id = id""")
 def hit_citations(spark: SparkSession, d: str) -> DataFrame:
-    hits = ops.top_k(ops.sparse_scores(_items(spark, d), _docs(spark, d)), 50)
+    hits = ops.top_k(ops.sparse_scores(_items(spark, d), _docs(spark, d), 50), 50)
     i = F.col("doc_id").cast("string")
     meta = tables.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("Doc "), i).alias("title"), F.col("lang").alias("section"), F.concat(F.lit("http://docs.example/"), "source", F.lit("/"), i).alias("url"))
     return ops.cite(hits, meta).select("query_id", "id", F.col("rank").cast("long").alias("rank"), "title", "section", "url")
@@ -119,8 +119,8 @@ def hit_citations(spark: SparkSession, d: str) -> DataFrame:
     r AS (SELECT query_id, id, rank, CAST(sum(n_tokens) OVER (PARTITION BY query_id ORDER BY rank) AS BIGINT) AS running FROM h JOIN n USING (id) WHERE rank <= 50) SELECT * FROM r WHERE running <= 20000""")
 def context_budget(spark: SparkSession, d: str) -> DataFrame:
     docs = _docs(spark, d)
-    hits = ops.top_k(ops.sparse_scores(_items(spark, d), docs), 50)
-    size = docs.groupBy("id").agg(F.sum("w").cast("long").alias("n_tokens"))
+    hits = ops.top_k(ops.sparse_scores(_items(spark, d), docs, 50), 50)
+    size = docs.select("id", F.aggregate("pairs", F.lit(0.0), lambda a, x: a + x["w"]).cast("long").alias("n_tokens"))
     return ops.pack_context(hits.join(size, "id"), 20000).select("query_id", "id", F.col("rank").cast("long").alias("rank"), "running")
 
 
@@ -128,7 +128,7 @@ def context_budget(spark: SparkSession, d: str) -> DataFrame:
 def backfill_sparse(spark: SparkSession, d: str) -> DataFrame:
     docs = tables.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
     e = tables.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"))
-    have = T.sparse_vectors(T.postings(docs.where("id % 2 = 0"), "id"))
+    have = T.sparse_vectors(T.sparse_rows(docs.where("id % 2 = 0"), "id"))
     return search.backfill_sparse(e, have, docs).select("id", joined("sparse.indices").alias("indices"))
 
 
@@ -147,14 +147,17 @@ def embedder(spark: SparkSession, d: str) -> DataFrame:
     return out.select("id", F.col("place").cast("long").alias("place"), F.round("x", 6).alias("x"))
 
 
-@query()
+@query(f"""{views('doc_postings', 'query_postings')}, {_SPARSE}, h AS (SELECT query_id, id FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM p) WHERE rank <= 20),
+    w AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS q FROM benchmark), t AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS p FROM documents),
+    s AS (SELECT query_id, id, round(len(list_intersect(q, p))::DOUBLE / greatest(1, len(q)), 6) AS score FROM h JOIN w ON item_id = query_id JOIN t ON doc_id = id)
+    SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 6""")
 def scorer(spark: SparkSession, d: str) -> DataFrame:
     """Candidates of the sparse leg reranked by a Python scorer: the share of a query's words in the passage."""
 
     def load():
         return lambda queries, passages: [len(set(q.split()) & set(p.split())) / max(1, len(set(q.split()))) for q, p in zip(queries, passages, strict=True)]
 
-    hits = ops.top_k(ops.sparse_scores(_items(spark, d), _docs(spark, d)), 20)
+    hits = ops.top_k(ops.sparse_scores(_items(spark, d), _docs(spark, d), 20), 20)
     q = tables.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"), F.lit(None).cast("array<float>").alias("embedding"))
     v = tables.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("passage"), F.lit(None).cast("array<float>").alias("embedding"))
     return _shown(ops.rerank(hits, q, v, 6, search.model_scorer(load)))

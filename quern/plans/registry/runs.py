@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quern.operators import runs as ops
 from quern.plans.registry._views import query, sql_time, text_time, views
 from quern.sources import logs, tables
+from quern.sources.staging import new_path
 from quern.sources.tables import RUN, SUMMARY
 
 _TIMES = ("created_at", "updated_at")
@@ -23,7 +24,9 @@ def _sql_shown(columns: list[str]) -> str:
 
 @query(f"{views('runs')} SELECT {_sql_shown(RUN.names)} FROM runs")
 def scan_runs(spark: SparkSession, d: str) -> DataFrame:
-    return _shown(tables.runs(spark, d), RUN.names)
+    path = new_path(spark, "runs")
+    tables.runs(spark, d).write.parquet(path)
+    return _shown(tables.scan_runs(spark, path), RUN.names)
 
 
 _LINES = "CASE event_id % 6 WHEN 0 THEN '  ' WHEN 1 THEN '{bad' WHEN 2 THEN '3' WHEN 3 THEN '[1,2]' ELSE '{\"timestamp\":\"' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || 'Z\",\"type\":\"' || event_type || '\",\"payload\":' || props || '}  ' END"
@@ -40,14 +43,10 @@ def scan_event_log(spark: SparkSession, d: str) -> DataFrame:
     return out.select("event_id", "type", F.get_json_object("payload", "$.k").cast("long").alias("k"), F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"), F.length("value").cast("long").alias("n_chars"))
 
 
-@query()
+@query("SELECT strftime(ts, '%Y-%m-%d') AS date, count(*) AS n FROM events GROUP BY 1")
 def append_events(spark: SparkSession, d: str) -> DataFrame:
     """Appends the log twice, by date, and reads back how many events each date has."""
-    import tempfile
-    import uuid
-
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quern-")
-    path = f"{shared.rstrip('/')}/quern-log-{uuid.uuid4().hex}"
+    path = new_path(spark, "log")
     m = tables.messages(spark, d).select(F.col("ts").alias("timestamp"), F.col("channel").alias("type"), F.to_json(F.struct("value", "k")).alias("payload"))
     logs.append_events(m.where("type <> 'error'"), path)
     logs.append_events(m.where("type = 'error'"), path)

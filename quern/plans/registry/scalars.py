@@ -29,16 +29,18 @@ def fnv1a_bucket(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{views('doc_tokens', 'doc_postings')} SELECT id, string_agg(idx, '|' ORDER BY idx) AS indices, string_agg(CAST(w AS BIGINT), '|' ORDER BY idx) AS counts FROM doc_postings GROUP BY id")
 def sparse_vector(spark: SparkSession, d: str) -> DataFrame:
-    v = T.sparse_vectors(T.postings(_docs(spark, d), "doc_id"))
+    v = T.sparse_vectors(T.sparse_rows(_docs(spark, d), "doc_id"))
     return v.select("id", joined("sparse.indices").alias("indices"), F.array_join(F.transform("sparse.values", lambda x: x.cast("long").cast("string")), "|").alias("counts"))
 
 
-@query("""SELECT p_partkey, array_to_string(list_transform(list_filter([p_partkey % 5, p_partkey % 7 + 10, 99], lambda i: CASE WHEN i = 99 THEN p_size > 0 WHEN i < 10 THEN p_retailprice > 950 ELSE p_size % 3 > 0 END), lambda i: i), '|') AS indices FROM part""")
+@query("""SELECT p_partkey, array_to_string(list_filter([-4, p_partkey % 5, p_partkey % 7 + 10, 99, p_partkey + 1000000], lambda i: CASE WHEN i = -4 THEN p_size % 2 > 0 WHEN i = 99 THEN p_size > 0 WHEN i < 10 THEN p_retailprice > 950 WHEN i < 99 THEN p_size % 3 > 0 ELSE true END), '|') AS indices FROM part""")
 def sparse_clean(spark: SparkSession, d: str) -> DataFrame:
-    """Weights with keys and values that are no numbers, and values that are not above 0."""
+    """Weights with keys of either sign and any size, keys and values that are no numbers, and values that are not above 0."""
     p = tables.table(spark, d, "part")
     k = F.col("p_partkey")
-    m = F.map_from_arrays(F.array((k % 5).cast("string"), (k % 7 + 10).cast("string"), F.lit("99"), F.lit("x1"), F.lit("7e")), F.array((F.col("p_retailprice") - 950).cast("string"), (F.col("p_size") % 3).cast("string"), F.col("p_size").cast("string"), F.lit("1.0"), F.lit("bad")))
+    keys = [(k % 5).cast("string"), (k % 7 + 10).cast("string"), F.lit("99"), F.lit("x1"), F.lit("7e"), F.concat(F.lit(" +"), (k + 1000000).cast("string")), F.lit("-4"), F.lit("12.7"), F.lit("77"), F.lit("78")]
+    values = [(F.col("p_retailprice") - 950).cast("string"), (F.col("p_size") % 3).cast("string"), F.col("p_size").cast("string"), F.lit("1.0"), F.lit("bad"), F.lit("1e-3"), (F.col("p_size") % 2).cast("string"), F.lit("1.0"), F.lit("nan"), F.lit("3d")]
+    m = F.map_from_arrays(F.array(*keys), F.array(*values))
     return p.select("p_partkey", F.array_join(F.transform(T.clean_weights(m), lambda x: x["idx"].cast("string")), "|").alias("indices"))
 
 
@@ -75,14 +77,16 @@ def model_tier(spark: SparkSession, d: str) -> DataFrame:
     return _models(spark, d).select("p_partkey", names.model_tier(F.col("name")).alias("tier"))
 
 
-@query("""WITH n AS (SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 0 ELSE event_id * event_id * 37 END AS b FROM events)
-    SELECT event_id, CASE WHEN b <= 0 THEN 'N/A' WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN printf('%.1f', floor(b / 1024.0::DOUBLE * 10 + 0.5) / 10) || ' KB' WHEN b < 1073741824 THEN printf('%.1f', floor(b / 1048576.0::DOUBLE * 10 + 0.5) / 10) || ' MB' ELSE printf('%.1f', floor(b / 1073741824.0::DOUBLE * 10 + 0.5) / 10) || ' GB' END AS bytes,
-        CASE WHEN b < 1048576 THEN printf('%.1f', floor(b / 1024.0::DOUBLE * 10 + 0.5) / 10) || ' KB/s' ELSE printf('%.1f', floor(b / 1048576.0::DOUBLE * 10 + 0.5) / 10) || ' MB/s' END AS rate,
-        CASE WHEN event_id * 97 >= 86400 THEN (event_id * 97 // 86400) || 'd ' || (event_id * 97 // 3600 % 24) || 'h' WHEN event_id * 97 >= 3600 THEN (event_id * 97 // 3600) || 'h ' || (event_id * 97 // 60 % 60) || 'm' ELSE (event_id * 97 // 60) || 'm' END AS uptime, (event_id // 60) || 'm ' || (event_id % 60) || 's' AS eta FROM n""")
+@query("""WITH n AS (SELECT event_id, CASE event_id % 11 WHEN 0 THEN 0 WHEN 1 THEN NULL ELSE event_id * event_id * 37 END AS b, event_id * 97 AS up, event_id / 2.0::DOUBLE AS s FROM events),
+    r AS (SELECT *, b / 1024.0::DOUBLE AS kb, b / 1048576.0::DOUBLE AS mb, b / 1073741824.0::DOUBLE AS gb FROM n)
+    SELECT event_id, CASE WHEN coalesce(b, 0) = 0 THEN 'N/A' WHEN kb < 1 THEN b || ' B' WHEN mb < 1 THEN printf('%.1f', floor(kb * 10 + 0.5) / 10) || ' KB' WHEN gb < 1 THEN printf('%.1f', floor(mb * 10 + 0.5) / 10) || ' MB' ELSE printf('%.1f', floor(gb * 10 + 0.5) / 10) || ' GB' END AS bytes,
+        CASE WHEN coalesce(b, 0) = 0 THEN '0 B/s' WHEN kb < 1024 THEN printf('%.1f', floor(kb * 10 + 0.5) / 10) || ' KB/s' ELSE printf('%.2f', floor(mb * 100 + 0.5) / 100) || ' MB/s' END AS rate,
+        CASE WHEN up = 0 THEN 'N/A' WHEN up // 86400 > 0 THEN (up // 86400) || 'd ' || (up % 86400 // 3600) || 'h' WHEN up // 3600 > 0 THEN (up // 3600) || 'h ' || (up % 3600 // 60) || 'm' ELSE (up // 60) || 'm' END AS uptime,
+        CASE WHEN s = 0 THEN 'Estimating...' WHEN s < 60 THEN CAST(floor(s) AS BIGINT) || 's' ELSE CAST(floor(s / 60) AS BIGINT) || 'm ' || CAST(floor(s % 60) AS BIGINT) || 's' END AS eta FROM r""")
 def format_units(spark: SparkSession, d: str) -> DataFrame:
-    e = tables.table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 11 == 0, 0).otherwise(F.col("event_id") * F.col("event_id") * 37).cast("long").alias("b"))
-    up = F.col("event_id") * 97
-    return e.select("event_id", names.format_bytes(F.col("b")).alias("bytes"), names.format_rate(F.col("b").cast("double")).alias("rate"), names.format_uptime(up).alias("uptime"), names.format_eta(F.col("event_id")).alias("eta"))
+    m = F.col("event_id") % 11
+    e = tables.table(spark, d, "events").select("event_id", F.when(m == 0, F.lit(0)).when(m != 1, F.col("event_id") * F.col("event_id") * 37).cast("long").alias("b"))
+    return e.select("event_id", names.format_bytes(F.col("b")).alias("bytes"), names.format_rate(F.col("b").cast("double")).alias("rate"), names.format_uptime(F.col("event_id") * 97).alias("uptime"), names.format_eta(F.col("event_id") / 2.0).alias("eta"))
 
 
 _LOCAL_URL = "CASE page_id % 4 WHEN 0 THEN regexp_replace(url, '^(https?)://[^/]*', '\\1://localhost:80' || page_id) WHEN 1 THEN regexp_replace(url, '^(https?)://[^/]*', '\\1://127.0.0.1') WHEN 2 THEN regexp_replace(url, '^(https?)://[^/]*', '\\1://[::1]:9') ELSE url END"
@@ -101,10 +105,11 @@ def rewrite_localhost(spark: SparkSession, d: str) -> DataFrame:
     return _local(spark, d).select("page_id", urls.rewrite_localhost(F.col("url"), "https", "docs.example.org").alias("url"))
 
 
-@query(r"""SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'thread_' || page_id || '.json' WHEN 1 THEN 'thread_' || page_id || '.json' WHEN 2 THEN 'a+b c/' || page_id WHEN 3 THEN 'q' || page_id WHEN 4 THEN '' ELSE regexp_replace(regexp_replace(regexp_replace(url, '^[a-z]+://[^/?#]*/*', ''), '#.*$', ''), '\?.*$', '') END AS path FROM pages""")
+@query(r"""SELECT page_id, CASE page_id % 8 WHEN 0 THEN 'thread_' || page_id || '.json' WHEN 1 THEN 'thread_4.json' WHEN 2 THEN 'a+b c/' || page_id WHEN 3 THEN 'q' || page_id WHEN 4 THEN '' WHEN 5 THEN 'Thread_' || page_id || '.json' WHEN 6 THEN 'forum/' || page_id || '/' ELSE regexp_replace(regexp_replace(url, '^[a-z]+://[^/?#]*/*', ''), '[?#].*$', '') END AS path FROM pages""")
 def url_to_doc_path(spark: SparkSession, d: str) -> DataFrame:
-    m, i = F.col("page_id") % 6, F.col("page_id").cast("string")
-    u = F.when(m == 0, F.concat(F.lit("/forum/thread/"), i, F.lit("#p3"))).when(m == 1, F.concat(F.lit("https://x.example/forum/4/"), i)).when(m == 2, F.concat(F.lit("//a%2Bb%20c/"), i)).when(m == 3, F.concat(F.lit("q"), i, F.lit("%3Fpage=2"))).when(m == 4, F.lit("#top")).otherwise(F.col("url"))
+    m, i = F.col("page_id") % 8, F.col("page_id").cast("string")
+    q = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    u = F.when(m == 0, q("/forum/Thread/", i, "#p3")).when(m == 1, q("https://x.example/forum/4/", i, "?p=1")).when(m == 2, q("//a%2Bb%20c/", i)).when(m == 3, q("q", i, "%3Fpage=2")).when(m == 4, F.lit("#top")).when(m == 5, q("/Thread_", i)).when(m == 6, q("forum/", i, "/")).otherwise(F.col("url"))
     return tables.table(spark, d, "pages").select("page_id", urls.document_path(u).alias("path"))
 
 
@@ -181,17 +186,18 @@ def completion_normalize(spark: SparkSession, d: str) -> DataFrame:
     return out.select("event_id", "c.content", "c.finish_reason", "c.total_tokens")
 
 
-@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_id % 8 = 0 WHEN 1 THEN event_id % 3 = 0 WHEN 2 THEN event_id % 600 < 500 ELSE false END AS healthy, CASE event_id % 4 WHEN 0 THEN event_id WHEN 1 THEN event_id + 1 ELSE 0 END AS points, CASE event_id % 4 WHEN 0 THEN 25.0 WHEN 1 THEN 50.0 ELSE 0.0 END::DOUBLE AS heap_percent FROM events""")
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_id % 8 = 0 WHEN 1 THEN event_id % 3 = 0 WHEN 2 THEN event_id % 600 < 500 ELSE false END AS healthy,
+    CASE event_id % 4 WHEN 0 THEN true WHEN 1 THEN event_id % 3 = 0 WHEN 2 THEN event_id % 600 < 500 ELSE false END AS reachable, CASE event_id % 4 WHEN 0 THEN true WHEN 1 THEN event_id % 3 = 0 ELSE false END AS api_ok, event_id % 4 < 2 AS qdrant_ok,
+    CASE event_id % 4 WHEN 0 THEN event_id WHEN 1 THEN event_id + 1 ELSE 0 END AS points, CASE event_id % 4 WHEN 0 THEN event_id // 2 ELSE 0 END AS indexed, CASE event_id % 4 WHEN 0 THEN 25.0 WHEN 1 THEN 50.0 ELSE 0.0 END::DOUBLE AS heap_percent FROM events""")
 def health_normalize(spark: SparkSession, d: str) -> DataFrame:
     e = tables.table(spark, d, "events")
     i = F.col("event_id")
     q = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
-    old = q('{"status":"', F.when(i % 8 == 0, "healthy").otherwise("down"), '","services":{"api":"ok","qdrant":"ok"},"collection":{"points":', i, '},"heap":{"used":1,"total":4}}')
-    new = q('{"reachable":', F.when(i % 3 == 0, "true").otherwise("false"), ',"details":{"collection":{"points":', i + 1, '},"heap":{"used":2,"total":4}}}')
-    code = q('{"code":', i % 600, "}")
+    old = q('{"status":"', F.when(i % 8 == 0, "healthy").otherwise("down"), '","services":{"api":"ok","qdrant":"ok"},"collection":{"pointsCount":', i, ',"indexedVectorsCount":', F.floor(i / 2), '},"memory":{"heapUsed":1,"heapTotal":4}}')
+    new = q('{"reachable":', F.when(i % 3 == 0, "true").otherwise("false"), ',"details":{"qdrant":{"status":"ok","details":{"collections":{"documents":{"points_count":', i + 1, '}}}},"memory":{"heapUsed":2,"heapTotal":4}}}')
+    code = q('{"status_code":', i % 600, "}")
     body = F.when(i % 4 == 0, old).when(i % 4 == 1, new).when(i % 4 == 2, code).otherwise("{}")
-    out = e.select("event_id", payloads.health(body).alias("h"))
-    return out.select("event_id", "h.healthy", "h.points", "h.heap_percent")
+    return e.select("event_id", payloads.health(body).alias("h")).select("event_id", "h.*")
 
 
 @query("SELECT p_partkey, floor((CAST(p_size AS BIGINT) * 512 / 8192.0::DOUBLE * CASE WHEN p_partkey % 6 = 0 THEN 4.0::DOUBLE ELSE p_partkey * 10000000 / 1073741824.0::DOUBLE END * 0.35::DOUBLE) * 100 + 0.5) / 100 AS gb FROM part")

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,16 +10,12 @@ from quern.plans.registry.messages import _COOLDOWN
 from quern.plans.registry.telemetry import _COUNTERS
 from quern.session import configured
 from quern.sources import tables
+from quern.sources.staging import new_path, staged
 from quern.streaming import streams as ops
 
 EVENT = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quern-")
-    return f"{shared.rstrip('/')}/quern-{name}-{uuid.uuid4().hex}"
-
-
 def _source(spark: SparkSession, d: str, name: str) -> DataFrame:
     """A table as a file stream; the reader takes the table's file or folder."""
     schema = tables.table(spark, d, name).schema
@@ -34,10 +27,35 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
     return e.select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("session"), F.col("event_type").alias("channel"), "value", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
+#: Days of event time in a file of ``_arriving``, and how far its watermark lags.
+SLOT_DAYS, LAG_DAYS = 6, 13
+
+
+def _arriving(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """Rows (with a timestamp ``ts``) as a stream that takes one stretch of time after the other, as files that were
+    written in that order, with one late: a tenth of the second stretch comes after the third. One trigger a stretch."""
+    path = new_path(spark, "arriving")
+    slot = F.floor(F.unix_seconds("ts") / (86400 * SLOT_DAYS))
+    cut = staged(rows.withColumn("_slot", slot), "slots")
+    order = sorted(r[0] for r in cut.select("_slot").distinct().collect())
+    late = F.pmod(F.xxhash64("id"), F.lit(10)) == 7
+    parts = [F.col("_slot") == k if n != 1 else (F.col("_slot") == k) & ~late for n, k in enumerate(order)]
+    if len(order) > 2:
+        parts.insert(3, (F.col("_slot") == order[1]) & late)
+    files = max(1, cut.count() // 4_000_000)
+    for part in parts:
+        cut.where(part).drop("_slot").coalesce(files).write.mode("append").parquet(path)
+    reader = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files)
+    return reader.parquet(path).withWatermark("ts", f"{LAG_DAYS} days")
+
+
+_PASSED = f"(SELECT max(ts) - INTERVAL {LAG_DAYS} DAY FROM messages)"
+
+
 def _ran(out: DataFrame, mode: str = "append") -> DataFrame:
     """Runs a stream over all that is there and reads its sink. Updates are kept with their batch's number."""
     spark = configured(out.sparkSession)
-    path = _folder(spark, "stream")
+    path = new_path(spark, "stream")
     writer = out.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
     if mode == "append":
         done = writer.format("parquet").option("path", f"{path}/out").start()
@@ -50,8 +68,8 @@ def _ran(out: DataFrame, mode: str = "append") -> DataFrame:
 
 @query("SELECT event_id AS id, event_type AS channel, value FROM events WHERE event_type IN ('view', 'error')")
 def stream_events(spark: SparkSession, d: str) -> DataFrame:
-    rows = _events(spark, d).withWatermark("ts", "10 minutes").where(F.col("channel").isin("view", "error"))
-    return _ran(rows.select("id", "channel", "value"))
+    rows = ops.stream_events(spark, f"{d}/events.parquet*", tables.table(spark, d, "events").schema, channels=["view", "error"])
+    return _ran(rows.select(F.col("event_id").alias("id"), F.col("event_type").alias("channel"), "value"))
 
 
 @query(f"""{views('tokens')}, c AS (SELECT run_id, min(ts) AS a, max(ts) AS b, count(*) AS n FROM tokens GROUP BY run_id)
@@ -71,18 +89,29 @@ def stream_last_n(spark: SparkSession, d: str) -> DataFrame:
     return last.select("key", F.array_join(F.transform("ids", lambda x: x.cast("string")), "|").alias("ids"))
 
 
-@query(_COOLDOWN.replace("SELECT session, id, accepted, CAST(ceil(wait_us / 1e6) AS BIGINT) AS wait_s FROM r", "SELECT session AS key, id, accepted FROM r"))
+@query(_COOLDOWN.replace("SELECT session, id, accepted, CAST(ceil(wait_us / 1e6) AS BIGINT) AS wait_s FROM r", f"SELECT session AS key, id, accepted FROM r WHERE ts <= {_PASSED}".replace("messages", "events")))
 def stream_cooldown(spark: SparkSession, d: str) -> DataFrame:
-    return _ran(ops.stream_cooldown(_events(spark, d), 14400))
+    """Over several files, one of them late: what the watermark has passed."""
+    rows = tables.messages(spark, d).select("id", "ts", "session")
+    return _ran(ops.stream_cooldown(_arriving(spark, rows), 14400, ordered=True))
 
 
-@query("""WITH m AS (SELECT role AS key, conv_id * 100 + turn AS id, CASE WHEN turn % 2 = 0 THEN 'c' || conv_id END AS conversation FROM conversations)
-    SELECT key, id, last_value(conversation IGNORE NULLS) OVER (PARTITION BY key ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS context FROM m""")
+@query(f"""{views('messages')}, m AS (SELECT session AS key, id, ts, CASE WHEN k % 2 = 0 THEN channel || k END AS conversation FROM messages), r AS (SELECT key, id, ts, last_value(conversation IGNORE NULLS) OVER (PARTITION BY key ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS context FROM m)
+    SELECT key, id, context FROM r WHERE ts <= {_PASSED}""")
 def stream_context(spark: SparkSession, d: str) -> DataFrame:
-    c = _source(spark, d, "conversations")
-    n = F.col("conv_id") * 100 + F.col("turn")
-    m = c.select(F.col("role").alias("channel"), n.alias("id"), F.timestamp_seconds(n).alias("ts"), F.when(F.col("turn") % 2 == 0, F.concat(F.lit("c"), F.col("conv_id").cast("string"))).alias("conversation"))
-    return _ran(ops.stream_context(m))
+    """Sessions as channels, over several files, one of them late: what the watermark has passed."""
+    conversation = F.when(F.col("k") % 2 == 0, F.concat("channel", F.col("k").cast("string")))
+    rows = tables.messages(spark, d).select("id", "ts", "session", conversation.alias("conversation"))
+    return _ran(ops.stream_context(_arriving(spark, rows), "session", ordered=True))
+
+
+@query(f"""{views('messages')}, r AS (SELECT session AS key, ts, lead(ts) OVER (PARTITION BY session ORDER BY ts, id) - ts AS gap FROM messages)
+    SELECT key, {sql_time('ts')} AS last_seen, count(*) AS n FROM r WHERE coalesce(gap > INTERVAL 12 HOUR, true) AND ts + INTERVAL 12 HOUR <= {_PASSED} GROUP BY 1, 2""")
+def stream_stale(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions that are silent for over twelve hours, over several files, one of them late: what the watermark has passed."""
+    rows = tables.messages(spark, d).select("id", "ts", "session")
+    out = _ran(ops.stream_stale(_arriving(spark, rows), 12 * 3600, "session"))
+    return out.groupBy("key", text_time("last_seen").alias("last_seen")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT event_id AS id, event_type AS channel FROM events")
@@ -104,14 +133,15 @@ def stream_throughput(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{views('chunks')} SELECT id, chunk_no, len(x) AS n_tokens FROM chunks")
 def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
-    path = _folder(spark, "ingest")
+    path = new_path(spark, "ingest")
     docs = _source(spark, d, "documents").select("doc_id", "text")
     ops.stream_ingest(docs, f"{path}/chunks", f"{path}/checkpoint").awaitTermination()
     return ops.latest_chunks(spark, f"{path}/chunks").select("id", "chunk_no", "n_tokens")
 
 
-@query(f"""{views('messages')}, c AS ({_COUNTERS}), r AS (SELECT session AS key, id, rx - lag(rx) OVER w AS d, greatest(0.001::DOUBLE, (epoch_us(ts) - lag(epoch_us(ts)) OVER w) / 1e6::DOUBLE) AS dt FROM c WINDOW w AS (PARTITION BY session ORDER BY ts, id))
-    SELECT key, id, CASE WHEN d IS NOT NULL THEN greatest(0, CAST(trunc(d / dt) AS BIGINT)) END AS rate FROM r""")
+@query(f"""{views('messages')}, c AS ({_COUNTERS}), r AS (SELECT session AS key, id, ts, rx - lag(rx) OVER w AS d, greatest(0.001::DOUBLE, (epoch_us(ts) - lag(epoch_us(ts)) OVER w) / 1e6::DOUBLE) AS dt FROM c WINDOW w AS (PARTITION BY session ORDER BY ts, id))
+    SELECT key, id, CASE WHEN d IS NOT NULL THEN greatest(0, CAST(trunc(d / dt) AS BIGINT)) END AS rate FROM r WHERE ts <= {_PASSED}""")
 def stream_telemetry_rate(spark: SparkSession, d: str) -> DataFrame:
-    e = _events(spark, d).select("session", "ts", "id", (F.col("id") * 1000 + F.col("k")).alias("rx"))
-    return _ran(ops.stream_rate(e, "rx", "session"))
+    """Over several files, one of them late: what the watermark has passed."""
+    rows = tables.messages(spark, d).select("session", "ts", "id", (F.col("id") * 1000 + F.col("k")).alias("rx"))
+    return _ran(ops.stream_rate(_arriving(spark, rows), "rx", "session", ordered=True))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.operators import telemetry as ops
@@ -59,12 +59,12 @@ def telemetry_in_run(spark: SparkSession, d: str) -> DataFrame:
     return ops.samples_in_runs(runs, m.select("session", "ts", "id", "value"), by="session").select("run_id", "session", "id", "value")
 
 
-@query(f"""{views('messages')}, r AS (SELECT id AS run_id, session, ts + INTERVAL 30 SECOND AS t FROM messages WHERE id % 10 = 3), s AS (SELECT session, ts, value FROM messages WHERE id % 2 = 0)
+@query(f"""{views('messages')}, r AS (SELECT id AS run_id, session, ts + INTERVAL 30 SECOND AS t FROM messages WHERE id % 10 = 3), s AS (SELECT session, ts, arg_max(value, id) AS value FROM messages GROUP BY session, ts)
     SELECT r.run_id, r.session, {sql_time('s.ts')} AS snapshot_at, s.value FROM r ASOF LEFT JOIN s ON r.session = s.session AND r.t >= s.ts""")
 def snapshot_asof(spark: SparkSession, d: str) -> DataFrame:
     m = tables.messages(spark, d)
     runs = m.where("id % 10 = 3").select(F.col("id").alias("run_id"), "session", (F.col("ts") + F.expr("interval 30 seconds")).alias("started_at"))
-    return ops.snapshot_asof(runs, m.where("id % 2 = 0"), "value", "session").select("run_id", "session", text_time("snapshot_at").alias("snapshot_at"), "value")
+    return ops.snapshot_asof(runs, m, "value", "session").select("run_id", "session", text_time("snapshot_at").alias("snapshot_at"), "value")
 
 
 @query(f"""{views('messages')}, c AS (SELECT channel AS series, ts, id, 1 AS change FROM messages UNION ALL SELECT channel, ts + to_microseconds(k * 60000000), id + 100000000, -1 FROM messages)
@@ -77,20 +77,20 @@ def active_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 # Time runs 600 times faster here, so that a window of a minute has several samples.
-_PROGRESS = """SELECT channel AS job, epoch_us(ts) // 600 AS t, id, sum(k) OVER (PARTITION BY channel ORDER BY ts, id ROWS UNBOUNDED PRECEDING) - CASE WHEN id % 50 = 0 THEN 30 ELSE 0 END AS processed,
-    min(epoch_us(ts) // 600) OVER (PARTITION BY channel) AS t0 FROM messages"""
+_PROGRESS = """SELECT channel AS job, epoch_us(ts) // 600 AS t, id, (epoch_us(ts) // 600 - t0) // 100000 + k - CASE WHEN id % 50 = 0 THEN 30 ELSE 0 END AS processed, t0
+    FROM messages JOIN (SELECT channel, min(epoch_us(ts) // 600) AS t0 FROM messages GROUP BY channel) USING (channel)"""
 
 
 def _progress(spark: SparkSession, d: str) -> DataFrame:
-    m = tables.messages(spark, d)
-    w = Window.partitionBy("channel").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0)
-    fast = m.select(F.col("channel").alias("job"), F.timestamp_micros(F.expr("unix_micros(ts) div 600")).alias("ts"), "id", (F.sum("k").over(w) - F.when(F.col("id") % 50 == 0, 30).otherwise(0)).alias("processed"))
-    return fast.withColumn("started_at", F.min("ts").over(Window.partitionBy("job")))
+    m = tables.messages(spark, d).select(F.col("channel").alias("job"), F.expr("unix_micros(ts) div 600").alias("t"), "id", "k")
+    m = m.join(m.groupBy("job").agg(F.min("t").alias("t0")), "job")
+    processed = F.expr("(t - t0) div 100000") + F.col("k") - F.when(F.col("id") % 50 == 0, 30).otherwise(0)
+    return m.select("job", F.timestamp_micros("t").alias("ts"), "id", processed.alias("processed"), F.timestamp_micros("t0").alias("started_at"))
 
 
-_RATE = f"""p AS ({_PROGRESS}), f AS (SELECT *, greatest(min(struct_pack(t := t, id := id, v := processed)) OVER (PARTITION BY job ORDER BY t RANGE BETWEEN 60000000 PRECEDING AND CURRENT ROW), min(struct_pack(t := t, id := id, v := processed)) OVER (PARTITION BY job ORDER BY t, id ROWS BETWEEN 119 PRECEDING AND CURRENT ROW)) AS a,
-        least(count(*) OVER (PARTITION BY job ORDER BY t RANGE BETWEEN 60000000 PRECEDING AND CURRENT ROW), count(*) OVER (PARTITION BY job ORDER BY t, id ROWS BETWEEN 119 PRECEDING AND CURRENT ROW)) AS held FROM p),
-    r AS (SELECT job, id, CAST(processed AS BIGINT) AS processed, CASE WHEN held < 2 THEN processed::DOUBLE / greatest(1.0::DOUBLE, (t - t0) / 1e6::DOUBLE) ELSE greatest(0.0::DOUBLE, (processed - a.v)::DOUBLE) / greatest(1.0::DOUBLE, (t - a.t) / 1e6::DOUBLE) END AS rate FROM f)"""
+_RATE = f"""p AS ({_PROGRESS}), o AS (SELECT *, row_number() OVER (PARTITION BY job ORDER BY t, id) AS n FROM p),
+    f AS (SELECT *, greatest(min(n) OVER (PARTITION BY job ORDER BY t RANGE BETWEEN 60000000 PRECEDING AND CURRENT ROW), n - 119) AS a FROM o),
+    r AS (SELECT f.job, f.id, CAST(f.processed AS BIGINT) AS processed, CASE WHEN f.a = f.n THEN f.processed::DOUBLE / greatest(1.0::DOUBLE, (f.t - f.t0) / 1e6::DOUBLE) ELSE greatest(0.0::DOUBLE, (f.processed - b.processed)::DOUBLE) / greatest(1.0::DOUBLE, (f.t - b.t) / 1e6::DOUBLE) END AS rate FROM f JOIN o b ON b.job = f.job AND b.n = f.a)"""
 
 
 @query(f"{views('messages')}, {_RATE} SELECT job, id, round(rate, 6) AS rate FROM r")
@@ -98,16 +98,17 @@ def trailing_throughput(spark: SparkSession, d: str) -> DataFrame:
     return ops.throughput(_progress(spark, d)).select("job", "id", F.round("rate", 6).alias("rate"))
 
 
-@query(f"""{views('messages')}, {_RATE}, e AS (SELECT job, id, greatest(0, 90000 - processed) AS remaining, CASE WHEN rate > 0 THEN CAST(ceil(greatest(0, 90000 - processed) / rate) AS BIGINT) ELSE 0 END AS eta_s, round(least(100.0::DOUBLE, 100.0::DOUBLE * processed / 90000), 4) AS percent FROM r)
-    SELECT job, id, remaining, eta_s, percent, (eta_s // 60) || 'm ' || (eta_s % 60) || 's' AS eta FROM e""")
+@query(f"""{views('messages')}, {_RATE}, g AS (SELECT job, id, greatest(0, 90000 - processed) AS remaining, rate, round(least(100.0::DOUBLE, 100.0::DOUBLE * processed / 90000), 4) AS percent FROM r),
+    e AS (SELECT *, CASE WHEN rate > 0 THEN remaining / rate ELSE 0.0::DOUBLE END AS s FROM g)
+    SELECT job, id, remaining, CAST(floor(s) AS BIGINT) AS eta_s, percent, CASE WHEN s = 0 THEN 'Estimating...' WHEN floor(s / 60) <= 0 THEN CAST(floor(s % 60) AS BIGINT) || 's' ELSE CAST(floor(s / 60) AS BIGINT) || 'm ' || CAST(floor(s % 60) AS BIGINT) || 's' END AS eta FROM e""")
 def ingest_eta(spark: SparkSession, d: str) -> DataFrame:
     p = ops.throughput(_progress(spark, d)).withColumn("total", F.lit(90000).cast("long"))
-    return ops.eta(p).select("job", "id", "remaining", "eta_s", "percent", "eta")
+    return ops.eta(p).select("job", "id", "remaining", F.floor("eta_s").cast("long").alias("eta_s"), "percent", "eta")
 
 
 @query(f"""{views('messages')}, g AS (SELECT session, id, (epoch_us(lead(ts) OVER (PARTITION BY session ORDER BY ts, id)) - epoch_us(ts)) / 1e6::DOUBLE AS gap_s FROM messages)
     SELECT session, id, round(gap_s, 6) AS gap_s, coalesce(gap_s > 3600, false) AS stale FROM g""")
-def stream_stale(spark: SparkSession, d: str) -> DataFrame:
+def stale_gaps(spark: SparkSession, d: str) -> DataFrame:
     out = ops.stale(tables.messages(spark, d), 3600, "session")
     return out.select("session", "id", F.round("gap_s", 6).alias("gap_s"), "stale")
 

@@ -10,9 +10,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.text import clean_weights, postings, sparse_vectors
+from quern.functions.text import clean_weights, let, run_ends, sparse_rows, sparse_vectors
 from quern.functions.vectors import checked, l2_normalize
 from quern.operators.retrieval import compare_modes, dense_scores, fuse_relative, fuse_rrf, rerank, sparse_scores, top_k
+from quern.sources.staging import staged
 
 
 class Embedder(Protocol):
@@ -33,14 +34,23 @@ class HashEmbedder:
     dimension: int = 1024
 
     def __call__(self, texts: DataFrame) -> DataFrame:
-        p = postings(texts, "id")
-        place = (F.col("idx") % self.dimension).cast("int")
-        sign = F.when(F.floor(F.col("idx") / self.dimension) % 2 == 0, 1.0).otherwise(-1.0)
-        folded = p.groupBy("id", place.alias("at")).agg(F.sum(F.col("w") * sign).alias("x"))
-        rows = folded.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("at", "x"))).alias("m"))
-        dense = F.transform(F.sequence(F.lit(0), F.lit(self.dimension - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0)))
-        out = texts.select("id", "text").join(rows, "id", "left")
-        return out.select("id", l2_normalize(F.when(F.col("m").isNull(), F.array_repeat(F.lit(0.0), self.dimension)).otherwise(dense)).alias("embedding"))
+        place = lambda x: (x["idx"] % self.dimension).cast("int")
+        signed = lambda x: x["w"] * F.when(F.floor(x["idx"] / self.dimension) % 2 == 0, 1.0).otherwise(-1.0)
+        zeros = lambda n: F.array_repeat(F.lit(0.0), n)
+
+        def summed(p: Column, ends: Column) -> Column:
+            """Runs of one place added up."""
+            start = lambda k: F.coalesce(F.get(ends, k - 1), F.lit(0))
+            return F.transform(ends, lambda e, k: F.struct(F.get(p, e - 1)["key"].alias("at"), F.aggregate(F.slice(p, start(k) + 1, e - start(k)), F.lit(0.0), lambda a, x: a + x["x"]).alias("x")))
+
+        def filled(s: Column) -> Column:
+            """Zeros between the places, and after the last."""
+            at = lambda k: F.coalesce(F.get(s, k)["at"], F.lit(-1))
+            return F.concat(F.flatten(F.transform(s, lambda p, k: F.concat(zeros(p["at"] - at(k - 1) - 1), F.array(p["x"])))), zeros(F.lit(self.dimension - 1) - at(F.size(s) - 1)))
+
+        by_place = F.array_sort(F.transform("pairs", lambda x: F.struct(place(x).alias("key"), signed(x).alias("x"))))
+        dense = let(by_place, lambda p: let(let(run_ends(p), lambda ends: summed(p, ends)), filled))
+        return sparse_rows(texts, "id").select("id", let(dense, l2_normalize).alias("embedding"))
 
 
 @dataclass
@@ -91,9 +101,8 @@ def embed_hybrid(texts: DataFrame, embedder: Embedder, weights: DataFrame | None
     """``id``, ``embedding`` and ``sparse`` of each text (id, text). Model weights (id, weights: map of strings) are
     cleaned, and used where any is left; else the hashed counts."""
     dense, _ = checked(embedder(texts), "embedding", embedder.dimension)
-    sparse = sparse_vectors(postings(texts, "id"))
-    none = F.struct(F.array().cast("array<bigint>").alias("indices"), F.array().cast("array<double>").alias("values"))
-    out = texts.select("id").join(dense, "id", "left").join(sparse, "id", "left").withColumn("sparse", F.coalesce("sparse", none))
+    pairs = sparse_rows(texts, "id").select("id", F.struct(F.transform("pairs", lambda x: x["idx"]).alias("indices"), F.transform("pairs", lambda x: x["w"]).alias("values")).alias("sparse"))
+    out = pairs.join(dense, "id", "left").select("id", "embedding", "sparse")
     if weights is None:
         return out
     clean = weights.select("id", clean_weights(F.col("weights")).alias("p")).where(F.size("p") > 0)
@@ -103,18 +112,18 @@ def embed_hybrid(texts: DataFrame, embedder: Embedder, weights: DataFrame | None
 
 @dataclass
 class Corpus:
-    """vectors: id, embedding; postings: id, idx, w."""
+    """vectors: id, embedding; sparse: id, pairs."""
 
     vectors: DataFrame
-    postings: DataFrame
+    sparse: DataFrame
 
 
 @dataclass
 class Queries:
-    """vectors: query_id, embedding; postings: id (the query's), idx, w."""
+    """vectors: query_id, embedding; sparse: query_id, pairs."""
 
     vectors: DataFrame
-    postings: DataFrame
+    sparse: DataFrame
 
 
 @dataclass
@@ -132,18 +141,21 @@ class Settings:
 
 
 def dense_search(queries: Queries, corpus: Corpus, k: int = 6) -> DataFrame:
-    return top_k(dense_scores(queries.vectors, corpus.vectors), k)
+    return top_k(dense_scores(queries.vectors, corpus.vectors, k), k)
 
 
 def sparse_search(queries: Queries, corpus: Corpus, k: int = 50) -> DataFrame:
-    return top_k(sparse_scores(queries.postings, corpus.postings), k)
+    return top_k(sparse_scores(queries.sparse, corpus.sparse, k), k)
 
 
-def hybrid_search(queries: Queries, corpus: Corpus, settings: Settings) -> DataFrame:
-    legs = [dense_search(queries, corpus, settings.dense_leg), sparse_search(queries, corpus, settings.sparse_leg)]
+def _fused(legs: list[DataFrame], settings: Settings) -> DataFrame:
     return fuse_rrf(legs, settings.fused, settings.constant) if settings.fusion == "rrf" else fuse_relative(legs, settings.fused)
 
 
+def hybrid_search(queries: Queries, corpus: Corpus, settings: Settings) -> DataFrame:
+    return _fused([dense_search(queries, corpus, settings.dense_leg), sparse_search(queries, corpus, settings.sparse_leg)], settings)
+
+
 def retrieve(queries: Queries, corpus: Corpus, settings: Settings) -> DataFrame:
     """Results of the mode asked for: ``query_id``, ``id``, ``score``, ``rank``."""
     if settings.mode == "dense":
@@ -156,13 +168,21 @@ def retrieve(queries: Queries, corpus: Corpus, settings: Settings) -> DataFrame:
     raise ValueError(f"unknown mode {settings.mode}")
 
 
+def all_modes(queries: Queries, corpus: Corpus, settings: Settings) -> dict[str, DataFrame]:
+    """The lists of all modes. Both legs and the fused list are worked out once and staged."""
+    columns = ["query_id", "id", "score", "rank"]
+    dense = staged(dense_search(queries, corpus, max(settings.dense, settings.dense_leg)).select(columns), "dense")
+    sparse = staged(sparse_search(queries, corpus, settings.sparse_leg).select(columns), "sparse")
+    fused = staged(_fused([dense.where(F.col("rank") <= settings.dense_leg), sparse], settings).select(columns), "fused")
+    return {"dense": dense.where(F.col("rank") <= settings.dense), "hybrid": fused, "hybrid_rerank": rerank(fused, queries.vectors, corpus.vectors, settings.reranked)}
+
+
 def retrieval_debug(queries: Queries, corpus: Corpus, settings: Settings) -> DataFrame:
     """All modes of the same queries in one table (``mode`` first), dense and hybrid lists aligned in ``found_in``."""
+    lists = all_modes(queries, corpus, settings)
     out = None
-    lists = {}
-    for mode in ("dense", "hybrid", "hybrid_rerank"):
-        lists[mode] = retrieve(queries, corpus, Settings(**{**settings.__dict__, "mode": mode}))
-        one = lists[mode].select(F.lit(mode).alias("mode"), "query_id", "id", "score", "rank")
+    for mode, found in lists.items():
+        one = found.select(F.lit(mode).alias("mode"), "query_id", "id", "score", "rank")
         out = one if out is None else out.unionByName(one)
     found = compare_modes(lists["dense"], lists["hybrid"], settings.fused).select("query_id", "id", "found_in")
     return out.join(found, ["query_id", "id"], "left")
@@ -171,4 +191,4 @@ def retrieval_debug(queries: Queries, corpus: Corpus, settings: Settings) -> Dat
 def backfill_sparse(vectors: DataFrame, existing: DataFrame, texts: DataFrame) -> DataFrame:
     """Sparse vectors of all rows of ``vectors`` (id): existing ones (id, sparse), and new ones for the rest."""
     lacking = texts.join(vectors.select("id"), "id", "left_semi").join(existing.select("id"), "id", "left_anti")
-    return existing.join(vectors.select("id"), "id", "left_semi").unionByName(sparse_vectors(postings(lacking, "id")))
+    return existing.join(vectors.select("id"), "id", "left_semi").unionByName(sparse_vectors(sparse_rows(lacking, "id")))

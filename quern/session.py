@@ -12,6 +12,16 @@ SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
+#: Rows and bytes that go to a Python worker at once: texts may be long, and each task holds a batch on both sides.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
+
+def bounded(spark: SparkSession) -> SparkSession:
+    """The session with small Arrow batches, for operators over texts."""
+    for key, value in BATCHES.items():
+        spark.conf.set(key, value)
+    return spark
+
 
 def configured(spark: SparkSession) -> SparkSession:
     """The session with the settings that can change at run time."""
@@ -41,4 +51,4 @@ def shipped(spark: SparkSession) -> SparkSession:
         home = Path(__file__).resolve().parent
         folder = tempfile.mkdtemp(prefix="quern-")
         context.addPyFile(shutil.make_archive(f"{folder}/quern-package", "zip", home.parent, home.name))
-    return spark
+    return bounded(spark)

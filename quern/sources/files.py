@@ -34,6 +34,6 @@ def file_fingerprints(catalog: DataFrame, n: int = 16 << 20) -> DataFrame:
 
 def ingest_files(spark: SparkSession, folder: str, extensions: list[str]) -> DataFrame:
     """Whole text files with one of the extensions, any case: ``path``, ``text``."""
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(folder)
+    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True)
     kinds = "|".join(e.lstrip(".") for e in extensions)
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")).where(F.rlike("path", F.lit(rf"(?i)\.({kinds})$")))

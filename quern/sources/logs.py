@@ -35,15 +35,16 @@ def sse_frames(captures: DataFrame) -> tuple[DataFrame, DataFrame]:
     """JSON frames of captured streams, and blocks that are no JSON. captures: run_id, raw.
 
     CRLF is LF; a blank line ends a frame, so an unterminated last one is left out; comment lines are ignored and
-    data lines joined by LF; nothing counts from ``[DONE]`` on.
+    data lines, without the white space before them, joined by LF; nothing counts from ``[DONE]`` on.
     """
     body = F.replace("raw", F.lit("\r\n"), F.lit("\n"))
     blocks = captures.select("run_id", F.split(body, "\n\n").alias("b"))
     blocks = blocks.select("run_id", F.posexplode(F.slice("b", F.lit(1), F.size("b") - 1)).alias("pos", "block"))
     data = F.filter(F.split("block", "\n"), lambda line: F.startswith(line, F.lit("data:")))
-    joined = F.array_join(F.transform(data, lambda line: F.regexp_replace(line, "^data: ?", "")), "\n")
+    joined = F.array_join(F.transform(data, lambda line: F.regexp_replace(line, r"^data:\s*", "")), "\n")
+    joined = F.regexp_replace(joined, r"^\s+|\s+$", "")
     rows = blocks.select("run_id", F.col("pos").cast("long").alias("pos"), F.when(F.size(data) > 0, joined).alias("json")).where("json is not null")
-    end = F.min(F.when(F.trim("json") == "[DONE]", F.col("pos"))).over(Window.partitionBy("run_id"))
+    end = F.min(F.when(F.col("json") == "[DONE]", F.col("pos"))).over(Window.partitionBy("run_id"))
     rows = rows.withColumn("_end", end).where("_end is null or pos < _end").drop("_end")
     good = F.try_parse_json("json").isNotNull()
     return rows.where(good), rows.where(~good)

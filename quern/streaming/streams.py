@@ -20,7 +20,7 @@ from quern.plans.ingest import ingest
 
 def stream_events(spark: SparkSession, folder: str, schema: StructType, delay: str = "10 minutes", channels: list[str] | None = None, files_per_trigger: int | None = None) -> DataFrame:
     """Events from a folder of Parquet files, with event time and a watermark; only of the channels asked for."""
-    reader = spark.readStream.schema(schema)
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet")
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     events = reader.parquet(folder).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
@@ -146,22 +146,35 @@ def stream_last_n(events: DataFrame, n: int, by: str = "session") -> DataFrame:
 
 def stream_stale(events: DataFrame, seconds: float = 45, by: str = "job") -> DataFrame:
     """``key``, ``last_seen`` of series without an event for over ``seconds`` of event time, once each silence. events
-    need a watermark on ``ts``."""
-    after_ms = int(seconds * 1000)
+    need a watermark on ``ts``; they are held back until it has passed them, so late files change nothing."""
+    after = int(seconds * 1_000_000)
 
-    def run(key, batches, state):
-        if state.hasTimedOut:
-            last = state.get[0]
-            state.remove()
-            yield pd.DataFrame({"key": [key[0]], "last_seen": [pd.Timestamp(last, unit="ms", tz="UTC")]})
-            return
-        newest = max(int(b["ts"].max().timestamp() * 1000) for b in batches)
-        newest = max(newest, state.get[0]) if state.exists else newest
-        state.update((newest,))
-        state.setTimeoutTimestamp(max(newest + after_ms, state.getCurrentWatermarkMs() + 1))
+    def run(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        last, waiting = state.get if state.exists else (None, [])
+        waiting = list(waiting)
+        for batch in batches:
+            waiting += batch["ts"].astype("datetime64[us]").astype("int64").tolist()
+        passed = state.getCurrentWatermarkMs() * 1000
+        silent = []
+        for t in sorted(t for t in waiting if t <= passed):
+            if last is not None and t - last > after:
+                silent.append(last)
+            last = t
+        waiting = [t for t in waiting if t > passed]
+        if last is not None and last + after <= passed:
+            silent.append(last)
+            last = None
+        if last is None and not waiting:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((last, waiting))
+            state.setTimeoutTimestamp(min([*waiting, *([] if last is None else [last + after])]) // 1000 + 1)
+        if silent:
+            yield pd.DataFrame({"key": [key[0]] * len(silent), "last_seen": pd.to_datetime(silent, unit="us", utc=True)})
 
     rows = events.select(F.col(by).alias("key"), "ts")
-    return rows.groupBy("key").applyInPandasWithState(run, f"key {dict(events.dtypes)[by]}, last_seen timestamp", "last long", "append", "EventTimeTimeout")
+    return rows.groupBy("key").applyInPandasWithState(run, f"key {dict(events.dtypes)[by]}, last_seen timestamp", "last long, waiting array<long>", "append", "EventTimeTimeout")
 
 
 def stream_ingest(docs: DataFrame, folder: str, checkpoint: str, sink: Callable[[DataFrame, int], None] | None = None, target: int = 500, most: int = 700, overlap: int = 75):

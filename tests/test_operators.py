@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quern.functions import names, payloads, text, urls
 from quern.operators import documents, messages, retrieval, runs, telemetry
 from quern.plans import ingest, search
+from quern.session import bounded
 from quern.sources import logs
 from quern.sources.tables import RUN
 
@@ -172,7 +173,7 @@ def test_ingest_twice_changes_nothing(spark):
 
 
 def test_urls(spark):
-    cases = {"/thread_12": "thread_12.json", "forum/3/4": "thread_4.json", "x/thread/9": "thread_9.json", "forum/8": "thread_8.json", "a%2Bb+c": "a+b+c", "a%3Fb": "a", "#": "", "": "", None: "", "https://h/p/q?x#y": "p/q"}
+    cases = {"/thread_12": "thread_12.json", "forum/3/4": "thread_3.json", "/FORUM/thread/7": "thread_7.json", "forum/8/": "forum/8/", "Thread_2": "Thread_2.json", "x/thread/9": "thread_9.json", "forum/8": "thread_8.json", "a%2Bb+c": "a+b+c", "a%3Fb": "a", "#": "", "": "", None: "", "https://h/p/q?x#y": "p/q"}
     df = spark.createDataFrame([(k, v) for k, v in cases.items()], "u string, want string")
     assert [x.got for x in df.select(urls.document_path(F.col("u")).alias("got")).collect()] == list(cases.values())
     local = {"http://[::1]:80/x?y#z": "https://d.org:80/x?y#z", "https://localhost/p": "https://d.org/p", "http://localhost.evil/p": "http://localhost.evil/p", "ftp://localhost/": "ftp://localhost/"}
@@ -189,8 +190,8 @@ def test_names(spark):
 def test_hybrid_lists_lie_in_their_legs(spark):
     rows = [(i, [float(i % 3), 1.0, float(i)], f"w{i % 4} common") for i in range(20)]
     df = spark.createDataFrame(rows, "id long, embedding array<float>, text string")
-    p = text.postings(df, "id")
-    q = search.Queries(df.where("id < 3").select(F.col("id").alias("query_id"), "embedding"), p.where("id < 3"))
+    p = text.sparse_rows(df, "id")
+    q = search.Queries(df.where("id < 3").select(F.col("id").alias("query_id"), "embedding"), p.where("id < 3").withColumnRenamed("id", "query_id"))
     c = search.Corpus(df.select("id", "embedding"), p)
     s = search.Settings(dense_leg=5, sparse_leg=5, fused=4)
     legs = {(x.query_id, x.id) for leg in (search.dense_search(q, c, 5), search.sparse_search(q, c, 5)) for x in leg.collect()}
@@ -217,3 +218,54 @@ def test_documents_by_path_and_deletion(spark):
     a, b = documents.delete_documents(docs, chunks, docs.where("doc_id = 1"))
     assert [x.doc_id for x in a.collect()] == [2] and [x.doc_id for x in b.collect()] == [2]
     assert [x["size"] for x in documents.list_documents(docs, chunks).orderBy("path").collect()] == [1, 0]
+
+
+def test_units(spark):
+    df = spark.createDataFrame([(0.0, "N/A", "0 B/s", "N/A", "Estimating..."), (None, "N/A", "0 B/s", "N/A", "Estimating..."), (5.9, "6 B", "0.0 KB/s", "0m", "5s"), (59.9, "60 B", "0.1 KB/s", "0m", "59s"), (61.5, "62 B", "0.1 KB/s", "1m", "1m 1s"), (90061.0, "88.0 KB", "88.0 KB/s", "1d 1h", "1501m 1s"), (1572864.0, "1.5 MB", "1.50 MB/s", "18d 4h", "26214m 24s")], "n double, b string, r string, u string, e string")
+    for x in df.select("*", names.format_bytes(F.col("n")).alias("b_"), names.format_rate(F.col("n")).alias("r_"), names.format_uptime(F.col("n")).alias("u_"), names.format_eta(F.col("n")).alias("e_")).collect():
+        assert (x.b, x.r, x.u, x.e) == (x.b_, x.r_, x.u_, x.e_)
+
+
+def test_image_links_need_a_scheme_and_a_known_suffix(spark):
+    body = "[img]javascript:x[/img] ![a](data:y) ![b](https://h/b?c) [IMG] https://h/x.png [/IMG] https://h/y.avif?z=1 http://h/z.svg [img]http://h/q[/img] http://h/w.bmp"
+    found = spark.createDataFrame([(body,)], "t string").select(urls.image_urls(F.col("t")).alias("u")).first().u
+    assert found == ["http://h/q", "https://h/b?c", "https://h/x.png", "https://h/y.avif?z=1"]
+
+
+def test_percentile_narrows_to_the_exact_value(spark, monkeypatch):
+    monkeypatch.setattr(telemetry, "RANKED", 50)
+    values = [float((k * 7919) % 5003) for k in range(5000)] + [17.0] * 3000 + [None]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    some = sorted(v for v in values if v is not None)
+    for p in (0.0, 0.2, 0.95, 0.999, 1.0):
+        at = p * (len(some) - 1)
+        want = some[int(at)] + (some[min(len(some) - 1, int(at) + (at > int(at)))] - some[int(at)]) * (at - int(at))
+        assert abs(telemetry.percentile(df, "v", p).first().value - want) < 1e-9
+    assert telemetry.percentile(df.where("v < 0"), "v", 0.5).first().value is None
+
+
+def test_sparse_search_moves_no_tokens(spark):
+    docs = spark.createDataFrame([(k, f"the w{k % 7} w{k % 3} the") for k in range(200)] + [(900, None), (901, "")], "id long, text string")
+    rows = text.sparse_rows(docs, "id")
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    q = rows.where("id < 3").withColumnRenamed("id", "query_id")
+    want = q.select("query_id", F.inline("pairs")).withColumnRenamed("w", "qw").join(rows.select("id", F.inline("pairs")), "idx").groupBy("query_id", "id").agg(F.sum(F.col("qw") * F.col("w")).alias("score"))
+    every = retrieval.sparse_scores(q, rows)
+    assert sorted(every.collect()) == sorted(want.collect())
+    best = retrieval.top_k(retrieval.sparse_scores(q, rows, 5), 5).select("query_id", "id", "score", "rank")
+    assert sorted(best.collect()) == sorted(retrieval.top_k(want, 5).select("query_id", "id", "score", "rank").collect())
+
+
+def test_cooldown_folds_across_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    rows = [("a" if k % 3 else None, k, k * 10) for k in range(40)]
+    df = spark.createDataFrame(rows, "session string, id long, s long").select("session", "id", F.timestamp_seconds("s").alias("ts"))
+    got = {x.id: (x.accepted, x.wait_s) for x in messages.cooldown(df, 25).collect()}
+    bounded(spark)
+    for key in ("a", None):
+        last = None
+        for s, k, t in rows:
+            if s == key:
+                ok = last is None or t - last >= 25
+                assert got[k] == (ok, None if ok else last + 25 - t)
+                last = t if ok else last
