@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import bpe, decontaminate, edit_tokens, fingerprint, langid, licenses, ngram_lm, sharding, simhash, warc
-from quern.llm._stage import shared_folder
+from quern.sources.staging import new_path
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -38,15 +38,15 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard(_table(spark, sf_dir, "documents"), 40).drop("row")
+    return sharding.shard(_table(spark, sf_dir, "documents"), 40)
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
-
-    path = f"{shared_folder(spark)}/quern-warc-{uuid.uuid4().hex}"
+    """Every record is put together from the archive, verified, and told by the digest of its bytes."""
+    path = new_path(spark, "warc")
     warc.write_archive(_table(spark, sf_dir, "pages"), path)
-    return warc.read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    whole = warc.record(F.col("header"), F.col("record_type"), F.col("payload"))
+    return warc.read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "verified", F.sha1(whole).alias("record_digest"))
 
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,11 +105,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op3_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS body, strlen(coalesce(html, '')) AS payload_bytes FROM pages),
-        k AS (SELECT body, max(page_id) AS keeper FROM p WHERE payload_bytes >= 1000 GROUP BY body)
-        SELECT p.page_id, CAST(p.payload_bytes AS BIGINT) AS payload_bytes, sha1(p.body) AS payload_digest,
+        k AS (SELECT body, max(page_id) AS keeper FROM p WHERE payload_bytes >= 1000 GROUP BY body),
+        r AS (SELECT p.page_id, url, p.body, CAST(p.payload_bytes AS BIGINT) AS payload_bytes, sha1(p.body) AS payload_digest,
                CASE WHEN k.keeper <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
-               CASE WHEN k.keeper <> p.page_id THEN k.keeper END AS refers_to
-        FROM p LEFT JOIN k ON k.body = p.body""",
+               CASE WHEN k.keeper <> p.page_id THEN k.keeper END AS refers_to, chr(13) || chr(10) AS nl
+        FROM (SELECT p.*, url FROM p JOIN pages USING (page_id)) p LEFT JOIN k ON k.body = p.body)
+        SELECT page_id, payload_bytes, payload_digest, record_type, refers_to, url, true AS verified,
+               sha1('WARC/1.1' || nl || 'WARC-Type: ' || record_type || nl || 'WARC-Record-ID: <urn:page:' || page_id || '>' || nl || coalesce('WARC-Target-URI: ' || url || nl, '')
+                    || 'WARC-Payload-Digest: sha1:' || payload_digest || nl || 'WARC-Block-Digest: sha256:' || sha256(body) || nl
+                    || CASE WHEN record_type = 'revisit' THEN 'WARC-Refers-To: <urn:page:' || refers_to || '>' || nl || 'WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest' || nl ELSE '' END
+                    || 'Content-Type: text/html; charset=utf-8' || nl || 'Content-Length: ' || CASE WHEN record_type = 'revisit' THEN 0 ELSE payload_bytes END || nl || nl
+                    || CASE WHEN record_type = 'revisit' THEN '' ELSE body END || nl || nl) AS record_digest
+        FROM r""",
     "op10_decontamination": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
         b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),

@@ -4,10 +4,14 @@ Two tables make an archive. ``records`` has the header bytes of every record as
 the digest of its payload. ``payloads`` has each stored payload once. A record whose payload another record has (and
 which is at least ``revisit_from`` bytes long) is a revisit of the one with the largest id.
 
-Nulls: a null html is an empty payload; a null url gives a header line without value; rows with a null id are
+A url with a carriage return or line feed is percent-encoded in its header (with its own percent signs), and a further
+header says so; others stand as they are, so that every url is read back as it was.
+
+Nulls: a null html is an empty payload; a null url has no header line; rows with a null id are
 written with an empty id and read back as null, and are the response of their payload only where no row has an id.
-Rows that repeat an id and a payload get equal records. An empty table gives an empty archive. Other columns are
-not read.
+Rows that repeat an id and a payload get equal records. An empty table gives an empty archive. A payload of any length
+is one cell of the payload table. Of records with equal payloads the largest id is the response; rows that tie in it all
+are. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -16,6 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 REVISIT_FROM = 1000
+#: Header of records whose url is percent-encoded.
+ESCAPED = "X-Target-URI-Escaped"
 _NO_ID = -(1 << 63)
 
 
@@ -23,11 +29,14 @@ def _header(kind: Column, refers_to: Column) -> Column:
     """Header bytes, as text: named fields, CRLF, and the empty line."""
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
     revisit = kind == "revisit"
+    broken = F.rlike("url", F.lit(r"[\r\n]"))
+    escaped = F.replace(F.replace(F.replace(F.col("url"), F.lit("%"), F.lit("%25")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     lines = [
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), kind),
         F.concat(F.lit("WARC-Record-ID: "), urn(F.col("page_id"))),
-        F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", " ")),
+        F.concat(F.lit("WARC-Target-URI: "), F.when(broken, escaped).otherwise(F.col("url"))),
+        F.when(broken, F.lit(f"{ESCAPED}: yes")),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("sha1")),
         F.concat(F.lit("WARC-Block-Digest: sha256:"), F.col("sha256")),
         F.when(revisit, F.concat(F.lit("WARC-Refers-To: "), urn(refers_to))),
@@ -77,10 +86,13 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     stored = spark.read.schema("sha256 string, payload binary").parquet(f"{path}/payloads")
     stored = stored.select("sha256", "payload", F.length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"), (F.sha2("payload", 256) == F.col("sha256")).alias("whole"))
     field = lambda name: F.regexp_extract("header", rf"\r\n{name}: ([^\r]*)\r\n", 1)
+    given = F.rlike("header", F.lit(r"\r\nWARC-Target-URI: "))
+    plain = F.replace(F.replace(F.replace(field("WARC-Target-URI"), F.lit("%0A"), F.lit("\n")), F.lit("%0D"), F.lit("\r")), F.lit("%25"), F.lit("%"))
+    url = F.when(given, F.when(field(ESCAPED) == "yes", plain).otherwise(field("WARC-Target-URI")))
     number = lambda c: F.nullif(F.regexp_extract(c, r"<urn:page:(-?\d*)>", 1), F.lit("")).cast("long")
     return records.join(stored, "sha256").select(
         number(field("WARC-Record-ID")).alias("page_id"),
-        field("WARC-Target-URI").alias("url"),
+        url.alias("url"),
         field("WARC-Type").alias("record_type"),
         number(field("WARC-Refers-To")).alias("refers_to"),
         "header",
@@ -91,7 +103,12 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def record(header: Column, kind: Column, payload: Column) -> Column:
+    """A whole record as bytes: header, block (none for a revisit), and the two closing CRLF."""
+    block = F.when(kind == "revisit", F.lit(b"")).otherwise(payload)
+    return F.concat(F.encode(header, "UTF-8"), block, F.lit(b"\r\n\r\n"))
+
+
 def record_bytes(archive: DataFrame) -> DataFrame:
-    """``page_id`` and the whole WARC record as bytes: header, block (none for a revisit), and the two closing CRLF."""
-    block = F.when(F.col("record_type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
-    return archive.select("page_id", F.concat(F.encode("header", "UTF-8"), block, F.lit(b"\r\n\r\n")).alias("record"))
+    """``page_id`` and ``record`` of every row of :func:`read_archive`."""
+    return archive.select("page_id", record(F.col("header"), F.col("record_type"), F.col("payload")).alias("record"))
