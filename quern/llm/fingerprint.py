@@ -7,16 +7,18 @@ distinct shingles.
 
 Nulls: a null text is an empty one with an empty sketch; two empty sketches have likeness 1, an empty and another
 one 0. Rows with a null id come first in the order of ids. Rows that repeat an id follow each other in an order that
-depends on their texts. The only document of a table is its own next one. Extra columns are not read.
+depends on their texts. The only document of a table is its own next one; an empty table gives no rows. Very long texts
+are sketched whole, in one row. Ties cannot arise: a sketch is a set. Extra columns are not read.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SIZE, K = 5, 128
-#: Rows meant for a bucket of consecutive ids, and the most buckets (their first ids are broadcast).
+#: Rows meant for a bucket of consecutive ids, and the most buckets (their bounds and first ids are broadcast).
 BUCKET_ROWS, MOST_BUCKETS = 500, 1 << 16
 _NO_ID = -(1 << 63)
 _SPAN = float(1 << 48)
@@ -68,29 +70,55 @@ def printed(a: Column) -> Column:
     return F.lower(F.array_join(F.transform(a, lambda x: F.lpad(F.hex(x), 12, "0")), ""))
 
 
+def _places(bounds: list[int], x: Column, inclusive: bool) -> Column:
+    """How many of the sorted ``bounds`` are below ``x`` (or equal to it): a binary search inside the row."""
+    array, n = F.lit(np.array(bounds, np.int64)), len(bounds)
+
+    def step(state: Column, _: Column) -> Column:
+        low, high = state["low"], state["high"]
+        middle = ((low + high) / 2).cast("int")
+        at = F.get(array, middle)
+        right = (low < high) & ((at <= x) if inclusive else (at < x))
+        return F.struct(F.when(right, middle + 1).otherwise(low).alias("low"), F.when(right | (low >= high), high).otherwise(middle).alias("high"))
+
+    start = F.struct(F.lit(0).alias("low"), F.lit(n).alias("high"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(n.bit_length())), start, step, lambda s: s["low"])
+
+
+def buckets_by_rank(rows: DataFrame, n: int) -> Column | None:
+    """Bucket of about ``BUCKET_ROWS`` rows (or 1/``MOST_BUCKETS`` of all) by rank of ``id``, ascending: bounds are
+    approximate quantiles, at most ``MOST_BUCKETS`` numbers. An id that fills several buckets is split by the order of ``h``."""
+    buckets = min(MOST_BUCKETS, -(-n // BUCKET_ROWS)) or 1
+    if buckets == 1:
+        return F.lit(0)
+    shares = F.lit(np.arange(1, buckets) / buckets)
+    bounds = sorted(rows.agg(F.percentile_approx("id", shares, 16 * buckets)).first()[0])
+    low, high = _places(bounds, F.col("id"), False), _places(bounds, F.col("id"), True)
+    part = F.floor((F.col("h") / float(1 << 64) + 0.5) * (high - low + 1)).cast("int")
+    return F.when(high - low < 2, high).otherwise(F.least(high, low + part))
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """``id``, ``doc_id``, ``text``, ``next_text`` of every row: the text of the row with the next higher id, and of
     the first after the last.
 
-    Ids are cut into buckets of equal width; a bucket's rows meet in one task, and the first row of the next bucket
-    is sent along. So the texts are shuffled once, and no task sorts all rows.
+    Ids are cut into buckets of about equal numbers of rows, however they are spread; a bucket's rows meet in one task,
+    and the first row of the next bucket is sent along. So the texts are shuffled once, and no task sorts all rows. Only
+    rows equal in id and text are never parted.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    low, high, n = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    buckets = min(MOST_BUCKETS, -(-n // BUCKET_ROWS)) or 1
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // buckets))
     rows = rows.withColumn("id", F.coalesce("doc_id", F.lit(_NO_ID)))
-    bucket = F.coalesce(F.floor((F.col("doc_id") - F.lit(low or 0)) / F.lit(width)).cast("long"), F.lit(-1))
-    rows = rows.withColumn("bucket", bucket)
-    starts = rows.groupBy("bucket").agg(F.min("id").alias("id"))
+    keyed = rows.withColumn("h", F.xxhash64("text"))
+    cut = keyed.withColumn("bucket", buckets_by_rank(rows, rows.count()))
+    starts = cut.groupBy("bucket").agg(F.min(F.struct("id", "h")).alias("s"))
     around = Window.orderBy(F.col("bucket").desc())
-    sent = starts.select("id", F.lead("bucket").over(around).alias("to"), F.max("bucket").over(Window.partitionBy(F.lit(0))).alias("last"))
-    sent = sent.select("id", F.coalesce("to", "last").alias("to"))
-    tie = Window.partitionBy("to").orderBy(F.xxhash64("text"))
-    first = rows.drop("bucket").join(F.broadcast(sent), "id").withColumn("n", F.row_number().over(tie)).where("n = 1")
-    both = rows.withColumn("sent", F.lit(False)).unionByName(first.select("doc_id", "text", "id", F.col("to").alias("bucket"), F.lit(True).alias("sent")))
-    order = Window.partitionBy("bucket").orderBy("sent", "id", F.xxhash64("text"))
+    sent = starts.select("s.id", "s.h", F.lead("bucket").over(around).alias("to"), F.max("bucket").over(Window.partitionBy(F.lit(0))).alias("last"))
+    sent = sent.select("id", "h", F.coalesce("to", "last").alias("to"))
+    # Rows that are equal in id and text are alike; any one of them is sent.
+    tie = Window.partitionBy("to").orderBy("id")
+    first = keyed.join(F.broadcast(sent), ["id", "h"]).withColumn("n", F.row_number().over(tie)).where("n = 1")
+    both = cut.withColumn("sent", F.lit(False)).unionByName(first.select("doc_id", "text", "id", "h", F.col("to").alias("bucket"), F.lit(True).alias("sent")))
+    order = Window.partitionBy("bucket").orderBy("sent", "id", "h")
     return both.withColumn("next_text", F.lead("text").over(order)).where("not sent").select("id", "doc_id", "text", "next_text")
 
 
