@@ -5,72 +5,88 @@ consecutive words of an item; an item of fewer words, but not none, is one windo
 occurrence of a window is hit.
 
 Nulls: a null text has no words; an item with a null id or text gives no window. Repeated items with one id count as
-one item. An empty benchmark or document table gives zero hits or no rows. Other columns are passed through by
-``remove`` and not read elsewhere.
+one item, and items with one text share its windows. An empty benchmark or document table gives zero hits or no rows.
+Very long texts are scanned whole, one in memory at a time; a very long item is a block of its own. Repeated rows each
+give a row, whatever their ids. Other columns are passed through by ``remove`` and not read elsewhere.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterable, Iterator
 from functools import reduce
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm._bytes import ALNUM, LOWER, buffer, hashes, mixed, pieces, words
-from quern.llm._stage import staged
+from quern.llm._bytes import ALNUM, LOWER, buffer, hashes, joined, mixed, pieces, words
+from quern.sources.staging import staged
 
-#: Bytes of benchmark text in one broadcast set. A larger benchmark is scanned in blocks of at most this.
-BLOCK_BYTES = 32 << 20
+#: Bytes of benchmark text in one broadcast set. A larger benchmark is scanned in blocks of about this, one after the
+#: other; a worker's windows of such a block take some 200 MB.
+BLOCK_BYTES = 16 << 20
 
 #: Row numbers, where several blocks are united.
 _ROW = "__row"
 _SCAN = "doc_id long, n_words long, hits array<int>, item_ids array<string>"
 
 
-def _windows(word: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+def _windows(word: np.ndarray, at: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
     """Hashes of the ``size`` words from each place in ``at``."""
-    h = np.zeros(at.size, np.uint64)
+    h = np.full(at.size, seed, np.uint64)
     for k in range(size):
         h = mixed(h + np.uint64(0x9E3779B97F4A7C15) + word[at + k])
     return h
 
 
+class _Lengths:
+    """Windows of one length: sorted hashes, each with the place of one occurrence in the block and its items."""
+
+    def __init__(self, word: np.ndarray, at: np.ndarray, item: np.ndarray, size: int):
+        # Windows are told apart by 128 bits here; what a text has is compared byte by byte with the occurrence kept.
+        first_hash = _windows(word, at, size)
+        order = np.lexsort((item, _windows(word, at, size, 1), first_hash))
+        h, second = first_hash[order], _windows(word, at[order], size, 1)
+        item = item[order]
+        new = np.ones(h.size, bool)
+        new[1:] = (h[1:] != h[:-1]) | (second[1:] != second[:-1])
+        self.hash, self.place = h[new], at[order][new].astype(np.int32)
+        own = new.copy()
+        own[1:] |= item[1:] != item[:-1]
+        self.item = item[own].astype(np.int32)
+        self.first = np.append(np.searchsorted(np.flatnonzero(own), np.flatnonzero(new)), self.item.size).astype(np.int32)
+        #: One bit per residue: most windows end here.
+        self.bitmap = np.zeros(1 << max(16, (8 * self.hash.size - 1).bit_length()), bool)
+        self.bitmap[self.hash & np.uint64(self.bitmap.size - 1)] = True
+
+
 class ItemWindows:
-    """The windows of a block of items: per window length, sorted hashes with the windows' exact text and item."""
+    """The windows of a block of items, as arrays: by length, sorted hashes, an occurrence of each, and its items."""
 
-    def __init__(self, items: list[tuple[str, str]], size: int):
-        self.items = sorted({i for i, _ in items})
+    def __init__(self, ids: list[str], texts: pa.Array, size: int):
+        self.items = sorted(set(ids))
         number = {x: k for k, x in enumerate(self.items)}
-        found: dict[int, dict[bytes, set[int]]] = {}
-        hashed: dict[int, dict[int, set[bytes]]] = {}
-        data, offsets = buffer(pa.array([t for _, t in items], pa.large_string()))
+        data, offsets = buffer(texts)
         data = LOWER[data]
         starts, ends, owner = words(data, offsets, ALNUM)
         word = hashes(data, starts, ends)
-        count = np.bincount(owner, minlength=len(items))
-        first = np.cumsum(count) - count
-        for k, (item, _) in enumerate(items):
-            n = int(min(size, count[k]))
-            if not n:
-                continue
-            at = first[k] + np.arange(count[k] - n + 1)
-            for p, h in zip(at.tolist(), _windows(word, at, n).tolist(), strict=True):
-                text = b" ".join(data[starts[q] : ends[q]].tobytes() for q in range(p, p + n))
-                found.setdefault(n, {}).setdefault(text, set()).add(number[item])
-                hashed.setdefault(n, {}).setdefault(h, set()).add(text)
-        self.found = found
-        self.sorted = {n: np.sort(np.fromiter(h, np.uint64, len(h))) for n, h in hashed.items()}
-        #: One bit per residue: most windows end here.
-        self.bitmap = {}
-        for n, h in self.sorted.items():
-            bits = np.zeros(1 << max(16, (8 * h.size - 1).bit_length()), bool)
-            bits[h & np.uint64(bits.size - 1)] = True
-            self.bitmap[n] = bits
+        count = np.bincount(owner, minlength=len(ids))
+        #: The words of all items end to end, one space apart.
+        text, self.starts, self.ends = joined(data, starts, ends)
+        self.text = text.tobytes()
+        owned = np.array([number[i] for i in ids], np.int64)
+        length, first = np.minimum(size, count), np.cumsum(count) - count
+        self.lengths: dict[int, _Lengths] = {}
+        for n in np.unique(length[length > 0]).tolist():
+            of = np.flatnonzero(length == n)
+            each = count[of] - n + 1
+            at = np.arange(int(each.sum())) + np.repeat(first[of] - (np.cumsum(each) - each), each)
+            self.lengths[n] = _Lengths(word, at, np.repeat(owned[of], each), n)
 
     def scan(self, texts: pa.Array) -> tuple[np.ndarray, list[np.ndarray], list[list[str]]]:
         """Per text: number of words, places of hit words, items with an occurring window."""
@@ -82,19 +98,23 @@ class ItemWindows:
         first = np.cumsum(count) - count
         hit = np.zeros(starts.size, bool)
         items: dict[int, set[int]] = {}
-        for n, known in self.sorted.items():
+        for n, known in self.lengths.items():
             if starts.size < n:
                 continue
             at = np.flatnonzero(owner[: starts.size - n + 1] == owner[n - 1 :])
             h = _windows(word, at, n)
-            likely = np.flatnonzero(self.bitmap[n][h & np.uint64(self.bitmap[n].size - 1)])
-            place = np.searchsorted(known, h[likely]).clip(max=known.size - 1)
-            for p in at[likely[known[place] == h[likely]]].tolist():
-                text = b" ".join(data[starts[q] : ends[q]].tobytes() for q in range(p, p + n))
-                of = self.found[n].get(text)
-                if of:
-                    hit[p : p + n] = True
-                    items.setdefault(int(owner[p]), set()).update(of)
+            likely = np.flatnonzero(known.bitmap[h & np.uint64(known.bitmap.size - 1)])
+            place = np.searchsorted(known.hash, h[likely])
+            same = place < known.hash.size
+            same[same] = known.hash[place[same]] == h[likely[same]]
+            for p, k in zip(at[likely[same]].tolist(), place[same].tolist(), strict=True):
+                text, key = b" ".join(data[starts[q] : ends[q]].tobytes() for q in range(p, p + n)), known.hash[k]
+                while k < known.hash.size and known.hash[k] == key:
+                    q = known.place[k]
+                    if self.text[self.starts[q] : self.ends[q + n - 1]] == text:
+                        hit[p : p + n] = True
+                        items.setdefault(int(owner[p]), set()).update(known.item[known.first[k] : known.first[k + 1]].tolist())
+                    k += 1
         places = np.flatnonzero(hit)
         cut = np.searchsorted(owner[places], np.arange(n_texts + 1))
         hits = [places[cut[k] : cut[k + 1]] - first[k] for k in range(n_texts)]
@@ -114,13 +134,31 @@ def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterato
     yield block
 
 
-def _scanned(docs: DataFrame, spark: SparkSession, items: list[tuple[str, str]], size: int, row_id: str, carried: str = "") -> DataFrame:
+#: The windows that this Python worker has made last, and the broadcast they are of.
+_MADE: dict[str, tuple[int, ItemWindows]] = {}
+
+
+def _made(sent: Broadcast, number: int, size: int) -> ItemWindows:
+    """Windows of a broadcast block, built once in a worker and not in each task."""
+    if _MADE.get("last", (None,))[0] != number:
+        _MADE.clear()
+        ids, texts = sent.value
+        _MADE["last"] = (number, ItemWindows(ids, texts, size))
+    return _MADE["last"][1]
+
+
+def _broadcast(spark: SparkSession, items: list[tuple[str, str]]) -> tuple[Broadcast, int]:
+    sent = spark.sparkContext.broadcast(([i for i, _ in items], pa.array([t for _, t in items], pa.large_string())))
+    return sent, uuid.uuid4().int
+
+
+def _scanned(docs: DataFrame, known: tuple[Broadcast, int], size: int, row_id: str, carried: str = "") -> DataFrame:
     """``carried``: names and types of further columns that are passed through, as a schema."""
-    known = spark.sparkContext.broadcast(items)
+    sent, number = known
     more = [x.split()[0] for x in carried.split(",") if x]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = ItemWindows(known.value, size)
+        windows = _made(sent, number, size)
         for batch in batches:
             for part in pieces(batch, "text"):
                 count, hits, items = windows.scan(part.column("text"))
@@ -138,8 +176,17 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 
 def _merged(numbered: DataFrame, blocks: Iterable[list[tuple[str, str]]], size: int, row_id: str) -> DataFrame:
-    """What one block of all items would find in each row: hits and items of the blocks, united by row."""
-    each = [_scanned(numbered, numbered.sparkSession, b, size, row_id, f"{_ROW} long") for b in blocks]
+    """What one block of all items would find in each row: hits and items of the blocks, united by row.
+
+    Blocks are scanned one after the other, and a block's broadcast goes before the next is read. The first one keeps
+    all rows, the others those with a hit.
+    """
+    each: list[DataFrame] = []
+    for block in blocks:
+        known = _broadcast(numbered.sparkSession, block)
+        found = _scanned(numbered, known, size, row_id, f"{_ROW} long")
+        each.append(staged(found.where(F.size("hits") > 0) if each else found, "block"))
+        known[0].destroy()
     united = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
     return reduce(DataFrame.unionAll, each).groupBy(_ROW, "doc_id").agg(F.max("n_words").alias("n_words"), united("hits").alias("hits"), united("item_ids").alias("item_ids"))
 
@@ -153,7 +200,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_bytes: int
     blocks = item_blocks(benchmark, block_bytes)
     first, second = next(blocks), next(blocks, None)
     if second is None:
-        return _scanned(docs, docs.sparkSession, first, size, "doc_id").withColumn("item_ids", F.array_sort("item_ids"))
+        return _scanned(docs, _broadcast(docs.sparkSession, first), size, "doc_id").withColumn("item_ids", F.array_sort("item_ids"))
     return _merged(_numbered(docs.select("doc_id", "text")), chain([first, second], blocks), size, "doc_id").select("doc_id", "n_words", "hits", "item_ids")
 
 
@@ -189,10 +236,10 @@ def remove(docs: DataFrame, benchmark: DataFrame, size: int = 10, whole_document
 
 
 def _cut(docs: DataFrame, items: list[tuple[str, str]], size: int, most: float) -> DataFrame:
-    known = docs.sparkSession.sparkContext.broadcast(items)
+    sent, number = _broadcast(docs.sparkSession, items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = ItemWindows(known.value, size)
+        windows = _made(sent, number, size)
         for batch in batches:
             for part in pieces(batch, "text"):
                 count, hits, _ = windows.scan(part.column("text"))
