@@ -1,19 +1,23 @@
 """SimHash near-duplicate groups: fingerprints from word shingles, linked by a self-join of binary tries.
 
-A fingerprint bit is set if it is set in over half of the shingle hashes. Fingerprints at few differing bits agree
-in one of ``budget + 1`` blocks of bits; so each is dealt out once per block, rotated so that the block leads, and
-those with the same leading block form the subtree of a binary trie. Inside a task, a sorted array of keys is the
-trie (a node is a range of it). Node pairs are descended together, differing bits are added up along the path, and
-a pair is dropped as soon as the sum exceeds the budget.
+A fingerprint bit is set if it is set in over half of the shingle hashes. Of ``budget + c`` blocks of bits, two
+fingerprints at ``budget`` or fewer differing bits agree in ``c``; so each is dealt out once for each choice of c blocks,
+turned so that these lead, and those that agree in them form the subtree of a binary trie. c is 1 for few fingerprints
+and grows with their number, so that subtrees stay small. Inside a task, a sorted array of keys is the trie (a node is a
+range of it). Node pairs are descended together, differing bits are added up along the path, and a pair is dropped as
+soon as the sum exceeds the budget.
 
 Nulls: a null text is an empty one. A text without a word has fingerprint zero and is linked like any other.
 Rows with a null id take part; groups made of them alone have a null component. Repeated rows are in one group and
-stay rows. Other columns of the input, whatever their names, are not read.
+stay rows. Very long texts are read whole, one in memory at a time. Ties: a bit that is set in exactly half of the
+hashes is not set; of equal ids the group has one name. An empty table gives no rows. Other columns of the input,
+whatever their names, are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm._bytes import LOWER, SPACED, buffer, hashes, joined, mixed, pieces, words
-from quern.llm._stage import staged
+from quern.sources.staging import staged
 from quern.llm.components import connected
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float32)
-#: Sizes below which a node pair is compared key by key, and key pairs compared at once.
-_LEAF, _AT_ONCE = 64, 1 << 21
+#: Sizes below which a node pair is compared key by key, key pairs compared and node pairs descended at once.
+_LEAF, _AT_ONCE, _PAIRS = 32, 1 << 20, 200_000
+
+#: Random fingerprints that may agree in the leading blocks before more blocks have to.
+GROUP = 4096
 
 
 def shingle_spans(starts: np.ndarray, ends: np.ndarray, doc: np.ndarray, n: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -85,13 +92,15 @@ class Forest:
 
     def __init__(self, n: int):
         self.parent = np.arange(n)
+        #: How often links were added, and whether all parents are roots.
+        self.version, self.flat = 0, True
 
     def roots(self) -> np.ndarray:
-        while True:
+        while not self.flat:
             up = self.parent[self.parent]
-            if np.array_equal(up, self.parent):
-                return up
+            self.flat = np.array_equal(up, self.parent)
             self.parent = up
+        return self.parent
 
     def link(self, a: np.ndarray, b: np.ndarray) -> None:
         while a.size:
@@ -99,30 +108,35 @@ class Forest:
             a, b = parent[a], parent[b]
             apart = a != b
             a, b = np.minimum(a[apart], b[apart]), np.maximum(a[apart], b[apart])
-            np.minimum.at(self.parent, b, a)
+            if a.size:
+                self.parent = parent.copy()
+                np.minimum.at(self.parent, b, a)
+                self.version, self.flat = self.version + 1, False
 
 
-def trie_links(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, depth: int, budget: int, agree: Callable | None = None) -> Forest:
+def trie_links(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, depth: int, budget: int) -> Forest:
     """Sets of keys that chains of links join; a link has at most ``budget`` differing bits.
 
     keys: sorted unsigned words; lo, hi: the trie nodes (ranges of keys that share ``depth`` leading bits) whose
-    inner pairs are wanted. agree(i, j) may refuse links. Node pairs whose keys are all in one set already are not
-    descended, so a dense family costs about its size and not its square.
+    inner pairs are wanted. Node pairs whose keys are all in one set already are not descended, so a dense family costs
+    about its size and not its square. What tells one set is worked out anew only after new links.
     """
     forest = Forest(keys.size)
     stack = [(lo, hi, lo, hi, np.zeros(lo.size, np.int8), depth)]
+    seen, root, steps = -1, forest.parent, forest.parent
     while stack:
         al, ah, bl, bh, used, depth = stack.pop()
-        if al.size > 200_000:
+        if al.size > _PAIRS:
             half = al.size // 2
             stack += [tuple(x[half:] for x in (al, ah, bl, bh, used)) + (depth,), tuple(x[:half] for x in (al, ah, bl, bh, used)) + (depth,)]
             continue
-        root = forest.roots()
-        steps = np.cumsum(np.concatenate([[0], root[1:] != root[:-1]]))
+        if seen != forest.version:
+            seen, root = forest.version, forest.roots()
+            steps = np.cumsum(np.concatenate([[0], root[1:] != root[:-1]]))
         one_set = (steps[al] == steps[ah - 1]) & (steps[bl] == steps[bh - 1]) & (root[al] == root[bl])
         al, ah, bl, bh, used = (x[~one_set] for x in (al, ah, bl, bh, used))
         leaf = (ah - al <= _LEAF) & (bh - bl <= _LEAF)
-        _compare(keys, *(x[leaf] for x in (al, ah, bl, bh)), budget, forest, agree)
+        _compare(keys, *(x[leaf] for x in (al, ah, bl, bh)), budget, forest)
         al, ah, bl, bh, used = (x[~leaf] for x in (al, ah, bl, bh, used))
         if not al.size:
             continue
@@ -145,7 +159,7 @@ def _middle(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, depth: int) -> np.
     return np.searchsorted(keys, (keys[lo] & ~np.uint64((1 << (64 - depth)) - 1) if depth else np.zeros_like(keys[lo])) | bit).clip(lo, hi)
 
 
-def _compare(keys, al, ah, bl, bh, budget, forest, agree) -> None:
+def _compare(keys, al, ah, bl, bh, budget, forest) -> None:
     """All key pairs of pairs of small nodes, a bounded number at a time."""
     pairs = np.cumsum((ah - al) * (bh - bl))
     at = 0
@@ -160,39 +174,42 @@ def _compare(keys, al, ah, bl, bh, budget, forest, agree) -> None:
         if i.size:
             parent = forest.roots()
             apart = parent[i] != parent[j]
-            i, j = i[apart], j[apart]
-            if agree is not None and i.size:
-                same = agree(i, j)
-                i, j = i[same], j[same]
-            forest.link(i, j)
+            forest.link(i[apart], j[apart])
         at = to
 
 
-def _blocks(budget: int) -> list[tuple[int, int]]:
-    """First bit and size of the ``budget + 1`` blocks that the 64 bits are cut into."""
-    n = budget + 1
+def _turns(budget: int, agreeing: int) -> list[list[tuple[int, int]]]:
+    """For each choice of ``agreeing`` of ``budget + agreeing`` blocks: first bit and size of all blocks, those chosen in front."""
+    n = budget + agreeing
     cuts = [64 * k // n for k in range(n + 1)]
-    return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
+    blocks = [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return [[*(blocks[k] for k in some), *(b for k, b in enumerate(blocks) if k not in some)] for some in combinations(range(n), agreeing)]
+
+
+def _agreeing(nodes: int, budget: int) -> int:
+    """How many blocks have to agree, so that about ``GROUP`` of so many random fingerprints do; one to three."""
+    return next((c for c in (1, 2) if nodes >> (64 // (budget + c)) * c <= GROUP), 3)
 
 
-def links(nodes: DataFrame, budget: int, tables: int = 1, most_apart: int | None = None) -> DataFrame:
+def links(nodes: DataFrame, budget: int, agreeing: int | None = None) -> DataFrame:
     """Links that join all fingerprints at ``budget`` or fewer differing bits, without writing all pairs of a family.
 
-    nodes: ``keys`` (array of ``tables`` longs) and, with ``most_apart``, ``long_print`` (binary): a link then also
-    needs at most so many differing bits of the long prints. A node's number is its XXH64 of the long print (as Spark's
-    ``xxhash64``), or without one the only key. Returns ``src``, ``dst``: per task and block a star for each set that
-    the links found there join, which keeps exactly the components of all links.
+    nodes: ``node``, distinct fingerprints. Returns ``src``, ``dst``: per task and turn a star for each set that the links
+    found there join, which keeps exactly the components of all links. ``agreeing`` (1 to 3 blocks) follows the number of
+    nodes; the components are the same for each.
     """
-    shape = _blocks(budget)
-    least = min(width for _, width in shape)
-    turned = []
-    for t in range(tables):
-        for n, (at, _) in enumerate(shape):
-            key = F.col("keys")[t]
-            key = key if at == 0 else F.shiftleft(key, at).bitwiseOR(F.shiftrightunsigned(key, 64 - at))
-            turned.append(F.struct(F.lit(t * len(shape) + n).alias("turn"), key.alias("key")))
-    extra = ["long_print"] if most_apart is not None else []
-    dealt = nodes.select(*extra, F.explode(F.array(*turned)).alias("x")).select(*extra, "x.turn", "x.key").repartition("turn", F.shiftrightunsigned("key", 64 - least))
+    agreeing = agreeing or _agreeing(nodes.count(), budget)
+    turns = _turns(budget, agreeing)
+    lead = [sum(size for _, size in turn[:agreeing]) for turn in turns]
+    least, turned = min(lead), []
+    for t, turn in enumerate(turns):
+        # Bit 0 is the highest. Each block is cut out and moved to its new place.
+        key, to = F.lit(0).cast("long"), 0
+        for at, size in turn:
+            block = F.shiftrightunsigned(F.shiftleft(F.col("node"), at), 64 - size)
+            key, to = key.bitwiseOR(F.shiftleft(block, 64 - to - size)), to + size
+        turned.append(F.struct(F.lit(t).alias("turn"), key.alias("key")))
+    dealt = nodes.select(F.explode(F.array(*turned)).alias("x")).select("x.turn", "x.key").repartition("turn", F.shiftrightunsigned("key", 64 - least))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
@@ -200,26 +217,19 @@ def links(nodes: DataFrame, budget: int, tables: int = 1, most_apart: int | None
             return
         rows = pa.Table.from_batches(held)
         turn, key = rows["turn"].to_numpy(), rows["key"].to_numpy().view(np.uint64)
-        wide = np.frombuffer(b"".join(rows["long_print"].to_pylist()), np.uint64).reshape(turn.size, -1) if extra else None
-        order = np.lexsort((key, turn))
         for t in np.unique(turn):
-            at = order[np.searchsorted(turn[order], t) : np.searchsorted(turn[order], t, side="right")]
-            first, width = shape[t % len(shape)]
-            k = key[at]
-            lead = k >> np.uint64(64 - width)
-            lo = np.flatnonzero(np.concatenate([[True], lead[1:] != lead[:-1]]))
-            agree = None
-            if wide is not None:
-                agree = lambda i, j, at=at: np.bitwise_count(wide[at[i]] ^ wide[at[j]]).sum(axis=1) <= most_apart
-            root = trie_links(k, lo, np.append(lo[1:], k.size), width, budget, agree).roots()
+            k = np.sort(key[turn == t])
+            prefix = k >> np.uint64(64 - lead[t])
+            lo = np.flatnonzero(np.concatenate([[True], prefix[1:] != prefix[:-1]]))
+            root = trie_links(k, lo, np.append(lo[1:], k.size), lead[t], budget).roots()
             members = np.flatnonzero(np.bincount(root, minlength=root.size)[root] > 1)
             if not members.size:
                 continue
-            if wide is not None:
-                node = np.array([xxhash.xxh64_intdigest(wide[i].tobytes(), 42) for i in at[members]], np.uint64).view(np.int64)
-            else:
-                x = k[members]
-                node = ((x >> np.uint64(first)) | (x << np.uint64(64 - first)) if first else x).view(np.int64)
+            node, to = np.zeros(members.size, np.uint64), 0
+            for at, size in turns[t]:
+                node |= (k[members] << np.uint64(to) >> np.uint64(64 - size)) << np.uint64(64 - at - size)
+                to += size
+            node = node.view(np.int64)
             # The smallest node of a set is its centre, so that tasks that see the same set send the same star.
             centre = np.full(root.size, np.iinfo(np.int64).max)
             np.minimum.at(centre, root[members], node)
@@ -248,7 +258,7 @@ def near_duplicates(docs: DataFrame, size: int = 4, budget: int = 4) -> DataFram
     """
     rows = staged(fingerprints(docs, size=size).withColumnRenamed("fingerprint", "node"), "fingerprints")
     nodes = staged(rows.groupBy("node").agg(F.min("doc_id").alias("first_id")), "nodes")
-    found = links(nodes.select(F.array("node").alias("keys")), budget)
+    found = links(nodes.select("node"), budget)
     return _grouped(rows, nodes, found).select("doc_id", F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -258,7 +268,7 @@ def near_duplicates(docs: DataFrame, size: int = 4, budget: int = 4) -> DataFram
 SHINGLE, LIKENESS, BANDS, MISSED = 5, 0.8, 24, 5e-4
 
 #: Ids (of eight bytes) that are broadcast at most.
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 1_000_000
 
 #: Bytes of shingle sets of a family that one task holds; a larger family is compared bucket by bucket.
 FAMILY_BYTES = 16 << 20
@@ -410,7 +420,8 @@ def near_copies(docs: DataFrame, likeness: float = LIKENESS, family_bytes: int =
     centres = staged(dealt.groupBy("key").agg(F.min("node").alias("dst"), F.max("node").alias("other")).where("dst <> other").select("key", "dst"), "centres")
     families = connected(dealt.join(centres, "key").select(F.col("node").alias("src"), "dst").where("src <> dst").distinct())
     members = staged(families.join(nodes, "node"), "members")
-    large = members.groupBy("root").agg(F.sum("bytes").alias("n")).where(F.col("n") > family_bytes).select("root", F.lit(True).alias("large"))
+    # Staged, so that the join reads two plain tables and AQE may split a family with very many members.
+    large = staged(members.groupBy("root").agg(F.sum("bytes").alias("n")).where(F.col("n") > family_bytes).select("root"), "large").withColumn("large", F.lit(True))
     grouped = members.join(large, "root", "left").select(F.col("node").alias("member"), "first_id", F.explode(F.when(F.col("large"), F.col("keys")).otherwise(F.array("root"))).alias("group"))
     grouped = staged(grouped, "grouped")
     few = grouped.count() <= BROADCAST_ROWS
