@@ -65,6 +65,39 @@ class EliasFano:
         eight = np.ndarray((self.lower.size - 7,), "<u8", np.asarray(self.lower), 0, (1,))[bit >> 3]
         return eight >> (bit & 7).astype(np.uint64) & np.uint64((1 << self.low_bits) - 1)
 
+    def at(self, places: np.ndarray) -> np.ndarray:
+        """The values at these places: high bits by the place of the set bit, low bits from the packed array."""
+        places = np.asarray(places, np.int64)
+        ones = self._ones()
+        word = np.searchsorted(ones, places, side="right") - 1
+        left = places - ones[word]
+        octets = np.asarray(self.upper).reshape(-1, 8)[word]
+        seen = np.cumsum(_POP[octets], axis=1, dtype=np.int64)
+        which = (seen <= left[:, None]).sum(axis=1)
+        row = np.arange(word.size)
+        left -= np.where(which > 0, seen[row, which - 1], 0)
+        high = word * 64 + which * 8 + _PLACE[octets[row, which], left] - places
+        return high.astype(np.uint64) << np.uint64(self.low_bits) | self.low(places)
+
+    def _ones(self) -> np.ndarray:
+        """Set bits before each word of the upper part: all its bits less the unset ones."""
+        return np.arange(self.zeros.size, dtype=np.int64) * 64 - self.zeros
+
+    def successor_within(self, lo: np.ndarray, hi: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of the first value not below each of ``values`` among the places from ``lo`` to before ``hi``, and whether
+        it is equal."""
+        lo, end, values = np.array(lo, np.int64), np.asarray(hi, np.int64), np.asarray(values, np.uint64)
+        hi = end.copy()
+        while (open_ := np.flatnonzero(lo < hi)).size:
+            middle = (lo[open_] + hi[open_]) >> 1
+            below = self.at(middle) < values[open_]
+            lo[open_[below]] = middle[below] + 1
+            hi[open_[~below]] = middle[~below]
+        inside = np.flatnonzero(lo < end)
+        equal = np.zeros(values.size, bool)
+        equal[inside] = self.at(lo[inside]) == values[inside]
+        return lo, equal
+
     def successor(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place of the first value not below each of ``values``, and whether it is equal."""
         values = np.asarray(values, np.uint64)

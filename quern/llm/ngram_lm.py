@@ -15,14 +15,15 @@ shards, by the successor's hash.
 
 In a shard, contexts are a sorted level of hashes with monotone pointers to their successors. Successors are numbers
 in the shard's own vocabulary, offset by their context so that the level increases; a bigram is found by successor
-search relative to its context. Probabilities are quantised to steps of 1/4000 of log10. Levels are Elias-Fano coded
+search in the range that its context's pointers give. Probabilities are quantised to steps of 1/4000 of log10. Levels are Elias-Fano coded
 and memory-mapped.
 
 Order two is a choice: trigrams of this kind of text are nearly all singletons and would treble the shuffle.
 Words are told apart by 64-bit hashes; in a shard, contexts by their leading 40 bits and successors inside a context by
 32, so that of a context with n successors about n^2 / 2^33 pairs are taken for one.
 
-Nulls: a null text is empty and has one token, the end. A null ``held_out`` trains. Rows with null or repeated ids
+Nulls: a null text is empty and has one token, the end; an empty table gives no rows. There are no ties. Texts of any
+length are read whole; one that is longer than a batch is a batch. A null ``held_out`` trains. Rows with null or repeated ids
 are scored each on its own. Without training texts, p(w) is the same for all words. Extra columns are not read.
 """
 
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm._bytes import LOWER, SPACED, buffer, hashes, mixed, pieces, words
-from quern.llm._stage import staged
+from quern.sources.staging import staged
 from quern.llm.elias_fano import EliasFano, mapped
 
 MU, ADD, STEP = 20.0, 0.1, 4000.0
@@ -216,12 +217,19 @@ class Trie:
         self.codes = mapped(np.round(-np.log10(share) * STEP).clip(0, 65535).astype("<u2"))
 
     def share(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """c(v w) / (c(v) + mu) of each bigram, 0 where it did not occur in training."""
+        """c(v w) / (c(v) + mu) of each bigram, 0 where it did not occur in training: the context's pointers give the
+        range of its successors, and the word is searched in that range, relative to the context."""
         out = np.zeros(word.size)
-        v, is_v = self.contexts.successor(context)
+        # Queries come in runs of one context, whose pointers are looked up once.
+        level, inverse = np.unique(context, return_inverse=True)
+        v, is_v = self.contexts.successor(level)
+        known = np.flatnonzero(is_v)
+        first, last = np.zeros(level.size, np.int64), np.zeros(level.size, np.int64)
+        first[known], last[known] = self.pointers.at(v[known]).astype(np.int64), self.pointers.at(v[known] + 1).astype(np.int64)
         w, is_w = self.words.successor(word)
-        both = np.flatnonzero(is_v & is_w)
-        at, found = self.successors.successor(v[both].astype(np.uint64) * np.uint64(self.stride) + w[both].astype(np.uint64))
+        both = np.flatnonzero(is_w & is_v[inverse])
+        of = inverse[both]
+        at, found = self.successors.successor_within(first[of], last[of], v[of].astype(np.uint64) * np.uint64(self.stride) + w[both].astype(np.uint64))
         out[both[found]] = 10.0 ** (self.codes[at[found]] / -STEP)
         return out
 
