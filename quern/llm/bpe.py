@@ -6,8 +6,9 @@ from the ranks at which symbols at their border come and go, and kept in a table
 steps back and marks the place as a dead end. Each place is marked at most once, so the time is linear in the bytes. For merge lists whose every token encodes to itself, a sequence of pairwise
 compatible tokens is the result of the merges.
 
-Nulls: a null text is an empty one, with no ids. Repeated rows each give a row. Other columns are not read. Texts of
-any length are encoded whole; the piece cache is bounded.
+Nulls: a null text is an empty one, with no ids; an empty table gives no rows. Repeated rows each give a row. Other
+columns are not read. Texts of any length are encoded whole, one in memory at a time; the piece cache is bounded. There
+are no ties: of equal merges the left comes first. A vocabulary has one added token at most; more are an error.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: A space that is not alone between other characters.
 _ODD_SPACE = re.compile(r"\s | \s|^ | $")
 
-_CACHE, _LONGEST_CACHED, _PAIRS = 400_000, 64, 1_000_000
+_CACHE, _LONGEST_CACHED, _PAIRS = 200_000, 64, 500_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -54,6 +55,8 @@ class Encoder:
         self.vocabulary = {bytes(letters[c] for c in t): i for t, i in model["model"]["vocab"].items() if t not in special}
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["model"]["merges"]]
         self.rank = {tuple(bytes(letters[c] for c in x) for x in m): r for r, m in enumerate(merges)}
+        if len(special) > 1:
+            raise ValueError("vocabularies with one added token at most")
         self.special, self.special_id = next(iter(special.items()), (None, None))
         self.pattern = regex.compile(PATTERN)
         size = 1 + max([*self.vocabulary.values(), *special.values()])
