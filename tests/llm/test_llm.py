@@ -707,3 +707,31 @@ def test_elias_fano_access_and_search_in_a_range():
         for k in range(200):
             place = lo[k] + int(np.searchsorted(values[lo[k] : hi[k]], want[k]))
             assert at[k] == place and equal[k] == (place < hi[k] and values[place] == want[k])
+
+
+def test_licences_and_their_near_neighbours(spark):
+    year = "Copyright (c) 2019 Some One"
+    gpl = "This program is free software{} you can redistribute it and/or modify\nit under the terms of the GNU {}General Public License as published by\nthe Free Software Foundation, either version {} of the License, or\n(at your option) any later version."
+    files = {
+        "GPL-3.0": gpl.format(":", "", 3),
+        "GPL-2.0": gpl.format(";", "", 2),
+        "AGPL-3.0": gpl.format(":", "Affero ", 3),
+        "LGPL-3.0": gpl.format(":", "Lesser ", 3),
+        "MIT": f"MIT License\n\n{year}\n\n" + licenses.TEMPLATES["MIT"][-2],
+        "BSD-2-Clause": f"{year}\nAll rights reserved.\n" + licenses.TEMPLATES["BSD-2-Clause"][0],
+        "BSD-3-Clause": f"{year}\nAll rights reserved.\n" + licenses.TEMPLATES["BSD-3-Clause"][0],
+        "ISC": f"ISC License\n\n{year}\n\n" + licenses.TEMPLATES["ISC"][0],
+        "Zlib": "// SPDX-License-Identifier: Zlib\nint x;\n",
+    }
+    rows = [(k, f"d{k}/{'LICENSE' if k % 2 else 'a.c'}", t) for k, t in enumerate(files.values())] + [(100 + k, f"e/{k}.c", f"int main {k} return zero nothing to see") for k in range(200)]
+    got = {x.doc_id: x.own_license for x in licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert [got[k] for k in range(len(files))] == list(files)
+    assert not any(got[100 + k] for k in range(200))
+
+
+def test_licence_ties_go_by_name_and_path(spark):
+    two = {"B": ["alpha beta gamma"], "A": ["alpha beta gamma"]}
+    rows = [(1, "p/LICENSE.b", "alpha beta gamma"), (2, "p/LICENSE.a", "alpha beta gamma"), (3, "p/q/x.c", "none"), (4, None, "alpha beta gamma"), (5, "p/y.c", None), (5, "p/y.c", None)]
+    out = licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string"), two).collect()
+    assert {x.own_license for x in out if x.doc_id in (1, 2, 4)} == {"A"} and len(out) == 6
+    assert {x.inherited_from for x in out if x.doc_id in (3, 5)} == {"p/LICENSE.a"}
