@@ -86,26 +86,42 @@ def _from_leading(data: bytes, size: int) -> np.ndarray:
     return wide.view(">u8").ravel().astype(np.uint64)
 
 
+def _filled(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of nearly ``most`` bytes of text, however few rows come at once: a word that repeats in
+    a batch is sent once."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column("text").nbytes
+        if size >= most:
+            *full, rest = pieces(pa.Table.from_batches(held).combine_chunks().to_batches()[0], "text", most)
+            yield from full
+            held, size = [rest], rest.column("text").nbytes
+    some = [b for b in held if b.num_rows]
+    if some:
+        yield from pieces(pa.Table.from_batches(some).combine_chunks().to_batches()[0], "text", most)
+
+
 def _batches(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context, serial = TaskContext.get(), 0
-        for batch in batches:
-            for part in pieces(batch, "text", BATCH_BYTES):
-                data, offsets = buffer(part.column("text"))
-                data, n = LOWER[data], part.num_rows
-                starts, ends, owner = words(data, offsets, SPACED)
-                sizes = np.bincount(owner, minlength=n) + 1
-                token = np.empty(starts.size + n, np.uint64)
-                token[np.arange(starts.size) + owner] = hashes(data, starts, ends)
-                token[np.cumsum(sizes) - 1] = _END
-                held = part.column("held").to_pylist()
-                trains = np.repeat(np.array([not h for h in held]), sizes)
-                vocabulary, local = np.unique(token, return_inverse=True)
-                counts = np.bincount(local[trains], minlength=vocabulary.size).astype("<u4")
-                row = [f"{context.partitionId()}-{serial}", part.column("doc_ids").to_pylist(), held, sizes.astype(np.int32), _ascending(vocabulary), _planes(counts), _planes(local.astype("<u4"))]
-                serial += 1
-                kinds = [pa.string(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], [f.split(" ")[0] for f in _BATCH.split(", ")])
+        for part in _filled(batches, BATCH_BYTES):
+            data, offsets = buffer(part.column("text"))
+            data, n = LOWER[data], part.num_rows
+            starts, ends, owner = words(data, offsets, SPACED)
+            sizes = np.bincount(owner, minlength=n) + 1
+            token = np.empty(starts.size + n, np.uint64)
+            token[np.arange(starts.size) + owner] = hashes(data, starts, ends)
+            token[np.cumsum(sizes) - 1] = _END
+            held = part.column("held").to_pylist()
+            trains = np.repeat(np.array([not h for h in held]), sizes)
+            vocabulary, local = np.unique(token, return_inverse=True)
+            counts = np.bincount(local[trains], minlength=vocabulary.size).astype("<u4")
+            row = [f"{context.partitionId()}-{serial}", part.column("doc_ids").to_pylist(), held, sizes.astype(np.int32), _ascending(vocabulary), _planes(counts), _planes(local.astype("<u4"))]
+            serial += 1
+            kinds = [pa.string(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], [f.split(" ")[0] for f in _BATCH.split(", ")])
 
     return docs.mapInArrow(run, _BATCH)
 
