@@ -40,7 +40,8 @@ def sparse_rows(df: DataFrame, id_column: str, text: str = "text") -> DataFrame:
 
     A text's tokens are in one row, and are hashed, sorted and counted there: nothing is shuffled.
     """
-    hashed = F.array_sort(F.transform(tokenize(F.coalesce(F.col(text), F.lit(""))), lambda t: F.struct(fnv_bucket(t).alias("key"))))
+    # sort_array compares in compiled code; array_sort would run a lambda function for each comparison.
+    hashed = F.sort_array(F.transform(tokenize(F.coalesce(F.col(text), F.lit(""))), lambda t: F.struct(fnv_bucket(t).alias("key"))))
     before = lambda ends, k: F.coalesce(F.get(ends, k - 1), F.lit(0))
     pairs = lambda s, ends: F.transform(ends, lambda e, k: F.struct(F.get(s, e - 1)["key"].alias("idx"), (e - before(ends, k)).cast("double").alias("w")))
     return df.select(F.col(id_column).alias("id"), let(hashed, lambda s: let(run_ends(s), lambda ends: pairs(s, ends))).alias("pairs"))

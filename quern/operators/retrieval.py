@@ -158,13 +158,16 @@ def sparse_scores(queries: DataFrame, rows: DataFrame, k: int | None = None) ->
 
         return number.size, score
 
-    own = queries.select(F.col("query_id").cast("long").alias("query_id"), "pairs").where("pairs is not null")
-    given = rows.select(F.col("id").cast("long").alias("id"), "pairs").where("id is not null and pairs is not null")
+    # No filter on pairs: it would be pushed down and have them computed twice. Null ones score nothing.
+    own = queries.select(F.col("query_id").cast("long").alias("query_id"), "pairs")
+    given = rows.select(F.col("id").cast("long").alias("id"), "pairs").where("id is not null")
     return _against_all(given, _blocks(own, F.size("pairs") * 16 + 16), scorer, k)
 
 
 def _flat(pairs: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row number, idx and w of all pairs."""
+    if pairs.null_count:
+        pairs = pairs.fill_null(pa.scalar([], pairs.type))
     sizes = np.diff(pairs.offsets.to_numpy())
     flat = pairs.flatten()
     return np.repeat(np.arange(sizes.size), sizes), flat.field("idx").to_numpy(zero_copy_only=False), flat.field("w").to_numpy(zero_copy_only=False)

@@ -16,7 +16,7 @@ from quern.sources import tables
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return T.sparse_rows(tables.table(spark, d, "documents"), "doc_id")
+    return T.sparse_rows(tables.spread(tables.table(spark, d, "documents").select("doc_id", "text")), "doc_id")
 
 
 def _items(spark: SparkSession, d: str) -> DataFrame:
@@ -126,7 +126,7 @@ def context_budget(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{views('doc_postings')} SELECT id, string_agg(idx, '|' ORDER BY idx) AS indices FROM doc_postings WHERE id IN (SELECT vec_id FROM embeddings) GROUP BY id")
 def backfill_sparse(spark: SparkSession, d: str) -> DataFrame:
-    docs = tables.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    docs = tables.spread(tables.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
     e = tables.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"))
     have = T.sparse_vectors(T.sparse_rows(docs.where("id % 2 = 0"), "id"))
     return search.backfill_sparse(e, have, docs).select("id", joined("sparse.indices").alias("indices"))
@@ -134,7 +134,7 @@ def backfill_sparse(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{views('doc_postings')} SELECT d.doc_id AS id, coalesce(string_agg(idx, '|' ORDER BY idx), '') AS indices, CAST(64 AS BIGINT) AS dimension FROM documents d LEFT JOIN doc_postings p ON p.id = d.doc_id GROUP BY d.doc_id")
 def embed_hybrid(spark: SparkSession, d: str) -> DataFrame:
-    docs = tables.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    docs = tables.spread(tables.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
     out = search.embed_hybrid(docs, search.HashEmbedder(64))
     return out.select("id", joined("sparse.indices").alias("indices"), F.size("embedding").cast("long").alias("dimension"))
 
@@ -142,7 +142,7 @@ def embed_hybrid(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""{views('doc_postings')}, f AS (SELECT id, idx % 64 AS place, sum(w * CASE WHEN (idx // 64) % 2 = 0 THEN 1 ELSE -1 END) AS x FROM doc_postings GROUP BY 1, 2), n AS (SELECT id, sqrt(sum(x * x)) AS n FROM f GROUP BY id)
     SELECT f.id, place, round(CASE WHEN n > 0 THEN x / n ELSE 0.0 END, 6) AS x FROM f JOIN n USING (id) WHERE x <> 0""")
 def embedder(spark: SparkSession, d: str) -> DataFrame:
-    docs = tables.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    docs = tables.spread(tables.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
     out = search.HashEmbedder(64)(docs).select("id", F.posexplode("embedding").alias("place", "x")).where("x <> 0")
     return out.select("id", F.col("place").cast("long").alias("place"), F.round("x", 6).alias("x"))
 

@@ -29,7 +29,7 @@ def fnv1a_bucket(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{views('doc_tokens', 'doc_postings')} SELECT id, string_agg(idx, '|' ORDER BY idx) AS indices, string_agg(CAST(w AS BIGINT), '|' ORDER BY idx) AS counts FROM doc_postings GROUP BY id")
 def sparse_vector(spark: SparkSession, d: str) -> DataFrame:
-    v = T.sparse_vectors(T.sparse_rows(_docs(spark, d), "doc_id"))
+    v = T.sparse_vectors(T.sparse_rows(tables.spread(_docs(spark, d).select("doc_id", "text")), "doc_id"))
     return v.select("id", joined("sparse.indices").alias("indices"), F.array_join(F.transform("sparse.values", lambda x: x.cast("long").cast("string")), "|").alias("counts"))
 
 

@@ -48,7 +48,7 @@ class HashEmbedder:
             at = lambda k: F.coalesce(F.get(s, k)["at"], F.lit(-1))
             return F.concat(F.flatten(F.transform(s, lambda p, k: F.concat(zeros(p["at"] - at(k - 1) - 1), F.array(p["x"])))), zeros(F.lit(self.dimension - 1) - at(F.size(s) - 1)))
 
-        by_place = F.array_sort(F.transform("pairs", lambda x: F.struct(place(x).alias("key"), signed(x).alias("x"))))
+        by_place = F.sort_array(F.transform("pairs", lambda x: F.struct(place(x).alias("key"), signed(x).alias("x"))))
         dense = let(by_place, lambda p: let(let(run_ends(p), lambda ends: summed(p, ends)), filled))
         return sparse_rows(texts, "id").select("id", let(dense, l2_normalize).alias("embedding"))
 

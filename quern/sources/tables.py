@@ -31,6 +31,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain scan for costly work on each row: one with fewer splits than there are cores is dealt to all of them; a
+    large table stays as it is."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def scan_runs(spark: SparkSession, path: str) -> DataFrame:
     """Runs from Parquet with the fixed 14-column schema."""
     return spark.read.schema(RUN).parquet(path)
