@@ -49,14 +49,15 @@ def sparse_rows(df: DataFrame, id_column: str, text: str = "text") -> DataFrame:
 
 def postings(df: DataFrame, id_column: str, text: str = "text") -> DataFrame:
     """``id``, ``idx``, ``w``: :func:`sparse_rows` as one row for each bucket of a text."""
-    return sparse_rows(df, id_column, text).select("id", F.inline("pairs"))
+    # An outer generator: for an inner one Spark infers a filter on the pairs, which would have them computed once more.
+    return sparse_rows(df, id_column, text).select("id", F.inline_outer("pairs")).where("idx is not null")
 
 
 def sparse_vectors(rows: DataFrame) -> DataFrame:
     """``id`` and ``sparse``: struct of parallel arrays ``indices`` (ascending) and ``values``, of rows of ``id`` and
     ``pairs``. Texts without a token have no row."""
-    # A generator, and not a filter, which would be pushed down and have the pairs computed once more.
-    some = rows.select("id", F.explode(F.filter(F.array("pairs"), lambda p: F.size(p) > 0)).alias("pairs"))
+    # An outer generator, and no filter on the pairs, which would be pushed down and have them computed once more.
+    some = rows.select("id", F.explode_outer(F.filter(F.array("pairs"), lambda p: F.size(p) > 0)).alias("pairs")).where("pairs is not null")
     return some.select("id", F.struct(F.transform("pairs", lambda x: x["idx"]).alias("indices"), F.transform("pairs", lambda x: x["w"]).alias("values")).alias("sparse"))
 
 
@@ -96,7 +97,7 @@ def chunks(docs: DataFrame, target: int = 500, most: int = 700, overlap: int = 7
     rows = rows.withColumn("c0", F.greatest(F.lit(1), F.ceil((n - overlap) / stride).cast("int")))
     merge = (F.col("c0") > 1) & (n - (F.col("c0") - 1) * stride < most - target)
     rows = rows.withColumn("c", F.col("c0") - merge.cast("int"))
-    cut = rows.select("id", "t", "c", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("chunk_no"))
+    cut = rows.select("id", "t", "c", F.explode_outer(F.sequence(F.lit(0), F.col("c") - 1)).alias("chunk_no"))
     size = F.when(F.col("chunk_no") == F.col("c") - 1, F.size("t") - F.col("chunk_no") * stride).otherwise(F.lit(target))
     piece = F.slice("t", F.col("chunk_no") * stride + 1, F.greatest(size, F.lit(0)))
     return cut.select("id", F.col("chunk_no").cast("long").alias("chunk_no"), F.size(piece).cast("long").alias("n_tokens"), F.array_join(piece, " ").alias("text"))

@@ -143,7 +143,7 @@ def embed_hybrid(spark: SparkSession, d: str) -> DataFrame:
     SELECT f.id, place, round(CASE WHEN n > 0 THEN x / n ELSE 0.0 END, 6) AS x FROM f JOIN n USING (id) WHERE x <> 0""")
 def embedder(spark: SparkSession, d: str) -> DataFrame:
     docs = tables.spread(tables.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
-    out = search.HashEmbedder(64)(docs).select("id", F.posexplode("embedding").alias("place", "x")).where("x <> 0")
+    out = search.HashEmbedder(64)(docs).select("id", F.posexplode_outer("embedding").alias("place", "x")).where("x <> 0")
     return out.select("id", F.col("place").cast("long").alias("place"), F.round("x", 6).alias("x"))
 
 
