@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
 _MADE: dict[str, list[str]] = {}
+_TABLES: dict[str, list[str]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -43,8 +44,22 @@ def staged(df: DataFrame, name: str, group_bytes: int | None = None) -> DataFram
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """As :func:`staged`, dealt by ``key`` to as many buckets as the session shuffles to: groupings and joins by ``key`` read
+    it in place, without an exchange, however often they do so."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    table = f"quern_{path.rsplit('-', 1)[1]}"
+    buckets = min(100_000, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(table)
+    _TABLES.setdefault(spark.sparkContext.applicationId, []).append(table)
+    return spark.table(table)
+
+
 def release(spark: SparkSession) -> int:
     """Deletes what this application has staged, once its results are read or written; returns how many paths."""
+    for table in _TABLES.pop(spark.sparkContext.applicationId, []):
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
     paths = _MADE.pop(spark.sparkContext.applicationId, [])
     for path in paths:
         target = spark._jvm.org.apache.hadoop.fs.Path(path)

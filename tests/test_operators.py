@@ -269,3 +269,14 @@ def test_cooldown_folds_across_batches(spark):
                 ok = last is None or t - last >= 25
                 assert got[k] == (ok, None if ok else last + 25 - t)
                 last = t if ok else last
+
+
+def test_bucketed_tables_join_without_an_exchange(spark):
+    from quern.sources import staging
+
+    rows = spark.range(200).select((F.col("id") % 7).cast("string").alias("k"), "id")
+    left = staging.bucketed(rows, "rows", "k")
+    assert sorted(left.collect()) == sorted(rows.collect())
+    counts = left.groupBy("k").agg(F.count("*").alias("n"))
+    assert "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
+    assert sorted(counts.collect()) == sorted(rows.groupBy("k").agg(F.count("*").alias("n")).collect())
