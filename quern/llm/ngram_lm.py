@@ -5,10 +5,13 @@ p(w | v) = (c(v w) + MU p(w)) / (c(v) + MU), p(w) = (c(w) + 0.1) / (N + 0.1 (V +
 before the first is a begin mark. So probabilities over the V words and one unknown sum to one in each context.
 
 How it runs. (1) One scan turns texts into batches: ids of tokens in a batch's own vocabulary, that vocabulary as
-64-bit hashes, its training counts. Batches are staged; the texts are not read again. (2) Batches' vocabularies meet
+64-bit hashes, its training counts. Batches are staged in buckets by name, so that steps 3 and 5 read them in place
+and only what joins them moves; the texts are not read again. (2) Batches' vocabularies meet
 by ranges of the hash, are counted, and the counts go back to the batches. (3) Each batch sends its distinct bigrams,
-with training counts and the places where they occur, to shards by the hash of the context. (4) A shard's task sums
-the counts, builds the trie, looks up what the batches ask, and returns sums of log probabilities by text.
+with training counts, to shards by the hash of the context. (4) A shard's task sums the counts, builds the trie, looks
+up what the batches ask, and returns a quantised log probability for each bigram. (5) Answers meet the batch's tokens
+again and are summed by text. So what is sent grows with the distinct bigrams of the batches; beside them each pair of
+a batch and a shard costs a row of some hundred bytes.
 Only two totals (N, V) reach the driver, and nothing is broadcast. A word or bigram occurs once in what a batch
 sends, however frequent it is; the successors of a context with over 1/shards of all tokens are dealt to several
 shards, by the successor's hash.
@@ -39,19 +42,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm._bytes import LOWER, SPACED, buffer, hashes, mixed, pieces, words
-from quern.sources.staging import staged
+from quern.sources.staging import bucketed, staged
 from quern.llm.elias_fano import EliasFano, mapped
 
 MU, ADD, STEP = 20.0, 0.1, 4000.0
-#: Bytes of text in a batch, tokens meant for a shard, and the fewest shards.
-BATCH_BYTES, SHARD_TOKENS, LEAST_SHARDS = 8 << 20, 2_000_000, 64
+#: Bytes of text in a batch, tokens meant for a shard, the fewest shards, and bigrams that wait to be merged.
+BATCH_BYTES, SHARD_TOKENS, LEAST_SHARDS, MERGE_ROWS = 8 << 20, 8_000_000, 16, 1_000_000
 #: Leading bytes that tell contexts apart in a shard, and successors in a context.
 CONTEXT_BYTES, WORD_BYTES = 5, 4
 _END, _BEGIN = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
 _BATCH = "batch string, doc_ids array<long>, held array<boolean>, sizes array<int>, vocabulary binary, counts binary, tokens binary"
-_ASKED = "shard int, batch string, part string, doc_ids array<long>, held array<boolean>, n_tokens array<long>, n_known array<long>, base array<double>, sent array<binary>"
-_TOLD = "batch string, doc_ids array<long>, held array<boolean>, n_tokens array<long>, n_known array<long>, base array<double>, places binary, sums binary"
+_ASKED = "shard int, batch string, n_known array<long>, base array<double>, ways binary, sent array<binary>"
+_TOLD = "shard int, batch string, n_known array<long>, base array<double>, ways binary, codes binary"
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -159,10 +162,22 @@ def _unigrams(batches: DataFrame, shards: int) -> DataFrame:
     return sent.groupBy("shard").applyInArrow(count, "batch string, shard int, counts binary, n long, v long")
 
 
-def _contexts(v: np.ndarray, w: np.ndarray, c_v: np.ndarray, n: int, shards: int) -> np.ndarray:
-    """Shard of each bigram: by its context, and for a context of over 1/shards of all tokens also by its successor."""
-    ways = np.maximum(1, -(-c_v * shards // max(1, n))).astype(np.uint64)
-    return (mixed(v + mixed(w) % ways * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(shards)).astype(np.int64)
+def _pairs(sizes: np.ndarray, local: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct bigrams of a batch as places of both words in its vocabulary, in their order, and the bigram of each
+    token. The begin mark's place is ``n``, one past the vocabulary."""
+    before = np.empty_like(local)
+    before[1:] = local[:-1]
+    before[np.cumsum(sizes) - sizes] = n
+    pair, inverse = np.unique(before * n + local, return_inverse=True)
+    return pair // n, pair % n, inverse
+
+
+def _dealt(vocabulary: np.ndarray, ways: np.ndarray, v: np.ndarray, w: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """A batch's bigrams in the order of their shards, and the shard of each: by the context's hash, and in one of
+    ``ways`` of a context also by the successor's."""
+    h = np.append(vocabulary, _BEGIN)
+    shard = (mixed(h[v] + mixed(h[w]) % ways[v].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(shards)).astype(np.int64)
+    return np.argsort(shard, kind="stable"), shard
 
 
 def _asker(n_all: int, v_all: int, shards: int):
@@ -171,7 +186,7 @@ def _asker(n_all: int, v_all: int, shards: int):
     def ask(left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.sort_by("shard")
         count = np.concatenate([_unplaned(x, "<u8") for x in right["counts"].to_pylist()]).astype(np.int64)
-        batch, doc_ids, held = (left[c][0].as_py() for c in ("batch", "doc_ids", "held"))
+        batch, held = (left[c][0].as_py() for c in ("batch", "held"))
         sizes = np.array(left["sizes"][0].as_py())
         vocabulary, local = _summed(left["vocabulary"][0].as_py()), _unplaned(left["tokens"][0].as_py(), "<u4").astype(np.int64)
         owner = np.repeat(np.arange(sizes.size), sizes)
@@ -179,37 +194,36 @@ def _asker(n_all: int, v_all: int, shards: int):
         base = np.bincount(owner, weights=log1[local], minlength=sizes.size)
         known = np.bincount(owner[count[local] > 0], minlength=sizes.size)
         trains = np.repeat(~np.array([bool(h) for h in held]), sizes)
-        # The begin mark is one past the vocabulary; it occurs as often as the end.
-        before = np.empty_like(local)
-        before[1:] = local[:-1]
-        before[np.cumsum(sizes) - sizes] = vocabulary.size
-        pair, first, inverse, times = np.unique(before * vocabulary.size + local, return_index=True, return_inverse=True, return_counts=True)
-        trained = np.bincount(inverse[trains], minlength=pair.size).astype("<u4")
-        texts = owner[np.argsort(inverse, kind="stable")].astype("<u4")
-        cut = np.cumsum(times) - times
-        v_at, w_at = before[first], local[first]
-        ends = count[np.searchsorted(vocabulary, _END)]
-        v_hash, v_count = np.append(vocabulary, _BEGIN)[v_at], np.append(count, ends)[v_at]
-        w_hash = vocabulary[w_at]
-        code = np.round(-log1 * STEP).clip(0, 65535).astype("<u2")[w_at]
-        shard = _contexts(v_hash, w_hash, v_count, n_all, shards)
-        order = np.lexsort((w_hash, v_hash, shard))
+        v, w, inverse = _pairs(sizes, local, vocabulary.size)
+        trained = np.bincount(inverse[trains], minlength=v.size).astype("<u4")
+        # The begin mark occurs as often as the end. A context of over 1/shards of all tokens goes to several shards.
+        before = np.append(count, count[np.searchsorted(vocabulary, _END)])
+        ways = np.maximum(1, -(-before * shards // max(1, n_all))).astype("<u4")
+        order, shard = _dealt(vocabulary, ways, v, w, shards)
+        v_hash, w_hash = _leading(np.append(vocabulary, _BEGIN), CONTEXT_BYTES), _leading(vocabulary, WORD_BYTES)
+        v_hash, w_hash = np.frombuffer(v_hash, (np.void, CONTEXT_BYTES)), np.frombuffer(w_hash, (np.void, WORD_BYTES))
+        code = _code(log1)
         cuts = np.searchsorted(shard[order], np.arange(shards + 1))
         rows = []
         for k in np.flatnonzero(np.diff(cuts)):
             at = order[cuts[k] : cuts[k + 1]]
-            new = np.flatnonzero(np.concatenate([[True], v_hash[at][1:] != v_hash[at][:-1]]))
-            places = np.arange(int(times[at].sum())) + np.repeat(cut[at] - (np.cumsum(times[at]) - times[at]), times[at])
-            sent = [_leading(v_hash[at[new]], CONTEXT_BYTES), _planes(np.diff(np.append(new, at.size)).astype("<u4")), _planes(v_count[at[new]].astype("<u8")), _leading(w_hash[at], WORD_BYTES), _planes(code[at]), _planes(trained[at]), _planes(times[at].astype("<u4")), _planes(texts[places])]
-            rows.append((int(k), batch, "bigrams", None, None, None, None, None, sent))
+            v_at, w_at = v[at], w[at]
+            new = np.flatnonzero(np.concatenate([[True], v_at[1:] != v_at[:-1]]))
+            sent = [v_hash[v_at[new]].tobytes(), _planes(np.diff(np.append(new, at.size)).astype("<u4")), _planes(before[v_at[new]].astype("<u8")), w_hash[w_at].tobytes(), _planes(code[w_at]), _planes(trained[at])]
+            rows.append((int(k), batch, None, None, None, sent))
         own = int(mixed(np.array([hash_of(batch)], np.uint64))[0] % np.uint64(shards))
-        rows.append((own, batch, "base", doc_ids, held, sizes.tolist(), known.tolist(), base.tolist(), None))
-        kinds = [pa.int32(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.binary())]
+        rows.append((own, batch, known.tolist(), base.tolist(), _planes(ways), None))
+        kinds = [pa.int32(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.binary(), pa.list_(pa.binary())]
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [f.split(" ")[0] for f in _ASKED.split(", ")])
 
     return ask
 
 
+def _code(log: np.ndarray) -> np.ndarray:
+    """Log probabilities in steps of 1/STEP."""
+    return np.round(-log * STEP).clip(0, 65535).astype("<u2")
+
+
 def hash_of(name: str) -> int:
     data = np.frombuffer(name.encode(), np.uint8)
     return int(hashes(data, np.array([0]), np.array([data.size]))[0])
@@ -251,62 +265,83 @@ class Trie:
 
 
 def _opened(sent: list[bytes]) -> dict[str, np.ndarray]:
-    v, runs, c_v, w, code, trained, times, texts = sent
+    """A blob's bigrams, a row each."""
+    v, runs, c_v, w, code, trained = sent
     runs = _unplaned(runs, "<u4")
-    return {"v": _from_leading(v, CONTEXT_BYTES), "runs": runs, "c_v": _unplaned(c_v, "<u8"), "w": _from_leading(w, WORD_BYTES), "code": _unplaned(code, "<u2"), "trained": _unplaned(trained, "<u4"), "times": _unplaned(times, "<u4"), "texts": _unplaned(texts, "<u4")}
+    return {"v": np.repeat(_from_leading(v, CONTEXT_BYTES), runs), "c_v": np.repeat(_unplaned(c_v, "<u8"), runs), "w": _from_leading(w, WORD_BYTES), "code": _unplaned(code, "<u2"), "trained": _unplaned(trained, "<u4")}
+
+
+def _merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Bigrams (context, word, count, context's count) with those that are equal summed."""
+    v, w, c, c_v = (np.concatenate(p) for p in zip(*parts, strict=True))
+    order = np.lexsort((w, v))
+    v, w = v[order], w[order]
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, v.size), bool), (v[1:] != v[:-1]) | (w[1:] != w[:-1])]))
+    return v[first], w[first], np.add.reduceat(c[order], first) if first.size else c, c_v[order][first]
 
 
 def _trie(asked: list[list[bytes]], mu: float) -> Trie:
-    parts = [[], [], [], []]
+    """Batches are merged as they come, so that memory follows the shard's distinct bigrams."""
+    parts: list[tuple[np.ndarray, ...]] = []
+    waiting = merged = 0
     for sent in asked:
         x = _opened(sent)
         some = x["trained"] > 0
-        for to, y in zip(parts, (np.repeat(x["v"], x["runs"])[some], x["w"][some], x["trained"][some], np.repeat(x["c_v"], x["runs"])[some]), strict=True):
-            to.append(y)
-    return Trie(*[np.concatenate(p) for p in parts], mu)
+        parts.append((x["v"][some], x["w"][some], x["trained"][some].astype(np.int64), x["c_v"][some]))
+        waiting += int(some.sum())
+        if waiting > max(MERGE_ROWS, merged):
+            parts = [_merged(parts)]
+            waiting, merged = 0, parts[0][0].size
+    return Trie(*_merged(parts), mu)
 
 
 def _answerer(mu: float):
     def answer(table: pa.Table) -> pa.Table:
-        kinds = [pa.string(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.binary(), pa.binary()]
+        kinds = [pa.int32(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.binary(), pa.binary()]
         names = [f.split(" ")[0] for f in _TOLD.split(", ")]
-        rows = [(*(r[n] for n in names[:6]), None, None) for r in table.filter(pa.compute.equal(table["part"], "base")).to_pylist()]
-        asked = table.filter(pa.compute.equal(table["part"], "bigrams"))
+        is_bigram = pa.compute.is_valid(table["sent"])
+        rows = [(*(r[n] for n in names[:5]), None) for r in table.filter(pa.compute.invert(is_bigram)).to_pylist()]
+        asked = table.filter(is_bigram)
         batches, sent = asked["batch"].to_pylist(), asked["sent"].to_pylist()
         if sent:
-            trie = _trie(sent, mu)
+            trie, shard = _trie(sent, mu), asked["shard"][0].as_py()
             for batch, one in zip(batches, sent, strict=True):
                 x = _opened(one)
-                context = np.repeat(x["v"], x["runs"])
-                rest = mu / (np.repeat(x["c_v"], x["runs"]) + mu) * 10.0 ** (x["code"] / -STEP)
-                log = np.log10(trie.share(context, x["w"]) + rest)
-                sums = np.bincount(x["texts"], weights=np.repeat(log, x["times"]))
-                places = np.unique(x["texts"])
-                rows.append((batch, None, None, None, None, None, _planes(places.astype("<u4")), sums[places].astype("<f4").tobytes()))
+                rest = mu / (x["c_v"] + mu) * 10.0 ** (x["code"] / -STEP)
+                rows.append((shard, batch, None, None, None, _planes(_code(np.log10(trie.share(x["v"], x["w"]) + rest)))))
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     return answer
 
 
-def _total(table: pa.Table) -> pa.Table:
-    """A batch's answers added up: a row for each of its texts."""
-    base = table.filter(pa.compute.is_valid(table["doc_ids"])).to_pylist()[0]
-    score = np.zeros(len(base["doc_ids"]))
-    for places, sums in zip(table["places"].to_pylist(), table["sums"].to_pylist(), strict=True):
-        if places is not None:
-            score[_unplaned(places, "<u4")] += np.frombuffer(sums, "<f4")
-    return pa.table({"doc_id": pa.array(base["doc_ids"], pa.int64()), "held_out": pa.array(base["held"], pa.bool_()), "n_tokens": pa.array(base["n_tokens"], pa.int64()), "n_known": pa.array(base["n_known"], pa.int64()), "base_score": pa.array(base["base"]), "score": pa.array(score)})
+def _totaller(shards: int):
+    def total(left: pa.Table, right: pa.Table) -> pa.Table:
+        """A batch's answers, laid on its tokens and added up: a row for each of its texts."""
+        about = right.filter(pa.compute.is_valid(right["base"]))
+        codes = right.filter(pa.compute.is_valid(right["codes"])).sort_by("shard")["codes"].to_pylist()
+        sizes = np.array(left["sizes"][0].as_py())
+        vocabulary, local = _summed(left["vocabulary"][0].as_py()), _unplaned(left["tokens"][0].as_py(), "<u4").astype(np.int64)
+        v, w, inverse = _pairs(sizes, local, vocabulary.size)
+        order, _ = _dealt(vocabulary, _unplaned(about["ways"][0].as_py(), "<u4"), v, w, shards)
+        log = np.empty(order.size)
+        log[order] = np.concatenate([_unplaned(x, "<u2") for x in codes]) / -STEP
+        score = np.bincount(np.repeat(np.arange(sizes.size), sizes), weights=log[inverse], minlength=sizes.size)
+        doc_ids, held = left["doc_ids"][0].as_py(), left["held"][0].as_py()
+        return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "held_out": pa.array(held, pa.bool_()), "n_tokens": pa.array(sizes, pa.int64()), "n_known": pa.array(about["n_known"][0].as_py(), pa.int64()), "base_score": pa.array(about["base"][0].as_py(), pa.float64()), "score": pa.array(score)})
+
+    return total
 
 
-def _asked(docs: DataFrame, held_out: str) -> tuple[DataFrame, int, int, int]:
+def _asked(docs: DataFrame, held_out: str) -> tuple[DataFrame, DataFrame, int, int]:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_ids"), F.col("text").cast("string").alias("text"), F.coalesce(F.col(held_out), F.lit(False)).alias("held"))
-    batches = staged(_batches(rows), "batches")
+    batches = bucketed(_batches(rows), "batches", "batch")
     tokens = batches.select(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     shards = max(LEAST_SHARDS, -(-tokens // SHARD_TOKENS))
     counted = staged(_unigrams(batches, shards), "unigrams")
     n, v = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     back = counted.where("batch is not null").select("batch", "shard", "counts")
-    return batches.drop("counts").groupBy("batch").cogroup(back.groupBy("batch")).applyInArrow(_asker(n, v, shards), _ASKED), n, v, shards
+    asked = batches.drop("counts", "doc_ids").groupBy("batch").cogroup(back.groupBy("batch")).applyInArrow(_asker(n, v, shards), _ASKED)
+    return batches.drop("counts"), asked.repartition(shards, "shard"), n, shards
 
 
 def score(docs: DataFrame, held_out: str = "held_out", mu: float = MU) -> DataFrame:
@@ -314,9 +349,9 @@ def score(docs: DataFrame, held_out: str = "held_out", mu: float = MU) -> DataFr
 
     docs: doc_id, text, and a boolean column named ``held_out`` that tells which texts do not train.
     """
-    asked, n, _, _ = _asked(docs, held_out)
+    batches, asked, n, shards = _asked(docs, held_out)
     told = asked.groupBy("shard").applyInArrow(_answerer(mu), _TOLD)
-    totals = told.groupBy("batch").applyInArrow(_total, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    totals = batches.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(_totaller(shards), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return totals.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
@@ -324,9 +359,9 @@ def sizes(docs: DataFrame, held_out: str = "held_out", mu: float = MU) -> DataFr
     """Size of the model by shard: contexts, bigrams, bytes of its levels."""
 
     def measure(table: pa.Table) -> pa.Table:
-        sent = table.filter(pa.compute.equal(table["part"], "bigrams"))["sent"].to_pylist()
+        sent = table["sent"].drop_null().to_pylist()
         trie = _trie(sent, mu) if sent else None
         total = sum(x.nbytes for x in (trie.words, trie.contexts, trie.pointers, trie.successors, trie.codes)) if trie else 0
         return pa.table({"shard": pa.array([table["shard"][0].as_py()], pa.int32()), "contexts": pa.array([trie.contexts.n if trie else 0], pa.int64()), "bigrams": pa.array([trie.successors.n if trie else 0], pa.int64()), "bytes": pa.array([total], pa.int64())})
 
-    return _asked(docs, held_out)[0].groupBy("shard").applyInArrow(measure, "shard int, contexts long, bigrams long, bytes long")
+    return _asked(docs, held_out)[1].groupBy("shard").applyInArrow(measure, "shard int, contexts long, bigrams long, bytes long")
