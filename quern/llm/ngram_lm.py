@@ -47,7 +47,7 @@ from quern.llm.elias_fano import EliasFano, mapped
 
 MU, ADD, STEP = 20.0, 0.1, 4000.0
 #: Bytes of text in a batch, tokens meant for a shard, the fewest shards, and bigrams that wait to be merged.
-BATCH_BYTES, SHARD_TOKENS, LEAST_SHARDS, MERGE_ROWS = 8 << 20, 8_000_000, 16, 1_000_000
+BATCH_BYTES, SHARD_TOKENS, LEAST_SHARDS, MERGE_ROWS = 8 << 20, 2_000_000, 16, 1_000_000
 #: Leading bytes that tell contexts apart in a shard, and successors in a context.
 CONTEXT_BYTES, WORD_BYTES = 5, 4
 _END, _BEGIN = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
