@@ -21,9 +21,9 @@ in the shard's own vocabulary, offset by their context so that the level increas
 search in the range that its context's pointers give. Probabilities are quantised to steps of 1/4000 of log10. Levels are Elias-Fano coded
 and memory-mapped.
 
-Order two is a choice: trigrams of this kind of text are nearly all singletons and would treble the shuffle.
-Words are told apart by 64-bit hashes; in a shard, contexts by their leading 40 bits and successors inside a context by
-32, so that of a context with n successors about n^2 / 2^33 pairs are taken for one.
+Order two is a choice: trigrams of this kind of text are nearly all singletons, and would make what is sent several times as large.
+Words are told apart by 64-bit hashes; in a shard, contexts by their leading 48 bits and successors inside a context by
+40, so that of a context with n successors about n^2 / 2^41 pairs are taken for one.
 
 Nulls: a null text is empty and has one token, the end; an empty table gives no rows. There are no ties. Texts of any
 length are read whole; one that is longer than a batch is a batch. A null ``held_out`` trains. Rows with null or repeated ids
@@ -49,7 +49,7 @@ MU, ADD, STEP = 20.0, 0.1, 4000.0
 #: Bytes of text in a batch, tokens meant for a shard, the fewest shards, and bigrams that wait to be merged.
 BATCH_BYTES, SHARD_TOKENS, LEAST_SHARDS, MERGE_ROWS = 8 << 20, 2_000_000, 16, 1_000_000
 #: Leading bytes that tell contexts apart in a shard, and successors in a context.
-CONTEXT_BYTES, WORD_BYTES = 5, 4
+CONTEXT_BYTES, WORD_BYTES = 6, 5
 _END, _BEGIN = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
 _BATCH = "batch string, doc_ids array<long>, held array<boolean>, sizes array<int>, vocabulary binary, counts binary, tokens binary"
@@ -233,7 +233,7 @@ class Trie:
     """A shard's bigrams: contexts, pointers, successors relative to their context, quantised probabilities."""
 
     def __init__(self, context: np.ndarray, word: np.ndarray, count: np.ndarray, context_count: np.ndarray, mu: float):
-        """Parallel arrays of training bigrams; equal ones are summed. ``word`` has 32 bits, ``context`` 40."""
+        """Parallel arrays of training bigrams; equal ones are summed. ``word`` has 40 bits, ``context`` 48."""
         self.words = EliasFano(local := np.unique(word), 1 << 8 * WORD_BYTES)
         level = np.unique(context)
         self.contexts = EliasFano(level, 1 << 8 * CONTEXT_BYTES)
