@@ -292,7 +292,7 @@ def _trie(asked: list[list[bytes]], mu: float) -> Trie:
         if waiting > max(MERGE_ROWS, merged):
             parts = [_merged(parts)]
             waiting, merged = 0, parts[0][0].size
-    return Trie(*_merged(parts), mu)
+    return Trie(*(np.concatenate(p) for p in zip(*parts, strict=True)), mu)
 
 
 def _answerer(mu: float):
