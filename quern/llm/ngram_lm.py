@@ -8,9 +8,9 @@ How it runs. (1) One scan turns texts into batches: ids of tokens in a batch's o
 64-bit hashes, its training counts. Batches are staged in buckets by name, so that steps 3 and 5 read them in place
 and only what joins them moves; the texts are not read again. (2) Batches' vocabularies meet
 by ranges of the hash, are counted, and the counts go back to the batches. (3) Each batch sends its distinct bigrams,
-with training counts, to shards by the hash of the context. (4) A shard's task sums the counts, builds the trie, looks
-up what the batches ask, and returns a quantised log probability for each bigram. (5) Answers meet the batch's tokens
-again and are summed by text. So what is sent grows with the distinct bigrams of the batches; beside them each pair of
+with training counts, to shards by the hash of the context; each shard is one task of its own. (4) That task sums the
+counts, builds the trie, looks up what the batches ask, and returns a quantised log probability for each bigram.
+(5) Answers meet the batch's tokens again and are summed by text. So what is sent grows with the distinct bigrams of the batches; beside them each pair of
 a batch and a shard costs a row of some hundred bytes.
 Only two totals (N, V) reach the driver, and nothing is broadcast. A word or bigram occurs once in what a batch
 sends, however frequent it is; the successors of a context with over 1/shards of all tokens are dealt to several
@@ -341,7 +341,7 @@ def _asked(docs: DataFrame, held_out: str) -> tuple[DataFrame, DataFrame, int, i
     n, v = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     back = counted.where("batch is not null").select("batch", "shard", "counts")
     asked = batches.drop("counts", "doc_ids").groupBy("batch").cogroup(back.groupBy("batch")).applyInArrow(_asker(n, v, shards), _ASKED)
-    return batches.drop("counts"), asked.repartition(shards, "shard"), n, shards
+    return batches.drop("counts"), asked.repartitionById(shards, "shard"), n, shards
 
 
 def score(docs: DataFrame, held_out: str = "held_out", mu: float = MU) -> DataFrame:
