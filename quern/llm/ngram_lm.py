@@ -21,7 +21,9 @@ in the shard's own vocabulary, offset by their context so that the level increas
 search in the range that its context's pointers give. Probabilities are quantised to steps of 1/4000 of log10. Levels are Elias-Fano coded
 and memory-mapped.
 
-Order two is a choice: trigrams of this kind of text are nearly all singletons; their cost was not measured.
+Order two is a choice of cost. Measured over all documents of sf0.1 (4.0 million tokens, batches of 8 MB): batches would
+send 1.25 distinct trigrams for each distinct bigram, under 4.1 times as many contexts; held-out texts without an exact
+copy in training score -3.98 a token with trigrams interpolated, -4.09 with bigrams, -4.27 with words alone.
 Words are told apart by 64-bit hashes; in a shard, contexts by their leading 48 bits and successors inside a context by
 40, so that of a context with n successors about n^2 / 2^41 pairs are taken for one.
 

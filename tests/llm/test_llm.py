@@ -495,6 +495,16 @@ def test_keep_one(docs):
     assert kept.columns == docs.columns and 5 in ids and 9 not in ids and None in ids and ids.count(3) == 3
 
 
+def test_keep_one_is_the_same_without_a_broadcast(docs, monkeypatch):
+    """Beyond ``BROADCAST_ROWS`` dropped ids, both sides are shuffled by id: null and repeated ids stay as they were."""
+    ids = lambda df: sorted((x.doc_id for x in df.select("doc_id").collect()), key=str)
+    want = ids(simhash.keep_one(docs))
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", -1)
+    shuffled = simhash.keep_one(docs)
+    assert "BroadcastHashJoin" not in shuffled._jdf.queryExecution().executedPlan().toString()
+    assert ids(shuffled) == want
+
+
 # -- 10 -----------------------------------------------------------------------------------------------------------
 
 
@@ -563,6 +573,36 @@ def test_pipeline(spark):
         assert stage(spark, docs.limit(0), sf).count() == 0
 
 
+def test_pipeline_of_odd_rows(spark, docs, real, tmp_path):
+    """Null, empty, repeated and very long texts, null and repeated ids, columns with names used inside: each stage gives
+    rows of the stage before, and texts in a language that is known are kept once."""
+    import corpus_pipeline
+
+    extra = [c for c in docs.columns if c not in real.columns]
+    plain = real.where("doc_id < 40").withColumn("doc_id", F.col("doc_id") + 1000)
+    twice = plain.where("doc_id < 1003").withColumn("doc_id", F.lit(None).cast("long"))
+    huge = plain.where("doc_id = 1003").withColumns({"doc_id": F.lit(5000).cast("long"), "text": F.repeat(F.concat("text", F.lit(" ")), F.lit(3000))})
+    other = plain.unionByName(twice).unionByName(huge)
+    every = docs.unionByName(other.select("*", *[F.lit(None).cast(docs.schema[c].dataType).alias(c) for c in extra]))
+    folder = f"file://{tmp_path}"
+    every.write.parquet(f"{folder}/documents.parquet")
+    spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").write.parquet(f"{folder}/benchmark.parquet")
+    before = spark.read.parquet(f"{folder}/documents.parquet")
+    stages = {}
+    for name, stage in corpus_pipeline.STAGES:
+        path = f"{folder}/{name}"
+        stage(spark, before, folder).write.parquet(path)
+        after = spark.read.parquet(path)
+        stages[name] = after
+        key = ["doc_id"] if name in ("decontamination", "tokens") else before.columns
+        assert after.select(key).exceptAll(before.select(key)).count() == 0, name
+        before = after
+    assert all(any(c.isalpha() for c in x.text) for x in stages["language"].collect())
+    ids = [x.doc_id for x in stages["tokens"].select("doc_id").collect()]
+    assert 5000 in ids or 1003 in ids
+    assert sorted(map(str, ids)) == sorted(str(x.doc_id) for x in corpus_pipeline.run(spark, folder).collect())
+
+
 # -- by brute force, and hot or odd keys ---------------------------------------------------------------------------
 
 
