@@ -81,7 +81,10 @@ def active_over_time(changes: DataFrame, bucket_s: int = 3600) -> DataFrame:
     before = Window.partitionBy("series").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     carried = sums.select("series", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     order = Window.partitionBy("series", "_b").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0)
-    return slots.join(carried, ["series", "_b"]).withColumn("active", (F.col("_before") + F.sum("change").over(order)).cast("long")).drop("_b", "_before")
+    carried = carried.withColumnsRenamed({"series": "_series", "_b": "_slot"})
+    # A null series is a series of its own, and rows without a time come before all others.
+    out = slots.join(carried, F.col("series").eqNullSafe(F.col("_series")) & F.col("_b").eqNullSafe(F.col("_slot")))
+    return out.withColumn("active", (F.col("_before") + F.sum("change").over(order)).cast("long")).drop("_b", "_before", "_series", "_slot")
 
 
 def throughput(progress: DataFrame, window_s: int = 60, newest: int = 120, by: str = "job") -> DataFrame:

@@ -280,3 +280,13 @@ def test_bucketed_tables_join_without_an_exchange(spark):
     counts = left.groupBy("k").agg(F.count("*").alias("n"))
     assert "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
     assert sorted(counts.collect()) == sorted(rows.groupBy("k").agg(F.count("*").alias("n")).collect())
+
+
+def test_active_counts_keep_null_series_and_times(spark):
+    times = [None, datetime(2024, 1, 1), datetime(2024, 1, 1, 0, 30), datetime(2024, 1, 1, 5), datetime(2024, 1, 2)]
+    rows = [(s, t, i, 1 if i % 3 else -1) for i, (s, t) in enumerate([(s, t) for s in ("a", None) for t in times])]
+    got = telemetry.active_over_time(spark.createDataFrame(rows, "series string, ts timestamp, id long, change int")).collect()
+    want, total = {}, {}
+    for s, t, i, change in sorted(rows, key=lambda r: (r[0] or "", r[1] is not None, r[1] or times[1], r[2])):
+        total[s] = want[i] = total.get(s, 0) + change
+    assert {r.id: r.active for r in got} == want
