@@ -27,31 +27,35 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
     return e.select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("session"), F.col("event_type").alias("channel"), "value", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-#: Days of event time in a file of ``_arriving``, and how far its watermark lags.
-SLOT_DAYS, LAG_DAYS = 6, 13
+#: Days of event time in a file of ``_arriving``, how far its watermark lags, and rows of a file.
+SLOT_DAYS, LAG_DAYS, FILE_ROWS = 6, 13, 1_000_000
+#: Seconds that are released at once.
+RELEASED_S = 86400.0
 
 
 def _arriving(spark: SparkSession, rows: DataFrame) -> DataFrame:
     """Rows (with a timestamp ``ts``) as a stream that takes one stretch of time after the other, as files that were
-    written in that order, with one late: a tenth of the second stretch comes after the third. One trigger a stretch."""
+    written in that order, with one late: a tenth of the second stretch comes after the third. One trigger a stretch.
+    Two last triggers bring an event of no key, so far ahead that the watermark passes all others, and then what was
+    set up as it passed them."""
     path = new_path(spark, "arriving")
     slot = F.floor(F.unix_seconds("ts") / (86400 * SLOT_DAYS))
     cut = staged(rows.withColumn("_slot", slot), "slots")
-    order = sorted(r[0] for r in cut.select("_slot").distinct().collect())
+    order = sorted(r[0] for r in cut.where("_slot is not null").select("_slot").distinct().collect())
     late = F.pmod(F.xxhash64("id"), F.lit(10)) == 7
     parts = [F.col("_slot") == k if n != 1 else (F.col("_slot") == k) & ~late for n, k in enumerate(order)]
     if len(order) > 2:
         parts.insert(3, (F.col("_slot") == order[1]) & late)
-    files = max(1, cut.count() // 4_000_000)
+    files = max(1, -(-cut.count() // FILE_ROWS))
     for part in parts:
-        cut.where(part).drop("_slot").coalesce(files).write.mode("append").parquet(path)
+        cut.where(part).drop("_slot").repartition(files).write.mode("append").parquet(path)
+    for ahead in (LAG_DAYS + 4, LAG_DAYS + 8):
+        last = rows.agg(F.max("ts").alias("ts")).select(F.explode(F.sequence(F.lit(1), F.lit(files))), *[(F.col("ts") + F.expr(f"interval {ahead} days") if f.name == "ts" else F.lit(-1 if f.name == "id" else None)).cast(f.dataType).alias(f.name) for f in rows.schema])
+        last.drop("col").repartition(files).write.mode("append").parquet(path)
     reader = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files)
     return reader.parquet(path).withWatermark("ts", f"{LAG_DAYS} days")
 
 
-_PASSED = f"(SELECT max(ts) - INTERVAL {LAG_DAYS} DAY FROM messages)"
-
-
 def _ran(out: DataFrame, mode: str = "append") -> DataFrame:
     """Runs a stream over all that is there and reads its sink. Updates are kept with their batch's number."""
     spark = configured(out.sparkSession)
@@ -89,28 +93,28 @@ def stream_last_n(spark: SparkSession, d: str) -> DataFrame:
     return last.select("key", F.array_join(F.transform("ids", lambda x: x.cast("string")), "|").alias("ids"))
 
 
-@query(_COOLDOWN.replace("SELECT session, id, accepted, CAST(ceil(wait_us / 1e6) AS BIGINT) AS wait_s FROM r", f"SELECT session AS key, id, accepted FROM r WHERE ts <= {_PASSED}".replace("messages", "events")))
+@query(_COOLDOWN.replace("SELECT session, id, accepted, CAST(ceil(wait_us / 1e6) AS BIGINT) AS wait_s FROM r", "SELECT session AS key, id, accepted FROM r"))
 def stream_cooldown(spark: SparkSession, d: str) -> DataFrame:
-    """Over several files, one of them late: what the watermark has passed."""
+    """Over several files, one of them late; state expires after eight hours of event time."""
     rows = tables.messages(spark, d).select("id", "ts", "session")
-    return _ran(ops.stream_cooldown(_arriving(spark, rows), 14400, ordered=True))
+    return _ran(ops.stream_cooldown(_arriving(spark, rows), 14400, ordered=True, slot_s=RELEASED_S))
 
 
 @query(f"""{views('messages')}, m AS (SELECT session AS key, id, ts, CASE WHEN k % 2 = 0 THEN channel || k END AS conversation FROM messages), r AS (SELECT key, id, ts, last_value(conversation IGNORE NULLS) OVER (PARTITION BY key ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS context FROM m)
-    SELECT key, id, context FROM r WHERE ts <= {_PASSED}""")
+    SELECT key, id, context FROM r""")
 def stream_context(spark: SparkSession, d: str) -> DataFrame:
-    """Sessions as channels, over several files, one of them late: what the watermark has passed."""
+    """Sessions as channels, over several files, one of them late."""
     conversation = F.when(F.col("k") % 2 == 0, F.concat("channel", F.col("k").cast("string")))
     rows = tables.messages(spark, d).select("id", "ts", "session", conversation.alias("conversation"))
-    return _ran(ops.stream_context(_arriving(spark, rows), "session", ordered=True))
+    return _ran(ops.stream_context(_arriving(spark, rows), "session", ordered=True, slot_s=RELEASED_S))
 
 
 @query(f"""{views('messages')}, r AS (SELECT session AS key, ts, lead(ts) OVER (PARTITION BY session ORDER BY ts, id) - ts AS gap FROM messages)
-    SELECT key, {sql_time('ts')} AS last_seen, count(*) AS n FROM r WHERE coalesce(gap > INTERVAL 12 HOUR, true) AND ts + INTERVAL 12 HOUR <= {_PASSED} GROUP BY 1, 2""")
+    SELECT key, {sql_time('ts')} AS last_seen, count(*) AS n FROM r WHERE coalesce(gap > INTERVAL 12 HOUR, true) GROUP BY 1, 2""")
 def stream_stale(spark: SparkSession, d: str) -> DataFrame:
-    """Sessions that are silent for over twelve hours, over several files, one of them late: what the watermark has passed."""
+    """Sessions that are silent for over twelve hours, over several files, one of them late."""
     rows = tables.messages(spark, d).select("id", "ts", "session")
-    out = _ran(ops.stream_stale(_arriving(spark, rows), 12 * 3600, "session"))
+    out = _ran(ops.stream_stale(_arriving(spark, rows), 12 * 3600, "session", RELEASED_S))
     return out.groupBy("key", text_time("last_seen").alias("last_seen")).agg(F.count("*").alias("n"))
 
 
@@ -140,8 +144,8 @@ def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""{views('messages')}, c AS ({_COUNTERS}), r AS (SELECT session AS key, id, ts, rx - lag(rx) OVER w AS d, greatest(0.001::DOUBLE, (epoch_us(ts) - lag(epoch_us(ts)) OVER w) / 1e6::DOUBLE) AS dt FROM c WINDOW w AS (PARTITION BY session ORDER BY ts, id))
-    SELECT key, id, CASE WHEN d IS NOT NULL THEN greatest(0, CAST(trunc(d / dt) AS BIGINT)) END AS rate FROM r WHERE ts <= {_PASSED}""")
+    SELECT key, id, CASE WHEN d IS NOT NULL THEN greatest(0, CAST(trunc(d / dt) AS BIGINT)) END AS rate FROM r""")
 def stream_telemetry_rate(spark: SparkSession, d: str) -> DataFrame:
-    """Over several files, one of them late: what the watermark has passed."""
+    """Over several files, one of them late."""
     rows = tables.messages(spark, d).select("session", "ts", "id", (F.col("id") * 1000 + F.col("k")).alias("rx"))
-    return _ran(ops.stream_rate(_arriving(spark, rows), "rx", "session", ordered=True))
+    return _ran(ops.stream_rate(_arriving(spark, rows), "rx", "session", ordered=True, slot_s=RELEASED_S))

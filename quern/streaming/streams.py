@@ -1,21 +1,21 @@
 """Streaming forms of bus, log and telemetry operators.
 
-Each takes a streaming (or, in tests, a batch) DataFrame and returns one; sinks and triggers are the caller's.
-Stateful operators sort what a micro-batch brings by time before they fold it; an operator whose result depends on
-order holds events back until the watermark has passed them where ``ordered`` asks for it.
+Each takes a streaming DataFrame and returns one; sinks and triggers are the caller's. Stateful operators sort what a
+micro-batch brings by time before they fold it; an operator whose result depends on order holds events back until the
+watermark has passed them where ``ordered`` asks for it (``quern.streaming.stateful``). State needs the RocksDB provider.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from quern.plans.ingest import ingest
+from quern.streaming.stateful import InOrder, Newest, OnArrival
 
 
 def stream_events(spark: SparkSession, folder: str, schema: StructType, delay: str = "10 minutes", channels: list[str] | None = None, files_per_trigger: int | None = None) -> DataFrame:
@@ -48,133 +48,96 @@ def stream_throughput(progress: DataFrame, window: str = "60 seconds", slide: st
     return w.select("job", F.col("window.start").alias("window_start"), "samples", (F.greatest(F.lit(0.0), (F.col("b") - F.col("a")).cast("double")) / span).alias("rate"))
 
 
-def _folding(fold: Callable, ordered: bool, expire_ms: int | None = None) -> Callable:
-    """A state function that folds a key's events in order of time and id. State is one JSON text: what the fold
-    keeps, and events that wait until the watermark has passed them (only if ``ordered``).
+#: Seconds of event time that are released at once where order matters.
+SLOT_S = 60.0
+
+
+def _keyed(events: DataFrame, key: str, value: Column) -> DataFrame:
+    """Rows that processors take; those without a time are no events."""
+    return events.select(F.col(key).alias("key"), "ts", F.col("id").cast("long").alias("id"), value.cast("string").alias("value")).where("ts is not null").groupBy("key")
+
+
+def _stateful(events: DataFrame, key: str, value: Column, fold: Callable, kept: str, columns: str, ordered: bool, slot_s: float, expire_s: float | None = None) -> DataFrame:
+    """Ordered: by slots of event time, which need a watermark on ``ts``; state expires by event time. Else on arrival;
+    state expires by the clock."""
+    schema = f"key {dict(events.dtypes)[key]}, {columns}"
+    if ordered:
+        worker, mode = InOrder(fold, kept, _ms(slot_s), None if expire_s is None else _ms(expire_s)), "EventTime"
+    else:
+        worker, mode = OnArrival(fold, kept, None if expire_s is None else _ms(expire_s)), "None" if expire_s is None else "ProcessingTime"
+    return _keyed(events, key, value).transformWithStateInPandas(worker, schema, "append", mode)
 
-    fold(kept, events) -> (kept, DataFrame of results); an event is [microseconds, id, value].
-    """
 
-    def run(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        held = json.loads(state.get[0]) if state.exists else {"kept": None, "waiting": []}
-        if state.hasTimedOut and not ordered:
-            state.remove()
-            return
-        rows = held["waiting"]
-        for batch in batches:
-            times = batch["ts"].astype("datetime64[us]").astype("int64").tolist()
-            values = [v if isinstance(v, str) else None for v in batch["value"].tolist()]
-            rows += [list(r) for r in zip(times, batch["id"].astype("int64").tolist(), values, strict=True)]
-        passed = state.getCurrentWatermarkMs() * 1000 if ordered else None
-        due = [r for r in rows if not ordered or r[0] <= passed]
-        held["waiting"] = [r for r in rows if ordered and r[0] > passed]
-        out = None
-        if due:
-            held["kept"], out = fold(held["kept"], sorted(due, key=lambda r: r[:2]))
-        state.update((json.dumps(held),))
-        if held["waiting"]:
-            state.setTimeoutTimestamp(min(r[0] for r in held["waiting"]) // 1000 + 1)
-        elif expire_ms and not ordered:
-            state.setTimeoutDuration(expire_ms)
-        if out is not None and len(out):
-            out.insert(0, "key", key[0])
-            yield out
-
-    return run
-
-
-def _stateful(events: DataFrame, key: str, value: str, fold: Callable, columns: str, mode: str, ordered: bool, expire_ms: int | None = None) -> DataFrame:
-    kind = dict(events.dtypes)[key]
-    rows = events.select(F.col(key).alias("key"), "ts", F.col("id").cast("long").alias("id"), F.col(value).cast("string").alias("value"))
-    timeout = "EventTimeTimeout" if ordered else "ProcessingTimeTimeout" if expire_ms else "NoTimeout"
-    return rows.groupBy("key").applyInPandasWithState(_folding(fold, ordered, expire_ms), f"key {kind}, {columns}", "held string", mode, timeout)
-
-
-def stream_cooldown(events: DataFrame, seconds: float, by: str = "session", ordered: bool = False, expire: bool = False) -> DataFrame:
-    """``key``, ``id``, ``accepted``: greedy limit by last accepted event. With ``expire``, a key's state goes after twice
-    the cooldown without an event; processing-time timers keep a query running, so not under ``availableNow``."""
+def _ms(seconds: float) -> int:
+    return max(1, int(1000 * seconds))
+
+
+def stream_cooldown(events: DataFrame, seconds: float, by: str = "session", ordered: bool = False, expire: bool | None = None, slot_s: float = SLOT_S) -> DataFrame:
+    """``key``, ``id``, ``accepted``: greedy limit by last accepted event. A key's state goes after twice the cooldown
+    without an event, when any event would be accepted: of event time if ``ordered`` (unless ``expire`` is False); else, with
+    ``expire``, by the clock, which keeps a query running, so not under ``availableNow``."""
     limit = int(seconds * 1_000_000)
 
-    def fold(last, rows):
-        accepted = []
-        for t, _, _ in rows:
+    def fold(kept, times, ids, _):
+        last, accepted = kept[0] if kept else None, []
+        for t in times:
             ok = last is None or t - last >= limit
             last = t if ok else last
             accepted.append(ok)
-        return last, pd.DataFrame({"id": [r[1] for r in rows], "accepted": accepted})
+        return (last,), {"id": ids, "accepted": accepted}
 
-    return _stateful(events, by, by, fold, "id long, accepted boolean", "append", ordered, max(1, int(2000 * seconds)) if expire else None)
+    return _stateful(events, by, F.lit(None), fold, "accepted_at long", "id long, accepted boolean", ordered, slot_s, 2 * seconds if (ordered if expire is None else expire) else None)
 
 
-def stream_context(messages: DataFrame, by: str = "channel", conversation: str = "conversation", ordered: bool = False) -> DataFrame:
+def stream_context(messages: DataFrame, by: str = "channel", conversation: str = "conversation", ordered: bool = False, slot_s: float = SLOT_S) -> DataFrame:
     """``key``, ``id``, ``context``: the conversation id last seen before in the channel."""
 
-    def fold(last, rows):
-        seen = []
-        for _, _, value in rows:
+    def fold(kept, _, ids, values):
+        last, seen = kept[0] if kept else None, []
+        for value in values:
             seen.append(last)
             last = value if value is not None else last
-        return last, pd.DataFrame({"id": [r[1] for r in rows], "context": pd.Series(seen, dtype=object)})
+        return (last,), {"id": ids, "context": pd.Series(seen, dtype=object)}
 
-    return _stateful(messages, by, conversation, fold, "id long, context string", "append", ordered)
+    return _stateful(messages, by, F.col(conversation), fold, "conversation string", "id long, context string", ordered, slot_s)
 
 
-def stream_rate(telemetry: DataFrame, counter: str, by: str = "host", ordered: bool = False) -> DataFrame:
-    """``key``, ``id``, ``rate`` per second of a counter since the host's sample before."""
+def stream_rate(telemetry: DataFrame, counter: str, by: str = "host", ordered: bool = False, slot_s: float = SLOT_S) -> DataFrame:
+    """``key``, ``id``, ``rate`` per second of a counter since the host's sample before; null where one of them has none."""
 
-    def fold(before, rows):
-        rates = []
-        for t, _, value in rows:
-            v = int(float(value)) if "." in value else int(value)
-            rates.append(None if before is None else max(0, int((v - before[1]) / max(0.001, (t - before[0]) / 1e6))))
-            before = [t, v]
-        return before, pd.DataFrame({"id": [r[1] for r in rows], "rate": pd.array(rates, dtype="Int64")})
+    def fold(kept, times, ids, values):
+        before, rates = kept, []
+        for t, value in zip(times, values, strict=True):
+            v = None if value is None else int(value)
+            known = before is not None and before[1] is not None and v is not None
+            rates.append(max(0, int((v - before[1]) / max(0.001, (t - before[0]) / 1e6))) if known else None)
+            before = (t, v)
+        return before, {"id": ids, "rate": pd.array(rates, dtype="Int64")}
 
-    return _stateful(telemetry, by, counter, fold, "id long, rate long", "append", ordered)
+    return _stateful(telemetry, by, F.col(counter).cast("long"), fold, "t long, v long", "id long, rate long", ordered, slot_s)
 
 
 def stream_last_n(events: DataFrame, n: int, by: str = "session") -> DataFrame:
     """``key``, ``ids``: the newest ``n`` event ids of each key, oldest first, whenever they change (update mode); older
     ones are dropped, producers never wait."""
+    return _keyed(events, by, F.lit(None)).transformWithStateInPandas(Newest(n), f"key {dict(events.dtypes)[by]}, ids array<long>", "update", "None")
 
-    def fold(kept, rows):
-        every = sorted([*map(tuple, kept or []), *((t, i) for t, i, _ in rows)])[-n:]
-        return every, pd.DataFrame({"ids": [[i for _, i in every]]})
-
-    return _stateful(events, by, by, fold, "ids array<long>", "update", False)
 
-
-def stream_stale(events: DataFrame, seconds: float = 45, by: str = "job") -> DataFrame:
+def stream_stale(events: DataFrame, seconds: float = 45, by: str = "job", slot_s: float = SLOT_S) -> DataFrame:
     """``key``, ``last_seen`` of series without an event for over ``seconds`` of event time, once each silence. events
-    need a watermark on ``ts``; they are held back until it has passed them, so late files change nothing."""
+    need a watermark on ``ts``; they are held back until it has passed them, so late files change nothing. A series that
+    is silent is forgotten, so state is bounded by the series that are not."""
     after = int(seconds * 1_000_000)
+    told = lambda times: {"last_seen": pd.to_datetime(times, unit="us", utc=True)}
+
+    def fold(kept, times, _, __):
+        every = [*(kept or ()), *times]
+        return (times[-1],), told([a for a, b in zip(every, every[1:], strict=False) if b - a > after])
 
-    def run(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last, waiting = state.get if state.exists else (None, [])
-        waiting = list(waiting)
-        for batch in batches:
-            waiting += batch["ts"].astype("datetime64[us]").astype("int64").tolist()
-        passed = state.getCurrentWatermarkMs() * 1000
-        silent = []
-        for t in sorted(t for t in waiting if t <= passed):
-            if last is not None and t - last > after:
-                silent.append(last)
-            last = t
-        waiting = [t for t in waiting if t > passed]
-        if last is not None and last + after <= passed:
-            silent.append(last)
-            last = None
-        if last is None and not waiting:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((last, waiting))
-            state.setTimeoutTimestamp(min([*waiting, *([] if last is None else [last + after])]) // 1000 + 1)
-        if silent:
-            yield pd.DataFrame({"key": [key[0]] * len(silent), "last_seen": pd.to_datetime(silent, unit="us", utc=True)})
-
-    rows = events.select(F.col(by).alias("key"), "ts")
-    return rows.groupBy("key").applyInPandasWithState(run, f"key {dict(events.dtypes)[by]}, last_seen timestamp", "last long, waiting array<long>", "append", "EventTimeTimeout")
+    worker = InOrder(fold, "last long", _ms(slot_s), _ms(seconds), lambda kept: told([kept[0]]))
+    # Ids are not needed.
+    rows = _keyed(events.withColumn("id", F.lit(0)), by, F.lit(None))
+    return rows.transformWithStateInPandas(worker, f"key {dict(events.dtypes)[by]}, last_seen timestamp", "append", "EventTime")
 
 
 def stream_ingest(docs: DataFrame, folder: str, checkpoint: str, sink: Callable[[DataFrame, int], None] | None = None, target: int = 500, most: int = 700, overlap: int = 75):
