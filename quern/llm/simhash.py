@@ -267,13 +267,14 @@ def near_duplicates(docs: DataFrame, size: int = 4, budget: int = 4) -> DataFram
 #: Shingle size, likeness, candidate tables (bands), and the share of pairs exactly at the likeness that may miss them all.
 SHINGLE, LIKENESS, BANDS, MISSED = 5, 0.8, 24, 5e-4
 
-#: Ids (of eight bytes) that are broadcast at most.
+#: Row numbers (of eight bytes) that are broadcast at most.
 BROADCAST_ROWS = 1_000_000
 
-#: Bytes of shingle sets of a family that one task holds; a larger family is compared bucket by bucket.
+#: Bytes of shingle sets that one task holds, twice that where two blocks of a larger unit meet.
 FAMILY_BYTES = 16 << 20
-#: Shingles that are looked up at once.
-_LOOKED_UP = 1 << 19
+#: A member of one in so many sets goes into the matrices; columns of these, rows and sets that are multiplied at once.
+_MANY, _SLICE, _ROWS, _COLUMNS = 16, 2048, 128, 8192
+_ROW = "__row"
 
 
 def band_rows(likeness: float) -> int:
@@ -314,59 +315,84 @@ def _bands(values: np.ndarray, offsets: np.ndarray, rows: int) -> np.ndarray:
     return out
 
 
-def _alike(one: np.ndarray, others: list[np.ndarray], likeness: float) -> np.ndarray:
-    """Whether each set's Jaccard likeness to ``one`` is at least ``likeness``; sets are sorted and not empty."""
-    sizes = np.array([x.size for x in others])
-    both, at = np.zeros(sizes.size, np.int64), 0
-    full = np.cumsum(sizes)
-    while at < sizes.size:
-        to = max(at + 1, int(np.searchsorted(full, (full[at - 1] if at else 0) + _LOOKED_UP, side="right")))
-        values = np.concatenate(others[at:to])
-        place = np.searchsorted(one, values).clip(max=one.size - 1)
-        both[at:to] = np.add.reduceat((one[place] == values).astype(np.int64), full[at:to] - sizes[at:to] - (full[at - 1] if at else 0))
-        at = to
-    return both + 1e-9 >= likeness * (one.size + sizes - both)
-
-
-def jaccard_links(keys: np.ndarray, sets: list[np.ndarray], likeness: float) -> Forest:
-    """Sets of the members that chains of links join; a link is a pair with a common band key and this likeness.
-
-    Pairs that are in one set already are not compared, so a dense family costs about its size and not its square.
+class _Common:
+    """How many members several sets have in common, for blocks of pairs: exact, by a product of 0/1 matrices for members
+    that many of the sets have, and along lists of holders for the others. Members of one set only count for nothing."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.n = n = len(sets)
+        owner = np.repeat(np.arange(n), [x.size for x in sets])
+        _, member, count = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True, return_counts=True)
+        many = count >= max(2, n // _MANY)
+        some = many[member]
+        column = np.cumsum(many) - 1
+        self.dense = np.zeros((n, int(many.sum())), np.uint8)
+        self.dense[owner[some], column[member[some]]] = 1
+        few = ~some & (count[member] > 1)
+        self.member, owner = member[few], owner[few]
+        self.start = np.searchsorted(owner, np.arange(n + 1))
+        self.holders = owner[np.argsort(self.member, kind="stable")]
+        size = np.bincount(self.member, minlength=count.size)
+        self.first = np.cumsum(size) - size
+        self.size = size
+
+    def of(self, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+        both = np.zeros((rows.size, columns.size), np.float32)
+        for lo in range(0, self.dense.shape[1], _SLICE):
+            part = self.dense[:, lo : lo + _SLICE]
+            both += part[rows].astype(np.float32) @ part[columns].astype(np.float32).T
+        at = np.full(self.n, -1)
+        at[columns] = np.arange(columns.size)
+        for k, row in enumerate(rows):
+            member = self.member[self.start[row] : self.start[row + 1]]
+            size = self.size[member]
+            total = np.cumsum(size)
+            if member.size:
+                place = np.arange(total[-1]) + np.repeat(self.first[member] - (total - size), size)
+                column = at[self.holders[place]]
+                both[k] += np.bincount(column[column >= 0], minlength=columns.size)
+        return both
+
+
+def jaccard_links(sets: list[np.ndarray], likeness: float, side: np.ndarray | None = None) -> Forest:
+    """Sets of the sets that chains of links join; a link is a pair of this Jaccard likeness. ``side``: with two different
+    values, only pairs across count.
+
+    Sets are taken by size, and each is held against those that are not too large for the likeness. Rows whose whole
+    block is in one set of the forest are not held against what is in it too, so a dense family costs about its size.
     """
-    forest = Forest(len(sets))
-    for band in range(keys.shape[1]):
+    forest, sizes, common = Forest(len(sets)), np.array([x.size for x in sets], np.int64), _Common(sets)
+    order = np.argsort(sizes, kind="stable")
+    across = side is not None and len(set(side.tolist())) > 1
+    rows, columns = (order[side[order] == v] for v in np.unique(side)) if across else (order, order)
+    a, step = 0, 1
+    while a < rows.size:
+        own = rows[a : a + step]
+        low, high = sizes[own[0]], sizes[own[-1]]
+        first = np.searchsorted(sizes[columns], low * likeness - 1e-9) if across else a
+        others = columns[first : np.searchsorted(sizes[columns], high / likeness + 1e-9, side="right")]
         root = forest.roots()
-        if (root == root[0]).all():
-            break
-        order = np.argsort(keys[:, band], kind="stable")
-        key = keys[order, band]
-        cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            bucket = order[a:b]
-            for x in range(bucket.size - 1):
-                root = forest.roots()
-                if (root[bucket] == root[bucket[0]]).all():
-                    break
-                i, rest = bucket[x], bucket[x + 1 :]
-                rest = rest[root[rest] != root[i]]
-                # Pairs that shared an earlier band have been compared there.
-                rest = rest[~(keys[rest, :band] == keys[i, :band]).any(axis=1)]
-                if rest.size:
-                    near = rest[_alike(sets[i], [sets[j] for j in rest], likeness)]
-                    forest.link(np.full(near.size, i), near)
+        if (root[own] == root[own[0]]).all():
+            others = others[root[others] != root[own[0]]]
+        for lo in range(0, others.size, _COLUMNS):
+            some = others[lo : lo + _COLUMNS]
+            both = common.of(own, some)
+            i, j = np.nonzero(both + 1e-9 >= likeness * (sizes[own][:, None] + sizes[some][None, :] - both))
+            forest.link(own[i], some[j])
+        a, step = a + own.size, min(_ROWS, 2 * step)
     return forest
 
 
 def _verified(batches: Iterator[pa.RecordBatch], likeness: float) -> Iterator[pa.RecordBatch]:
     """Stars of the links within each group; rows come sorted by ``group``, and a group is held at a time."""
-    held: dict[int, tuple[np.ndarray, bytes]] = {}
+    held: dict[int, tuple[int, bytes]] = {}
     group = None
 
     def stars() -> Iterator[pa.RecordBatch]:
         if len(held) < 2:
             return
         node = np.array(list(held), np.int64)
-        root = jaccard_links(np.stack([k for k, _ in held.values()]), [np.frombuffer(s, np.uint64) for _, s in held.values()], likeness).roots()
+        root = jaccard_links([np.frombuffer(s, np.uint64) for _, s in held.values()], likeness, np.array([k for k, _ in held.values()])).roots()
         centre = np.full(root.size, np.iinfo(np.int64).max)
         np.minimum.at(centre, root, node)
         centre = centre[root]
@@ -377,68 +403,101 @@ def _verified(batches: Iterator[pa.RecordBatch], likeness: float) -> Iterator[pa
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = batch.column("keys").flatten().to_numpy().reshape(-1, BANDS)
-        groups, nodes, shingles = batch.column("group").to_pylist(), batch.column("node").to_pylist(), batch.column("shingles")
-        for k, (g, node) in enumerate(zip(groups, nodes, strict=True)):
+        groups, nodes, sides, shingles = (batch.column(c) for c in ("group", "node", "side", "shingles"))
+        for k, (g, node, side) in enumerate(zip(groups.to_pylist(), nodes.to_pylist(), sides.to_pylist(), strict=True)):
             if g != group:
                 yield from stars()
                 group, held = g, {}
-            if node not in held:
-                held[node] = keys[k].copy(), shingles[k].as_py()
+            held.setdefault(node, (side, shingles[k].as_py()))
     yield from stars()
 
 
-def near_copies(docs: DataFrame, likeness: float = LIKENESS, family_bytes: int = FAMILY_BYTES) -> DataFrame:
-    """``doc_id`` and ``component_id`` of documents by likeness of their sets of five-word shingles.
-
-    One 64-bit fingerprint cannot hold a likeness of 0.8 within a budget that a trie prunes by (about 10 of 64 bits
-    differ), and no number of bits decides exactly. So candidates are texts with equal minima of re-hashed shingles in
-    one of 24 bands (at a likeness of exactly 0.8, in five minima each, 0.99993 of all pairs), and a candidate pair is a link if
-    the Jaccard likeness of the two whole sets is at least ``likeness``. Texts with equal sets (copies) are one node.
+def _units(members: DataFrame, family_bytes: int) -> DataFrame:
+    """Which sets meet in one task: ``group``, ``side``, ``first_row``.
 
-    Candidates are first joined to families; the sets of a family's members meet in one task, or, where they are more
-    than ``family_bytes``, those of each of its buckets. Both ways compare the same pairs.
+    A family of at most ``family_bytes`` is one unit. A larger one is one too if its buckets (members with an equal band
+    key) have more pairs in all than the family itself; else each bucket of two or more members is. A unit beyond
+    ``family_bytes`` is cut into blocks by hash, and each pair of blocks is a group, in which only pairs across count.
     """
-    rows = band_rows(likeness)
+    families = members.groupBy("root").agg(F.sum("bytes").alias("family_size"), F.count("*").alias("n"))
+    # Staged, so that joins read plain tables and AQE may split a family with very many members.
+    large = staged(families.where(F.col("family_size") > family_bytes).withColumnRenamed("root", "of"), "large")
+    own = members.join(large, F.col("root") == F.col("of"))
+    dealt = own.select("of", "n", "node", "bytes", F.explode("keys").alias("key"))
+    buckets = staged(dealt.groupBy("of", "key").agg(F.count("*").alias("b"), F.sum("bytes").alias("unit_bytes"), F.first("n").alias("n")).where("b > 1"), "buckets")
+    by_bucket = staged(buckets.groupBy("of").agg(F.sum(F.col("b") * (F.col("b") - 1)).alias("pairs"), F.first("n").alias("n")).where(F.col("pairs") < F.col("n") * (F.col("n") - 1)).select("of"), "by_bucket")
+    rows = ["unit", "unit_bytes", "node", F.col("first_id.row").alias("first_row")]
+    apart = members.join(by_bucket, F.col("root") == F.col("of"), "left_anti")
+    apart = apart.join(large, F.col("root") == F.col("of"), "left").select(F.col("root").alias("unit"), F.coalesce("family_size", F.lit(0)).alias("unit_bytes"), "node", "first_id").select(*rows)
+    cut = members.join(by_bucket, F.col("root") == F.col("of")).select("of", "node", "first_id", F.explode("keys").alias("key"))
+    cut = cut.join(buckets.select("of", "key", "unit_bytes"), ["of", "key"]).withColumn("unit", F.xxhash64("of", "key")).select(*rows)
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("unit_bytes") / family_bytes)).cast("int")
+    dealt = apart.unionByName(cut).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.select(F.xxhash64("unit", F.least("block", "other"), F.greatest("block", "other")).alias("group"), (F.col("other") < F.col("block")).cast("int").alias("side"), "first_row")
+
+
+def _near(rows: DataFrame, likeness: float, family_bytes: int) -> DataFrame:
+    """rows: ``row`` (a number of its own), ``doc_id``, ``text``. Gives ``row``, ``doc_id`` and ``first``, the first of its
+    group: a struct of ``no_id``, ``doc_id``, ``row``."""
+    minima = band_rows(likeness)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text", 1 << 20):
                 values, offsets = _shingle_sets(part.column("text"))
                 n = offsets.size - 1
-                keys = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(_bands(values, offsets, rows).view(np.int64).ravel()))
+                keys = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(_bands(values, offsets, minima).view(np.int64).ravel()))
                 held = values.tobytes()
                 sets = [held[8 * a : 8 * b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
                 node = np.array([xxhash.xxh64_intdigest(x, 42) for x in sets], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(node), keys, pa.array(sets, pa.binary())], ["doc_id", "node", "keys", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), pa.array(node), keys, pa.array(sets, pa.binary())], ["row", "doc_id", "node", "keys", "shingles"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    made = staged(texts.mapInArrow(run, "doc_id long, node long, keys array<long>, shingles binary"), "shingles", 16 << 20)
-    nodes = made.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.any_value("keys").alias("keys"), F.max(F.length("shingles")).cast("long").alias("bytes"))
+    texts = rows.select("row", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    made = staged(texts.mapInArrow(run, "row long, doc_id long, node long, keys array<long>, shingles binary"), "shingles", 16 << 20)
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
+    nodes = made.groupBy("node").agg(F.min(first).alias("first_id"), F.any_value("keys").alias("keys"), F.max(F.length("shingles")).cast("long").alias("bytes"))
     nodes = staged(nodes, "nodes")
     dealt = nodes.select("node", F.explode("keys").alias("key"))
     centres = staged(dealt.groupBy("key").agg(F.min("node").alias("dst"), F.max("node").alias("other")).where("dst <> other").select("key", "dst"), "centres")
     families = connected(dealt.join(centres, "key").select(F.col("node").alias("src"), "dst").where("src <> dst").distinct())
-    members = staged(families.join(nodes, "node"), "members")
-    # Staged, so that the join reads two plain tables and AQE may split a family with very many members.
-    large = staged(members.groupBy("root").agg(F.sum("bytes").alias("n")).where(F.col("n") > family_bytes).select("root"), "large").withColumn("large", F.lit(True))
-    grouped = members.join(large, "root", "left").select(F.col("node").alias("member"), "first_id", F.explode(F.when(F.col("large"), F.col("keys")).otherwise(F.array("root"))).alias("group"))
-    grouped = staged(grouped, "grouped")
-    few = grouped.count() <= BROADCAST_ROWS
-    of = (F.col("node") == F.col("member")) & F.col("doc_id").eqNullSafe(F.col("first_id"))
-    sets = made.join(F.broadcast(grouped) if few else grouped.hint("merge"), of).select("group", "node", "keys", "shingles")
+    units = staged(_units(staged(families.join(nodes, "node"), "members"), family_bytes), "grouped")
+    few = units.count() <= BROADCAST_ROWS
+    sets = made.join(F.broadcast(units) if few else units.hint("merge"), F.col("row") == F.col("first_row")).select("group", "node", "side", "shingles")
     found = sets.repartition("group").sortWithinPartitions("group").mapInArrow(lambda batches: _verified(batches, likeness), "src long, dst long")
-    return _grouped(made.select("doc_id", "node"), nodes.select("node", "first_id"), found).select("doc_id", "component_id")
+    return _grouped(made.select("row", "doc_id", "node"), nodes.select("node", "first_id"), found).select("row", "doc_id", F.col("component_id").alias("first"))
+
+
+def near_copies(docs: DataFrame, likeness: float = LIKENESS, family_bytes: int = FAMILY_BYTES) -> DataFrame:
+    """``doc_id`` and ``component_id`` of documents by likeness of their sets of five-word shingles.
+
+    One 64-bit fingerprint cannot hold a likeness of 0.8 within a budget that a trie prunes by (about 10 of 64 bits
+    differ), and no number of bits decides exactly. So candidates are texts with equal minima of re-hashed shingles in
+    one of 24 bands (at a likeness of exactly 0.8, in five minima each, 0.99993 of all pairs), and a candidate pair is a link if
+    the Jaccard likeness of the two whole sets is at least ``likeness``. Texts with equal sets (copies) are one node.
+
+    Candidates are first joined to families, whose sets meet in tasks as :func:`_units` deals them. Pairs that share no
+    band are decided too where they meet.
+
+    Null texts are empty; texts without a word are all one group. Null ids are after all others, and a group of them
+    alone has a null component. Repeated rows are in one group and stay rows. An empty table gives no rows. A text of any
+    length is read whole; its set is one cell. Other columns are not read.
+    """
+    found = _near(docs.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "text"), likeness, family_bytes)
+    return found.select("doc_id", F.col("first.doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, likeness: float = LIKENESS) -> DataFrame:
-    """``docs`` with one row of each group of near copies: that with the smallest id. All columns are kept.
+    """``docs`` with one row of each group of near copies: that with the smallest id, and of several the first by number.
+    All columns are kept.
 
-    Only ids of rows that go are joined to the texts, as an anti-join. They are counted: up to ``BROADCAST_ROWS`` they
-    are broadcast, so that no text moves; beyond that, both sides are shuffled by id. Rows with a null id stay; of
-    rows that repeat an id, all stay or go.
+    Rows are numbered, staged, and decided by number, whatever their ids: a unique text under a repeated id stays, and
+    of equal rows one does. Texts without a word (null ones too) are one group. Only numbers of rows that go are joined to
+    the texts, as an anti-join. They are counted: up to ``BROADCAST_ROWS`` they are broadcast, so that no text moves;
+    beyond that, both sides are shuffled by number.
     """
-    found = near_copies(docs, likeness)
-    gone = staged(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
+    numbered = staged(docs.withColumn(_ROW, F.monotonically_increasing_id()), "numbered")
+    found = _near(numbered.select(F.col(_ROW).alias("row"), "doc_id", "text"), likeness, FAMILY_BYTES)
+    gone = staged(found.where(F.col("row") != F.col("first.row")).select(F.col("row").alias("__gone")), "gone")
     few = gone.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(gone) if few else gone.hint("merge"), docs["doc_id"] == gone["gone_id"], "left_anti")
+    return numbered.join(F.broadcast(gone) if few else gone.hint("merge"), F.col(_ROW) == F.col("__gone"), "left_anti").select(*[numbered[c] for c in docs.columns])

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.llm import conversation_repair as repairs
-from quern.llm import hard_negatives, line_dedup, queries
+from quern.llm import hard_negatives, line_dedup, queries, simhash
 
 WHITE = " \t\n\v\f\r"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -298,3 +298,54 @@ def test_huge_components_neither_crash_nor_lose_order(spark):
     rows = [(0, [3e38, 1.0], 1), (1, [2e38, 1.0], 1), (2, [1e30, 0.0], 2), (3, [1.7e308, 0.0], 2), (4, [-1e300, 0.0], 1)]
     out = mined(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
     assert all(-(1 << 63) <= s < 1 << 63 for r in out for s in r[4:])
+
+
+# -- near copies by row, and families of one template --------------------------------------------------------------
+
+
+def words_of(rnd, n):
+    return [f"w{rnd.randrange(1 << 30)}" for _ in range(n)]
+
+
+def test_copies_go_by_row_and_unique_texts_stay(spark):
+    rnd = random.Random(2)
+    a, b, c = (" ".join(words_of(rnd, 40)) for _ in range(3))
+    rows = [(3, a, "x"), (5, a, "y"), (5, b, "z"), (7, c, "p"), (7, c, "p"), (None, b + " more", "q"), (None, "only here, with no id", "r"), (None, None, "s"), (8, "", "t"), (8, "  ", "t")]
+    out = simhash.keep_one(spark.createDataFrame(rows, SCHEMA).withColumns({"row": F.lit(1), "node": F.lit("n"), "first": F.lit(2)}))
+    assert sorted((r.doc_id, r.text, r.lang) for r in out.collect() if r.doc_id != 8 and r.doc_id is not None) == [(3, a, "x"), (5, b, "z"), (7, c, "p")]
+    assert sorted(str(r.doc_id) + r.lang for r in out.collect() if r.doc_id == 8 or r.doc_id is None) == ["8t", "Noner"]
+    assert simhash.keep_one(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("family_bytes", [1 << 40, 1 << 16, 1 << 12])
+def test_links_of_template_pages_as_by_brute_force(spark, family_bytes):
+    """500 pages alike in 0.7, some with a twin alike in 0.8 or more, however their family is dealt out."""
+    rnd = random.Random(7)
+    common = words_of(rnd, 170)
+    texts = []
+    for k in range(400):
+        own = common + words_of(rnd, 36)
+        texts.append(own)
+        if k % 4 == 0:
+            texts.append(own[:-rnd.randrange(12, 30)] + words_of(rnd, 20))
+    sets = [np.unique(np.array([hash(tuple(w[i : i + 5])) for i in range(len(w) - 4)], np.int64).view(np.uint64)) for w in texts]
+    forest = simhash.Forest(len(sets))
+    for i in range(len(sets)):
+        for j in range(i):
+            both = np.intersect1d(sets[i], sets[j], assume_unique=True).size
+            if both >= 0.8 * (sets[i].size + sets[j].size - both):
+                forest.link(np.array([j]), np.array([i]))
+    want = forest.roots().tolist()
+    assert 20 < sum(k != r for k, r in enumerate(want)) < 120
+    docs = spark.createDataFrame([(k, " ".join(w), "x") for k, w in enumerate(texts)], SCHEMA)
+    found = {r.doc_id: r.component_id for r in simhash.near_copies(docs, family_bytes=family_bytes).collect()}
+    assert [found[k] for k in range(len(texts))] == want
+
+
+def test_common_members_are_counted_exactly():
+    rnd = np.random.default_rng(6)
+    for n, universe in ((2, 5), (40, 60), (90, 4000)):
+        sets = [np.unique(rnd.integers(0, universe, rnd.integers(0, 50), dtype=np.uint64)) for _ in range(n)]
+        common = simhash._Common(sets)
+        want = [[np.intersect1d(a, b).size for b in sets[1::2]] for a in sets[::2]]
+        assert (common.of(np.arange(0, n, 2), np.arange(1, n, 2)) == np.array(want)).all()
