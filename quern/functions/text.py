@@ -12,8 +12,12 @@ TOKENS, BUCKETS, FNV_OFFSET, FNV_PRIME = 4096, 250_000, 2166136261, 16777619
 
 
 def tokenize(text: Column, most: int = TOKENS) -> Column:
-    """Lower-cased runs of letters and digits, the first ``most``."""
-    return F.slice(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)), 1, most)
+    """Runs of letters and digits, the first ``most``, lower-cased character by character: a capital sigma is a plain
+    small one wherever it stands, and what a dotted capital I turns into (i and a dot above) stays in its token."""
+    runs = lambda c: F.slice(F.regexp_extract_all(c, F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)), 1, most)
+    plain = F.translate(text, "\u03a3", "\u03c3")
+    # Only the dotted I gets longer, so only texts with one are cut first and lower-cased after.
+    return F.when(F.contains(text, F.lit("\u0130")), F.transform(runs(plain), lambda t: F.lower(t))).otherwise(runs(F.lower(plain)))
 
 
 def fnv_bucket(token: Column, buckets: int = BUCKETS) -> Column:

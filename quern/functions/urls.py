@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Names of the local host, and the three forms of an image link in a text.
+#: Names of the local host, white space (with that of other scripts), and the three forms of an image link in a text.
 LOCAL = r"(?i)^https?://(?:localhost|127\.0\.0\.1|\[::1\])(?=[:/?#]|$)"
+SPACE = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
 TAGGED = r"(?i)\[img\](https?://[^\[]+)\[/img\]"
-MARKDOWN = r"(?i)!\[[^\]]*\]\((https?://[^\s)]+)\)"
-BARE = r"""(?i)(https?://[^\s"'<>]+\.(?:jpg|jpeg|png|gif|webp|avif)(?:\?[^\s"'<>]*)?)"""
+MARKDOWN = rf"(?i)!\[[^\]]*\]\((https?://[^{SPACE})]+)\)"
+BARE = rf"""(?i)(https?://[^{SPACE}"'<>]+\.(?:jpg|jpeg|png|gif|webp|avif)(?:\?[^{SPACE}"'<>]*)?)"""
 
 #: Addresses of a thread, and which group is its number. The first that fits counts.
 THREADS = [r"(?i)^forum/thread/(\d+)$", r"(?i)^forum/(\d+)/\d+$", r"(?i)^forum/(\d+)$", r"(?i)(?:^|/)thread/(\d+)$"]
@@ -42,7 +43,7 @@ def image_urls(text: Column) -> Column:
     """Image links (http or https) of a text: tagged ones, then Markdown ones, then bare ones with an image suffix;
     trimmed, each once."""
     found = F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in (TAGGED, MARKDOWN, BARE)])
-    return F.array_distinct(F.filter(F.transform(found, lambda u: F.regexp_replace(u, r"^\s+|\s+$", "")), lambda u: u != ""))
+    return F.array_distinct(F.filter(F.transform(found, lambda u: F.regexp_replace(u, rf"^[{SPACE}]+|[{SPACE}]+$", "")), lambda u: u != ""))
 
 
 def source_label(title: Column, section: Column, url: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.sources.staging import staged
 from quern.sources.tables import RUN, SUMMARY
 
 MESSAGES = "array<struct<role:string,content:string,name:string>>"
@@ -144,6 +145,29 @@ def sort_runs(runs: DataFrame, key: str = "created", ascending: bool = False) ->
     return run_summary(runs).orderBy(by.asc() if ascending else by.desc(), "run_id")
 
 
+def ranked(rows: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
+    """``rows`` with their places (from 1) in an order, which must be total: no task sorts all of them.
+
+    Rows are dealt by ranges of the order, whose borders Spark finds by sampling, sorted in their range and staged with
+    their range and place in it. The sizes of the ranges, as many as the session shuffles to at most, are added up and
+    broadcast.
+    """
+    parts = min(65_536, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # The number is the range in its upper 31 bits, and the place in the range below.
+    dealt = staged(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "ranges")
+    dealt = dealt.withColumn("_range", F.shiftright("_at", 33))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_before") + 1
+    return dealt.join(F.broadcast(sizes), "_range").withColumn(name, place).drop("_range", "_at", "_before")
+
+
+def ranked_runs(runs: DataFrame, key: str = "created", ascending: bool = False) -> DataFrame:
+    """Summaries with their places in the order of :func:`sort_runs`."""
+    by = sort_key(key)
+    return ranked(run_summary(runs), [by.asc() if ascending else by.desc(), F.col("run_id").asc()])
+
+
 def model_choices(catalog: DataFrame, current: str) -> DataFrame:
     """Distinct model names; the current one first if the catalogue lacks it. catalog: name."""
     spark = catalog.sparkSession

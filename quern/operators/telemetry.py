@@ -47,15 +47,24 @@ def last_n(df: DataFrame, by: list[str] | str, n: int, newest: list[str]) -> Dat
     return df.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n).drop("_n")
 
 
-def samples_in_runs(runs: DataFrame, telemetry: DataFrame, bucket_s: int = 3600, by: str = "host") -> DataFrame:
+def samples_in_runs(runs: DataFrame, telemetry: DataFrame, bucket_s: int = 60, by: str = "host") -> DataFrame:
     """Samples whose time lies in a run's lifetime, both ends included.
 
-    An interval join as an equi-join: runs are repeated for each time bucket that they touch, samples have one bucket,
-    and the exact bounds are checked after. runs: host, run_id, started_at, ended_at; telemetry: host, ts, ...
+    An interval join as an equi-join on dyadic stretches of time. A run is put on the level whose stretches (``bucket_s``
+    seconds times a power of two) are at least a quarter as long as the run, so it touches at most six of them, whether it
+    lasts a minute or a year. A sample is in one stretch of each level that runs are on (which are few: a level for each
+    doubling of the runs' lengths), and exact bounds are checked after. runs: host, run_id, started_at, ended_at; telemetry: host, ts, ...
     """
-    slot = lambda c: F.floor(F.unix_seconds(c) / bucket_s)
-    spread = runs.where("ended_at >= started_at").withColumn("_b", F.explode(F.sequence(slot("started_at"), slot("ended_at"))))
-    return spread.join(telemetry.withColumn("_b", slot("ts")), [by, "_b"]).where("ts between started_at and ended_at").drop("_b")
+    runs = runs.where("ended_at >= started_at")
+    length = (F.unix_seconds("ended_at") - F.unix_seconds("started_at")) / (4 * bucket_s)
+    level = F.when(length > 1, F.ceil(F.log2(length))).otherwise(F.lit(0)).cast("int")
+    slot = lambda c, level: F.floor(F.unix_seconds(c) / (bucket_s * F.pow(F.lit(2.0), level))).cast("long")
+    leveled = runs.withColumn("_level", level)
+    levels = sorted(r[0] for r in leveled.select("_level").distinct().collect()) or [0]
+    spread = leveled.withColumn("_b", F.explode(F.sequence(slot("started_at", F.col("_level")), slot("ended_at", F.col("_level")))))
+    every = F.array(*[F.struct(F.lit(n).alias("_level"), slot("ts", F.lit(n)).alias("_b")) for n in levels])
+    samples = telemetry.withColumn("_s", F.explode(every)).select(*telemetry.columns, "_s._level", "_s._b")
+    return spread.join(samples, [by, "_level", "_b"]).where("ts between started_at and ended_at").drop("_level", "_b")
 
 
 def snapshot_asof(runs: DataFrame, telemetry: DataFrame, value: str, by: str = "host") -> DataFrame:

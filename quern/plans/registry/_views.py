@@ -10,6 +10,15 @@ from pyspark.sql import functions as F
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
+#: Tokens of a text: runs of letters and digits, each character lower-cased on its own. A capital sigma has one small form
+#: there, a dotted capital I becomes two characters.
+TOKENS = r"list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+')[1:4096], lambda t: replace(lower(replace(replace(t, chr(304), chr(57344)), chr(931), chr(963))), chr(57344), 'i' || chr(775)))"
+
+#: White space as the patterns of image links mean it, and the three forms of a link.
+SPACE = r"\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+LINKS = [r"(?i)\[img\](https?://[^\[]+)\[/img\]", rf"(?i)!\[[^\]]*\]\((https?://[^{SPACE})]+)\)", rf"""(?i)(https?://[^{SPACE}"''<>]+\.(?:jpg|jpeg|png|gif|webp|avif)(?:\?[^{SPACE}"''<>]*)?)"""]
+_FOUND = [f"regexp_extract_all(body, '{p}', 1)" for p in LINKS]
+
 VIEWS = {
     "runs": """SELECT o_orderkey AS run_id, o_orderdate AS created_at, o_orderdate AS updated_at,
         CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'running' ELSE 'failed' END AS status, o_orderpriority AS model,
@@ -23,13 +32,12 @@ VIEWS = {
         row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice) AS index,
         'w' || l_partkey || ' ' AS token, l_quantity AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate >= o_orderdate""",
     "messages": "SELECT event_id AS id, ts, user_id AS session, event_type AS channel, value, props, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
-    "posts": """SELECT conv_id AS thread, turn AS post, role AS author, text || CASE WHEN turn % 3 = 0 THEN ' [img]http://img.example/' || conv_id || '/' || turn || '.png[/img] ![x](https://img.example/' || conv_id || '/a?c=1) https://img.example/' || (turn % 2) || '.JPG?w=2' ELSE '' END AS body FROM conversations""",
-    "images": r"""SELECT thread, post, author, body, list_filter(list_transform(list_concat(list_concat(regexp_extract_all(body, '(?i)\[img\](https?://[^\[]+)\[/img\]', 1), regexp_extract_all(body, '(?i)!\[[^\]]*\]\((https?://[^\s)]+)\)', 1)),
-        regexp_extract_all(body, '(?i)(https?://[^\s"''<>]+\.(?:jpg|jpeg|png|gif|webp|avif)(?:\?[^\s"''<>]*)?)', 1)), lambda u: trim(u)), lambda u: u <> '') AS every FROM posts""",
+    "posts": """SELECT conv_id AS thread, turn AS post, role AS author, text || CASE WHEN turn % 3 = 0 THEN ' [img]http://img.example/' || conv_id || '/' || turn || '.png[/img] ![x](https://img.example/' || conv_id || '/a?c=1) https://img.example/' || (turn % 2) || '.JPG?w=2' || chr(12288) || 'https://img.example/wide.png' || chr(160) ELSE '' END AS body FROM conversations""",
+    "images": f"""SELECT thread, post, author, body, list_filter(list_transform(list_concat(list_concat({_FOUND[0]}, {_FOUND[1]}), {_FOUND[2]}), lambda u: regexp_replace(u, '^[{SPACE}]+|[{SPACE}]+$', '', 'g')), lambda u: u <> '') AS every FROM posts""",
     "image_rows": """SELECT thread, post, url, min(pos) AS pos FROM (SELECT thread, post, unnest(every) AS url, generate_subscripts(every, 1) AS pos FROM images) GROUP BY thread, post, url""",
-    "doc_tokens": r"SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')[1:4096]) AS t FROM documents",
+    "doc_tokens": f"SELECT doc_id, unnest({TOKENS}) AS t FROM documents",
     "doc_postings": "SELECT doc_id AS id, {hash} AS idx, CAST(sum(n) AS DOUBLE) AS w FROM (SELECT doc_id, t, count(*) AS n FROM doc_tokens GROUP BY doc_id, t) GROUP BY 1, 2",
-    "query_tokens": r"SELECT item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')[1:4096]) AS t FROM benchmark",
+    "query_tokens": f"SELECT item_id, unnest({TOKENS}) AS t FROM benchmark",
     "query_postings": "SELECT item_id AS id, {hash} AS idx, CAST(sum(n) AS DOUBLE) AS w FROM (SELECT item_id, t, count(*) AS n FROM query_tokens GROUP BY item_id, t) GROUP BY 1, 2",
     "chunks": r"""SELECT doc_id AS id, i AS chunk_no, list_slice(t, i * 425 + 1, CASE WHEN i = c - 1 THEN len(t) ELSE i * 425 + 500 END) AS x FROM
         (SELECT doc_id, t, c, unnest(range(0, c)) AS i FROM (SELECT doc_id, t, c0 - CASE WHEN c0 > 1 AND len(t) - (c0 - 1) * 425 < 200 THEN 1 ELSE 0 END AS c FROM

@@ -29,29 +29,41 @@ def scan_runs(spark: SparkSession, d: str) -> DataFrame:
     return _shown(tables.scan_runs(spark, path), RUN.names)
 
 
-_LINES = "CASE event_id % 6 WHEN 0 THEN '  ' WHEN 1 THEN '{bad' WHEN 2 THEN '3' WHEN 3 THEN '[1,2]' ELSE '{\"timestamp\":\"' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || 'Z\",\"type\":\"' || event_type || '\",\"payload\":' || props || '}  ' END"
+_FULL = """'{"run_id":"u' || user_id || '","timestamp":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || 'Z","type":"' || event_type || '","payload":' || props || '}'"""
 
 
-@query(f"""WITH l AS (SELECT event_id, trim({_LINES}) AS v FROM events)
-    SELECT event_id, json_extract_string(v, '$.type') AS type, CAST(json_extract_string(v, '$.payload.k') AS BIGINT) AS k, json_extract_string(v, '$.timestamp') AS ts, length(v) AS n_chars FROM l WHERE v <> '' AND json_valid(v)""")
+@query(f"""WITH e AS (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)
+    SELECT run_id, type, k, ts, n_chars, count(*) AS n FROM (
+      SELECT 'u' || user_id AS run_id, event_type AS type, k, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS ts, length({_FULL}) AS n_chars FROM e WHERE event_id % 8 >= 6
+      UNION ALL SELECT NULL, NULL, NULL, NULL, 1 FROM e WHERE event_id % 8 = 2 UNION ALL SELECT NULL, NULL, NULL, NULL, 5 FROM e WHERE event_id % 8 = 3
+      UNION ALL SELECT 'u' || user_id, 'last', NULL, NULL, length('{{"run_id":"u' || user_id || '","type":"first","type":"last"}}') FROM e WHERE event_id % 8 = 4
+      UNION ALL SELECT 'u' || user_id, 'nan', k, NULL, length('{{"run_id":"u' || user_id || '","type":"nan","payload":{{"k":' || k || ',"v":NaN}}}}') FROM e WHERE event_id % 8 = 5) GROUP BY ALL""")
 def scan_event_log(spark: SparkSession, d: str) -> DataFrame:
+    """A log on files: blank and broken lines, values that are no objects, a repeated key, a number that is none, and events."""
     e = tables.table(spark, d, "events")
-    m = F.col("event_id") % 6
-    full = F.concat(F.lit('{"timestamp":"'), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit('Z","type":"'), F.col("event_type"), F.lit('","payload":'), F.col("props"), F.lit("}  "))
-    lines = e.select("event_id", F.when(m == 0, "  ").when(m == 1, "{bad").when(m == 2, "3").when(m == 3, "[1,2]").otherwise(full).alias("value"))
-    out = logs.parse_log(lines)
-    return out.select("event_id", "type", F.get_json_object("payload", "$.k").cast("long").alias("k"), F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"), F.length("value").cast("long").alias("n_chars"))
-
-
-@query("SELECT strftime(ts, '%Y-%m-%d') AS date, count(*) AS n FROM events GROUP BY 1")
+    m, user, k = F.col("event_id") % 8, F.col("user_id").cast("string"), F.get_json_object("props", "$.k")
+    own = lambda *parts: F.concat(F.lit('{"run_id":"u'), user, *[F.lit(x) if isinstance(x, str) else x for x in parts])
+    full = own('","timestamp":"', F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), 'Z","type":"', F.col("event_type"), '","payload":', F.col("props"), "}  ")
+    line = F.when(m == 0, " \u00a0 ").when(m == 1, "{bad").when(m == 2, "\u30003").when(m == 3, "[1,2]").when(m == 4, own('","type":"first","type":"last"}')).when(m == 5, own('","type":"nan","payload":{"k":', k, ',"v":NaN}}')).otherwise(full)
+    path = new_path(spark, "lines")
+    e.select(line.alias("value")).write.text(path)
+    out = logs.event_log(spark, path)
+    # A line without a run's id has that of its file.
+    run = F.when(F.col("type").isNotNull(), F.col("run_id"))
+    number = F.regexp_extract("payload", r'"k":\s*(-?\d+)', 1).try_cast("long")
+    out = out.select(run.alias("run_id"), "type", number.alias("k"), F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"), F.length("value").cast("long").alias("n_chars"))
+    return out.groupBy(*out.columns).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT CAST(user_id AS VARCHAR) AS run_id, {sql_time('ts')} AS ts, event_type AS type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, 'é漢' || event_type AS note, count(*) AS n FROM events GROUP BY ALL")
 def append_events(spark: SparkSession, d: str) -> DataFrame:
-    """Appends the log twice, by date, and reads back how many events each date has."""
+    """Appends the log in two goes and reads it back: every event with its run."""
     path = new_path(spark, "log")
-    m = tables.messages(spark, d).select(F.col("ts").alias("timestamp"), F.col("channel").alias("type"), F.to_json(F.struct("value", "k")).alias("payload"))
+    m = tables.messages(spark, d).select(F.col("session").alias("run_id"), F.col("ts").alias("timestamp"), F.col("channel").alias("type"), F.to_json(F.struct("k", F.concat(F.lit("é漢"), "channel").alias("note"))).alias("payload"))
     logs.append_events(m.where("type <> 'error'"), path)
     logs.append_events(m.where("type = 'error'"), path)
-    back = spark.read.schema("timestamp timestamp, type string, payload string, date date").json(path)
-    return back.groupBy(F.col("date").cast("string").alias("date")).agg(F.count("*").alias("n"))
+    out = logs.event_log(spark, path).select("run_id", text_time("timestamp").alias("ts"), "type", F.get_json_object("payload", "$.k").cast("long").alias("k"), F.get_json_object("payload", "$.note").alias("note"))
+    return out.groupBy(*out.columns).agg(F.count("*").alias("n"))
 
 
 @query(f"""{views('runs')}, req AS (SELECT run_id FROM runs WHERE run_id % 3 = 0), ex AS (SELECT run_id FROM runs WHERE run_id % 6 = 0)
@@ -156,13 +168,10 @@ def list_runs(spark: SparkSession, d: str) -> DataFrame:
     return _shown(ops.list_runs(tables.runs(spark, d)), SUMMARY)
 
 
-@query(f"""{views('runs')} SELECT run_id, model, tokens_per_s, rank FROM (SELECT run_id, model, tokens_per_s, row_number() OVER (PARTITION BY created_at ORDER BY coalesce(tokens_per_s, 0) DESC, run_id) AS rank FROM runs)""")
+@query(f"{views('runs')} SELECT run_id, model, tokens_per_s, row_number() OVER (ORDER BY coalesce(tokens_per_s, 0) DESC, run_id) AS rank FROM runs")
 def sort_runs(spark: SparkSession, d: str) -> DataFrame:
-    """Runs by tokens a second, ranked within their day so that no task sorts all of them."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("created_at").orderBy(ops.sort_key("tps").desc(), "run_id")
-    return ops.run_summary(tables.runs(spark, d)).select("run_id", "model", "tokens_per_s", F.row_number().over(w).cast("long").alias("rank"))
+    """Runs by tokens a second, with their places among all runs."""
+    return ops.ranked_runs(tables.runs(spark, d), "tps").select("run_id", "model", "tokens_per_s", "rank")
 
 
 @query(f"{views('runs')} SELECT DISTINCT model AS name, CAST(1 AS BIGINT) AS priority FROM runs UNION ALL SELECT 'local-7B', 0")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import names, payloads, urls, vectors
 from quern.functions import text as T
-from quern.plans.registry._views import HASH, joined, query, views
+from quern.plans.registry._views import HASH, TOKENS, joined, query, views
 from quern.sources import logs, tables
 
 
@@ -15,9 +15,14 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
     return tables.table(spark, d, "documents")
 
 
-@query(r"SELECT doc_id, len(t) AS n, md5(array_to_string(t, ' ')) AS tokens_md5 FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+')[1:4096] AS t FROM documents)")
+_TRAPS = "ΟΔΟΣ Σ, İSTANBUL-Iı e\u0301tude ½Ⅷ ǅ ẞ x_y"
+
+
+@query(f"SELECT doc_id, len(t) AS n, md5(array_to_string(t, ' ')) AS tokens_md5 FROM (SELECT doc_id, {TOKENS} AS t FROM (SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN '{_TRAPS} ' || text ELSE text END AS text FROM documents))")
 def tokenize(spark: SparkSession, d: str) -> DataFrame:
-    t = _docs(spark, d).select("doc_id", T.tokenize(F.col("text")).alias("t"))
+    """Every tenth text begins with what lower-casing of whole texts gets wrong."""
+    text = F.when(F.col("doc_id") % 10 == 3, F.concat(F.lit(f"{_TRAPS} "), "text")).otherwise(F.col("text"))
+    t = _docs(spark, d).select("doc_id", T.tokenize(text).alias("t"))
     return t.select("doc_id", F.size("t").cast("long").alias("n"), F.md5(F.encode(F.array_join("t", " "), "UTF-8")).alias("tokens_md5"))
 
 

@@ -2,33 +2,78 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import json
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
+
+#: White space that is stripped off a line.
+STRIPPED = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+_FIELDS = ["run_id", "timestamp", "type", "payload"]
+_ODD = StructType([StructField("ok", BooleanType()), *(StructField(c, StringType()) for c in _FIELDS)])
+
+
+@F.arrow_udf(_ODD)
+def _odd_line(lines: pa.Array) -> pa.Array:
+    """Lines that Spark's parser refuses, read as the log's writer would: of repeated keys the last counts, NaN and infinite
+    numbers are values. Null for null."""
+
+    def one(line: str | None) -> dict | None:
+        if line is None:
+            return None
+        try:
+            value = json.loads(line)
+        except (ValueError, RecursionError):
+            return {"ok": False}
+        if not isinstance(value, dict):
+            return {"ok": True}
+        text = {k: v if v is None or isinstance(v, str) else json.dumps(v, separators=(",", ":"), ensure_ascii=False) for k, v in value.items() if k in _FIELDS}
+        return {"ok": True} | text
+
+    kind = pa.struct([("ok", pa.bool_()), *((c, pa.string()) for c in _FIELDS)])
+    return pa.array([one(x) for x in lines.to_pylist()], kind)
 
 
 def parse_log(lines: DataFrame) -> DataFrame:
-    """Lines (``value``) that are JSON: blank and unparsable ones are dropped, values that are no object are kept.
+    """Lines (``value``, stripped of white space) that are JSON: blank and unparsable ones are dropped, values that are no
+    object are kept.
 
-    Adds ``timestamp``, ``type``, ``payload`` (JSON text), null where the value has no such field.
+    Adds ``run``, ``timestamp``, ``type``, ``payload`` (JSON text), null where the value has no such field. Plain lines
+    are parsed in the JVM; Python sees only those refused there, of which it keeps repeated keys, NaN and infinities.
     """
-    text = F.trim("value")
-    kept = lines.withColumn("value", text).where("value <> ''").where(F.try_parse_json("value").isNotNull())
-    field = lambda name: F.get_json_object("value", f"$.{name}")
-    return kept.withColumns({"timestamp": F.try_to_timestamp(field("timestamp")), "type": field("type"), "payload": field("payload")})
+    # The parser ignores what follows a value; only a single value is valid both inside an array and inside an object.
+    plain = F.try_parse_json(F.concat(F.lit("["), "value", F.lit("]"))).isNotNull() & F.try_parse_json(F.concat(F.lit('{"x":'), "value", F.lit("}"))).isNotNull()
+    rows = lines.withColumn("value", F.trim("value", F.lit(STRIPPED))).where("value <> ''")
+    rows = rows.withColumn("_odd", _odd_line(F.when(~plain, F.col("value")))).where("_odd is null or _odd.ok")
+    field = lambda name: F.when(F.col("_odd").isNull(), F.get_json_object("value", f"$.{name}")).otherwise(F.col(f"_odd.{name}"))
+    return rows.withColumns({"run": field("run_id"), "timestamp": F.try_to_timestamp(field("timestamp")), "type": field("type"), "payload": field("payload")}).drop("_odd")
 
 
 def event_log(spark: SparkSession, path: str) -> DataFrame:
-    """Event logs under ``path``, one file a run: ``run_id`` from the file's name, and the fields of each line."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"))
-    return parse_log(lines).select(F.regexp_replace("file", r"\.[^.]*$", "").alias("run_id"), "timestamp", "type", "payload", "value")
+    """Event logs under ``path``: ``run_id`` as the line says (as :func:`append_events` writes it), else from the name of its
+    file (one file a run), and the fields of each line."""
+    lines = spark.read.option("recursiveFileLookup", "true").text(path).select("value", F.col("_metadata.file_name").alias("file"))
+    return parse_log(lines).select(F.coalesce("run", F.regexp_replace("file", r"\.[^.]*$", "")).alias("run_id"), "timestamp", "type", "payload", "value")
 
 
-def append_events(events: DataFrame, path: str) -> None:
-    """Appends events (timestamp, ...) as JSON lines by date, so a day has few files and not one for each run.
+def _line(events: DataFrame) -> Column:
+    """An event as JSON in ASCII: run_id, timestamp, type, payload (an object where it is JSON text, else a string)."""
+    head = F.to_json(F.struct(F.col("run_id").cast("string").alias("run_id"), F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"), "type"))
+    payload = F.when(F.try_parse_json("payload").isNotNull(), F.regexp_replace("payload", r"[\r\n]+", " ")).when(F.col("payload").isNotNull(), F.to_json(F.array("payload")).substr(F.lit(2), F.length(F.to_json(F.array("payload"))) - 2))
+    line = F.concat(F.left(head, F.length(head) - 1), F.when(payload.isNotNull(), F.concat(F.when(head == "{}", "").otherwise(","), F.lit('"payload":'), payload)).otherwise(F.lit("")), F.lit("}"))
+    # Beyond ASCII, each UTF-16 unit is written by its number.
+    units = lambda run: F.concat(F.lit("\\u"), F.regexp_replace(F.lower(F.hex(F.encode(run, "UTF-16BE"))), r"(.{4})(?!$)", r"$1\\u"))
+    pieces = F.regexp_extract_all(line, F.lit(r"([\x00-\x7F]+|[^\x00-\x7F]+)"), F.lit(1))
+    return F.when(F.rlike(line, F.lit(r"[^\x00-\x7F]")), F.array_join(F.transform(pieces, lambda p: F.when(F.rlike(p, F.lit(r"^[\x00-\x7F]")), p).otherwise(units(p))), "")).otherwise(line)
 
-    Text beyond ASCII is written as Spark's JSON writer does, which reads back equal.
-    """
-    events.withColumn("date", F.to_date("timestamp")).write.mode("append").partitionBy("date").json(path)
+
+def append_events(events: DataFrame, path: str) -> None:
+    """Appends events (run_id, timestamp, type, payload as JSON text) as lines of ASCII JSON, in folders by date, so a day
+    has few files and not one for each run; a line says whose it is. Times are written in the session's zone, which is UTC."""
+    rows = events.select(_line(events).alias("value"), F.coalesce(F.to_date("timestamp").cast("string"), F.lit("none")).alias("date"))
+    rows.write.mode("append").partitionBy("date").text(path)
 
 
 def sse_frames(captures: DataFrame) -> tuple[DataFrame, DataFrame]:

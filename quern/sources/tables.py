@@ -85,7 +85,7 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns as forum posts with image markup on every third: ``thread``, ``post``, ``author``, ``body``."""
     c = table(spark, sf_dir, "conversations")
     conv, turn = F.col("conv_id").cast("string"), F.col("turn").cast("string")
-    markup = F.concat(F.lit(" [img]http://img.example/"), conv, F.lit("/"), turn, F.lit(".png[/img] ![x](https://img.example/"), conv, F.lit("/a?c=1) https://img.example/"), (F.col("turn") % 2).cast("string"), F.lit(".JPG?w=2"))
+    markup = F.concat(F.lit(" [img]http://img.example/"), conv, F.lit("/"), turn, F.lit(".png[/img] ![x](https://img.example/"), conv, F.lit("/a?c=1) https://img.example/"), (F.col("turn") % 2).cast("string"), F.lit(".JPG?w=2\u3000https://img.example/wide.png\u00a0"))
     return c.select(F.col("conv_id").alias("thread"), F.col("turn").alias("post"), F.col("role").alias("author"), F.concat(F.coalesce("text", F.lit("")), F.when(F.col("turn") % 3 == 0, markup).otherwise(F.lit(""))).alias("body"))
 
 

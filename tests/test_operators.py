@@ -1,5 +1,7 @@
 """Edge cases that the given tables do not have, and properties of plans."""
 
+import json
+import math
 from datetime import datetime, timedelta
 
 import pytest
@@ -63,6 +65,50 @@ def test_event_log_round_trip(spark, tmp_path):
     assert row.type == "token" and row.payload == '{"t":"é"}' and row.timestamp == T0
 
 
+def test_log_lines_are_read_as_they_were_written(spark):
+    lines = ['\u00a0{"type":"a","type":"b"}\u3000', '{"type":"t","payload":{"v":NaN,"w":[1,-Infinity]},"timestamp":"2024-01-01T00:00:00Z"}', '{"type":"t",}', "NaN", '{"run_id":"r/1","run_id":"r/2","payload":"x"}', "{'type':'t'}", '{"a":1} {}', "3,4", '3,"y":4', "3],[4", "3}"]
+    out = {x.value: (x.run, x.type, x.payload, x.timestamp) for x in logs.parse_log(spark.createDataFrame([(x,) for x in lines], "value string")).collect()}
+    assert out == {lines[0].strip(): (None, "b", None, None), lines[1]: (None, "t", '{"v":NaN,"w":[1,-Infinity]}', T0), "NaN": (None, None, None, None), lines[4]: ("r/2", None, "x", None)}
+
+
+def test_appended_events_keep_their_run(spark, tmp_path):
+    path = f"file://{tmp_path}/log"
+    rows = [("r1", T0, "token", '{"t": "é漢🙂",\n "n": [1]}'), ("r\u00e92", T0, "end", None), (None, None, "x", "no json é"), ("r1", T0, None, "NaN")]
+    events = spark.createDataFrame(rows, "run_id string, timestamp timestamp, type string, payload string")
+    logs.append_events(events.where("run_id = 'r1'"), path)
+    logs.append_events(events.where("run_id is null or run_id <> 'r1'"), path)
+    raw = [x.value for x in spark.read.option("recursiveFileLookup", "true").text(path).collect()]
+    assert all(x.isascii() for x in raw) and any("\\u00e9\\u6f22\\ud83d\\ude42" in x for x in raw)
+    back = logs.event_log(spark, path).collect()
+    told = {(x.run_id, x.timestamp, x.type, x.payload and json.dumps(json.loads(x.payload), ensure_ascii=False)) for x in back if x.type != "x"}
+    assert told == {("r1", T0, "token", '{"t": "é漢🙂", "n": [1]}'), ("ré2", T0, "end", None), ("r1", T0, None, "NaN")}
+    assert [x.payload for x in back if x.type == "x"] == ["no json é"]
+
+
+def test_ranks_are_global(spark):
+    rows = [(k, float(k * 7919 % 101) if k % 9 else None) for k in range(3000)]
+    df = spark.createDataFrame(rows, "run_id long, tokens_per_s double")
+    out = {x.run_id: x.place for x in runs.ranked(df, [F.coalesce("tokens_per_s", F.lit(0.0)).desc(), F.col("run_id").asc()], "place").collect()}
+    assert [i for i, _ in sorted(out.items(), key=lambda x: x[1])] == [i for i, _ in sorted(rows, key=lambda r: (-(r[1] or 0), r[0]))]
+    assert sorted(out.values()) == list(range(1, 3001))
+    assert runs.ranked(df.limit(0), [F.col("run_id").asc()]).count() == 0
+
+
+def test_long_runs_make_few_rows(spark):
+    day = timedelta(days=1)
+    spans = [(f"h{k % 3}", k, T0 + timedelta(hours=k), T0 + timedelta(hours=k) + (365 * day if k % 2 else timedelta(seconds=k % 90))) for k in range(1000)]
+    samples = [(f"h{k % 3}", T0 + timedelta(hours=40 * k, seconds=k), k) for k in range(400)]
+    r = spark.createDataFrame(spans, "host string, run_id long, started_at timestamp, ended_at timestamp")
+    s = spark.createDataFrame(samples, "host string, ts timestamp, id long")
+    out = telemetry.samples_in_runs(r, s)
+    want = {(i, j) for h, i, a, b in spans for g, t, j in samples if g == h and a <= t <= b}
+    assert {(x.run_id, x.id) for x in out.collect()} == want and len(want) > 30_000
+    # A stretch is at least a quarter as long as the run.
+    width = 60 * 2 ** max(0, math.ceil(math.log2(365 * 86400 / 240)))
+    assert all((b - a).total_seconds() / width <= 4 for _, _, a, b in spans)
+    assert telemetry.samples_in_runs(r.limit(0), s).count() == 0
+
+
 def test_sse_frames(spark):
     raw = ': note\r\n\r\ndata: {"a":\r\ndata: 1}\r\n\r\ndata: {bad\n\nevent: x\n\ndata: [DONE]\n\ndata: {"a":2}\n\ndata: {"a":3}'
     good, bad = logs.sse_frames(spark.createDataFrame([(1, raw), (2, 'data: {"b":1}')], "run_id long, raw string"))
@@ -132,6 +178,18 @@ def test_cooldown_is_greedy(spark, seed):
     assert {(x.session, x.id): (x.accepted, x.wait_s) for x in out.collect()} == want
 
 
+def test_tokens_are_lower_cased_by_character(spark):
+    texts = ["ΟΔΟΣ", "ΟΔΟΣ İstanbul", "İSTANBUL-Iı", "e\u0301tude", "i\u0307x", "ǅ ẞ ½Ⅷ x_y", "Σ " * 5000, "", "?!", "straße ÀÉ 漢字 ١٢"]
+
+    def by_rule(t):
+        return "".join(c.lower() if c.isalnum() else " " for c in t).split()[:4096]
+
+    df = spark.createDataFrame([(t, k) for k, t in enumerate(texts)], "t string, k int")
+    out = {x.k: x.u for x in df.select("k", text.tokenize(F.col("t")).alias("u")).collect()}
+    # İ is cut off from the rest by nothing: what it turns into stays in its token.
+    assert [out[k] for k in range(len(texts))] == [by_rule(t) for t in texts]
+
+
 def test_tokens_hash_and_lengths(spark):
     df = spark.createDataFrame([("", 0), ("?!", 0), ("Ab-c9 é", 3), ("a " * 5000, 4096)], "t string, n int")
     assert all(x.n == x.m for x in df.select("n", F.size(text.tokenize(F.col("t"))).alias("m")).collect())
@@ -232,6 +290,13 @@ def test_image_links_need_a_scheme_and_a_known_suffix(spark):
     assert found == ["http://h/q", "https://h/b?c", "https://h/x.png", "https://h/y.avif?z=1"]
 
 
+def test_any_white_space_ends_an_image_link(spark):
+    spaces = ["\u3000", "\u00a0", "\u2003", "\ufeff", "\u2028", "\t", "\v"]
+    body = "".join(f"https://h/{k}.png{s}" for k, s in enumerate(spaces)) + "![a](https://h/q\u3000r.x) [img]\u00a0http://h/z[/img] [img]http://h/p\u3000[/img]\u0085"
+    found = spark.createDataFrame([(body,)], "t string").select(urls.image_urls(F.col("t")).alias("u")).first().u
+    assert found == ["http://h/p", *[f"https://h/{k}.png" for k in range(len(spaces))]]
+
+
 def test_percentile_narrows_to_the_exact_value(spark, monkeypatch):
     monkeypatch.setattr(telemetry, "RANKED", 50)
     values = [float((k * 7919) % 5003) for k in range(5000)] + [17.0] * 3000 + [None]
