@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
+from quern.sources.staging import staged
+
 #: The five channels, and the roles of a chat message.
 CHANNELS = ["events", "lounge", "logs", "telemetry", "tokens"]
 ROLES = ["system", "user", "assistant", "tool"]
@@ -99,32 +102,124 @@ def with_context(messages: DataFrame, width: int = 10_000) -> DataFrame:
     return out.withColumn("context", F.coalesce(F.last("conversation", ignorenulls=True).over(before), "_carried")).drop("_b", "_channel", "_stretch", "_carried")
 
 
-def cooldown(events: DataFrame, seconds: float, by: str = "session") -> DataFrame:
+#: Events of a session beyond which it is cut into stretches, and how many cooldowns long a stretch is.
+HOT_EVENTS, STRETCH = 1_000_000, 64
+
+
+def cooldown(events: DataFrame, seconds: float, by: str = "session", hot: int = HOT_EVENTS, stretch: int = STRETCH) -> DataFrame:
     """Adds ``accepted`` and ``wait_s`` (whole seconds left, rounded up; null if accepted). events: session, ts, id.
 
     An event is accepted if ``seconds`` have passed since the last accepted one of its session: a fold over time. Events
     are dealt by session and sorted by time once; each task folds its stream of rows with nothing held but the last
-    accepted time, however long a session is.
+    accepted time. Sessions of more than ``hot`` events are dealt by stretches of time instead (:func:`_stretched`), so one
+    of them has many tasks. Events without a time are accepted and change nothing.
     """
     limit = int(seconds * 1_000_000)
-    schema = StructType([*events.schema.fields, StructField("accepted", BooleanType()), StructField("wait_s", LongType())])
+    cut = events.groupBy(F.col(by).alias("_of")).agg(F.count("*").alias("_n")).where(F.col("_n") > hot).select("_of")
+    if not limit or cut.isEmpty():
+        return _folded(events, limit, [by])
+    same = F.col(by).eqNullSafe(F.col("_of"))
+    cut = staged(cut, "hot")
+    return _folded(events.join(cut, same, "left_anti"), limit, [by]).unionByName(_stretched(events.join(cut, same, "left_semi"), limit, by, stretch))
+
+
+def _folded(events: DataFrame, limit: int, keys: list[str]) -> DataFrame:
+    """The fold over rows by key and time. Rows with ``_kind`` 0 are no events: they give the time that was accepted last
+    before (``_last``), and go."""
+    given = "_last" in events.columns
+    names = [c for c in events.columns if c not in ("_b", "_kind", "_last")]
+    schema = StructType([*(events.schema[c] for c in names), StructField("accepted", BooleanType()), StructField("wait_s", LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        session, last, begun = None, 0, False
+        now, last, begun = None, None, False
         for batch in batches:
             times = batch.column("ts").cast(pa.timestamp("us", "UTC")).cast(pa.int64()).to_pylist()
+            before = batch.column("_last").to_pylist() if given else [None] * len(times)
+            events = [k != 0 for k in batch.column("_kind").to_pylist()] if given else None
             accepted, wait = [], []
-            for key, t in zip(batch.column(by).to_pylist(), times, strict=True):
-                if not begun or key != session:
-                    session, begun, last = key, True, None
+            for *key, t, carried in zip(*[batch.column(k).to_pylist() for k in keys], times, before, strict=True):
+                if not begun or key != now:
+                    now, begun, last = key, True, carried
                 left = None if last is None or t is None else last + limit - t
                 ok = left is None or left <= 0
                 accepted.append(ok)
                 wait.append(None if ok else -(-left // 1_000_000))
                 last = t if ok and t is not None else last
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(accepted, pa.bool_()), pa.array(wait, pa.int64())], [*batch.schema.names, "accepted", "wait_s"])
+            out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(accepted, pa.bool_()), pa.array(wait, pa.int64())], [*names, "accepted", "wait_s"])
+            yield out.filter(pa.array(events)) if given else out
+
+    return events.repartition(*keys).sortWithinPartitions(*keys, *(["_kind"] if given else []), "ts", "id").mapInArrow(run, schema)
+
 
-    return events.repartition(by).sortWithinPartitions(by, "ts", "id").mapInArrow(run, schema)
+def exits(times: np.ndarray, limit: int) -> np.ndarray:
+    """For each of sorted times, the last one that is accepted if it is: successors are followed by doubling pointers."""
+    after = np.append(np.searchsorted(times, times + limit), times.size)
+    last = np.arange(times.size + 1)
+    while (after[:-1] < times.size).any():
+        more = after < times.size
+        last[more], after = last[after[more]], after[after]
+    return times[last[:-1]]
+
+
+def _stretched(events: DataFrame, limit: int, by: str, stretch: int) -> DataFrame:
+    """The fold with time cut into stretches of ``stretch`` cooldowns. (1) A task follows, in its stretch, from each event
+    that may be the first accepted one (those of the first cooldown and the one after) to the last accepted; events
+    that come to the same one are told by the latest of them. (2) These few rows of a session are gone through in order:
+    what each stretch begins with. (3) Stretches are folded on their own from there.
+    """
+    width = limit * stretch
+    rows = events.withColumn("_b", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / width))
+    kind = dict(events.dtypes)[by]
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def told() -> Iterator[pa.RecordBatch]:
+            times = np.unique(np.concatenate(held))
+            border = key[1] * width + limit
+            last = exits(times, limit)
+            entry = times[: int(np.searchsorted(times, border)) + 1]
+            last = last[: entry.size]
+            keep = np.append(last[1:] != last[:-1], True)
+            n = int(keep.sum())
+            yield pa.RecordBatch.from_arrays([pa.array([key[0]] * n, batch.schema.field("_by").type), pa.array([key[1]] * n, pa.int64()), pa.array(entry[keep]), pa.array(last[keep])], ["_by", "_b", "entry", "exit"])
+
+        for batch in batches:
+            times = batch.column("t").to_numpy()
+            keys = list(zip(batch.column("_by").to_pylist(), batch.column("_b").to_pylist(), strict=True))
+            at = 0
+            while at < len(keys):
+                to = at + 1
+                while to < len(keys) and keys[to] == keys[at]:
+                    to += 1
+                if held and keys[at] != key:
+                    yield from told()
+                    held = []
+                key = keys[at]
+                held.append(times[at:to])
+                at = to
+        if held:
+            yield from told()
+
+    def carried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        session, stretch, last, found = None, None, None, True
+        for batch in batches:
+            out = []
+            for own, b, entry, end in zip(*[batch.column(c).to_pylist() for c in ("_by", "_b", "entry", "exit")], strict=True):
+                if stretch is None or own != session or b != stretch:
+                    last = last if stretch is not None and own == session else None
+                    session, stretch, found = own, b, False
+                    out.append((own, b, last))
+                if not found and (last is None or entry >= last + limit):
+                    last, found = end, True
+            columns = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (batch.schema.field("_by").type, pa.int64(), pa.int64()), strict=True)], ["_by", "_b", "_last"])
+
+    timed = rows.where("ts is not null").select(F.col(by).alias("_by"), "_b", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    found = timed.repartition("_by", "_b").sortWithinPartitions("_by", "_b", "t").mapInArrow(ends, f"_by {kind}, _b long, entry long, exit long")
+    begin = found.repartition("_by").sortWithinPartitions("_by", "_b", "entry").mapInArrow(carried, f"_by {kind}, _b long, _last long")
+    marks = begin.select(*[(F.col("_by") if f.name == by else F.lit(None)).cast(f.dataType).alias(f.name) for f in events.schema], "_b", F.lit(0).alias("_kind"), "_last")
+    return _folded(rows.withColumns({"_kind": F.lit(1), "_last": F.lit(None).cast("long")}).unionByName(marks), limit, [by, "_b"])
 
 
 def dedupe_first(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
+from quern.operators import inverted
 from quern.operators import retrieval as ops
 from quern.plans import search
 from quern.plans.registry._views import joined, query, views
@@ -40,7 +41,8 @@ _SPARSE = "p AS (SELECT q.id AS query_id, d.id, round(sum(q.w * d.w), 6) AS scor
 
 @query(f"{views('doc_postings', 'query_postings')}, {_SPARSE} SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM p) WHERE rank <= 50")
 def sparse_search(spark: SparkSession, d: str) -> DataFrame:
-    return _shown(ops.top_k(ops.sparse_scores(_items(spark, d), _docs(spark, d), 50), 50))
+    """Over an inverted index with block maxima, whose blocks that cannot reach a query's best 50 are passed over."""
+    return _shown(inverted.inverted_search(_items(spark, d), inverted.inverted_blocks(_docs(spark, d)), 50)[0])
 
 
 @query(f"{views('doc_postings', 'query_postings')}, {_SPARSE} SELECT query_id, id, score FROM p")

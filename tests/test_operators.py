@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import names, payloads, text, urls
-from quern.operators import documents, messages, retrieval, runs, telemetry
+from quern.operators import documents, inverted, messages, retrieval, runs, telemetry
 from quern.plans import ingest, search
 from quern.session import bounded
 from quern.sources import logs
@@ -178,6 +178,47 @@ def test_cooldown_is_greedy(spark, seed):
     assert {(x.session, x.id): (x.accepted, x.wait_s) for x in out.collect()} == want
 
 
+@pytest.mark.parametrize("stretch", [1, 3, 64])
+def test_a_hot_session_is_cut_into_stretches(spark, stretch):
+    import random
+
+    rnd = random.Random(stretch)
+    rows = [("hot", T0 + timedelta(seconds=rnd.choice([rnd.randrange(4000), rnd.randrange(60), 3000 + rnd.randrange(5)])), k) for k in range(3000)]
+    rows += [(None, T0 + timedelta(seconds=rnd.randrange(9000)), k) for k in range(3000, 4500)] + [(f"s{k % 7}", T0 + timedelta(seconds=k), k) for k in range(4500, 4600)]
+    rows += [("hot", None, 9000), (None, None, 9001), ("hot", datetime(1969, 12, 31, 23, 59, 58), 9002)]
+    df = spark.createDataFrame(rows, "session string, ts timestamp, id long")
+    shown = lambda x: {(r.session, r.id): (r.accepted, r.wait_s) for r in x.collect()}
+    want = shown(messages.cooldown(df, 10))
+    cut = messages.cooldown(df, 10, hot=500, stretch=stretch)
+    assert shown(cut) == want and len(want) == len(rows) and cut.columns == [*df.columns, "accepted", "wait_s"]
+    assert 5 < sum(ok for ok, _ in want.values()) < 2000
+
+
+def test_stretches_of_a_session_are_tasks_of_their_own(spark):
+    df = spark.range(200_000).select(F.lit("one").alias("session"), F.timestamp_seconds(F.col("id")).alias("ts"), "id")
+    out = messages.cooldown(df, 10, hot=1000).withColumn("task", F.spark_partition_id())
+    spread = out.groupBy("task").agg(F.count("*").alias("n"), F.count_if("accepted").alias("ok")).collect()
+    assert len(spread) > 1 and sum(r.n for r in spread) == 200_000 and sum(r.ok for r in spread) == 20_000
+
+
+def test_block_maxima_give_the_same_best(spark):
+    import random
+
+    rnd = random.Random(9)
+    pairs = lambda n, reach: [(i, float(rnd.choice([1, 1, 2, rnd.randrange(1, reach)]))) for i in sorted(rnd.sample(range(300), n))]
+    kind = "array<struct<idx:bigint,w:double>>"
+    rows = spark.createDataFrame([(k, pairs(rnd.randrange(0, 40), 2 + 600 // (k + 1))) for k in range(2000)] + [(None, pairs(5, 9)), (5000, None), (5001, [])], f"id long, pairs {kind}").repartition(3)
+    q = spark.createDataFrame([(k, pairs(rnd.randrange(1, 12), 4)) for k in range(40)] + [(99, []), (98, [(900, 1.0)])], f"query_id long, pairs {kind}")
+    for k in (1, 7, 3000):
+        best, share = inverted.inverted_search(q, inverted.inverted_blocks(rows, 32), k)
+        want = retrieval.top_k(retrieval.sparse_scores(q, rows, k), k)
+        assert sorted(map(tuple, best.select("query_id", "id", "score", "rank").collect())) == sorted(map(tuple, want.select("query_id", "id", "score", "rank").collect()))
+        share = share.first()
+        assert (share.skipped > share.blocks / 4) if k < 10 else (share.skipped == 0)
+    assert inverted.inverted_search(q, inverted.inverted_blocks(rows.limit(0)), 3)[0].count() == 0
+    assert inverted.inverted_search(q.limit(0), inverted.inverted_blocks(rows, 32), 3)[0].count() == 0
+
+
 def test_tokens_are_lower_cased_by_character(spark):
     texts = ["ΟΔΟΣ", "ΟΔΟΣ İstanbul", "İSTANBUL-Iı", "e\u0301tude", "i\u0307x", "ǅ ẞ ½Ⅷ x_y", "Σ " * 5000, "", "?!", "straße ÀÉ 漢字 ١٢"]
 
