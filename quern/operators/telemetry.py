@@ -31,14 +31,35 @@ def headroom(telemetry: DataFrame) -> DataFrame:
     return telemetry.withColumn("gpu_free", free).withColumns({"gpu_free_per_client": (F.col("gpu_free") / clients).cast("long"), "ram_per_client": (F.col("available") / clients).cast("long")})
 
 
-def counter_rate(telemetry: DataFrame, counters: list[str], by: str = "host") -> DataFrame:
+#: Seconds of a stretch of time, by which long series are cut into tasks.
+STRETCH_S = 86_400
+
+
+def _neighbour(rows: DataFrame, by: str, values: list[str], forward: bool = False, stretch_s: int = STRETCH_S) -> DataFrame:
+    """Adds ``_near``, a struct of ``values`` of the row before (or after) in the series, by time and id; null if there is none.
+
+    A series is cut into stretches of time. The last (first) row of each is handed on to the next, and a window looks
+    inside its stretch only, so one series of very many rows has many tasks.
+    """
+    order, there = F.struct("ts", "id"), F.struct(*values)
+    cut = rows.withColumn("_b", F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / stretch_s))
+    ends = cut.groupBy(by, "_b").agg((F.min_by if forward else F.max_by)(there, order).alias("_end"))
+    series = Window.partitionBy(by).orderBy("_b")
+    ends = ends.select(F.col(by).alias("_series"), F.col("_b").alias("_slot"), (F.lead if forward else F.lag)("_end").over(series).alias("_handed"))
+    # A null series is one of its own, and rows without a time come before all others.
+    out = cut.join(ends, F.col(by).eqNullSafe(F.col("_series")) & F.col("_b").eqNullSafe(F.col("_slot")))
+    own = Window.partitionBy(by, "_b").orderBy("ts", "id")
+    near = (F.lead if forward else F.lag)(there).over(own)
+    return out.withColumn("_near", F.coalesce(near, "_handed")).drop("_b", "_series", "_slot", "_handed")
+
+
+def counter_rate(telemetry: DataFrame, counters: list[str], by: str = "host", stretch_s: int = STRETCH_S) -> DataFrame:
     """Per second rate of each counter since the sample before: whole, never negative, over at least 1 ms; null in the
-    first sample. Adds ``<counter>_rate`` and ``total_rate``. Windows are per host."""
-    order = Window.partitionBy(by).orderBy("ts", "id")
-    span = F.greatest(F.lit(0.001), (F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(order))) / 1e6)
-    first = F.lag("id").over(order).isNull()
-    rates = {f"{c}_rate": F.when(~first, F.greatest(F.lit(0).cast("long"), ((F.col(c) - F.lag(c).over(order)) / span).cast("long"))) for c in counters}
-    return telemetry.withColumns(rates).withColumn("total_rate", reduce(Column.__add__, [F.col(c) for c in rates]))
+    first sample. Adds ``<counter>_rate`` and ``total_rate``."""
+    near = _neighbour(telemetry, by, ["ts", "id", *counters], stretch_s=stretch_s)
+    span = F.greatest(F.lit(0.001), (F.unix_micros("ts") - F.unix_micros("_near.ts")) / 1e6)
+    rates = {f"{c}_rate": F.when(F.col("_near.id").isNotNull(), F.greatest(F.lit(0).cast("long"), ((F.col(c) - F.col(f"_near.{c}")) / span).cast("long"))) for c in counters}
+    return near.withColumns(rates).drop("_near").withColumn("total_rate", reduce(Column.__add__, [F.col(c) for c in rates]))
 
 
 def last_n(df: DataFrame, by: list[str] | str, n: int, newest: list[str]) -> DataFrame:
@@ -67,15 +88,21 @@ def samples_in_runs(runs: DataFrame, telemetry: DataFrame, bucket_s: int = 60, b
     return spread.join(samples, [by, "_level", "_b"]).where("ts between started_at and ended_at").drop("_level", "_b")
 
 
-def snapshot_asof(runs: DataFrame, telemetry: DataFrame, value: str, by: str = "host") -> DataFrame:
-    """Each run with the latest sample at or before its start (null if none): a union of both, in one ordered window.
+def snapshot_asof(runs: DataFrame, telemetry: DataFrame, value: str, by: str = "host", stretch_s: int = STRETCH_S) -> DataFrame:
+    """Each run with the latest sample at or before its start (null if none): a union of both, in ordered windows over
+    stretches of time, to which the last sample before is handed on.
 
     runs: host, run_id, started_at; telemetry: host, ts, id and ``value``. Among samples of one time the highest id wins.
     """
     left = runs.select(by, F.col("started_at").alias("ts"), F.lit(1).alias("_run"), "run_id", F.lit(None).cast("long").alias("id"), F.lit(None).cast("struct<ts:timestamp,v:double>").alias("_s"))
     right = telemetry.select(by, "ts", F.lit(0).alias("_run"), F.lit(None).cast("long").alias("run_id"), "id", F.struct("ts", F.col(value).cast("double").alias("v")).alias("_s"))
-    order = Window.partitionBy(by).orderBy("ts", "_run", "id").rowsBetween(Window.unboundedPreceding, 0)
-    seen = left.unionByName(right).withColumn("_s", F.last("_s", ignorenulls=True).over(order))
+    both = left.unionByName(right).withColumn("_b", F.floor(F.unix_seconds("ts") / stretch_s))
+    ends = both.groupBy(by, "_b").agg(F.max_by("_s", F.when(F.col("_run") == 0, F.struct("ts", "id"))).alias("_end"))
+    before = Window.partitionBy(by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(F.col(by).alias("_series"), F.col("_b").alias("_slot"), F.last("_end", ignorenulls=True).over(before).alias("_handed"))
+    both = both.join(ends, F.col(by).eqNullSafe(F.col("_series")) & F.col("_b").eqNullSafe(F.col("_slot")))
+    order = Window.partitionBy(by, "_b").orderBy("ts", "_run", "id").rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.withColumn("_s", F.coalesce(F.last("_s", ignorenulls=True).over(order), "_handed"))
     return seen.where("_run = 1").select(by, "run_id", F.col("ts").alias("started_at"), F.col("_s.ts").alias("snapshot_at"), F.col("_s.v").alias(value))
 
 
@@ -126,11 +153,11 @@ def eta(progress: DataFrame) -> DataFrame:
     return out.withColumn("eta", format_eta(F.col("eta_s")))
 
 
-def stale(progress: DataFrame, after_s: int = 45, by: str = "job") -> DataFrame:
+def stale(progress: DataFrame, after_s: int = 45, by: str = "job", stretch_s: int = STRETCH_S) -> DataFrame:
     """Whether more than ``after_s`` seconds pass after each sample before the next; the last one has none to wait for."""
-    order = Window.partitionBy(by).orderBy("ts", "id")
-    gap = (F.unix_micros(F.lead("ts").over(order)) - F.unix_micros("ts")) / 1e6
-    return progress.withColumn("gap_s", gap).withColumn("stale", F.coalesce(gap > after_s, F.lit(False)))
+    gap = (F.unix_micros("_near.ts") - F.unix_micros("ts")) / 1e6
+    out = _neighbour(progress, by, ["ts"], True, stretch_s).withColumn("gap_s", gap)
+    return out.withColumn("stale", F.coalesce(F.col("gap_s") > after_s, F.lit(False))).drop("_near")
 
 
 #: Values that are ranked exactly at once.

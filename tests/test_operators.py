@@ -85,6 +85,31 @@ def test_appended_events_keep_their_run(spark, tmp_path):
     assert [x.payload for x in back if x.type == "x"] == ["no json é"]
 
 
+@pytest.mark.parametrize("stretch_s", [1, 40, 10**9])
+def test_neighbours_over_stretches(spark, stretch_s):
+    """Rates, gaps and as-of values are the same however a series is cut; null series and times take part."""
+    rows = [(f"h{k % 2}" if k % 11 else None, T0 + timedelta(seconds=(k * k) % 997 - (400 if k % 5 else 0)) if k % 50 else None, k, k * 13 % 700) for k in range(300)]
+    df = spark.createDataFrame(rows, "host string, ts timestamp, id long, rx long")
+    first = lambda r: (r[1] is not None, r[1] or T0, r[2])
+    want_rate, want_gap, asof = {}, {}, {}
+    for host in ("h0", "h1", None):
+        own = sorted((r for r in rows if r[0] == host), key=first)
+        for a, b in zip([None, *own], [*own, None]):
+            if b:
+                seconds = None if a is None or a[1] is None or b[1] is None else max(0.001, (b[1] - a[1]).total_seconds())
+                want_rate[b[2]] = None if a is None else max(0, int((b[3] - a[3]) / (seconds or 0.001)))
+            if a:
+                want_gap[a[2]] = (b[1] - a[1]).total_seconds() if b and a[1] and b[1] else None
+        for k in range(0, 300, 7):
+            t = T0 + timedelta(seconds=k * 2 - 100)
+            asof[(host, k)] = next((r[3] for r in reversed(own) if r[1] is not None and r[1] <= t), None)
+    assert {r.id: r.rx_rate for r in telemetry.counter_rate(df, ["rx"], stretch_s=stretch_s).collect()} == want_rate
+    assert {r.id: r.gap_s for r in telemetry.stale(df, 10, "host", stretch_s).collect()} == want_gap
+    asked = spark.createDataFrame([(h, k, T0 + timedelta(seconds=k * 2 - 100)) for h, k in asof], "host string, run_id long, started_at timestamp")
+    out = telemetry.snapshot_asof(asked, df.where("ts is not null"), "rx", stretch_s=stretch_s)
+    assert {(r.host, r.run_id): r.rx for r in out.collect()} == asof
+
+
 def test_ranks_are_global(spark):
     rows = [(k, float(k * 7919 % 101) if k % 9 else None) for k in range(3000)]
     df = spark.createDataFrame(rows, "run_id long, tokens_per_s double")
