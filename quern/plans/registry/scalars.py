@@ -223,7 +223,7 @@ def normalize_chat(spark: SparkSession, d: str) -> DataFrame:
     return out.select("event_id", "c.answer", F.size("c.images").cast("long").alias("n_images"), "c.total_images", "c.conversation_id")
 
 
-def _captures(spark: SparkSession, d: str) -> DataFrame:
+def captures(spark: SparkSession, d: str) -> DataFrame:
     """Each conversation as captured bytes: a comment, a frame in two data lines for each turn, one that is no JSON,
     ``[DONE]`` in every third, and an unterminated end."""
     c = tables.table(spark, d, "conversations")
@@ -236,7 +236,7 @@ def _captures(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT conv_id AS run_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) + 1 AS pos, turn, length(text) AS n, true AS ok FROM conversations UNION ALL SELECT DISTINCT conv_id, 1, NULL, NULL, false FROM conversations""")
 def sse_decode(spark: SparkSession, d: str) -> DataFrame:
-    good, bad = logs.sse_frames(_captures(spark, d))
+    good, bad = logs.sse_frames(captures(spark, d))
     a = good.select("run_id", "pos", F.get_json_object("json", "$.turn").cast("long").alias("turn"), F.get_json_object("json", "$.n").cast("long").alias("n"), F.lit(True).alias("ok"))
     return a.unionByName(bad.select("run_id", "pos", F.lit(None).cast("long").alias("turn"), F.lit(None).cast("long").alias("n"), F.lit(False).alias("ok")))
 
@@ -244,5 +244,5 @@ def sse_decode(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT conv_id AS run_id, arg_max_null(CASE WHEN turn % 3 = 0 THEN turn END, turn) FILTER (turn % 3 < 2) AS prompt_tokens, CASE WHEN count(*) FILTER (turn % 3 = 0) > 0 THEN CAST(7 AS BIGINT) END AS completion_tokens
     FROM (SELECT * FROM conversations) GROUP BY conv_id""", name="usage_last")
 def usage_last(spark: SparkSession, d: str) -> DataFrame:
-    good, _ = logs.sse_frames(_captures(spark, d))
+    good, _ = logs.sse_frames(captures(spark, d))
     return payloads.last_usage(good)

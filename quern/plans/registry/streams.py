@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.plans.registry._views import query, sql_time, text_time, views
+from quern.plans.registry._views import ORACLE_SQL, query, sql_time, text_time, views
 from quern.plans.registry.messages import _COOLDOWN
+from quern.plans.registry.scalars import captures
 from quern.plans.registry.telemetry import _COUNTERS
 from quern.session import configured
 from quern.sources import tables
@@ -125,6 +126,21 @@ def stream_dedupe(spark: SparkSession, d: str) -> DataFrame:
     return _ran(ops.stream_dedupe(e).select("id", "channel"))
 
 
+@query(ORACLE_SQL["sse_decode"])
+def stream_sse(spark: SparkSession, d: str) -> DataFrame:
+    """Captures cut into chunks of 7 to 36 bytes that come in three files, frames and line ends cut through."""
+    size = F.lit(7) + F.pmod(F.col("run_id"), F.lit(30)).cast("int")
+    raw = F.encode("raw", "UTF-8")
+    cut = captures(spark, d).select("run_id", raw.alias("raw"), size.alias("size")).withColumn("seq", F.explode(F.sequence(F.lit(0), F.floor(F.length("raw") / F.col("size")).cast("int"))))
+    chunks = staged(cut.select("run_id", "seq", F.col("raw").substr(F.col("seq") * F.col("size") + 1, F.col("size")).alias("chunk")), "chunks")
+    path = new_path(spark, "arriving")
+    for part in ("seq < 3", "seq between 3 and 9", "seq > 9"):
+        chunks.where(part).coalesce(1).write.mode("append").parquet(path)
+    out = _ran(ops.stream_sse(spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 1).parquet(path)))
+    number = lambda name: F.when(F.col("ok"), F.get_json_object("json", f"$.{name}").cast("long")).alias(name)
+    return out.select(F.col("key").alias("run_id"), "pos", number("turn"), number("n"), "ok")
+
+
 @query(f"""{views('messages')}, w AS (SELECT channel AS job, epoch_us(ts) AS t, id, unnest(range(epoch_us(ts) // 600000000 * 600000000 - 3000000000, epoch_us(ts) // 600000000 * 600000000 + 1, 600000000)) AS a FROM messages),
     g AS (SELECT job, a, count(*) AS samples, min_by(id, t) AS x, max_by(id, t) AS y, min(t) AS t0, max(t) AS t1 FROM w WHERE t < a + 3600000000 GROUP BY 1, 2)
     SELECT job, {sql_time('make_timestamp(a)')} AS window_start, samples, round(greatest(0.0::DOUBLE, (y - x)::DOUBLE) / greatest(1.0::DOUBLE, (t1 - t0) / 1e6::DOUBLE), 6) AS rate FROM g""")

@@ -36,6 +36,12 @@ def _odd_line(lines: pa.Array) -> pa.Array:
     return pa.array([one(x) for x in lines.to_pylist()], kind)
 
 
+def _plain_json(c: str) -> Column:
+    """Whether a text is one JSON value by Spark's parser, which ignores what follows a value: only a single value is valid
+    both inside an array and inside an object."""
+    return F.try_parse_json(F.concat(F.lit("["), c, F.lit("]"))).isNotNull() & F.try_parse_json(F.concat(F.lit('{"x":'), c, F.lit("}"))).isNotNull()
+
+
 def parse_log(lines: DataFrame) -> DataFrame:
     """Lines (``value``, stripped of white space) that are JSON: blank and unparsable ones are dropped, values that are no
     object are kept.
@@ -43,8 +49,7 @@ def parse_log(lines: DataFrame) -> DataFrame:
     Adds ``run``, ``timestamp``, ``type``, ``payload`` (JSON text), null where the value has no such field. Plain lines
     are parsed in the JVM; Python sees only those refused there, of which it keeps repeated keys, NaN and infinities.
     """
-    # The parser ignores what follows a value; only a single value is valid both inside an array and inside an object.
-    plain = F.try_parse_json(F.concat(F.lit("["), "value", F.lit("]"))).isNotNull() & F.try_parse_json(F.concat(F.lit('{"x":'), "value", F.lit("}"))).isNotNull()
+    plain = _plain_json("value")
     rows = lines.withColumn("value", F.trim("value", F.lit(STRIPPED))).where("value <> ''")
     rows = rows.withColumn("_odd", _odd_line(F.when(~plain, F.col("value")))).where("_odd is null or _odd.ok")
     field = lambda name: F.when(F.col("_odd").isNull(), F.get_json_object("value", f"$.{name}")).otherwise(F.col(f"_odd.{name}"))
@@ -91,5 +96,6 @@ def sse_frames(captures: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = blocks.select("run_id", F.col("pos").cast("long").alias("pos"), F.when(F.size(data) > 0, joined).alias("json")).where("json is not null")
     end = F.min(F.when(F.col("json") == "[DONE]", F.col("pos"))).over(Window.partitionBy("run_id"))
     rows = rows.withColumn("_end", end).where("_end is null or pos < _end").drop("_end")
-    good = F.try_parse_json("json").isNotNull()
-    return rows.where(good), rows.where(~good)
+    plain = _plain_json("json")
+    rows = rows.withColumn("_good", plain | F.coalesce(_odd_line(F.when(~plain, F.col("json")))["ok"], F.lit(False)))
+    return rows.where("_good").drop("_good"), rows.where("not _good").drop("_good")

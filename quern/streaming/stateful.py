@@ -7,6 +7,7 @@ order of time and id, and deletes it. So what a micro-batch writes follows its o
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -133,3 +134,50 @@ class Newest(StatefulProcessor):
 
     def close(self) -> None:
         pass
+
+
+class Frames(StatefulProcessor):
+    """Puts server-sent events together from chunks of bytes, cut anywhere. State of a capture: the bytes after its last blank
+    line (a carriage return at their end may be half of a line end), how many blocks there were, and whether it is done."""
+
+    def init(self, handle) -> None:
+        self.state = handle.getValueState("open", "tail binary, pos long, done boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        chunks = sorted((r for batch in rows for r in zip(batch["seq"].tolist(), batch["chunk"].tolist(), strict=True)), key=lambda r: r[0])
+        tail, pos, done = self.state.get() if self.state.exists() else (b"", 0, False)
+        if done:
+            return
+        found, tail, done = blocks(bytes(tail) + b"".join(bytes(c) for _, c in chunks if c is not None))
+        out = [(key[0], pos + k, payload, readable(payload)) for k, payload in enumerate(found) if payload is not None]
+        # What is done needs no tail, but stays marked: chunks may still come.
+        self.state.update((b"" if done else tail, pos + len(found), done))
+        if out:
+            yield pd.DataFrame(out, columns=["key", "pos", "json", "ok"])
+
+    def close(self) -> None:
+        pass
+
+
+def blocks(data: bytes) -> tuple[list[str | None], bytes, bool]:
+    """The payload of each finished block (None without data lines), the unfinished rest, and whether the end was told, which
+    is no payload."""
+    half = data.endswith(b"\r")
+    *whole, rest = (data[:-1] if half else data).replace(b"\r\n", b"\n").split(b"\n\n")
+    out: list[str | None] = []
+    for block in whole:
+        lines = block.decode("utf-8", errors="replace").split("\n")
+        data_lines = [line[5:].lstrip() for line in lines if line.startswith("data:")]
+        payload = "\n".join(data_lines).strip() if data_lines else None
+        if payload == "[DONE]":
+            return out, b"", True
+        out.append(payload)
+    return out, rest + b"\r" * half, False
+
+
+def readable(payload: str) -> bool:
+    try:
+        json.loads(payload)
+    except (ValueError, RecursionError):
+        return False
+    return True

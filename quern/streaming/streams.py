@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from quern.plans.ingest import ingest
-from quern.streaming.stateful import InOrder, Newest, OnArrival
+from quern.streaming.stateful import Frames, InOrder, Newest, OnArrival
 
 
 def stream_events(spark: SparkSession, folder: str, schema: StructType, delay: str = "10 minutes", channels: list[str] | None = None, files_per_trigger: int | None = None) -> DataFrame:
@@ -140,6 +140,13 @@ def stream_stale(events: DataFrame, seconds: float = 45, by: str = "job", slot_s
     return rows.transformWithStateInPandas(worker, f"key {dict(events.dtypes)[by]}, last_seen timestamp", "append", "EventTime")
 
 
+def stream_sse(chunks: DataFrame, by: str = "run_id") -> DataFrame:
+    """``key``, ``pos``, ``json``, ``ok`` (whether it is JSON) of each frame as it is finished, as ``logs.sse_frames`` gives them
+    of whole captures. chunks: run_id, seq (their order in a run, which they arrive in), chunk (binary)."""
+    rows = chunks.select(F.col(by).alias("key"), F.col("seq").cast("long").alias("seq"), F.col("chunk").cast("binary").alias("chunk"))
+    return rows.groupBy("key").transformWithStateInPandas(Frames(), f"key {dict(chunks.dtypes)[by]}, pos long, json string, ok boolean", "append", "None")
+
+
 def stream_ingest(docs: DataFrame, folder: str, checkpoint: str, sink: Callable[[DataFrame, int], None] | None = None, target: int = 500, most: int = 700, overlap: int = 75):
     """Chunks new documents as files arrive and stops when all are done; the same checkpoint resumes, a new one starts
     afresh. Each micro-batch writes its own folder, so one that is repeated overwrites itself and nothing else.

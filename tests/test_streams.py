@@ -180,3 +180,39 @@ def test_ingest_resumes(spark, tmp_path):
     run()
     run()
     assert {(x.id, x.text) for x in streams.latest_chunks(spark, dst).collect()} == {(1, "a b"), (2, "d e f")}
+
+
+def test_frames_are_the_same_however_a_capture_is_cut():
+    from quern.streaming.stateful import blocks
+
+    raw = ': hi\r\n\r\ndata: {"a":\r\ndata: 1}\r\n\r\ndata: {bad é漢\n\nevent: x\n\ndata:  {"n":NaN}\r\n\ndata: {"b":2}\n\ndata: [DONE]\r\n\r\ndata: {"c":3}\n\n'.encode()
+    want = [None, '{"a":\n1}', "{bad é漢", None, '{"n":NaN}', '{"b":2}']
+    assert blocks(raw) == (want, b"", True)
+    for a in range(len(raw)):
+        for b in {a, a + 1, a + 2, a + 5, len(raw)}:
+            found, tail, done = [], b"", False
+            for piece in (raw[:a], raw[a:b], raw[b:]):
+                if not done:
+                    more, tail, done = blocks(tail + piece)
+                    found += more
+            assert (found, done) == (want, True), (a, b)
+    assert blocks(b"data: {}\n")[0] == [] and blocks(b"data: 1\n\r") == ([], b"data: 1\n\r", False)
+
+
+def test_frames_of_a_stream_of_chunks(spark, tmp_path):
+    import os
+
+    from quern.sources import logs
+
+    raws = {1: 'data: {"a":1}\r\n\r\ndata: {bad\n\ndata: {"b":NaN}\n\ndata: {"open":1}', 2: ": c\n\ndata: 1\n\ndata: [DONE]\n\ndata: 2\n\n", 3: ""}
+    chunks = [(r, k, raw.encode()[k * 4 : k * 4 + 4]) for r, raw in raws.items() for k in range(len(raw) // 4 + 1)]
+    for n in range(3):
+        path = tmp_path / "in" / f"part{n}"
+        spark.createDataFrame([c for c in chunks if min(2, c[1] // 3) == n], "run_id long, seq long, chunk binary").coalesce(1).write.parquet(f"file://{path}")
+        for f in path.glob("*.parquet"):
+            os.utime(f, (1_700_000_000 + n * 10,) * 2)
+    stream = spark.readStream.schema("run_id long, seq long, chunk binary").option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in/part*")
+    out = sink(streams.stream_sse(stream), tmp_path)
+    good, bad = logs.sse_frames(spark.createDataFrame(list(raws.items()), "run_id long, raw string"))
+    want = {(x.run_id, x.pos, x.json, ok) for df, ok in ((good, True), (bad, False)) for x in df.collect()}
+    assert {(x.key, x.pos, x.json, x.ok) for x in out.collect()} == want and len(want) == 4
