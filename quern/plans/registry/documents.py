@@ -26,12 +26,17 @@ def _chunks(spark: SparkSession, d: str) -> DataFrame:
     return T.chunks(_docs(spark, d).where("doc_id % 3 <> 0"))
 
 
+#: Ids whose documents of one source are one file.
+FILE_IDS = 500
+
+
 def _files(spark: SparkSession, d: str) -> str:
-    """A folder with a text file of documents for each source, and JSON files beside them that nobody wants."""
-    docs = tables.table(spark, d, "documents").select("source", "text")
+    """A folder with text files of documents by source, of the documents of ``FILE_IDS`` ids each, and JSON files beside them
+    that nobody wants. A file is read as one row, so its size must have a bound that does not grow with the source."""
+    docs = tables.table(spark, d, "documents").select("source", "text", F.floor(F.col("doc_id") / FILE_IDS).alias("part"))
     path = new_path(spark, "files")
-    docs.repartition("source").write.partitionBy("source").text(path)
-    docs.where("length(text) < 100").write.mode("append").partitionBy("source").json(path)
+    docs.repartition("source", "part").write.partitionBy("source", "part").text(path)
+    docs.where("length(text) < 100").write.mode("append").partitionBy("source", "part").json(path)
     return path
 
 
@@ -148,7 +153,7 @@ def build_messages(spark: SparkSession, d: str) -> DataFrame:
     return back.select("conv_id", F.size("p.messages").cast("long").alias("n_messages"), F.col("p.messages")[0]["role"].alias("first_role"), F.array_join(F.map_keys("p.parameters"), ",").alias("parameters"), chars.alias("n_chars"))
 
 
-@query("SELECT source, 1 AS files, CAST(sum(strlen(text) + 1) AS BIGINT) AS size_bytes FROM documents GROUP BY source")
+@query(f"SELECT source, count(DISTINCT doc_id // {FILE_IDS}) AS files, CAST(sum(strlen(text) + 1) AS BIGINT) AS size_bytes FROM documents GROUP BY source")
 def model_catalog(spark: SparkSession, d: str) -> DataFrame:
     """Files of one suffix below a folder, which holds documents by source: their number and size in each subfolder."""
     found = file_catalog(spark, _files(spark, d), "*.txt")

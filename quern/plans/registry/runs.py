@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.operators import runs as ops
-from quern.plans.registry._views import query, sql_time, text_time, views
-from quern.sources import logs, tables
+from quern.plans.registry._views import ORACLE_SQL, query, sql_time, text_time, views
+from quern.sources import logs, snapshots, tables
 from quern.sources.staging import new_path
 from quern.sources.tables import RUN, SUMMARY
 
@@ -88,10 +88,25 @@ def create_run(spark: SparkSession, d: str) -> DataFrame:
         CASE WHEN f.run_id IS NULL THEN r.output_tokens ELSE f.output_tokens END AS output_tokens, CASE WHEN f.run_id IS NULL THEN r.error END AS error,
         {sql_time('CASE WHEN f.run_id IS NULL THEN r.updated_at ELSE f.finished_at END')} AS updated_at FROM runs r LEFT JOIN f USING (run_id)""")
 def finalize_run(spark: SparkSession, d: str) -> DataFrame:
+    return _finalized(ops.apply_finalize(tables.runs(spark, d), _finals(spark, d)))
+
+
+@query(ORACLE_SQL["finalize_run"])
+def finalize_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    """The same on a snapshot in buckets, of which only those with a run that has finished are rewritten."""
+    path = new_path(spark, "snapshot")
+    snapshots.write_snapshot(tables.runs(spark, d), path, "run_id", 16)
+    snapshots.update_snapshot(spark, path, "run_id", _finals(spark, d), ops.apply_finalize)
+    return _finalized(snapshots.read_snapshot(spark, path))
+
+
+def _finals(spark: SparkSession, d: str) -> DataFrame:
     li = tables.table(spark, d, "lineitem").where("l_orderkey % 2 = 0")
     finals = li.groupBy(F.col("l_orderkey").alias("run_id"), F.col("l_shipdate").cast("timestamp").alias("finished_at"), F.col("l_returnflag").alias("status")).agg(F.sum("l_quantity").alias("total_time_ms"), F.count("*").alias("output_tokens"))
-    finals = finals.select("*", *[F.lit(None).cast(t).alias(c) for c, t in (("ttft_ms", "double"), ("input_tokens", "long"), ("tokens_per_s", "double"), ("resources_json", "string"), ("error", "string"))])
-    out = ops.apply_finalize(tables.runs(spark, d), finals)
+    return finals.select("*", *[F.lit(None).cast(t).alias(c) for c, t in (("ttft_ms", "double"), ("input_tokens", "long"), ("tokens_per_s", "double"), ("resources_json", "string"), ("error", "string"))])
+
+
+def _finalized(out: DataFrame) -> DataFrame:
     return out.select("run_id", "status", "ttft_ms", "total_time_ms", "input_tokens", "output_tokens", "error", text_time("updated_at").alias("updated_at"))
 
 

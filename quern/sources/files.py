@@ -1,10 +1,7 @@
-"""Files as tables: model catalogues, fingerprints, uploads."""
+"""Files as tables: model catalogues, uploads."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,22 +13,6 @@ def file_catalog(spark: SparkSession, folder: str, glob: str = "*.gguf") -> Data
     return files.select(F.regexp_replace(name, r"\.[^.]*$", "").alias("id"), name.alias("name"), "path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_at")).orderBy(F.col("modified_at").desc(), "path")
 
 
-def file_fingerprints(catalog: DataFrame, n: int = 16 << 20) -> DataFrame:
-    """SHA-256 of each file's first ``n`` bytes, for files on a mounted path that are too large to read whole."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import hashlib
-
-        for batch in batches:
-            out = []
-            for path in batch["path"]:
-                with open(path.removeprefix("file:"), "rb") as file:
-                    out.append(hashlib.sha256(file.read(n)).hexdigest())
-            yield pd.DataFrame({"path": batch["path"], "sha256": out})
-
-    return catalog.select("path").mapInPandas(run, "path string, sha256 string")
-
-
 def ingest_files(spark: SparkSession, folder: str, extensions: list[str]) -> DataFrame:
     """Whole text files with one of the extensions, any case: ``path``, ``text``."""
     files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True)

@@ -46,12 +46,19 @@ def staged(df: DataFrame, name: str, group_bytes: int | None = None) -> DataFram
 
 def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     """As :func:`staged`, dealt by ``key`` to as many buckets as the session shuffles to: groupings and joins by ``key`` read
-    it in place, without an exchange, however often they do so."""
+    it in place, without an exchange, however often they do so.
+
+    Buckets are a property of tables, so this one is entered in the session's current database (``USE`` another one before,
+    where that may not be written), and stays there until :func:`release`; a write that fails leaves none."""
     spark = df.sparkSession
     path = new_path(spark, name)
     table = f"quern_{path.rsplit('-', 1)[1]}"
     buckets = min(100_000, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(table)
+    try:
+        df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(table)
+    except Exception:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+        raise
     _TABLES.setdefault(spark.sparkContext.applicationId, []).append(table)
     return spark.table(table)
 
