@@ -104,15 +104,16 @@ class _Queries:
         of, doc = np.flatnonzero(active)[at // max(1, ids.size)], at % max(1, ids.size)
         return (self.number[of], ids[doc], s[at]), met, active
 
-    def raise_bars(self, best: tuple[np.ndarray, ...], k: int) -> None:
-        """The k-th best score of each query that has so many."""
-        number, _, score = best
-        if number.size:
-            last = np.flatnonzero(np.append(number[1:] != number[:-1], True))
-            full = np.diff(np.append(-1, last)) >= k
-            order = np.argsort(self.number)
-            where = order[np.searchsorted(self.number, number[last[full]], sorter=order)]
-            self.bars[where] = np.maximum(self.bars[where], score[last[full]])
+
+def raise_bars(bars: np.ndarray, numbers: np.ndarray, best: tuple[np.ndarray, ...], k: int) -> None:
+    """Sets each query's bar to its k-th best score, where it has so many and that is more. best: sorted by query."""
+    number, _, score = best
+    if number.size:
+        last = np.flatnonzero(np.append(number[1:] != number[:-1], True))
+        full = np.diff(np.append(-1, last)) >= k
+        order = np.argsort(numbers)
+        where = order[np.searchsorted(numbers, number[last[full]], sorter=order)]
+        bars[where] = np.maximum(bars[where], score[last[full]])
 
 
 def _searched(index: DataFrame, block: pa.Table, bars: dict[int, float], k: int) -> DataFrame:
@@ -128,7 +129,7 @@ def _searched(index: DataFrame, block: pa.Table, bars: dict[int, float], k: int)
                 if found[0].size:
                     best.add(*found)
                     best.held = [best.cut()]
-                    queries.raise_bars(best.held[0], k)
+                    raise_bars(queries.bars, queries.number, best.held[0], k)
         number, ids, score = best.cut()
         none = pa.nulls(number.size, pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(ids), pa.array(score), none, none], [f.split(" ")[0] for f in _FOUND.split(", ")])

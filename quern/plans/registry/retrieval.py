@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
-from quern.operators import inverted
+from quern.operators import inverted, pivots
 from quern.operators import retrieval as ops
 from quern.plans import search
 from quern.plans.registry._views import joined, query, views
@@ -56,6 +56,14 @@ def dense_search(spark: SparkSession, d: str) -> DataFrame:
     return _shown(search.dense_search(q, c, 6))
 
 
+@query(f"{views('dense_mode')} SELECT * FROM dense_mode")
+def dense_search_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The same over blocks of vectors, of which those that cannot reach a query's best six are not multiplied."""
+    q, c = _hybrid(spark, d)
+    index, chosen = pivots.vector_blocks(c.vectors)
+    return _shown(pivots.pivot_search(q.vectors, index, chosen, 6)[0])
+
+
 @query(f"{views('dense_leg')} SELECT * FROM dense_leg")
 def top_k_per_query(spark: SparkSession, d: str) -> DataFrame:
     q, c = _hybrid(spark, d)

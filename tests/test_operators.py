@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import names, payloads, text, urls
-from quern.operators import documents, inverted, messages, retrieval, runs, telemetry
+from quern.operators import documents, inverted, messages, pivots, retrieval, runs, telemetry
 from quern.plans import ingest, search
 from quern.session import bounded
 from quern.sources import logs
@@ -244,6 +244,28 @@ def test_block_maxima_give_the_same_best(spark):
     assert inverted.inverted_search(q.limit(0), inverted.inverted_blocks(rows, 32), 3)[0].count() == 0
 
 
+def test_pivots_give_the_same_nearest(spark):
+    import numpy as np
+
+    rnd = np.random.default_rng(4)
+    centres = rnd.normal(size=(20, 16))
+    points = centres[rnd.integers(0, 20, 3000)] + rnd.normal(size=(3000, 16)) * 0.05
+    rows = [(k, p.tolist()) for k, p in enumerate(points)] + [(3000 + k, points[k].tolist()) for k in range(5)] + [(None, points[0].tolist()), (4000, None), (4001, [1.0]), (4002, [0.0] * 16), (4003, (-points[0]).tolist())]
+    v = spark.createDataFrame(rows, "id long, embedding array<double>").repartition(3)
+    q = spark.createDataFrame([(k, points[k * 7].tolist()) for k in range(60)] + [(90, rnd.normal(size=16).tolist()), (91, [0.0] * 16), (92, [1.0, 2.0])], "query_id long, embedding array<double>")
+    index, chosen = pivots.vector_blocks(v, 64)
+    for k in (1, 5, 4000):
+        best, share = pivots.pivot_search(q, index, chosen, k)
+        want = retrieval.top_k(retrieval.dense_scores(q, v, k), k)
+        shown = lambda df: sorted(map(tuple, df.select("query_id", "id", "score", "rank").collect()))
+        assert shown(best) == shown(want)
+        share = share.first()
+        assert share.skipped > share.blocks / 2 if k < 6 else share.skipped == 0
+    none, few = pivots.vector_blocks(v.limit(0))
+    assert pivots.pivot_search(q, none, few, 3)[0].count() == 0
+    assert pivots.pivot_search(q.limit(0), index, chosen, 3)[0].count() == 0
+
+
 def test_tokens_are_lower_cased_by_character(spark):
     texts = ["ΟΔΟΣ", "ΟΔΟΣ İstanbul", "İSTANBUL-Iı", "e\u0301tude", "i\u0307x", "ǅ ẞ ½Ⅷ x_y", "Σ " * 5000, "", "?!", "straße ÀÉ 漢字 ١٢"]
 
