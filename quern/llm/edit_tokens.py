@@ -6,7 +6,9 @@ special token reaches) until a boundary falls on an old one behind it; from ther
 the same. The new pre-tokens replace the old ones in their leaves, and sums are updated on the paths to the root.
 
 Nulls: a null text is an empty one; a null list of edits is an empty one; an edit beyond the end of a text applies at
-its end. Repeated rows each give a row. Extra columns are not read. Texts are counted whole, whatever their length.
+its end. Repeated rows each give a row, and there are no ties. An empty table gives no rows. Extra columns are not read.
+Texts are counted whole, whatever their length. An edit copies its document's text once (a slice of memory); what it
+encodes does not grow with the text.
 """
 
 from __future__ import annotations
@@ -77,23 +79,39 @@ def all_pre_tokens(made: Encoder, text: str) -> list[tuple[int, int]]:
 
 
 class CountTree:
-    """Counts of one document. ``total`` is its number of tokens, ``encoded`` the code points encoded so far."""
+    """Counts of one document. ``total`` is its number of tokens, ``encoded`` the code points encoded so far.
 
-    def __init__(self, made: Encoder, text: str, parts: list[tuple[int, int]] | None = None):
+    A leaf is a slice of an array of lengths and counts until an edit reaches it, and a list from then on."""
+
+    def __init__(self, made: Encoder, text: str, parts: np.ndarray | None = None):
         self.made, self.text, self.encoded = made, text, 0
         if parts is None:
-            parts = all_pre_tokens(made, text)
+            found = all_pre_tokens(made, text)
+            parts = np.fromiter(chain.from_iterable(found), "<u4", 2 * len(found)).reshape(-1, 2)
             self.encoded = len(text)
         self._build(parts)
 
-    def _build(self, parts: list[tuple[int, int]]) -> None:
-        self.leaves = [parts[k : k + LEAF] for k in range(0, len(parts), LEAF)] or [[]]
+    def _build(self, parts: np.ndarray) -> None:
+        starts = np.arange(0, len(parts), LEAF)
+        self.leaves: list = [parts[k : k + LEAF] for k in starts.tolist()] or [parts[:0]]
         self.size = 1 << (len(self.leaves) - 1).bit_length()
-        self.chars, self.tokens = [0] * (2 * self.size), [0] * (2 * self.size)
-        for k, leaf in enumerate(self.leaves):
-            self._sum(k, leaf)
-        for k in range(self.size - 1, 0, -1):
-            self._add(k)
+        sums = np.zeros((2 * self.size, 2), np.int64)
+        if starts.size:
+            sums[self.size : self.size + starts.size] = np.add.reduceat(parts.astype(np.int64), starts, axis=0)
+        n = self.size
+        while n > 1:
+            sums[n // 2 : n] = sums[n : 2 * n : 2] + sums[n + 1 : 2 * n : 2]
+            n //= 2
+        self.chars, self.tokens = sums[:, 0].tolist(), sums[:, 1].tolist()
+
+    def _leaf(self, k: int) -> list[tuple[int, int]]:
+        if not isinstance(self.leaves[k], list):
+            self.leaves[k] = list(map(tuple, self.leaves[k].tolist()))
+        return self.leaves[k]
+
+    def parts(self) -> np.ndarray:
+        """Length and number of tokens of all pre-tokens."""
+        return np.concatenate([np.asarray(x, "<u4").reshape(-1, 2) for x in self.leaves])
 
     def _sum(self, k: int, leaf: list[tuple[int, int]]) -> None:
         self.chars[self.size + k], self.tokens[self.size + k] = map(sum, zip(*leaf, strict=True)) if leaf else (0, 0)
@@ -113,7 +131,7 @@ class CountTree:
             if at >= start + self.chars[k] and self.chars[k + 1]:
                 start += self.chars[k]
                 k += 1
-        leaf = self.leaves[k - self.size] if k - self.size < len(self.leaves) else []
+        leaf = self._leaf(k - self.size) if k - self.size < len(self.leaves) else []
         place = 0
         while place + 1 < len(leaf) and start + leaf[place][0] <= at:
             start += leaf[place][0]
@@ -127,7 +145,7 @@ class CountTree:
             k *= 2
             if start + self.chars[k] <= at:
                 start, count, k = start + self.chars[k], count + self.tokens[k], k + 1
-        for n, c in self.leaves[k - self.size] if k - self.size < len(self.leaves) else []:
+        for n, c in self._leaf(k - self.size) if k - self.size < len(self.leaves) else []:
             if start + n > at:
                 break
             start, count = start + n, count + c
@@ -151,7 +169,7 @@ class CountTree:
             if end >= settled:
                 while old_end + shift < end and leaf < len(self.leaves):
                     if inner < len(self.leaves[leaf]):
-                        old_end += self.leaves[leaf][inner][0]
+                        old_end += self._leaf(leaf)[inner][0]
                         inner += 1
                     else:
                         leaf, inner = leaf + 1, 0
@@ -161,17 +179,17 @@ class CountTree:
         self.text = text
         if not met or end >= len(text):
             leaf, inner = len(self.leaves), 0
-        head = self.leaves[first][:place]
+        head = self._leaf(first)[:place]
         if leaf == first:
-            changed = {first: head + fresh + self.leaves[first][inner:]}
+            changed = {first: head + fresh + self._leaf(first)[inner:]}
         else:
             changed = {first: head + fresh} | {k: [] for k in range(first + 1, min(leaf, len(self.leaves)))}
             if leaf < len(self.leaves):
-                changed[leaf] = self.leaves[leaf][inner:]
+                changed[leaf] = self._leaf(leaf)[inner:]
         for k, parts in changed.items():
             self.leaves[k] = parts
         if len(self.leaves[first]) > 4 * LEAF:
-            self._build([p for x in self.leaves for p in x])
+            self._build(self.parts())
             return
         touched = set()
         for k in changed:
@@ -184,12 +202,12 @@ class CountTree:
 
     def stored(self) -> bytes:
         """Lengths and counts of all pre-tokens, to be kept beside the document."""
-        return np.fromiter(chain.from_iterable(chain.from_iterable(self.leaves)), "<u4").tobytes()
+        return self.parts().tobytes()
 
     @classmethod
     def opened(cls, made: Encoder, text: str, data: bytes) -> CountTree:
         """A tree from what ``stored`` gave: nothing is encoded again."""
-        return cls(made, text, [tuple(p) for p in np.frombuffer(data, "<u4").reshape(-1, 2).tolist()])
+        return cls(made, text, np.frombuffer(data, "<u4").reshape(-1, 2))
 
 
 def trees(docs: DataFrame, vocabulary: str) -> DataFrame:

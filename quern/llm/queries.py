@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import bpe, conversation_repair, decontaminate, edit_tokens, fingerprint, hard_negatives, langid, licenses, line_dedup, ngram_lm, sharding, simhash, warc
-from quern.sources.staging import new_path
+from quern.sources.staging import new_path, staged
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -67,7 +67,9 @@ def op5_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_edit_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = edit_tokens.apply_edits(docs.withColumn("edits", edit_tokens.own_edits(F.col("text"))), vocabulary())
+    # Trees are built once and stored; the edits read them, and encode nothing but what they reach.
+    kept = staged(edit_tokens.trees(docs, vocabulary()), "trees")
+    rows = edit_tokens.apply_edits(kept.withColumn("edits", edit_tokens.own_edits(F.col("text"))), vocabulary())
     return rows.select("doc_id", "n_tokens", F.length("edited").cast("long").alias("edited_chars"), "edited_tokens", "encoded_chars", F.sha2("edited", 256).alias("edited_sha256"))
 
 

@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.sources.staging import staged
+
 REVISIT_FROM = 1000
 #: Header of records whose url is percent-encoded.
 ESCAPED = "X-Target-URI-Escaped"
@@ -52,13 +54,14 @@ def _header(kind: Column, refers_to: Column) -> Column:
 def write_archive(pages: DataFrame, path: str, revisit_from: int = REVISIT_FROM) -> None:
     """Writes ``path/records`` and ``path/payloads`` (Parquet). Which row keeps a payload is found on digests alone.
 
-    Digests that several rows share combine before their shuffle. The payloads are shuffled once, to meet the keeper
+    Pages and their digests are staged. Digests that several rows share combine before their shuffle. The payloads are shuffled once, to meet the keeper
     of their digest; both sides of that join are plain scans, so AQE can split a digest that very many rows have.
     """
     spark = pages.sparkSession
     payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
-    rows = rows.select("*", F.length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("sha1"), F.sha2("payload", 256).alias("sha256"))
+    # Digests are computed once, where the pages are read; what follows reads them.
+    rows = staged(rows.select("*", F.length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("sha1"), F.sha2("payload", 256).alias("sha256")), "digests")
     shared = rows.where(F.col("payload_bytes") >= revisit_from).groupBy("sha256").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n"), F.min("payload_bytes").alias("least"), F.max("payload_bytes").alias("most"), F.min("sha1").alias("one"), F.max("sha1").alias("other"))
     # A strong digest is verified by length and a second digest: unequal payloads under one SHA-256 stop the job.
     ok = F.assert_true((F.col("least") == F.col("most")) & (F.col("one") == F.col("other")), F.lit("payloads differ under one digest"))

@@ -266,7 +266,7 @@ def test_edited_counts_are_exact():
             text = text[:a] + put + text[a + gone :]
             tree.edit(at, gone, put)
             assert tree.text == text and tree.total == len(made.encode(text)) // 4
-            assert [p for x in tree.leaves for p in x] == list(edit_tokens.pre_tokens(made, text, 0))
+            assert list(map(tuple, tree.parts().tolist())) == list(edit_tokens.pre_tokens(made, text, 0))
         at = rnd.randint(0, len(text))
         done, count = 0, 0
         for n, c in edit_tokens.pre_tokens(made, text, 0):
@@ -274,7 +274,7 @@ def test_edited_counts_are_exact():
             count += c if done <= at else 0
         assert tree.before(at) == count
         again = edit_tokens.CountTree.opened(made, text, tree.stored())
-        assert again.total == tree.total and again.encoded == 0
+        assert again.total == tree.total and again.encoded == 0 and again.stored() == tree.stored() == edit_tokens.CountTree(made, text).stored()
 
 
 def test_edits_encode_little(docs, empty, real):
@@ -283,6 +283,10 @@ def test_edits_encode_little(docs, empty, real):
     out = edit_tokens.apply_edits(real.withColumn("edits", edit_tokens.own_edits(F.col("text"))), vocabulary).collect()
     assert all(x.edited_tokens == len(made.encode(x.edited)) // 4 for x in out)
     assert sum(x.encoded_chars for x in out) < 0.3 * sum(len(x.edited) for x in out)
+    # From stored trees, the same; and the trees that come out are those of the edited texts.
+    stored = edit_tokens.apply_edits(edit_tokens.trees(real, vocabulary).withColumn("edits", edit_tokens.own_edits(F.col("text"))), vocabulary).collect()
+    assert sorted(stored) == sorted(out)
+    assert all(x.edited_tree == edit_tokens.CountTree(made, x.edited).stored() for x in stored)
     kept = edit_tokens.trees(docs, vocabulary).withColumn("edits", F.lit(None))
     rows = edit_tokens.apply_edits(kept, vocabulary).collect()
     assert len(rows) == docs.count() and all(x.encoded_chars == 0 and x.n_tokens == x.edited_tokens for x in rows)
