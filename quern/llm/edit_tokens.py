@@ -25,21 +25,21 @@ from pyspark.sql import functions as F
 from quern.llm._bytes import pieces
 from quern.llm.bpe import Encoder, encoder
 
-#: Pre-tokens meant for a leaf, and code points before an edit that may look into it.
-LEAF, MARGIN = 64, 16
+#: Pre-tokens meant for a leaf, and at most in one; code points before an edit that may look into it.
+LEAF, MOST, MARGIN = 16, 256, 16
 
 EDITS = "array<struct<at:bigint,gone:bigint,put:string>>"
 
 
 class _Parts(dict):
-    """Length and number of tokens of pre-tokens, kept for those of a usual length."""
+    """Length (lower 32 bits) and number of tokens (upper) of pre-tokens, kept for those of a usual length."""
 
     def __init__(self, made: Encoder):
         super().__init__()
         self.made = made
 
-    def __missing__(self, piece: str) -> tuple[int, int]:
-        part = (len(piece), len(self.made.packed(piece)) // 4)
+    def __missing__(self, piece: str) -> int:
+        part = len(piece) | len(self.made.packed(piece)) // 4 << 32
         if len(piece) <= 64:
             if len(self) >= 400_000:
                 self.clear()
@@ -61,21 +61,23 @@ def pre_tokens(made: Encoder, text: str, start: int) -> Iterator[tuple[int, int]
         mark = text.find(made.special, start) if made.special else -1
         end = len(text) if mark < 0 else mark
         for found in made.pattern.finditer(text, start, end):
-            yield part[found.group()]
+            packed = part[found.group()]
+            yield packed & 0xFFFFFFFF, packed >> 32
         start = end
         if mark >= 0:
             yield len(made.special), 1
             start += len(made.special)
 
 
-def all_pre_tokens(made: Encoder, text: str) -> list[tuple[int, int]]:
-    """The same for a whole text at once."""
+def all_pre_tokens(made: Encoder, text: str) -> np.ndarray:
+    """The same for a whole text at once, as an array of two columns."""
     find, part, out = made.pattern.findall, _parts(made).__getitem__, []
     for k, fragment in enumerate(text.split(made.special) if made.special else [text]):
         if k:
-            out.append((len(made.special), 1))
-        out.extend(map(part, find(fragment)))
-    return out
+            out.append(np.array([len(made.special) | 1 << 32], "<u8"))
+        found = find(fragment)
+        out.append(np.fromiter(map(part, found), "<u8", len(found)))
+    return (out[0] if len(out) == 1 else np.concatenate(out)).view("<u4").reshape(-1, 2)
 
 
 class CountTree:
@@ -86,8 +88,7 @@ class CountTree:
     def __init__(self, made: Encoder, text: str, parts: np.ndarray | None = None):
         self.made, self.text, self.encoded = made, text, 0
         if parts is None:
-            found = all_pre_tokens(made, text)
-            parts = np.fromiter(chain.from_iterable(found), "<u4", 2 * len(found)).reshape(-1, 2)
+            parts = all_pre_tokens(made, text)
             self.encoded = len(text)
         self._build(parts)
 
@@ -111,7 +112,16 @@ class CountTree:
 
     def parts(self) -> np.ndarray:
         """Length and number of tokens of all pre-tokens."""
-        return np.concatenate([np.asarray(x, "<u4").reshape(-1, 2) for x in self.leaves])
+        out, whole = [], 0
+        # Neighbouring leaves that no edit has reached are one slice.
+        for k, leaf in enumerate([*self.leaves, []]):
+            if isinstance(leaf, list):
+                if whole < k:
+                    out.append(self.leaves[whole] if k == whole + 1 else np.concatenate(self.leaves[whole:k]))
+                if leaf:
+                    out.append(np.fromiter(chain.from_iterable(leaf), "<u4", 2 * len(leaf)).reshape(-1, 2))
+                whole = k + 1
+        return np.concatenate(out) if out else np.zeros((0, 2), "<u4")
 
     def _sum(self, k: int, leaf: list[tuple[int, int]]) -> None:
         self.chars[self.size + k], self.tokens[self.size + k] = map(sum, zip(*leaf, strict=True)) if leaf else (0, 0)
@@ -188,7 +198,7 @@ class CountTree:
                 changed[leaf] = self._leaf(leaf)[inner:]
         for k, parts in changed.items():
             self.leaves[k] = parts
-        if len(self.leaves[first]) > 4 * LEAF:
+        if len(self.leaves[first]) > MOST:
             self._build(self.parts())
             return
         touched = set()
