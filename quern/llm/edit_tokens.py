@@ -233,9 +233,10 @@ def trees(docs: DataFrame, vocabulary: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, text string, n_tokens long, tree binary")
 
 
-def apply_edits(docs: DataFrame, vocabulary: str) -> DataFrame:
+def apply_edits(docs: DataFrame, vocabulary: str, with_trees: bool = True) -> DataFrame:
     """Documents after their edits, which are applied in order: ``doc_id``, ``n_tokens`` before, ``edited`` (text),
-    ``edited_tokens``, ``encoded_chars`` (code points that the edits had encoded again), ``edited_tree``.
+    ``edited_tokens``, ``encoded_chars`` (code points that the edits had encoded again), ``edited_tree`` (unless they are
+    not wanted, for no one keeps them).
 
     docs: doc_id, text, ``edits``; with a column ``tree`` (as ``trees`` gives it) nothing else is encoded, without it
     the tree is built first. Each row is worked on alone: no shuffle.
@@ -253,12 +254,14 @@ def apply_edits(docs: DataFrame, vocabulary: str) -> DataFrame:
                     before, tree.encoded = tree.total, 0
                     for e in row["edits"] or ():
                         tree.edit(e["at"] or 0, e["gone"] or 0, e["put"] or "")
-                    out.append((row["doc_id"], before, tree.text, tree.total, tree.encoded, tree.stored()))
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "n_tokens", "edited", "edited_tokens", "encoded_chars", "edited_tree"])
+                    out.append((row["doc_id"], before, tree.text, tree.total, tree.encoded, *([tree.stored()] if with_trees else [])))
+                kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary()][: 6 if with_trees else 5]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
     rows = docs.select(*kept, *(["tree"] if has_tree else []))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, edited string, edited_tokens long, encoded_chars long, edited_tree binary")
+    schema = "doc_id long, n_tokens long, edited string, edited_tokens long, encoded_chars long" + (", edited_tree binary" if with_trees else "")
+    names = [f.split(" ")[0] for f in schema.split(", ")]
+    return rows.mapInArrow(run, schema)
 
 
 def own_edits(text: Column) -> Column:

@@ -69,7 +69,7 @@ def op6_edit_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     # Trees are built once and stored; the edits read them, and encode nothing but what they reach.
     kept = staged(edit_tokens.trees(docs, vocabulary()), "trees")
-    rows = edit_tokens.apply_edits(kept.withColumn("edits", edit_tokens.own_edits(F.col("text"))), vocabulary())
+    rows = edit_tokens.apply_edits(kept.withColumn("edits", edit_tokens.own_edits(F.col("text"))), vocabulary(), with_trees=False)
     return rows.select("doc_id", "n_tokens", F.length("edited").cast("long").alias("edited_chars"), "edited_tokens", "encoded_chars", F.sha2("edited", 256).alias("edited_sha256"))
 
 
