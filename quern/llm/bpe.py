@@ -8,7 +8,8 @@ compatible tokens is the result of the merges.
 
 Nulls: a null text is an empty one, with no ids; an empty table gives no rows. Repeated rows each give a row. Other
 columns are not read. Texts of any length are encoded whole, one in memory at a time; the piece cache is bounded. There
-are no ties: of equal merges the left comes first. A vocabulary has one added token at most; more are an error.
+are no ties: of equal merges the left comes first. A vocabulary has one added token at most; more
+are an error, as are a normalizer, another pre-tokenizer and other kinds of merges.
 """
 
 from __future__ import annotations
@@ -35,6 +36,12 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: A space that is not alone between other characters.
 _ODD_SPACE = re.compile(r"\s | \s|^ | $")
 
+#: What a vocabulary file says of its pre-tokens and merges where ``PATTERN`` and plain merges are its own.
+_KIND = {
+    "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True},
+    "model": {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "byte_fallback": False, "ignore_merges": False},
+}
+
 _CACHE, _LONGEST_CACHED, _PAIRS = 200_000, 64, 500_000
 
 
@@ -45,11 +52,29 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def _check_kind(model: dict) -> None:
+    """Raises where a vocabulary file asks for what this encoder does not do, in place of giving other ids silently."""
+    if model.get("normalizer") is not None:
+        raise ValueError("vocabularies without a normalizer only")
+    if model.get("post_processor") not in (None, {}) and model["post_processor"].get("type") != "ByteLevel":
+        raise ValueError("vocabularies without a post-processor that adds tokens only")
+    for part, kind in _KIND.items():
+        given = model.get(part) or {}
+        # Settings that a file leaves out, but for the type, are as here.
+        odd = {k: given.get(k) for k, v in kind.items() if (given.get(k, None if k == "type" else v) or None) != (v or None)}
+        if odd:
+            raise ValueError(f"vocabularies of plain byte-level BPE only; {part} has {odd}")
+    for token in model.get("added_tokens", []):
+        if token.get("single_word") or token.get("lstrip") or token.get("rstrip"):
+            raise ValueError("added tokens that match by their text alone only")
+
+
 class Encoder:
     """Encoder and decoder of one vocabulary file (JSON of the tokenizers library, byte-level BPE)."""
 
     def __init__(self, path: str | Path):
         model = json.loads(Path(path).read_text("utf-8"))
+        _check_kind(model)
         letters = byte_letters()
         special = {x["content"]: x["id"] for x in model["added_tokens"]}
         self.vocabulary = {bytes(letters[c] for c in t): i for t, i in model["model"]["vocab"].items() if t not in special}

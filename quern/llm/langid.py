@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm._bytes import mixed, pieces
+from quern.sources.staging import staged
 
 UNKNOWN = "und"
 N, LEAST_SHARE, CONTRAST, HASHES, BITS_PER_GRAM = 3, 1e-5, 0.5, 4, 12
@@ -128,7 +129,8 @@ class Filters:
 
 
 def gram_counts(labelled: DataFrame, n: int = N) -> DataFrame:
-    """``lang``, ``gram``, ``n`` over all rows of ``labelled`` (text, lang); tasks send sums, not occurrences."""
+    """``lang``, ``gram``, ``n`` over all rows of ``labelled`` (text, lang); tasks send sums, not occurrences. What a task
+    holds is bounded over all its languages together, however many there are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
@@ -143,6 +145,7 @@ def gram_counts(labelled: DataFrame, n: int = N) -> DataFrame:
                 del held[lang]
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * h.size, pa.string()), pa.array(h.view(np.int64)), pa.array(c)], ["lang", "gram", "n"])
 
+        total = 0
         for batch in batches:
             for part in pieces(batch, "text"):
                 h, owner, _ = grams(part.column("text"), n)
@@ -151,10 +154,14 @@ def gram_counts(labelled: DataFrame, n: int = N) -> DataFrame:
                 for k, lang in enumerate(langs.dictionary.to_pylist()):
                     x, c = np.unique(h[number == k], return_counts=True)
                     held.setdefault(lang, []).append((x, c))
-                    if len(held[lang]) >= 16:
+                    total += x.size
+                if total > _HELD:
+                    for lang in held:
                         held[lang] = [summed(lang)]
-                        if held[lang][0][0].size > _HELD:
-                            yield from out([lang])
+                    total = sum(x.size for (x, _), in held.values())
+                    if total > _HELD // 2:
+                        yield from out(list(held))
+                        total = 0
         yield from out(list(held))
 
     rows = labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
@@ -163,7 +170,7 @@ def gram_counts(labelled: DataFrame, n: int = N) -> DataFrame:
 
 def train(labelled: DataFrame, n: int = N, least_share: float = LEAST_SHARE, contrast: float = CONTRAST) -> Filters:
     """Filters from all rows of ``labelled``. What reaches the driver is at most 1/least_share n-grams a language."""
-    counts = gram_counts(labelled, n)
+    counts = staged(gram_counts(labelled, n), "grams")
     by_gram = counts.groupBy("gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_lang"))
     sums = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     languages = sorted(sums)

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm._bytes import ALNUM, LOWER, buffer, hashes, mixed, pieces, words
+from quern.llm.license_texts import PASSAGES
 from quern.sources.staging import staged
 
 _GRANT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
@@ -36,7 +37,7 @@ _FREE = "This program is free software: you can redistribute it and/or modify it
 _COPIES = "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."
 
 #: Public identifiers, and texts by which well-known licences are stated: notices in file headers, whole
-#: texts of the short licences, and of the long ones title and opening, which are a paragraph of the licence's file.
+#: texts of the short licences, and of the long ones title, opening and passages. What GPL-3.0 and AGPL-3.0 share is neither's.
 TEMPLATES = {
     "AGPL-3.0": [_FREE.format("Affero General Public License", "3"), "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007", "Licensed under the GNU Affero General Public License, version 3."],
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/", "TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"],
@@ -57,8 +58,9 @@ TEMPLATES = {
     "Unlicense": ["This is free and unencumbered software released into the public domain.", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."],
     "Zlib": ["This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."],
 }
-# The one line that names a licence by its identifier.
-TEMPLATES = {name: [*texts, f"SPDX-License-Identifier: {name}"] for name, texts in TEMPLATES.items()}
+# Passages that stand all over the long licences, so that a file is told without its title, or a part of it, or in one
+# column of lines; and the one line that names a licence by its identifier.
+TEMPLATES = {name: [*texts, *PASSAGES.get(name, []), f"SPDX-License-Identifier: {name}"] for name, texts in TEMPLATES.items()}
 THRESHOLD = 0.8
 #: Products of a segment's and a template's weight that are held at once.
 _PRODUCTS = 1 << 20

@@ -2,11 +2,13 @@
 
 Row r of n goes to place p(r) of a keyed permutation of 0..n-1; its shard is p mod shards and its slot p div shards.
 So counts differ by one at most (law ``rows``), slots have no gap, and either can be computed from the other without
-a look-up. Row numbers depend on the rows alone: rows are ordered by a hash bucket, then by id, digest and size.
+a look-up. Row numbers depend on the rows alone: rows are ordered by a hash bucket, then by id, CRC and size. Rows that
+very many others equal in all three (null ids with empty texts) come after all others and are counted by stretches of
+rows, so that no task sees them all; being interchangeable, they give the same result whichever comes first.
 
 Nulls: a null text has size 16 and CRC 0; rows with a null id take part and stand first in their bucket. Repeated
 rows are interchangeable and get places of their own. An empty table gives an empty result. Columns beyond doc_id and
-text are not read.
+text are not read. Of a text of any length only size and CRC are kept; the text is one cell and does not move.
 """
 
 from __future__ import annotations
@@ -24,6 +26,9 @@ from quern.sources.staging import staged
 #: Rows meant for a bucket of the row numbering, and the most buckets there are (their counts are broadcast).
 BUCKET_ROWS, MOST_BUCKETS = 1_000, 1 << 16
 
+#: Equal rows are numbered apart beyond so many usual buckets; the logarithm of the rows of a stretch of them.
+MANY, STRETCH_BITS = 4, 16
+
 _OVERHEAD = 16
 
 
@@ -75,15 +80,50 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, int]:
     number of buckets follows the rows up to a fixed most, so the broadcast offsets are bounded.
     """
     data = F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8")
-    slim = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.length(data).cast("long") + _OVERHEAD).alias("size"), F.crc32(data).alias("text_crc32")), "slim")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.length(data).cast("long") + _OVERHEAD).alias("size"), F.crc32(data).alias("text_crc32"))
+    slim = staged(slim.withColumn("stretch", F.shiftright(F.monotonically_increasing_id(), STRETCH_BITS)), "slim")
     n = slim.count()
     buckets = min(MOST_BUCKETS, max(1, -(-n // BUCKET_ROWS)))
     dealt = slim.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(buckets)))
-    counts = dealt.groupBy("bucket").agg(F.count("*").alias("n"))
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    counts = {r.bucket: r.n for r in dealt.groupBy("bucket").agg(F.count("*").alias("n")).collect()}
+    many = MANY * max(BUCKET_ROWS, -(-n // buckets))
+    full = [b for b, k in counts.items() if k > many]
+    if not full:
+        return _by_bucket(dealt, counts), n
+    # At most n / many kinds of rows, a quarter of the buckets, are that frequent.
+    kinds = dealt.where(F.col("bucket").isin(full)).groupBy("bucket", *_KIND).agg(F.count("*").alias("n")).where(F.col("n") > many).collect()
+    if not kinds:
+        return _by_bucket(dealt, counts), n
+    for kind in kinds:
+        counts[kind.bucket] -= kind.n
+    first, of = sum(counts.values()), []
+    for kind in sorted(kinds, key=lambda k: (k.doc_id is not None, k.doc_id or 0, k.text_crc32, k.size)):
+        of.append((kind.doc_id, kind.text_crc32, kind.size, first))
+        first += kind.n
+    frequent = F.broadcast(docs.sparkSession.createDataFrame(of, "id long, crc long, bytes long, first long"))
+    told = dealt.join(frequent, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_crc32") == F.col("crc")) & (F.col("size") == F.col("bytes")), "left").drop("id", "crc", "bytes")
+    rest = _by_bucket(told.where("first is null").drop("first"), counts)
+    # ``first`` names the kind from here on.
+    equal = told.where("first is not null")
+    stretches = equal.groupBy("first", "stretch").agg(F.count("*").alias("k"))
+    before = F.coalesce(F.sum("k").over(Window.partitionBy("first").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    equal = equal.join(stretches.select("first", "stretch", before.alias("before")), ["first", "stretch"])
+    inner = F.row_number().over(Window.partitionBy("first", "stretch").orderBy("size"))
+    return rest.unionByName(equal.select(*_KIND, (F.col("first") + F.col("before") + inner - 1).alias("row"))), n
+
+
+_KIND = ["doc_id", "size", "text_crc32"]
+
+
+def _by_bucket(dealt: DataFrame, counts: dict[int, int]) -> DataFrame:
+    """Row numbers of rows in buckets of a usual size: an offset for each bucket (broadcast; bounded), and the rank inside."""
+    offsets, before = [], 0
+    for bucket in sorted(counts):
+        offsets.append((bucket, before))
+        before += counts[bucket]
+    offsets = F.broadcast(dealt.sparkSession.createDataFrame(offsets, "bucket long, before long"))
     inner = F.row_number().over(Window.partitionBy("bucket").orderBy(F.col("doc_id").asc_nulls_first(), "text_crc32", "size"))
-    return dealt.withColumn("inner", inner).join(F.broadcast(offsets), "bucket").select("doc_id", "size", "text_crc32", (F.col("before") + F.col("inner") - 1).alias("row")), n
+    return dealt.withColumn("inner", inner).join(offsets, "bucket").select(*_KIND, (F.col("before") + F.col("inner") - 1).alias("row"))
 
 
 def shard(docs: DataFrame, shards: int = 40, seed: int = 42) -> DataFrame:

@@ -2,7 +2,9 @@
 
 import hashlib
 import itertools
+import json
 import random
+import textwrap
 import zlib
 from collections import defaultdict
 
@@ -11,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.llm import conversation_repair as repairs
-from quern.llm import hard_negatives, line_dedup, queries, simhash
+from quern.llm import bpe, hard_negatives, langid, licenses, line_dedup, queries, sharding, simhash
 
 WHITE = " \t\n\v\f\r"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -349,3 +351,58 @@ def test_common_members_are_counted_exactly():
         common = simhash._Common(sets)
         want = [[np.intersect1d(a, b).size for b in sets[1::2]] for a in sets[::2]]
         assert (common.of(np.arange(0, n, 2), np.arange(1, n, 2)) == np.array(want)).all()
+
+
+# -- Earlier operators ----------------------------------------------------------------------------------------------
+
+
+def test_language_counts_are_bounded_over_all_languages(spark, monkeypatch):
+    rows = [(f"wort {k} {chr(97 + k % 26) * 3} zu {chr(97 + k // 26 % 26) * 2} ende", f"l{k % 40}") for k in range(2000)]
+    df = spark.createDataFrame(rows, "text string, lang string").coalesce(1)
+    whole = sorted(map(tuple, langid.gram_counts(df).collect()))
+    monkeypatch.setattr(langid, "_HELD", 50)
+    monkeypatch.setattr(langid, "pieces", lambda batch, column: (batch.slice(k, 20) for k in range(0, batch.num_rows, 20)))
+    assert sorted(map(tuple, langid.gram_counts(df).collect())) == whole
+
+
+def test_rows_equal_to_very_many_are_numbered_apart(spark, monkeypatch):
+    rows = [(None, None)] * 3000 + [(7, "same")] * 1500 + [(k, f"text {k}") for k in range(2500)] + [(None, "")] * 500
+    df = spark.createDataFrame(rows, SCHEMA.rsplit(",", 1)[0])
+    plain = sorted(map(tuple, sharding.shard(df, 7).select("doc_id", "size", "text_crc32", "shard", "slot").collect()), key=str)
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", 100)
+    monkeypatch.setattr(sharding, "STRETCH_BITS", 6)
+    out = sharding.shard(df.repartition(3), 7).collect()
+    assert sorted(x.row for x in out) == list(range(len(rows)))
+    assert min(x.row for x in out if x.doc_id is None) == 2500 and min(x.row for x in out if x.doc_id == 7) <= 6000
+    assert sorted(out, key=str) == sorted(sharding.shard(df.repartition(5), 7).collect(), key=str)
+    count = lambda rows: sorted((x[0] or -1, x[1], x[2]) for x in rows)
+    assert count(out) == count(plain)
+    assert all(sharding.locate(x.row, len(rows), 7) == (x.shard, x.slot) for x in out)
+
+
+@pytest.mark.parametrize(
+    ("part", "setting"),
+    [("normalizer", {"type": "NFC"}), ("pre_tokenizer", {"type": "Whitespace"}), ("pre_tokenizer", {"type": "ByteLevel", "add_prefix_space": True}), ("pre_tokenizer", None), ("model", {"type": "WordPiece"}), ("model", {"type": "BPE", "end_of_word_suffix": "</w>"}), ("model", {"type": "BPE", "ignore_merges": True}), ("post_processor", {"type": "TemplateProcessing"}), ("added_tokens", [{"id": 1, "content": "x", "lstrip": True}])],
+)
+def test_vocabularies_of_another_kind_are_refused(tmp_path, part, setting):
+    with open(queries.vocabulary(), encoding="utf-8") as f:
+        given = json.load(f)
+    if part == "model":
+        setting = given["model"] | setting
+    (tmp_path / "v.json").write_text(json.dumps(given | {part: setting}))
+    with pytest.raises(ValueError, match="only"):
+        bpe.Encoder(tmp_path / "v.json")
+
+
+def test_long_licences_are_told_without_their_titles(spark):
+    """Files of passages alone, wrapped, indented or as comments, with other paragraphs around them."""
+    rows, want = [], []
+    for k, (name, passages) in enumerate(sorted(licenses.PASSAGES.items())):
+        for j, mark in enumerate(("", "   ", " * ")):
+            shown = "\n\n".join(textwrap.fill(x, 70, initial_indent=mark, subsequent_indent=mark) for x in (passages[j % len(passages)], "Something else that nobody has said before."))
+            rows.append((3 * k + j, f"d{k}/LICENSE{j}", shown))
+            want.append(name)
+    rows += [(1000 + k, f"e/{k}.c", f"A copy of the work number {k} may be made by you and by any other person") for k in range(200)]
+    got = {x.doc_id: x.own_license for x in licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert [got[k] for k in range(len(want))] == want
+    assert not any(got[1000 + k] for k in range(200))
