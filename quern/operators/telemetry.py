@@ -164,16 +164,24 @@ def stale(progress: DataFrame, after_s: int = 45, by: str = "job", stretch_s: in
 RANKED = 1_000_000
 
 
-def percentile(df: DataFrame, column: str, p: float) -> DataFrame:
+def percentile(df: DataFrame, column: str, p: float, between: tuple[float, float] | None = None) -> DataFrame:
     """One row, ``value``: the exact percentile with linear interpolation, null without values.
 
     No task sees all distinct values: while more than ``RANKED`` rows are left, the range that holds the rank is
     narrowed to about a thousandth by approximate quantiles, and what lies below is counted. The few values left are
-    counted by value and ranked.
+    counted by value and ranked. ``between``, where it is known, is a range that is thought to hold the rank: if a count
+    confirms that it does, narrowing begins there, else with all rows.
     """
     rows = df.select(F.col(column).cast("double").alias("v")).where("v is not null")
-    spark, n, below = df.sparkSession, rows.count(), 0
+    spark, below = df.sparkSession, 0
+    if between:
+        inside = F.col("v").between(*between)
+        n, under, within = rows.agg(F.count("*"), F.count_if(F.col("v") < between[0]), F.count_if(inside)).first()
+    else:
+        n, under, within = rows.count(), 0, 0
     rank, left = p * (n - 1), n
+    if within and under <= int(rank) and rank <= under + within - 1:
+        rows, below, left = rows.where(inside), under, within
     while left > RANKED:
         inner = (rank - below) / left
         low, high = rows.agg(F.percentile_approx("v", [max(0.0, inner - 5e-4), min(1.0, inner + 5e-4)], 20_000)).first()[0]
@@ -191,8 +199,40 @@ def percentile(df: DataFrame, column: str, p: float) -> DataFrame:
     return ends.select((F.col("a") + (F.col("b") - F.col("a")) * F.lit(rank - floor)).alias("value"))
 
 
-def retrieval_stats(log: DataFrame, modes: list[str]) -> DataFrame:
-    """Mean and 95th percentile of latency, samples, and samples of each mode. log: ms, mode."""
-    sums = log.agg(F.avg("ms").alias("avg_ms"), F.count("*").alias("samples"), *[F.count_if(F.col("mode") == m).alias(f"n_{m}") for m in modes])
-    p95 = percentile(log, "ms", 0.95).select(F.col("value").alias("p95_ms"))
+#: Size of a quantile sketch, and how far from the percentile its bounds are taken: over twice its rank error (0.0045).
+SKETCH_K, SKETCH_MARGIN = 1_000, 0.01
+
+
+def latency_sketches(log: DataFrame, bucket_s: int = 3600) -> DataFrame:
+    """``slot``, ``mode``, ``samples``, ``known``, ``total_ms`` and ``sketch`` (KLL) by stretch of time and mode: log: ts, ms, mode.
+
+    Rows can be kept and added to: those of more samples, of the same stretches too, are appended, and whatever is
+    asked of a span of time is merged from its rows. A sketch holds some thousand values at most, however many samples.
+    """
+    slot = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / bucket_s).alias("slot")
+    ms = F.col("ms").cast("double")
+    return log.groupBy(slot, "mode").agg(F.count("*").alias("samples"), F.count(ms).alias("known"), F.sum(ms).alias("total_ms"), F.kll_sketch_agg_double(ms, SKETCH_K).alias("sketch"))
+
+
+def sketched_bounds(sketches: DataFrame, p: float) -> tuple[float, float] | None:
+    """A range of values that holds the percentile but for a small chance, from merged sketches; None without values."""
+    ends = F.array(F.lit(max(0.0, p - SKETCH_MARGIN)), F.lit(min(1.0, p + SKETCH_MARGIN)))
+    merged = sketches.where("known > 0").agg(F.count("*").alias("n"), F.kll_merge_agg_double("sketch", SKETCH_K).alias("s"))
+    found = merged.where("n > 0").select(F.kll_sketch_get_quantile_double("s", ends).alias("q")).first()
+    return (found.q[0], found.q[1]) if found else None
+
+
+def retrieval_stats(log: DataFrame, modes: list[str], sketches: DataFrame | None = None) -> DataFrame:
+    """Mean and 95th percentile of latency, samples, and samples of each mode. log: ms, mode.
+
+    With the log's ``sketches``, mean and counts come from them alone, and the exact percentile takes from the log what
+    lies within their bounds.
+    """
+    if sketches is None:
+        sums = log.agg(F.avg("ms").alias("avg_ms"), F.count("*").alias("samples"), *[F.count_if(F.col("mode") == m).alias(f"n_{m}") for m in modes])
+    else:
+        zero = F.lit(0).cast("long")
+        of = [F.coalesce(F.sum(F.when(F.col("mode") == m, F.col("samples"))), zero).alias(f"n_{m}") for m in modes]
+        sums = sketches.agg((F.sum("total_ms") / F.nullif(F.sum("known"), zero)).alias("avg_ms"), F.coalesce(F.sum("samples"), zero).alias("samples"), *of)
+    p95 = percentile(log, "ms", 0.95, sketched_bounds(sketches, 0.95) if sketches is not None else None).select(F.col("value").alias("p95_ms"))
     return sums.withColumn("p95_ms", p95.scalar()).select("avg_ms", "p95_ms", "samples", *[f"n_{m}" for m in modes])

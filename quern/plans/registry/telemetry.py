@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quern.operators import telemetry as ops
 from quern.plans.registry._views import query, sql_time, text_time, views
 from quern.sources import tables
+from quern.sources.staging import staged
 
 
 @query(f"""{views('messages')}, s AS (SELECT session AS run_id, count(*) AS samples, round(avg(value), 6) AS cpu_avg, max(value) AS cpu_max, round(avg(k), 6) AS memory_avg, max(k) AS memory_max, max(id) AS rss_max FROM messages GROUP BY 1),
@@ -115,5 +116,6 @@ def stale_gaps(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""{views('messages')} SELECT round(avg(value), 6) AS avg_ms, round(quantile_cont(value, 0.95), 6) AS p95_ms, count(*) AS samples, count(*) FILTER (channel = 'view') AS n_view, count(*) FILTER (channel = 'click') AS n_click, count(*) FILTER (channel = 'purchase') AS n_purchase FROM messages""")
 def retrieval_stats(spark: SparkSession, d: str) -> DataFrame:
-    out = ops.retrieval_stats(tables.messages(spark, d).select(F.col("value").alias("ms"), F.col("channel").alias("mode")), ["view", "click", "purchase"])
+    log = tables.messages(spark, d).select("ts", F.col("value").alias("ms"), F.col("channel").alias("mode"))
+    out = ops.retrieval_stats(log, ["view", "click", "purchase"], staged(ops.latency_sketches(log), "latency"))
     return out.withColumns({c: F.round(c, 6) for c in ("avg_ms", "p95_ms")})

@@ -394,7 +394,28 @@ def test_percentile_narrows_to_the_exact_value(spark, monkeypatch):
         at = p * (len(some) - 1)
         want = some[int(at)] + (some[min(len(some) - 1, int(at) + (at > int(at)))] - some[int(at)]) * (at - int(at))
         assert abs(telemetry.percentile(df, "v", p).first().value - want) < 1e-9
+        for between in ((-9.0, 9e9), (want, want), (want - 3, want + 3), (9e8, 9e9)):
+            assert abs(telemetry.percentile(df, "v", p, between).first().value - want) < 1e-9
     assert telemetry.percentile(df.where("v < 0"), "v", 0.5).first().value is None
+    assert telemetry.percentile(df.where("v < 0"), "v", 0.5, (0.0, 1.0)).first().value is None
+
+
+def test_latency_sketches_of_two_halves_merge_to_the_whole(spark):
+    rows = [(T0 + timedelta(seconds=7 * k), float((k * 7919) % 30_011) if k % 50 else None, "dense" if k % 3 else "sparse") for k in range(30_000)] + [(None, 5.0, None)]
+    log = spark.createDataFrame(rows, "ts timestamp, ms double, mode string")
+    halves = telemetry.latency_sketches(log.where("ms is null or ms % 2 = 0")).unionByName(telemetry.latency_sketches(log.where("ms % 2 = 1")))
+    plain = telemetry.retrieval_stats(log, ["dense", "sparse", "none"]).first()
+    for sketches in (telemetry.latency_sketches(log), halves):
+        low, high = telemetry.sketched_bounds(sketches, 0.95)
+        some = sorted(ms for _, ms, _ in rows if ms is not None)
+        share = lambda v: sum(x <= v for x in some) / len(some)
+        assert low <= plain.p95_ms <= high and 0.93 < share(low) < 0.95 < share(high) < 0.97
+        got = telemetry.retrieval_stats(log, ["dense", "sparse", "none"], sketches).first()
+        assert abs(got.avg_ms - plain.avg_ms) < 1e-6 and got[1:] == plain[1:]
+    for odd in (log.limit(0), log.where("ms is null")):
+        assert telemetry.retrieval_stats(odd, ["dense"], telemetry.latency_sketches(odd)).first() == telemetry.retrieval_stats(odd, ["dense"]).first()
+    nan = spark.createDataFrame([(T0, float("nan"), "a")] * 40 + [(T0, float(k), "a") for k in range(60)], "ts timestamp, ms double, mode string")
+    assert telemetry.retrieval_stats(nan, ["a"], telemetry.latency_sketches(nan)).select("p95_ms").first() is not None
 
 
 def test_sparse_search_moves_no_tokens(spark):
