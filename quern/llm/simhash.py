@@ -3,7 +3,9 @@
 A fingerprint bit is set if it is set in over half of the shingle hashes. Of ``budget + c`` blocks of bits, two
 fingerprints at ``budget`` or fewer differing bits agree in ``c``; so each is dealt out once for each choice of c blocks,
 turned so that these lead, and those that agree in them form the subtree of a binary trie. c is 1 for few fingerprints
-and grows with their number, so that subtrees stay small. Inside a task, a sorted array of keys is the trie (a node is a
+and grows with their number, so that subtrees stay small. A subtree that is crowded even so (very many fingerprints that
+begin alike) is not one task's: its bits that are left are cut into blocks in their turn, and its fingerprints are dealt out
+again, until no subtree is crowded. Inside a task, a sorted array of keys is the trie (a node is a
 range of it). Node pairs are descended together, differing bits are added up along the path, and a pair is dropped as
 soon as the sum exceeds the budget.
 
@@ -22,7 +24,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm._bytes import LOWER, SPACED, buffer, hashes, joined, mixed, pieces, words
@@ -33,8 +35,9 @@ _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder=
 #: Sizes below which a node pair is compared key by key, key pairs compared and node pairs descended at once.
 _LEAF, _AT_ONCE, _PAIRS = 32, 1 << 20, 200_000
 
-#: Random fingerprints that may agree in the leading blocks before more blocks have to.
-GROUP = 4096
+#: Random fingerprints that may agree in the leading blocks before more blocks have to, and fingerprints of one subtree
+#: beyond which it is dealt out again.
+GROUP, CROWD = 4096, 16_384
 
 
 def shingle_spans(starts: np.ndarray, ends: np.ndarray, doc: np.ndarray, n: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -178,66 +181,90 @@ def _compare(keys, al, ah, bl, bh, budget, forest) -> None:
         at = to
 
 
-def _turns(budget: int, agreeing: int) -> list[list[tuple[int, int]]]:
-    """For each choice of ``agreeing`` of ``budget + agreeing`` blocks: first bit and size of all blocks, those chosen in front."""
+def _turns(budget: int, agreeing: int, done: int = 0) -> list[list[tuple[int, int]]]:
+    """For each choice of ``agreeing`` of ``budget + agreeing`` blocks of the bits from ``done`` on: first bit and size of all
+    blocks, those chosen in front."""
     n = budget + agreeing
-    cuts = [64 * k // n for k in range(n + 1)]
+    cuts = [done + (64 - done) * k // n for k in range(n + 1)]
     blocks = [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
     return [[*(blocks[k] for k in some), *(b for k, b in enumerate(blocks) if k not in some)] for some in combinations(range(n), agreeing)]
 
 
-def _agreeing(nodes: int, budget: int) -> int:
+def _agreeing(nodes: int, budget: int, bits: int = 64) -> int:
     """How many blocks have to agree, so that about ``GROUP`` of so many random fingerprints do; one to three."""
-    return next((c for c in (1, 2) if nodes >> (64 // (budget + c)) * c <= GROUP), 3)
+    return next((c for c in (1, 2) if nodes >> (bits // (budget + c)) * c <= GROUP), 3)
 
 
-def links(nodes: DataFrame, budget: int, agreeing: int | None = None) -> DataFrame:
+def _turned(key: str, turn: list[tuple[int, int]], done: int) -> Column:
+    """The key with its first ``done`` bits in place and the blocks after them in the order of the turn. Bit 0 is the highest."""
+    out, to = F.shiftleft(F.shiftrightunsigned(key, 64 - done), 64 - done) if done else F.lit(0).cast("long"), done
+    for at, size in turn:
+        block = F.shiftrightunsigned(F.shiftleft(F.col(key), at), 64 - size)
+        out, to = out.bitwiseOR(F.shiftleft(block, 64 - to - size)), to + size
+    return out
+
+
+def links(nodes: DataFrame, budget: int, agreeing: int | None = None, crowd: int = CROWD) -> DataFrame:
     """Links that join all fingerprints at ``budget`` or fewer differing bits, without writing all pairs of a family.
 
     nodes: ``node``, distinct fingerprints. Returns ``src``, ``dst``: per task and turn a star for each set that the links
     found there join, which keeps exactly the components of all links. ``agreeing`` (1 to 3 blocks) follows the number of
     nodes; the components are the same for each.
+
+    Subtrees of more than ``crowd`` fingerprints are counted out and dealt again by blocks of their other bits: two of them
+    within the budget differ in these bits only, so they agree in enough of the new blocks. Each time at least a tenth of
+    what is left joins the prefix, and the fingerprints are distinct, so this ends.
     """
-    agreeing = agreeing or _agreeing(nodes.count(), budget)
-    turns = _turns(budget, agreeing)
-    lead = [sum(size for _, size in turn[:agreeing]) for turn in turns]
-    least, turned = min(lead), []
-    for t, turn in enumerate(turns):
-        # Bit 0 is the highest. Each block is cut out and moved to its new place.
-        key, to = F.lit(0).cast("long"), 0
-        for at, size in turn:
-            block = F.shiftrightunsigned(F.shiftleft(F.col("node"), at), 64 - size)
-            key, to = key.bitwiseOR(F.shiftleft(block, 64 - to - size)), to + size
-        turned.append(F.struct(F.lit(t).alias("turn"), key.alias("key")))
-    dealt = nodes.select(F.explode(F.array(*turned)).alias("x")).select("x.turn", "x.key").repartition("turn", F.shiftrightunsigned("key", 64 - least))
+    # turn: numbers the choices made so far; key: the node's bits in their order.
+    rows, most, done, out = nodes.select(F.lit(0).alias("turn"), F.col("node").alias("key"), "node"), nodes.count(), 0, None
+    while True:
+        turns = _turns(budget, agreeing or _agreeing(most, budget, 64 - done), done)
+        chosen = len(turns[0]) - budget
+        lead = [done + sum(size for _, size in turn[:chosen]) for turn in turns]
+        least = min(lead)
+        moved = F.array(*(F.struct((F.col("turn") * len(turns) + t).alias("turn"), _turned("key", turn, done).alias("key")) for t, turn in enumerate(turns)))
+        dealt = rows.select("node", F.explode(moved).alias("x")).select("x.turn", "x.key", "node", F.shiftrightunsigned("x.key", 64 - least).alias("prefix"))
+        crowded = None
+        if most > crowd and 64 - least > 2 * (budget + 3):
+            crowded = staged(dealt.groupBy("turn", "prefix").agg(F.count("*").alias("n")).where(F.col("n") > crowd), "crowded")
+            number, most = crowded.agg(F.count("*"), F.max("n")).first()
+            crowded = F.broadcast(crowded.drop("n")) if 0 < number <= BROADCAST_ROWS else crowded.drop("n").hint("merge") if number else None
+        here = dealt if crowded is None else dealt.join(crowded, ["turn", "prefix"], "left_anti")
+        found = _subtrees(here, lead, budget)
+        out = found if out is None else out.unionByName(found)
+        if crowded is None:
+            return out.distinct()
+        rows, done = staged(dealt.join(crowded, ["turn", "prefix"], "left_semi").select("turn", "key", "node"), "dealt"), least
+
+
+def _subtrees(dealt: DataFrame, lead: list[int], budget: int) -> DataFrame:
+    """Stars of the links inside subtrees. dealt: ``turn``, ``prefix``, ``key``, ``node``; lead: leading bits that agree, by turn."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
             return
         rows = pa.Table.from_batches(held)
-        turn, key = rows["turn"].to_numpy(), rows["key"].to_numpy().view(np.uint64)
-        for t in np.unique(turn):
-            k = np.sort(key[turn == t])
-            prefix = k >> np.uint64(64 - lead[t])
+        turn, key, node = rows["turn"].to_numpy(), rows["key"].to_numpy().view(np.uint64), rows["node"].to_numpy()
+        order = np.lexsort((key, turn))
+        turn, key, node = turn[order], key[order], node[order]
+        cuts = np.flatnonzero(np.concatenate([[True], turn[1:] != turn[:-1], [True]]))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            k, own, depth = key[a:b], node[a:b], lead[turn[a] % len(lead)]
+            prefix = k >> np.uint64(64 - depth)
             lo = np.flatnonzero(np.concatenate([[True], prefix[1:] != prefix[:-1]]))
-            root = trie_links(k, lo, np.append(lo[1:], k.size), lead[t], budget).roots()
+            root = trie_links(k, lo, np.append(lo[1:], k.size), depth, budget).roots()
             members = np.flatnonzero(np.bincount(root, minlength=root.size)[root] > 1)
             if not members.size:
                 continue
-            node, to = np.zeros(members.size, np.uint64), 0
-            for at, size in turns[t]:
-                node |= (k[members] << np.uint64(to) >> np.uint64(64 - size)) << np.uint64(64 - at - size)
-                to += size
-            node = node.view(np.int64)
             # The smallest node of a set is its centre, so that tasks that see the same set send the same star.
             centre = np.full(root.size, np.iinfo(np.int64).max)
-            np.minimum.at(centre, root[members], node)
+            np.minimum.at(centre, root[members], own[members])
             centre = centre[root[members]]
-            out = node != centre
-            yield pa.RecordBatch.from_arrays([pa.array(node[out]), pa.array(centre[out])], ["src", "dst"])
+            out = own[members] != centre
+            yield pa.RecordBatch.from_arrays([pa.array(own[members][out]), pa.array(centre[out])], ["src", "dst"])
 
-    return dealt.mapInArrow(run, "src long, dst long").distinct()
+    return dealt.repartition("turn", "prefix").select("turn", "key", "node").mapInArrow(run, "src long, dst long")
 
 
 def _grouped(rows: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:

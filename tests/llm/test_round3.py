@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quern.llm import conversation_repair as repairs
 from quern.llm import bpe, hard_negatives, langid, licenses, line_dedup, queries, sharding, simhash
+from quern.llm.components import connected
 
 WHITE = " \t\n\v\f\r"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -406,3 +407,32 @@ def test_long_licences_are_told_without_their_titles(spark):
     got = {x.doc_id: x.own_license for x in licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
     assert [got[k] for k in range(len(want))] == want
     assert not any(got[1000 + k] for k in range(200))
+
+
+@pytest.mark.parametrize("crowd, broadcast", [(40, simhash.BROADCAST_ROWS), (120, -1)])
+def test_crowded_subtrees_are_dealt_again(spark, crowd, broadcast, monkeypatch):
+    """Fingerprints that begin alike, families among them, against all pairs; several rounds of dealing."""
+    rng = np.random.default_rng(29)
+    flip = lambda b, k: b ^ np.bitwise_or.reduce(np.uint64(1) << rng.choice(64, k, replace=False).astype(np.uint64))
+    head = np.uint64(0xABCDE << 44)
+    base = rng.integers(0, 1 << 44, 250, dtype=np.uint64) | head
+    family = [flip(base[0], k) for k in (1, 2, 3) for _ in range(80)]
+    keys = np.unique(np.concatenate([base, [flip(b, k) for b in base[1:90] for k in (3, 4, 5)], family, rng.integers(0, 1 << 64, 60, dtype=np.uint64)]))
+    near = np.bitwise_count(keys[:, None] ^ keys[None, :]) <= 4
+    forest = simhash.Forest(keys.size)
+    forest.link(*np.nonzero(np.triu(near, 1)))
+    signed = keys.view(np.int64)
+    nodes = spark.createDataFrame([(int(k),) for k in signed], "node long")
+
+    def groups(pairs):
+        held = {}
+        for k, r in pairs:
+            held.setdefault(r, []).append(int(k))
+        return sorted(sorted(g) for g in held.values() if len(g) > 1)
+
+    want = groups(zip(signed, forest.roots().tolist(), strict=True))
+    rounds, plain = [], simhash._subtrees
+    monkeypatch.setattr(simhash, "_subtrees", lambda *a: rounds.append(1) or plain(*a))
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", broadcast)
+    assert groups((x.node, x.root) for x in connected(simhash.links(nodes, 4, crowd=crowd)).collect()) == want
+    assert len(rounds) > 1
