@@ -33,19 +33,29 @@ def _nothing(n: Column) -> Column:
     return n.isNull() | (n == 0) | F.isnan(n.cast("double"))
 
 
+def _fixed(x: Column, digits: int) -> Column:
+    """The nearest decimal of so many digits, half away from zero, of the double's own value: ``format_string`` rounds its
+    shortest decimal form, which may be a tie where the value is not. Whole and rest are apart, so that no product rounds."""
+    one, size = 10**digits, F.abs(x)
+    whole = F.floor(size)
+    near = (whole * one + F.floor((size - whole) * one + 0.5)) / one
+    # Beyond that a double has no such digits, and an infinite one no whole part.
+    return F.format_string(f"%.{digits}f", F.when(size < float(1 << 43), F.when(x < 0, -near).otherwise(near)).otherwise(x))
+
+
 def format_bytes(n: Column) -> Column:
     """``N/A`` for null, NaN or 0; B whole, KB to GB with one decimal."""
     n = n.cast("double")
-    out = F.concat(F.format_string("%.1f", n / float(1 << 30)), F.lit(" GB"))
+    out = F.concat(_fixed(n / float(1 << 30), 1), F.lit(" GB"))
     for bound, unit, size in ((1 << 30, " MB", 1 << 20), (1 << 20, " KB", 1 << 10)):
-        out = F.when(n < bound, F.concat(F.format_string("%.1f", n / float(size)), F.lit(unit))).otherwise(out)
+        out = F.when(n < bound, F.concat(_fixed(n / float(size), 1), F.lit(unit))).otherwise(out)
     return F.when(_nothing(n), F.lit("N/A")).when(n < 1024, F.concat(F.format_string("%.0f", n), F.lit(" B"))).otherwise(out)
 
 
 def format_rate(n: Column) -> Column:
     """Bytes a second: ``0 B/s`` for null, NaN or 0; KB/s with one decimal below 1 MB/s, else MB/s with two."""
     mb = float(1 << 20)
-    out = F.when(n < mb, F.concat(F.format_string("%.1f", n / 1024.0), F.lit(" KB/s"))).otherwise(F.concat(F.format_string("%.2f", n / mb), F.lit(" MB/s")))
+    out = F.when(n < mb, F.concat(_fixed(n / 1024.0, 1), F.lit(" KB/s"))).otherwise(F.concat(_fixed(n / mb, 2), F.lit(" MB/s")))
     return F.when(_nothing(n), F.lit("0 B/s")).otherwise(out)
 
 
