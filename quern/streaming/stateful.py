@@ -1,8 +1,10 @@
 """Stateful processors of the streams: typed state that is written once for each event, and goes by the watermark.
 
-Events wait in map state by (slot of event time, part): what a micro-batch brings for a slot is a part of its own and
-never written again. A timer of event time at the end of each slot releases it once the watermark has passed it, in
-order of time and id, and deletes it. So what a micro-batch writes follows its own events, however many wait.
+Where order matters, many keys share one group of state, so that calls and timers go by groups and not by keys. Events wait in
+map state by (slot of event time, part): what a micro-batch brings for a slot is a part of its own and never written
+again. A timer of event time at the end of each slot releases it once the watermark has passed it, in order of time and
+id, and deletes it. So what a micro-batch writes follows its own events, however many wait; a slot's release writes anew
+what is kept of its group's keys.
 """
 
 from __future__ import annotations
@@ -15,28 +17,34 @@ from pyspark.sql.streaming import StatefulProcessor
 
 #: What a fold keeps of a key: its fields after ``seen``, the microsecond of its last event.
 Kept = tuple | None
-#: fold(kept, microseconds, ids, values) -> (kept, columns of results).
-Fold = Callable[[Kept, list[int], list[int], list[str | None]], tuple[tuple, dict]]
+#: fold(kept, microseconds, ids, values) -> (kept, columns of results as lists).
+Fold = Callable[[Kept, list[int], list[int], list[str | None]], tuple[tuple, dict[str, list]]]
+#: Makes columns of a frame of lists, by name.
+Shapes = dict[str, Callable[[list], object]]
+
+
+def _text(column: pd.Series) -> list[str | None]:
+    return [v if isinstance(v, str) else None for v in column.tolist()]
 
 
 def _rows(batch: pd.DataFrame) -> list[tuple[int, int, str | None]]:
     times = batch["ts"].astype("datetime64[us]").astype("int64").tolist()
-    return list(zip(times, batch["id"].astype("int64").tolist(), [v if isinstance(v, str) else None for v in batch["value"].tolist()], strict=True))
+    return list(zip(times, batch["id"].astype("int64").tolist(), _text(batch["value"]), strict=True))
 
 
 class _Keyed(StatefulProcessor):
-    def __init__(self, fold: Fold, kept: str):
-        self.fold, self.schema = fold, f"seen long, {kept}"
+    def __init__(self, fold: Fold, shapes: Shapes):
+        self.fold, self.shapes = fold, shapes
 
-    def _folded(self, key: tuple, rows: list[tuple]) -> pd.DataFrame | None:
+    def _folded(self, before: Kept, rows: list[tuple]) -> tuple[tuple, dict[str, list]]:
+        """What is kept now, ``seen`` first, and columns of results."""
         rows.sort(key=lambda r: r[:2])
-        before = self.kept.get() if self.kept.exists() else None
         times, ids, values = (list(x) for x in zip(*rows, strict=True))
         kept, columns = self.fold(before[1:] if before else None, times, ids, values)
-        self.kept.update((times[-1], *kept))
-        out = pd.DataFrame(columns)
-        out.insert(0, "key", key[0])
-        return out if len(out) else None
+        return (times[-1], *kept), columns
+
+    def _frame(self, keys: list, columns: dict[str, list]) -> pd.DataFrame:
+        return pd.DataFrame({"key": pd.Series(keys, dtype=object), **{name: self.shapes.get(name, list)(x) for name, x in columns.items()}})
 
     def close(self) -> None:
         pass
@@ -46,66 +54,90 @@ class OnArrival(_Keyed):
     """Folds what a micro-batch brings for a key, in order of time and id. ``ttl_ms``: how long state lives without a new
     event, by the clock; needs the time mode ``ProcessingTime``."""
 
-    def __init__(self, fold: Fold, kept: str, ttl_ms: int | None = None):
-        super().__init__(fold, kept)
-        self.ttl_ms = ttl_ms
+    def __init__(self, fold: Fold, shapes: Shapes, kept: str, ttl_ms: int | None = None):
+        super().__init__(fold, shapes)
+        self.schema, self.ttl_ms = f"seen long, {kept}", ttl_ms
 
     def init(self, handle) -> None:
         self.kept = handle.getValueState("kept", self.schema, self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        out = self._folded(key, [r for batch in rows for r in _rows(batch)])
-        if out is not None:
-            yield out
+        kept, columns = self._folded(self.kept.get() if self.kept.exists() else None, [r for batch in rows for r in _rows(batch)])
+        self.kept.update(kept)
+        n = len(next(iter(columns.values())))
+        if n:
+            yield self._frame([key[0]] * n, columns)
 
 
 class InOrder(_Keyed):
-    """Folds a key's events slot by slot, once the watermark has passed a slot's end. ``expire_ms``: a key's state goes
-    when the watermark is so far beyond its last event; ``ending`` may make a last result of what goes."""
+    """Folds events of a group of keys (rows have their ``key`` as text) slot by slot, key by key, once the watermark has
+    passed a slot's end. ``expire_ms``: what is kept of a key goes when the watermark is so far beyond its last event, at the
+    end of a slot; ``ending`` may make last results of what goes."""
 
-    def __init__(self, fold: Fold, kept: str, slot_ms: int, expire_ms: int | None = None, ending: Callable[[tuple], dict] | None = None):
-        super().__init__(fold, kept)
-        self.slot_ms, self.expire_ms, self.ending = slot_ms, expire_ms, ending
+    def __init__(self, fold: Fold, shapes: Shapes, kept: str, slot_ms: int, expire_ms: int | None = None, ending: Callable[[tuple], dict[str, list]] | None = None):
+        super().__init__(fold, shapes)
+        self.schema, self.slot_ms, self.expire_ms, self.ending = f"seen long, {kept}", slot_ms, expire_ms, ending
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.kept = handle.getValueState("kept", self.schema)
-        self.waiting = handle.getMapState("waiting", "slot long, part int", "t array<long>, id array<long>, value array<string>")
+        self.kept = handle.getValueState("kept", f"key array<string>, kept array<struct<{', '.join(x.strip().replace(' ', ': ', 1) for x in self.schema.split(','))}>>")
+        self.waiting = handle.getMapState("waiting", "slot long, part int", "key array<string>, t array<long>, id array<long>, value array<string>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        parts: dict[int, int] = {}
         for batch in rows:
             slots: dict[int, list] = {}
-            for row in _rows(batch):
-                slots.setdefault(row[0] // 1000 // self.slot_ms, []).append(row)
+            for name, row in zip(_text(batch["key"]), _rows(batch), strict=True):
+                slots.setdefault(row[0] // 1000 // self.slot_ms, []).append((name, *row))
             for slot, events in slots.items():
-                part = 0
+                part = parts.get(slot, 0)
                 while self.waiting.containsKey((slot, part)):
                     part += 1
                 self.waiting.updateValue((slot, part), tuple(list(x) for x in zip(*events, strict=True)))
                 if not part:
                     self.handle.registerTimer((slot + 1) * self.slot_ms)
+                parts[slot] = part + 1
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = expiredTimerInfo.getExpiryTimeInMs()
-        slot, part, events = now // self.slot_ms - 1, 0, []
+        slot, part, events = now // self.slot_ms - 1, 0, {}
         while self.waiting.containsKey((slot, part)):
-            events += zip(*self.waiting.getValue((slot, part)), strict=True)
+            for name, *row in zip(*self.waiting.getValue((slot, part)), strict=True):
+                events.setdefault(name, []).append(tuple(row))
             self.waiting.removeKey((slot, part))
             part += 1
-        if events and (out := self._folded(key, events)) is not None:
-            yield out
-        if self.expire_ms is None or not self.kept.exists():
-            return
+        held = {name: tuple(x) for name, x in zip(*self.kept.get(), strict=True)} if self.kept.exists() else {}
+        names: list[str | None] = []
+        columns: dict[str, list] = {}
+
+        def told(name: str | None, more: dict[str, list]) -> None:
+            for column, x in more.items():
+                columns.setdefault(column, []).extend(x)
+            names.extend([name] * len(x))
+
+        for name, some in events.items():
+            held[name], found = self._folded(held.get(name), some)
+            told(name, found)
         # Looked at when a slot ends, so that all events before have been released.
-        kept = self.kept.get()
-        end = -(-(kept[0] + 1000 * self.expire_ms) // (1000 * self.slot_ms)) * self.slot_ms
-        if end <= now:
-            self.kept.clear()
+        gone = [name for name, x in held.items() if self.expire_ms is not None and self._end(x[0]) <= now]
+        for name in gone:
+            last = held.pop(name)
             if self.ending:
-                yield pd.DataFrame({"key": key[0], **self.ending(kept)})
-        elif events:
-            self.handle.registerTimer(end)
+                told(name, self.ending(last))
+        if events and self.expire_ms is not None:
+            for end in sorted({self._end(held[name][0]) for name in events if name in held}):
+                self.handle.registerTimer(end)
+        if held and (events or gone):
+            self.kept.update((list(held), list(held.values())))
+        elif gone:
+            self.kept.clear()
+        if names:
+            yield self._frame(names, columns)
+
+    def _end(self, seen: int) -> int:
+        """The end of the slot in which a key that was seen last at this microsecond expires."""
+        return -(-(seen + 1000 * self.expire_ms) // (1000 * self.slot_ms)) * self.slot_ms
 
 
 class Newest(StatefulProcessor):

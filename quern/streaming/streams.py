@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from quern.plans.ingest import ingest
-from quern.streaming.stateful import Frames, InOrder, Newest, OnArrival
+from quern.streaming.stateful import Frames, InOrder, Newest, OnArrival, Shapes
 
 
 def stream_events(spark: SparkSession, folder: str, schema: StructType, delay: str = "10 minutes", channels: list[str] | None = None, files_per_trigger: int | None = None) -> DataFrame:
@@ -50,6 +50,9 @@ def stream_throughput(progress: DataFrame, window: str = "60 seconds", slide: st
 
 #: Seconds of event time that are released at once where order matters.
 SLOT_S = 60.0
+#: Groups that keys are dealt to by hash where order matters. Part of a stream's state, so the same for a checkpoint's whole
+#: life; more of them spread a larger cluster's work and keep what a slot's release writes small.
+GROUPS = 256
 
 
 def _keyed(events: DataFrame, key: str, value: Column) -> DataFrame:
@@ -57,22 +60,31 @@ def _keyed(events: DataFrame, key: str, value: Column) -> DataFrame:
     return events.select(F.col(key).alias("key"), "ts", F.col("id").cast("long").alias("id"), value.cast("string").alias("value")).where("ts is not null").groupBy("key")
 
 
-def _stateful(events: DataFrame, key: str, value: Column, fold: Callable, kept: str, columns: str, ordered: bool, slot_s: float, expire_s: float | None = None) -> DataFrame:
+def _grouped(events: DataFrame, key: str, value: Column, groups: int) -> DataFrame:
+    """The same, many keys to a group of state. A key goes as text, which its type has back after."""
+    rows = events.select(F.pmod(F.xxhash64(key), F.lit(groups)).cast("int").alias("group"), F.col(key).cast("string").alias("key"), "ts", F.col("id").cast("long").alias("id"), value.cast("string").alias("value"))
+    return rows.where("ts is not null").groupBy("group")
+
+
+def _in_order(events: DataFrame, key: str, value: Column, worker: InOrder, columns: str, groups: int) -> DataFrame:
+    out = _grouped(events, key, value, groups).transformWithStateInPandas(worker, f"key string, {columns}", "append", "EventTime")
+    return out.withColumn("key", F.col("key").cast(dict(events.dtypes)[key]))
+
+
+def _stateful(events: DataFrame, key: str, value: Column, fold: Callable, shapes: Shapes, kept: str, columns: str, ordered: bool, slot_s: float, groups: int, expire_s: float | None = None) -> DataFrame:
     """Ordered: by slots of event time, which need a watermark on ``ts``; state expires by event time. Else on arrival;
     state expires by the clock."""
-    schema = f"key {dict(events.dtypes)[key]}, {columns}"
     if ordered:
-        worker, mode = InOrder(fold, kept, _ms(slot_s), None if expire_s is None else _ms(expire_s)), "EventTime"
-    else:
-        worker, mode = OnArrival(fold, kept, None if expire_s is None else _ms(expire_s)), "None" if expire_s is None else "ProcessingTime"
-    return _keyed(events, key, value).transformWithStateInPandas(worker, schema, "append", mode)
+        return _in_order(events, key, value, InOrder(fold, shapes, kept, _ms(slot_s), None if expire_s is None else _ms(expire_s)), columns, groups)
+    worker, mode = OnArrival(fold, shapes, kept, None if expire_s is None else _ms(expire_s)), "None" if expire_s is None else "ProcessingTime"
+    return _keyed(events, key, value).transformWithStateInPandas(worker, f"key {dict(events.dtypes)[key]}, {columns}", "append", mode)
 
 
 def _ms(seconds: float) -> int:
     return max(1, int(1000 * seconds))
 
 
-def stream_cooldown(events: DataFrame, seconds: float, by: str = "session", ordered: bool = False, expire: bool | None = None, slot_s: float = SLOT_S) -> DataFrame:
+def stream_cooldown(events: DataFrame, seconds: float, by: str = "session", ordered: bool = False, expire: bool | None = None, slot_s: float = SLOT_S, groups: int = GROUPS) -> DataFrame:
     """``key``, ``id``, ``accepted``: greedy limit by last accepted event. A key's state goes after twice the cooldown
     without an event, when any event would be accepted: of event time if ``ordered`` (unless ``expire`` is False); else, with
     ``expire``, by the clock, which keeps a query running, so not under ``availableNow``."""
@@ -86,10 +98,10 @@ def stream_cooldown(events: DataFrame, seconds: float, by: str = "session", orde
             accepted.append(ok)
         return (last,), {"id": ids, "accepted": accepted}
 
-    return _stateful(events, by, F.lit(None), fold, "accepted_at long", "id long, accepted boolean", ordered, slot_s, 2 * seconds if (ordered if expire is None else expire) else None)
+    return _stateful(events, by, F.lit(None), fold, {}, "accepted_at long", "id long, accepted boolean", ordered, slot_s, groups, 2 * seconds if (ordered if expire is None else expire) else None)
 
 
-def stream_context(messages: DataFrame, by: str = "channel", conversation: str = "conversation", ordered: bool = False, slot_s: float = SLOT_S) -> DataFrame:
+def stream_context(messages: DataFrame, by: str = "channel", conversation: str = "conversation", ordered: bool = False, slot_s: float = SLOT_S, groups: int = GROUPS) -> DataFrame:
     """``key``, ``id``, ``context``: the conversation id last seen before in the channel."""
 
     def fold(kept, _, ids, values):
@@ -97,12 +109,12 @@ def stream_context(messages: DataFrame, by: str = "channel", conversation: str =
         for value in values:
             seen.append(last)
             last = value if value is not None else last
-        return (last,), {"id": ids, "context": pd.Series(seen, dtype=object)}
+        return (last,), {"id": ids, "context": seen}
 
-    return _stateful(messages, by, F.col(conversation), fold, "conversation string", "id long, context string", ordered, slot_s)
+    return _stateful(messages, by, F.col(conversation), fold, {"context": lambda x: pd.Series(x, dtype=object)}, "conversation string", "id long, context string", ordered, slot_s, groups)
 
 
-def stream_rate(telemetry: DataFrame, counter: str, by: str = "host", ordered: bool = False, slot_s: float = SLOT_S) -> DataFrame:
+def stream_rate(telemetry: DataFrame, counter: str, by: str = "host", ordered: bool = False, slot_s: float = SLOT_S, groups: int = GROUPS) -> DataFrame:
     """``key``, ``id``, ``rate`` per second of a counter since the host's sample before; null where one of them has none."""
 
     def fold(kept, times, ids, values):
@@ -112,9 +124,9 @@ def stream_rate(telemetry: DataFrame, counter: str, by: str = "host", ordered: b
             known = before is not None and before[1] is not None and v is not None
             rates.append(max(0, int((v - before[1]) / max(0.001, (t - before[0]) / 1e6))) if known else None)
             before = (t, v)
-        return before, {"id": ids, "rate": pd.array(rates, dtype="Int64")}
+        return before, {"id": ids, "rate": rates}
 
-    return _stateful(telemetry, by, F.col(counter).cast("long"), fold, "t long, v long", "id long, rate long", ordered, slot_s)
+    return _stateful(telemetry, by, F.col(counter).cast("long"), fold, {"rate": lambda x: pd.array(x, dtype="Int64")}, "t long, v long", "id long, rate long", ordered, slot_s, groups)
 
 
 def stream_last_n(events: DataFrame, n: int, by: str = "session") -> DataFrame:
@@ -123,21 +135,20 @@ def stream_last_n(events: DataFrame, n: int, by: str = "session") -> DataFrame:
     return _keyed(events, by, F.lit(None)).transformWithStateInPandas(Newest(n), f"key {dict(events.dtypes)[by]}, ids array<long>", "update", "None")
 
 
-def stream_stale(events: DataFrame, seconds: float = 45, by: str = "job", slot_s: float = SLOT_S) -> DataFrame:
+def stream_stale(events: DataFrame, seconds: float = 45, by: str = "job", slot_s: float = SLOT_S, groups: int = GROUPS) -> DataFrame:
     """``key``, ``last_seen`` of series without an event for over ``seconds`` of event time, once each silence. events
     need a watermark on ``ts``; they are held back until it has passed them, so late files change nothing. A series that
     is silent is forgotten, so state is bounded by the series that are not."""
     after = int(seconds * 1_000_000)
-    told = lambda times: {"last_seen": pd.to_datetime(times, unit="us", utc=True)}
 
     def fold(kept, times, _, __):
         every = [*(kept or ()), *times]
-        return (times[-1],), told([a for a, b in zip(every, every[1:], strict=False) if b - a > after])
+        return (times[-1],), {"last_seen": [a for a, b in zip(every, every[1:], strict=False) if b - a > after]}
 
-    worker = InOrder(fold, "last long", _ms(slot_s), _ms(seconds), lambda kept: told([kept[0]]))
+    shapes = {"last_seen": lambda times: pd.to_datetime(times, unit="us", utc=True)}
+    worker = InOrder(fold, shapes, "last long", _ms(slot_s), _ms(seconds), lambda kept: {"last_seen": [kept[0]]})
     # Ids are not needed.
-    rows = _keyed(events.withColumn("id", F.lit(0)), by, F.lit(None))
-    return rows.transformWithStateInPandas(worker, f"key {dict(events.dtypes)[by]}, last_seen timestamp", "append", "EventTime")
+    return _in_order(events.withColumn("id", F.lit(0)), by, F.lit(None), worker, "last_seen timestamp", groups)
 
 
 def stream_sse(chunks: DataFrame, by: str = "run_id") -> DataFrame:

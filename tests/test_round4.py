@@ -14,3 +14,16 @@ def test_units_round_the_value_and_not_its_shortest_digits(spark):
     assert [r.b for r in got] == ["1183804.1 GB", "1131450.4 GB", "1.1 MB", "1.5 GB", "100 B"]
     odd = spark.createDataFrame([(-1536.0,), (float("inf"),), (2.0**70,)], "n double").select(names.format_rate(F.col("n")).alias("r"))
     assert [r.r for r in odd.collect()] == ["-1.5 KB/s", "Infinity MB/s", "1125899906842624.00 MB/s"]
+
+
+def test_state_of_ordered_streams_goes_by_groups_and_not_by_keys(spark, tmp_path):
+    from tests.test_streams import CLOSING, SCHEMA, T0, one_after_the_other, watched
+
+    from quern.streaming import streams
+
+    rows = [(i, T0, f"k{i}" if i else None, 0) for i in range(3000)]
+    stream = one_after_the_other(spark, tmp_path, [rows, *CLOSING]).withWatermark("ts", "1 minute")
+    out, progress = watched(streams.stream_cooldown(stream, 60, ordered=True, groups=16), tmp_path)
+    assert {(x.key, x.accepted) for x in out.collect()} == {(r[2], True) for r in rows}
+    # A part that waits and a timer for each group; before, for each key.
+    assert max(p.numRowsTotal for p in progress) <= 16 * 4
