@@ -27,3 +27,21 @@ def test_state_of_ordered_streams_goes_by_groups_and_not_by_keys(spark, tmp_path
     assert {(x.key, x.accepted) for x in out.collect()} == {(r[2], True) for r in rows}
     # A part that waits and a timer for each group; before, for each key.
     assert max(p.numRowsTotal for p in progress) <= 16 * 4
+
+
+def test_a_text_is_hashed_in_one_pass_and_as_before(spark):
+    from quern.functions import text
+    from quern.plans import search
+
+    texts = ["", None, "der Dieİ der Σσ 9 \U00020000\U0001d7d8 der", "x" * 700 + " y", "...", "a b a"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    tokens = df.select("id", F.explode(text.tokenize(F.coalesce("text", F.lit("")))).alias("t"))
+    want = {(r.id, r.b, float(r.n)) for r in tokens.groupBy("id", text.fnv_bucket(F.col("t")).alias("b")).agg(F.count("*").alias("n")).collect()}
+    got = text.sparse_rows(df, "id").orderBy("id").collect()
+    assert {(r.id, p.idx, p.w) for r in got for p in r.pairs} == want and len(got) == 6
+    assert all([p.idx for p in r.pairs] == sorted({p.idx for p in r.pairs}) for r in got)
+    both = search.embed_hybrid(df, search.HashEmbedder(8))
+    assert {r.id: r.embedding for r in both.collect()} == {r.id: r.embedding for r in search.checked(search.HashEmbedder(8)(df), "embedding", 8)[0].collect()}
+    plan = both._jdf.queryExecution().optimizedPlan().toString()
+    # Before, texts were hashed for either vector, and both joined.
+    assert "Join" not in plan and plan.count("regexp_extract_all(") <= 2
