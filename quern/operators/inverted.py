@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.operators.retrieval import _Best, _blocks, _flat, _plain, top_k
+from quern.operators.retrieval import _Best, _blocks, _flat, _plain, raise_bars, top_k
 from quern.sources.staging import staged
 
 #: Documents of a block.
@@ -105,17 +105,6 @@ class _Queries:
         return (self.number[of], ids[doc], s[at]), met, active
 
 
-def raise_bars(bars: np.ndarray, numbers: np.ndarray, best: tuple[np.ndarray, ...], k: int) -> None:
-    """Sets each query's bar to its k-th best score, where it has so many and that is more. best: sorted by query."""
-    number, _, score = best
-    if number.size:
-        last = np.flatnonzero(np.append(number[1:] != number[:-1], True))
-        full = np.diff(np.append(-1, last)) >= k
-        order = np.argsort(numbers)
-        where = order[np.searchsorted(numbers, number[last[full]], sorter=order)]
-        bars[where] = np.maximum(bars[where], score[last[full]])
-
-
 def _searched(index: DataFrame, block: pa.Table, bars: dict[int, float], k: int) -> DataFrame:
     sent = index.sparkSession.sparkContext.broadcast((block, bars))
 
@@ -146,7 +135,7 @@ def inverted_search(queries: DataFrame, index: DataFrame, k: int) -> tuple[DataF
     one query each only if their pairs are equal; give each its own id.
     """
     own, out = queries.select(F.col("query_id").cast("long").alias("query_id"), "pairs"), []
-    for block in _blocks(own, F.size("pairs") * 16 + 16):
+    for block in _blocks(own, F.size("pairs") * 16 + 16)[1]:
         ahead = top_k(_searched(index.where("no = 0"), block, {}, k).where("id is not null"), k)
         bars = {r[0]: r[1] for r in ahead.where(F.col("rank") == k).select("query_id", "score").collect()}
         out.append(staged(_searched(index, block, bars, k), "found"))

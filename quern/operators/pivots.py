@@ -20,8 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.operators.inverted import raise_bars
-from quern.operators.retrieval import _Best, _blocks, _plain, _unit, top_k
+from quern.operators.retrieval import _Best, _blocks, _plain, _unit, raise_bars, top_k
 from quern.sources.staging import staged
 
 #: Rows of the sample that pivots are chosen from, pivots, rows of a block, and blocks that each query is held against first.
@@ -159,7 +158,7 @@ def pivot_search(queries: DataFrame, index: DataFrame, pivots: np.ndarray, k: in
     """The best ``k`` vectors of each stated query (query_id, embedding; ids are its own) by cosine, with ``rank``, ties by id;
     and one row of ``blocks`` (pairs of a query and a block) and ``skipped`` (those that were not multiplied)."""
     own, out = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding")), []
-    for block in _blocks(own, F.size("embedding") * 8 + 16):
+    for block in _blocks(own, F.size("embedding") * 8 + 16)[1]:
         first = index.join(_nearest(index, block, pivots), "block", "left_semi").select(*index.columns)
         ahead = top_k(_searched(first, block, pivots, {}, k).where("id is not null"), k)
         bars = {r[0]: r[1] for r in ahead.where(F.col("rank") == k).select("query_id", "score").collect()}

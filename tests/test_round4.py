@@ -45,3 +45,33 @@ def test_a_text_is_hashed_in_one_pass_and_as_before(spark):
     plan = both._jdf.queryExecution().optimizedPlan().toString()
     # Before, texts were hashed for either vector, and both joined.
     assert "Join" not in plan and plan.count("regexp_extract_all(") <= 2
+
+
+def test_bars_and_products_change_no_score(spark, monkeypatch):
+    import random
+
+    from quern.operators import retrieval as ops
+
+    draw = random.Random(4)
+    some = lambda n: [{"idx": i, "w": float(draw.randint(1, 3))} for i in sorted(draw.sample(range(40), n))]
+    # Bucket 0 is in every query, 1 in most, those after in few; many scores are equal.
+    texts = [(i, [{"idx": 0, "w": 1.0}, *({"idx": x["idx"] + 1, "w": x["w"]} for x in some(3))]) for i in range(600)]
+    rows = spark.createDataFrame(texts, "id long, pairs array<struct<idx: long, w: double>>").repartition(2)
+    q = rows.where("id < 40").withColumnRenamed("id", "query_id")
+    want = {}
+    for i, a in texts[:40]:
+        weight = {p["idx"]: p["w"] for p in a}
+        scores = sorted((-sum(p["w"] * weight.get(p["idx"], 0.0) for p in b), j) for j, b in texts)
+        want[i] = [(j, -s) for s, j in scores[:5]]
+    monkeypatch.setattr(ops, "AT_ONCE", 40 * 20)
+    for bytes_ in (32 << 20, 4000):
+        # Small blocks: queries and rows are staged, each read once.
+        monkeypatch.setattr(ops, "BROADCAST_BYTES", bytes_)
+        got = ops.top_k(ops.sparse_scores(q, rows, 5), 5).orderBy("query_id", "rank").collect()
+        assert {i: [(r.id, r.score) for r in got if r.query_id == i] for i in want} == want
+    # What reaches no bar is not held: before, each stretch of rows gave its own best five of each query.
+    import numpy as np
+
+    s, bars = np.arange(40.0).reshape(10, 4), np.array([30.0, -np.inf, 100.0, -np.inf])
+    row, col = ops._reaching(s, bars, 2)
+    assert sorted(zip(row.tolist(), col.tolist())) == [(8, 0), (8, 1), (8, 3), (9, 0), (9, 1), (9, 3)]
