@@ -291,8 +291,9 @@ def near_duplicates(docs: DataFrame, size: int = 4, budget: int = 4) -> DataFram
 
 # -- near duplicates by similarity ------------------------------------------------------------------------------
 
-#: Shingle size, likeness, candidate tables (bands), and the share of pairs exactly at the likeness that may miss them all.
-SHINGLE, LIKENESS, BANDS, MISSED = 5, 0.8, 24, 5e-4
+#: Shingle size, likeness, differing bits of SimHash fingerprints, tables for pairs beyond these (bands), and the share of
+#: pairs exactly at the likeness that may miss all bands.
+SHINGLE, LIKENESS, BUDGET, BANDS, MISSED = 5, 0.8, 4, 24, 5e-4
 
 #: Row numbers (of eight bytes) that are broadcast at most.
 BROADCAST_ROWS = 1_000_000
@@ -439,10 +440,22 @@ def _verified(batches: Iterator[pa.RecordBatch], likeness: float) -> Iterator[pa
     yield from stars()
 
 
+def _alike(nodes: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """``node``, ``key`` of nodes whose SimHash fingerprints chains of links join to another node's; those joined have one key.
+
+    nodes: ``node``, ``print``. Fingerprints are linked by the trie join of :func:`links`; nodes of one fingerprint
+    need none.
+    """
+    prints = staged(nodes.groupBy(F.col("print").alias("node")).agg(F.count("*").alias("n")), "prints")
+    roots = prints.join(connected(links(prints.select("node"), budget)), "node", "left").where("root is not null or n > 1")
+    roots = staged(roots.select(F.col("node").alias("print"), F.coalesce("root", "node").alias("key")), "roots")
+    return nodes.select("node", "print").join(roots, "print").select("node", "key")
+
+
 def _units(members: DataFrame, family_bytes: int) -> DataFrame:
     """Which sets meet in one task: ``group``, ``side``, ``first_row``.
 
-    A family of at most ``family_bytes`` is one unit. A larger one is one too if its buckets (members with an equal band
+    A family of at most ``family_bytes`` is one unit. A larger one is one too if its buckets (members with an equal
     key) have more pairs in all than the family itself; else each bucket of two or more members is. A unit beyond
     ``family_bytes`` is cut into blocks by hash, and each pair of blocks is a group, in which only pairs across count.
     """
@@ -478,17 +491,20 @@ def _near(rows: DataFrame, likeness: float, family_bytes: int) -> DataFrame:
                 held = values.tobytes()
                 sets = [held[8 * a : 8 * b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
                 node = np.array([xxhash.xxh64_intdigest(x, 42) for x in sets], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), pa.array(node), keys, pa.array(sets, pa.binary())], ["row", "doc_id", "node", "keys", "shingles"])
+                prints = majority(values, np.repeat(np.arange(n), np.diff(offsets)), n).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), pa.array(node), pa.array(prints), keys, pa.array(sets, pa.binary())], ["row", "doc_id", "node", "print", "keys", "shingles"])
 
     texts = rows.select("row", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    made = staged(texts.mapInArrow(run, "row long, doc_id long, node long, keys array<long>, shingles binary"), "shingles", 16 << 20)
+    made = staged(texts.mapInArrow(run, "row long, doc_id long, node long, print long, keys array<long>, shingles binary"), "shingles", 16 << 20)
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
-    nodes = made.groupBy("node").agg(F.min(first).alias("first_id"), F.any_value("keys").alias("keys"), F.max(F.length("shingles")).cast("long").alias("bytes"))
+    nodes = made.groupBy("node").agg(F.min(first).alias("first_id"), F.any_value("print").alias("print"), F.any_value("keys").alias("keys"), F.max(F.length("shingles")).cast("long").alias("bytes"))
     nodes = staged(nodes, "nodes")
-    dealt = nodes.select("node", F.explode("keys").alias("key"))
+    alike = staged(_alike(nodes), "alike")
+    dealt = alike.unionByName(nodes.select("node", F.explode("keys").alias("key")))
     centres = staged(dealt.groupBy("key").agg(F.min("node").alias("dst"), F.max("node").alias("other")).where("dst <> other").select("key", "dst"), "centres")
     families = connected(dealt.join(centres, "key").select(F.col("node").alias("src"), "dst").where("src <> dst").distinct())
-    units = staged(_units(staged(families.join(nodes, "node"), "members"), family_bytes), "grouped")
+    members = families.join(nodes, "node").join(alike, "node", "left").withColumn("keys", F.concat("keys", F.array_compact(F.array("key"))))
+    units = staged(_units(staged(members.select("node", "root", "first_id", "keys", "bytes"), "members"), family_bytes), "grouped")
     few = units.count() <= BROADCAST_ROWS
     sets = made.join(F.broadcast(units) if few else units.hint("merge"), F.col("row") == F.col("first_row")).select("group", "node", "side", "shingles")
     found = sets.repartition("group").sortWithinPartitions("group").mapInArrow(lambda batches: _verified(batches, likeness), "src long, dst long")
@@ -498,13 +514,15 @@ def _near(rows: DataFrame, likeness: float, family_bytes: int) -> DataFrame:
 def near_copies(docs: DataFrame, likeness: float = LIKENESS, family_bytes: int = FAMILY_BYTES) -> DataFrame:
     """``doc_id`` and ``component_id`` of documents by likeness of their sets of five-word shingles.
 
-    One 64-bit fingerprint cannot hold a likeness of 0.8 within a budget that a trie prunes by (about 10 of 64 bits
-    differ), and no number of bits decides exactly. So candidates are texts with equal minima of re-hashed shingles in
-    one of 24 bands (at a likeness of exactly 0.8, in five minima each, 0.99993 of all pairs), and a candidate pair is a link if
-    the Jaccard likeness of the two whole sets is at least ``likeness``. Texts with equal sets (copies) are one node.
+    Candidates are texts whose SimHash fingerprints, of the same shingles, the trie join links at ``BUDGET`` or fewer
+    differing bits. One 64-bit fingerprint cannot hold a likeness of 0.8 within a budget that a trie prunes by (about 10 of
+    64 bits differ), and no number of bits decides exactly. So texts with equal minima of re-hashed shingles in one of 24
+    bands (at a likeness of exactly 0.8, in five minima each, 0.99993 of all pairs) are candidates too, and a candidate pair
+    is a link if the Jaccard likeness of the two whole sets is at least ``likeness``. Texts with equal sets (copies) are one
+    node.
 
     Candidates are first joined to families, whose sets meet in tasks as :func:`_units` deals them. Pairs that share no
-    band are decided too where they meet.
+    key are decided too where they meet.
 
     Null texts are empty; texts without a word are all one group. Null ids are after all others, and a group of them
     alone has a null component. Repeated rows are in one group and stay rows. An empty table gives no rows. A text of any

@@ -345,6 +345,24 @@ def test_links_of_template_pages_as_by_brute_force(spark, family_bytes):
     assert [found[k] for k in range(len(texts))] == want
 
 
+
+def test_near_copies_take_the_trie_join_of_their_fingerprints(spark, monkeypatch):
+    """Chains of at most four differing bits, and equal fingerprints, are candidates; before, only bands were."""
+    prints = [0, 0b1111, 0b11111111, 0x5555555555555555, 0x5555555555555555, 0x0F0F0F0F00000000]
+    nodes = spark.createDataFrame([(k + 1, v) for k, v in enumerate(prints)], "node long, print long")
+    found = defaultdict(set)
+    for r in simhash._alike(nodes).collect():
+        found[r.key].add(r.node)
+    assert sorted(map(sorted, found.values())) == [[1, 2, 3], [4, 5]]
+    seen, plain = [], simhash._alike
+    monkeypatch.setattr(simhash, "_alike", lambda nodes: seen.append([r.key for r in plain(nodes).collect()]) or plain(nodes))
+    rnd = random.Random(5)
+    a, b = words_of(rnd, 400), words_of(rnd, 400)
+    rows = [(1, " ".join(a), "x"), (2, " ".join(a[:-1] + words_of(rnd, 1)), "x"), (3, " ".join(b), "x")]
+    assert sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()) == [1, 3]
+    assert len(seen) == 1 and len(seen[0]) == 2 and len(set(seen[0])) == 1
+
+
 def test_common_members_are_counted_exactly():
     rnd = np.random.default_rng(6)
     for n, universe in ((2, 5), (40, 60), (90, 4000)):
