@@ -53,6 +53,8 @@ SLOT_S = 60.0
 #: Groups that keys are dealt to by hash where order matters. Part of a stream's state, so the same for a checkpoint's whole
 #: life; more of them spread a larger cluster's work and keep what a slot's release writes small.
 GROUPS = 256
+#: The same where a group's state is read whole by each micro-batch that has events of it.
+READ_GROUPS = 4096
 
 
 def _keyed(events: DataFrame, key: str, value: Column) -> DataFrame:
@@ -129,10 +131,11 @@ def stream_rate(telemetry: DataFrame, counter: str, by: str = "host", ordered: b
     return _stateful(telemetry, by, F.col(counter).cast("long"), fold, {"rate": lambda x: pd.array(x, dtype="Int64")}, "t long, v long", "id long, rate long", ordered, slot_s, groups)
 
 
-def stream_last_n(events: DataFrame, n: int, by: str = "session") -> DataFrame:
+def stream_last_n(events: DataFrame, n: int, by: str = "session", groups: int = READ_GROUPS) -> DataFrame:
     """``key``, ``ids``: the newest ``n`` event ids of each key, oldest first, whenever they change (update mode); older
     ones are dropped, producers never wait."""
-    return _keyed(events, by, F.lit(None)).transformWithStateInPandas(Newest(n), f"key {dict(events.dtypes)[by]}, ids array<long>", "update", "None")
+    out = _grouped(events, by, F.lit(None), groups).transformWithStateInPandas(Newest(n), "key string, ids array<long>", "update", "None")
+    return out.withColumn("key", F.col("key").cast(dict(events.dtypes)[by]))
 
 
 def stream_stale(events: DataFrame, seconds: float = 45, by: str = "job", slot_s: float = SLOT_S, groups: int = GROUPS) -> DataFrame:

@@ -75,3 +75,25 @@ def test_bars_and_products_change_no_score(spark, monkeypatch):
     s, bars = np.arange(40.0).reshape(10, 4), np.array([30.0, -np.inf, 100.0, -np.inf])
     row, col = ops._reaching(s, bars, 2)
     assert sorted(zip(row.tolist(), col.tolist())) == [(8, 0), (8, 1), (8, 3), (9, 0), (9, 1), (9, 3)]
+
+
+def test_newest_events_are_held_in_blocks(spark, tmp_path):
+    """Triggers of many and of few events in any order, some told twice: as by hand, and what comes at once is a row of state."""
+    import random
+    from datetime import timedelta
+
+    from tests.test_streams import T0, one_after_the_other, watched
+
+    from quern.streaming import streams
+
+    draw = random.Random(3)
+    event = lambda i: (i, T0 + timedelta(seconds=i * 37 % 1000), None if i % 30 == 0 else f"k{i % 30}", 0)
+    parts = [[event(i) for i in range(600)], [event(i) for i in draw.sample(range(900), 150)], [event(i) for i in range(900, 930)], [event(i) for i in draw.sample(range(2000), 400)]]
+    out, progress = watched(streams.stream_last_n(one_after_the_other(spark, tmp_path, parts), 20, groups=8), tmp_path, "update")
+    want = {}
+    for i, t, k, _ in {e for part in parts for e in part}:
+        want.setdefault(k, []).append((t, i))
+    got = out.groupBy("key").agg(F.max_by("ids", "batch").alias("ids")).collect()
+    assert {r.key: r.ids for r in got} == {k: [i for _, i in sorted(x)[-20:]] for k, x in want.items()}
+    # Twenty events of each key come at once: a row each, and before, twenty.
+    assert progress[0].numRowsTotal == 30
