@@ -128,15 +128,17 @@ def stream_dedupe(spark: SparkSession, d: str) -> DataFrame:
 
 @query(ORACLE_SQL["sse_decode"])
 def stream_sse(spark: SparkSession, d: str) -> DataFrame:
-    """Captures cut into chunks of 7 to 36 bytes that come in three files, frames and line ends cut through."""
+    """Captures cut into chunks of 7 to 36 bytes that come in three parts, frames and line ends cut through."""
     size = F.lit(7) + F.pmod(F.col("run_id"), F.lit(30)).cast("int")
     raw = F.encode("raw", "UTF-8")
     cut = captures(spark, d).select("run_id", raw.alias("raw"), size.alias("size")).withColumn("seq", F.explode(F.sequence(F.lit(0), F.floor(F.length("raw") / F.col("size")).cast("int"))))
     chunks = staged(cut.select("run_id", "seq", F.col("raw").substr(F.col("seq") * F.col("size") + 1, F.col("size")).alias("chunk")), "chunks")
     path = new_path(spark, "arriving")
+    files = max(1, -(-chunks.count() // FILE_ROWS))
+    # A run has one file of each part, so its chunks arrive in order wherever triggers end.
     for part in ("seq < 3", "seq between 3 and 9", "seq > 9"):
-        chunks.where(part).coalesce(1).write.mode("append").parquet(path)
-    out = _ran(ops.stream_sse(spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 1).parquet(path)))
+        chunks.where(part).repartition(files, "run_id").write.mode("append").parquet(path)
+    out = _ran(ops.stream_sse(spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", files).parquet(path)))
     number = lambda name: F.when(F.col("ok"), F.get_json_object("json", f"$.{name}").cast("long")).alias(name)
     return out.select(F.col("key").alias("run_id"), "pos", number("turn"), number("n"), "ok")
 

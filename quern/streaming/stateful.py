@@ -192,21 +192,28 @@ class Newest(StatefulProcessor):
 
 
 class Frames(StatefulProcessor):
-    """Puts server-sent events together from chunks of bytes, cut anywhere. State of a capture: the bytes after its last blank
-    line (a carriage return at their end may be half of a line end), how many blocks there were, and whether it is done."""
+    """Puts server-sent events together from chunks of bytes, cut anywhere, of a group of captures (rows have their ``key`` as
+    text). State of a capture: the bytes after its last blank line (a carriage return at their end may be half of a line
+    end), how many blocks there were, and whether it is done; only captures that chunks come of are read and written."""
 
     def init(self, handle) -> None:
-        self.state = handle.getValueState("open", "tail binary, pos long, done boolean")
+        self.open = handle.getMapState("open", "key string", "tail binary, pos long, done boolean")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        chunks = sorted((r for batch in rows for r in zip(batch["seq"].tolist(), batch["chunk"].tolist(), strict=True)), key=lambda r: r[0])
-        tail, pos, done = self.state.get() if self.state.exists() else (b"", 0, False)
-        if done:
-            return
-        found, tail, done = blocks(bytes(tail) + b"".join(bytes(c) for _, c in chunks if c is not None))
-        out = [(key[0], pos + k, payload, readable(payload)) for k, payload in enumerate(found) if payload is not None]
-        # What is done needs no tail, but stays marked: chunks may still come.
-        self.state.update((b"" if done else tail, pos + len(found), done))
+        came: dict[str | None, list[tuple]] = {}
+        for batch in rows:
+            for name, *chunk in zip(_text(batch["key"]), batch["seq"].tolist(), batch["chunk"].tolist(), strict=True):
+                came.setdefault(name, []).append(tuple(chunk))
+        out: list[tuple] = []
+        for name, chunks in came.items():
+            tail, pos, done = self.open.getValue((name,)) or (b"", 0, False)
+            if done:
+                continue
+            chunks.sort(key=lambda r: r[0])
+            found, tail, done = blocks(bytes(tail) + b"".join(bytes(c) for _, c in chunks if c is not None))
+            out += [(name, pos + k, payload, readable(payload)) for k, payload in enumerate(found) if payload is not None]
+            # What is done needs no tail, but stays marked: chunks may still come.
+            self.open.updateValue((name,), (b"" if done else tail, pos + len(found), done))
         if out:
             yield pd.DataFrame(out, columns=["key", "pos", "json", "ok"])
 

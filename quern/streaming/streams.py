@@ -154,11 +154,13 @@ def stream_stale(events: DataFrame, seconds: float = 45, by: str = "job", slot_s
     return _in_order(events.withColumn("id", F.lit(0)), by, F.lit(None), worker, "last_seen timestamp", groups)
 
 
-def stream_sse(chunks: DataFrame, by: str = "run_id") -> DataFrame:
+def stream_sse(chunks: DataFrame, by: str = "run_id", groups: int = GROUPS) -> DataFrame:
     """``key``, ``pos``, ``json``, ``ok`` (whether it is JSON) of each frame as it is finished, as ``logs.sse_frames`` gives them
     of whole captures. chunks: run_id, seq (their order in a run, which they arrive in), chunk (binary)."""
-    rows = chunks.select(F.col(by).alias("key"), F.col("seq").cast("long").alias("seq"), F.col("chunk").cast("binary").alias("chunk"))
-    return rows.groupBy("key").transformWithStateInPandas(Frames(), f"key {dict(chunks.dtypes)[by]}, pos long, json string, ok boolean", "append", "None")
+    group = F.pmod(F.xxhash64(by), F.lit(groups)).cast("int").alias("group")
+    rows = chunks.select(group, F.col(by).cast("string").alias("key"), F.col("seq").cast("long").alias("seq"), F.col("chunk").cast("binary").alias("chunk"))
+    out = rows.groupBy("group").transformWithStateInPandas(Frames(), "key string, pos long, json string, ok boolean", "append", "None")
+    return out.withColumn("key", F.col("key").cast(dict(chunks.dtypes)[by]))
 
 
 def stream_ingest(docs: DataFrame, folder: str, checkpoint: str, sink: Callable[[DataFrame, int], None] | None = None, target: int = 500, most: int = 700, overlap: int = 75):

@@ -97,3 +97,31 @@ def test_newest_events_are_held_in_blocks(spark, tmp_path):
     assert {r.key: r.ids for r in got} == {k: [i for _, i in sorted(x)[-20:]] for k, x in want.items()}
     # Twenty events of each key come at once: a row each, and before, twenty.
     assert progress[0].numRowsTotal == 30
+
+
+def test_captures_share_groups_of_state(spark, tmp_path, monkeypatch):
+    """Of 200 captures in three triggers, runs and nulls apart; one read of state for all that a group has, not one each."""
+    from tests.test_streams import sink
+
+    from quern.plans.registry import streams as registered
+    from quern.sources import logs
+    from quern.streaming import streams
+
+    raws = [(k if k else None, f'data: {{"a":{k}}}\r\n\r\ndata: bad{k}\n\n' + ("data: [DONE]\n\n" if k % 2 else "") + f'data: {{"b":{k}}}\n\n') for k in range(200)]
+    chunks = [(r, k, raw.encode()[k * 9 : k * 9 + 9]) for r, raw in raws for k in range(len(raw) // 9 + 1)]
+    for n in range(3):
+        spark.createDataFrame([c for c in chunks if min(2, c[1] // 2) == n], "run_id long, seq long, chunk binary").coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+    stream = spark.readStream.schema("run_id long, seq long, chunk binary").option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
+    out = streams.stream_sse(stream, groups=4)
+    plan = out._jdf.queryExecution().analyzed().toString()
+    # Before, state was called for by run_id.
+    assert "group" in plan.split("TransformWithState", 1)[1].splitlines()[0] and dict(out.dtypes)["key"] == "bigint"
+    good, bad = logs.sse_frames(spark.createDataFrame([r for r in raws if r[0]], "run_id long, raw string"))
+    want = {(x.run_id, x.pos, x.json, ok) for df, ok in ((good, True), (bad, False)) for x in df.collect()}
+    want |= {(None, 0, '{"a":0}', True), (None, 1, "bad0", False), (None, 2, '{"b":0}', True)}
+    assert {(x.key, x.pos, x.json, x.ok) for x in sink(out, tmp_path).collect()} == want
+    # The query's parts take more files as chunks grow; before, one task wrote a part.
+    key = lambda x: tuple(str(v) for v in x)
+    one = sorted(registered.stream_sse(spark, "/root/testdata/sf0.001").collect(), key=key)
+    monkeypatch.setattr(registered, "FILE_ROWS", 100)
+    assert sorted(registered.stream_sse(spark, "/root/testdata/sf0.001").collect(), key=key) == one and one
