@@ -110,11 +110,18 @@ def _finalized(out: DataFrame) -> DataFrame:
     return out.select("run_id", "status", "ttft_ms", "total_time_ms", "input_tokens", "output_tokens", "error", text_time("updated_at").alias("updated_at"))
 
 
+#: Runs that one task exports at most, about.
+RUNS_A_TASK = 100_000
+
+
 @query(f"""{views('runs', 'tokens')}, e AS (SELECT run_id, count(*) AS n, string_agg(index || ':' || token, ';' ORDER BY ts, index) AS log FROM tokens GROUP BY run_id)
     SELECT run_id, model, status, coalesce(n, 0) AS n_events, coalesce(log, '') AS log FROM runs LEFT JOIN e USING (run_id) WHERE run_id % 5 = 0""")
 def export_run(spark: SparkSession, d: str) -> DataFrame:
     r = tables.runs(spark, d)
-    out = ops.export_runs(r, tables.tokens(spark, d), r.where("run_id % 5 = 0").select("run_id"))
+    ids = r.where("run_id % 5 = 0").select("run_id")
+    # A task sorts and gathers its runs' events in memory, so tasks grow in number and not in size.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-ids.count() // RUNS_A_TASK))
+    out = ops.export_runs(r, tables.tokens(spark, d, tasks), ids)
     log = F.array_join(F.transform("events", lambda e: F.concat(e["index"].cast("string"), F.lit(":"), e["token"])), ";")
     return out.select("run_id", "model", "status", F.size("events").cast("long").alias("n_events"), log.alias("log"))
 

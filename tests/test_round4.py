@@ -125,3 +125,17 @@ def test_captures_share_groups_of_state(spark, tmp_path, monkeypatch):
     one = sorted(registered.stream_sse(spark, "/root/testdata/sf0.001").collect(), key=key)
     monkeypatch.setattr(registered, "FILE_ROWS", 100)
     assert sorted(registered.stream_sse(spark, "/root/testdata/sf0.001").collect(), key=key) == one and one
+
+
+def test_runs_are_selected_before_their_events_are_sorted(spark, monkeypatch):
+    from quern.plans.registry import runs as registered
+
+    few = sorted(map(tuple, registered.export_run(spark, "/root/testdata/sf0.001").collect()))
+    monkeypatch.setattr(registered, "RUNS_A_TASK", 10)
+    out = registered.export_run(spark, "/root/testdata/sf0.001")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    # Before, the window was over the events of all runs, and its tasks as many as the session's, however many runs.
+    above = plan[: plan.index("Window [")].splitlines()[-2:]
+    assert not any("% 5" in line for line in above) and "% 5" in plan[plan.index("Window [") :]
+    assert f", {-(-len(few) // 10)}" in next(line for line in plan.splitlines() if "RepartitionByExpression [run_id" in line)
+    assert sorted(map(tuple, out.collect())) == few and few
