@@ -29,14 +29,19 @@ def _chunks(spark: SparkSession, d: str) -> DataFrame:
 #: Ids whose documents of one source are one file.
 FILE_IDS = 500
 
+_BY_TASKS = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
+
 
 def _files(spark: SparkSession, d: str) -> str:
     """A folder with text files of documents by source, of the documents of ``FILE_IDS`` ids each, and JSON files beside them
-    that nobody wants. A file is read as one row, so its size must have a bound that does not grow with the source."""
+    that nobody wants. A file is read as one row, so its size must have a bound that does not grow with the source.
+
+    There are very many files, so each task moves its own where they belong; else the driver would move all, one by one.
+    The folder is new and read only after both writes, so nobody sees it half done."""
     docs = tables.table(spark, d, "documents").select("source", "text", F.floor(F.col("doc_id") / FILE_IDS).alias("part"))
     path = new_path(spark, "files")
-    docs.repartition("source", "part").write.partitionBy("source", "part").text(path)
-    docs.where("length(text) < 100").write.mode("append").partitionBy("source", "part").json(path)
+    docs.repartition("source", "part").write.options(**_BY_TASKS).partitionBy("source", "part").text(path)
+    docs.where("length(text) < 100").write.mode("append").options(**_BY_TASKS).partitionBy("source", "part").json(path)
     return path
 
 

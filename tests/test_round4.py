@@ -139,3 +139,15 @@ def test_runs_are_selected_before_their_events_are_sorted(spark, monkeypatch):
     assert not any("% 5" in line for line in above) and "% 5" in plan[plan.index("Window [") :]
     assert f", {-(-len(few) // 10)}" in next(line for line in plan.splitlines() if "RepartitionByExpression [run_id" in line)
     assert sorted(map(tuple, out.collect())) == few and few
+
+
+def test_many_folders_are_listed_by_few_tasks(spark, tmp_path):
+    from quern.sources import files
+
+    for k in range(60):
+        (tmp_path / f"part={k}").mkdir()
+        (tmp_path / f"part={k}" / ("a.TXT" if k % 2 else "a.json")).write_text(f"{k}\nx")
+    found = files.ingest_files(spark, f"file://{tmp_path}", ["txt"])
+    assert sorted(r.text for r in found.collect()) == sorted(f"{k}\nx" for k in range(1, 60, 2))
+    # Before, each folder was a task, up to 10,000.
+    assert int(spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")) <= files.LISTING * spark.sparkContext.defaultParallelism
